@@ -62,6 +62,15 @@ def extract_json_block(col) -> Column:
     return F.when(m == F.lit(""), F.lit(None).cast("string")).otherwise(m)
 
 
+def _variant_scalar_text(v: Column) -> Column:
+    """Text of a scalar VARIANT; fractional numbers print as floats ('13.0')."""
+    kind = F.schema_of_variant(v)
+    is_fraction = kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+    return F.when(is_fraction, F.try_variant_get(v, "$", "double").cast("string")).otherwise(
+        F.try_variant_get(v, "$", "string")
+    )
+
+
 def normalize_content(col, dtype: str) -> Column:
     """Flatten one message ``content`` value to clean text.
 
@@ -75,13 +84,13 @@ def normalize_content(col, dtype: str) -> Column:
         kind = F.schema_of_variant(c)
         elems = F.transform(
             F.try_variant_get(c, "$", "array<variant>"),
-            lambda e: F.coalesce(F.try_variant_get(e, "$", "string"), F.to_json(e)),
+            lambda e: F.coalesce(_variant_scalar_text(e), F.to_json(e)),
         )
         return (
             F.when(c.isNull() | (kind == F.lit("VOID")), F.lit(""))
             .when(kind.startswith("ARRAY"), F.array_join(elems, "; "))
             .when(kind.startswith("OBJECT"), F.to_json(c))
-            .otherwise(ustrip(F.coalesce(F.try_variant_get(c, "$", "string"), F.lit(""))))
+            .otherwise(ustrip(F.coalesce(_variant_scalar_text(c), F.lit(""))))
         )
     if dtype.startswith("array"):
         return F.coalesce(F.array_join(F.transform(c, lambda e: e.cast("string")), "; "), F.lit(""))

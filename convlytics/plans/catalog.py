@@ -166,3 +166,165 @@ def conversation_lookup_raw(spark, sf_dir):
 def metrics_json(spark, sf_dir):
     m = impact_metrics(spark, sf_dir)
     return MT.metrics_json(m)
+
+
+# --------------------------------------------------------------------------- derived files
+
+_DERIVED: dict[tuple, str] = {}
+
+
+def events_json_path(spark: SparkSession, sf_dir: str) -> str:
+    """Write the events table as JSON Lines messages with mixed value shapes.
+
+    content: view -> object (props), click -> array [type, k, true],
+    error -> null, signup -> padded text, purchase -> number.
+    created_at: click -> {"$date": iso}, view -> iso text, purchase -> date
+    only, error -> junk text, signup -> null.  Written once per session and
+    table directory into the shared checkpoint folder.
+    """
+    from convlytics.session import scratch_path
+
+    key = ("events_json", sf_dir, id(spark))
+    if key in _DERIVED:
+        return _DERIVED[key]
+    e = T.read_table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    k = F.get_json_object("props", "$.k")
+    content_json = (
+        F.when(et == "view", F.col("props"))
+        .when(et == "click", F.concat(F.lit('["'), et, F.lit('",'), k, F.lit(",true]")))
+        .when(et == "error", F.lit("null"))
+        .when(et == "signup", F.to_json(F.array(F.concat(F.lit("  "), F.col("props"), F.lit("\t"))))
+              .substr(F.lit(2), F.length(F.to_json(F.array(F.concat(F.lit("  "), F.col("props"), F.lit("\t"))))) - 2))
+        .otherwise(F.col("value").cast("string"))
+    )
+    date_json = (
+        F.when(et == "click", F.concat(F.lit('{"$date":"'), iso, F.lit('"}')))
+        .when(et == "view", F.concat(F.lit('"'), iso, F.lit('"')))
+        .when(et == "purchase", F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd"), F.lit('"')))
+        .when(et == "error", F.lit('"not a date"'))
+        .otherwise(F.lit("null"))
+    )
+    # raw JSON text, so number spellings such as 13.0 reach the file unchanged
+    line = F.concat(
+        F.lit('{"event_id":'), F.col("event_id").cast("string"),
+        F.lit(',"thread_id":"'), F.col("user_id").cast("string"),
+        F.lit('","content":'), content_json,
+        F.lit(',"created_at":'), date_json, F.lit("}"),
+    )
+    path = scratch_path(spark, "events-json")
+    e.select(line.alias("value")).write.text(path)
+    _DERIVED[key] = path
+    return path
+
+
+def json_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlytics.sources.json_source import read_json
+
+    schema = "event_id long, thread_id string, content variant, created_at variant"
+    return read_json(spark, events_json_path(spark, sf_dir), schema=schema)
+
+
+@query("src_json_messages")
+def src_json_messages(spark, sf_dir):
+    """JSON Lines messages read with VARIANT fields, then cleaned."""
+    m = json_messages(spark, sf_dir)
+    clean = M.clean_messages(m.select("thread_id", "content", "created_at", "event_id"), seq_col="event_id")
+    return clean.select("thread_id", F.col("_seq").alias("event_id"), "msg_timestamp", "clean_content")
+
+
+@query("normalize_content")
+def normalize_content_q(spark, sf_dir):
+    from convlytics.functions.text import normalize_content
+
+    m = json_messages(spark, sf_dir)
+    return m.select("event_id", normalize_content("content", "variant").alias("clean_content"))
+
+
+@query("parse_dates")
+def parse_dates_q(spark, sf_dir):
+    from convlytics.functions.dates import parse_timestamp
+
+    m = json_messages(spark, sf_dir)
+    return m.select("event_id", parse_timestamp("created_at", "variant").alias("msg_timestamp"))
+
+
+@query("master_roundtrip")
+def master_roundtrip(spark, sf_dir):
+    """Build, save and read back the master table (read-through store)."""
+    from convlytics.session import scratch_path
+    from convlytics.sources.stores import master_read_through
+
+    path = scratch_path(spark, "master")
+    m = master_read_through(spark, path, lambda: master_orders(spark, sf_dir), force_rebuild=True, persist=True)
+    return m.select(
+        "thread_id", "created_at", "status", "platform", "escalate_conversation",
+        "full_conversation", "msg_count", "first_msg", "last_msg", r6("duration_minutes").alias("duration_minutes"),
+    )
+
+
+@query("metrics_csv_roundtrip")
+def metrics_csv_roundtrip(spark, sf_dir):
+    """Impact metrics written as CSV with a header and read back."""
+    from convlytics.session import scratch_path
+    from convlytics.sources.stores import load_metrics_csv, save_metrics_csv
+
+    path = scratch_path(spark, "metrics-csv")
+    save_metrics_csv(impact_metrics(spark, sf_dir), path)
+    back = load_metrics_csv(spark, path)
+    return back.select(*[F.col(c) if c == "estado_top" else r6(F.col(c).cast("double")).alias(c) for c in back.columns])
+
+
+# --------------------------------------------------------------------------- profiling and validation
+
+
+@query("profile_structure")
+def profile_structure(spark, sf_dir):
+    from convlytics.operators.profile import profile_structure as ps
+
+    return ps(T.read_table(spark, sf_dir, "orders"))
+
+
+@query("profile_missing")
+def profile_missing(spark, sf_dir):
+    """Missing values per column of the master table joined with customers' balance."""
+    from convlytics.operators.profile import profile_missing as pm
+
+    return pm(master_orders(spark, sf_dir), top_n=15)
+
+
+@query("profile_uniques")
+def profile_uniques(spark, sf_dir):
+    from convlytics.operators.profile import profile_uniques as pu
+
+    return pu(T.read_table(spark, sf_dir, "orders"), top_n=15)
+
+
+@query("duplicate_rows")
+def duplicate_rows(spark, sf_dir):
+    from convlytics.operators.profile import duplicate_rows as dr
+
+    d = T.read_table(spark, sf_dir, "documents").select("text", "lang", "source")
+    return dr(d).select("n_rows", "n_duplicates", r6("pct_duplicates").alias("pct_duplicates"))
+
+
+@query("validate_questions")
+def validate_questions(spark, sf_dir):
+    """User turns as questions, conversation id as session id; flags only."""
+    from convlytics.operators.schema import validate_questions as vq
+
+    q = T.messages_text(spark, sf_dir).filter(F.col("role") == "user").select(
+        "thread_id", "seq", F.col("content").alias("question"), F.col("thread_id").alias("session_id")
+    )
+    return vq(q).select("thread_id", "seq", "question_ok", "session_ok", "valid")
+
+
+@query("normalize_columns")
+def normalize_columns_q(spark, sf_dir):
+    """Customer columns under raw display names, normalised back to snake_case."""
+    from convlytics.operators.schema import normalize_columns
+
+    c = T.read_table(spark, sf_dir, "customer")
+    raw = c.toDF(" C Custkey", "c-name", "C_NationKey!", "c  acct--bal", "C__Mkt Segment")
+    return normalize_columns(raw).select("c_custkey", "c_name", "c_nationkey", "c_acct_bal", "c_mkt_segment")

@@ -169,3 +169,66 @@ SELECT CAST(json_object('tasa_escalamiento', tasa_escalamiento, 'duracion_promed
                         'duracion_p90_min', duracion_p90_min, 'mensajes_promedio', mensajes_promedio,
                         'mensajes_p90', mensajes_p90, 'estado_top', estado_top) AS VARCHAR) AS metrics_json
 FROM m"""
+
+# ----------------------------------------------------------------- JSON-derived messages
+_ISO_TS = "CAST(ts AS TIMESTAMP)"
+JSON_MSGS = f"""
+jm AS (
+  SELECT event_id, CAST(user_id AS VARCHAR) AS thread_id,
+         CASE event_type WHEN 'view' THEN CAST(json(props) AS VARCHAR)
+                         WHEN 'click' THEN 'click; ' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) || '; true'
+                         WHEN 'error' THEN ''
+                         WHEN 'signup' THEN props
+                         ELSE CAST(value AS VARCHAR) END AS clean_content,
+         CASE event_type WHEN 'click' THEN {_ISO_TS} WHEN 'view' THEN {_ISO_TS}
+                         WHEN 'purchase' THEN date_trunc('day', {_ISO_TS}) ELSE NULL END AS msg_timestamp
+  FROM events)"""
+
+SQL["src_json_messages"] = "WITH " + JSON_MSGS + """
+SELECT thread_id, event_id, msg_timestamp, clean_content FROM jm"""
+
+SQL["normalize_content"] = "WITH " + JSON_MSGS + """
+SELECT event_id, clean_content FROM jm"""
+
+SQL["parse_dates"] = "WITH " + JSON_MSGS + """
+SELECT event_id, msg_timestamp FROM jm"""
+
+SQL["master_roundtrip"] = SQL["master_table"]
+
+SQL["metrics_csv_roundtrip"] = SQL["impact_metrics"]
+
+# ----------------------------------------------------------------- profiling and validation
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_ORDERS_TYPES = ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"]
+
+SQL["profile_structure"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {i} AS position, '{t}' AS dtype, count({c}) AS non_null, count(*) AS n_rows FROM orders"
+    for i, (c, t) in enumerate(zip(_ORDERS_COLS, _ORDERS_TYPES))
+)
+
+_MASTER_COLS = ["thread_id", "created_at", "status", "platform", "escalate_conversation", "full_conversation",
+                "msg_count", "first_msg", "last_msg", "duration_minutes"]
+SQL["profile_missing"] = WITH_MASTER + ", mc AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_count FROM master" for c in _MASTER_COLS
+) + """)
+SELECT "column", missing_count FROM mc WHERE missing_count > 0 ORDER BY missing_count DESC, "column" LIMIT 15"""
+
+SQL["profile_uniques"] = "WITH uc AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_values FROM orders" for c in _ORDERS_COLS
+) + """)
+SELECT "column", unique_values FROM uc ORDER BY unique_values DESC, "column" LIMIT 15"""
+
+SQL["duplicate_rows"] = """
+WITH g AS (SELECT text, lang, source, count(*) AS k FROM documents GROUP BY ALL)
+SELECT sum(k) AS n_rows, sum(k - 1) AS n_duplicates,
+       round(CASE WHEN sum(k) > 0 THEN sum(k - 1) * 100.0 / sum(k) ELSE 0 END, 6) AS pct_duplicates FROM g"""
+
+SQL["validate_questions"] = """
+SELECT CAST(conv_id AS VARCHAR) AS thread_id, turn AS seq,
+       coalesce(length(text) BETWEEN 1 AND 2000, false) AS question_ok,
+       length(CAST(conv_id AS VARCHAR)) <= 128 AS session_ok,
+       coalesce(length(text) BETWEEN 1 AND 2000, false) AND length(CAST(conv_id AS VARCHAR)) <= 128 AS valid
+FROM conversations WHERE role = 'user'"""
+
+SQL["normalize_columns"] = """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal AS c_acct_bal, c_mktsegment AS c_mkt_segment FROM customer"""
