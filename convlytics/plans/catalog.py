@@ -328,3 +328,124 @@ def normalize_columns_q(spark, sf_dir):
     c = T.read_table(spark, sf_dir, "customer")
     raw = c.toDF(" C Custkey", "c-name", "C_NationKey!", "c  acct--bal", "C__Mkt Segment")
     return normalize_columns(raw).select("c_custkey", "c_name", "c_nationkey", "c_acct_bal", "c_mkt_segment")
+
+
+# --------------------------------------------------------------------------- text and embeddings
+
+EMBED_DIM = 64
+
+
+def _embedder():
+    from convlytics.functions.embedders import HashingEmbedder
+
+    return HashingEmbedder(EMBED_DIM)
+
+
+def doc_chunks(spark, sf_dir):
+    from convlytics.operators.embed import chunk_texts
+
+    return chunk_texts(T.read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def benchmark_cache(spark, sf_dir) -> str:
+    """Embedding cache pre-filled with the chunks of the benchmark passages."""
+    from convlytics.operators.embed import chunk_texts, fill_cache
+    from convlytics.session import scratch_path
+
+    key = ("bench_cache", sf_dir, id(spark))
+    if key not in _DERIVED:
+        path = scratch_path(spark, "embed-cache")
+        emb = _embedder()
+        fill_cache(spark, chunk_texts(T.read_table(spark, sf_dir, "benchmark"), "item_id", "text"), path, emb, emb.name)
+        _DERIVED[key] = path
+    return _DERIVED[key]
+
+
+@query("hash_text")
+def hash_text(spark, sf_dir):
+    from convlytics.functions.text import sha256_hex
+
+    return T.read_table(spark, sf_dir, "documents").select("doc_id", sha256_hex("text").alias("text_hash"))
+
+
+@query("prepare_text")
+def prepare_text(spark, sf_dir):
+    """Training frame from the master table: first 1000 stripped chars, 0/1 target."""
+    from convlytics.operators.ml import prepare_dataset
+
+    return prepare_dataset(master_orders(spark, sf_dir)).select("thread_id", "text", "target")
+
+
+@query("chunk_text")
+def chunk_text(spark, sf_dir):
+    return doc_chunks(spark, sf_dir).select("doc_id", "chunk_pos", "chunk")
+
+
+@query("chunk_hashes")
+def chunk_hashes(spark, sf_dir):
+    return doc_chunks(spark, sf_dir).select("doc_id", "chunk_pos", "text_hash")
+
+
+@query("distinct_chunks")
+def distinct_chunks_q(spark, sf_dir):
+    from convlytics.operators.embed import distinct_chunks
+
+    return distinct_chunks(doc_chunks(spark, sf_dir))
+
+
+@query("embed_cache_misses")
+def embed_cache_misses(spark, sf_dir):
+    """Distinct document chunks not yet in a cache filled from the benchmark passages."""
+    from convlytics.operators.embed import cache_misses
+    from convlytics.sources.stores import load_cache
+
+    emb = _embedder()
+    cache = load_cache(spark, benchmark_cache(spark, sf_dir), emb.name)
+    return cache_misses(doc_chunks(spark, sf_dir), cache, emb.name)
+
+
+@query("embed_cache_fill")
+def embed_cache_fill(spark, sf_dir):
+    """Fill a fresh cache with all document chunks, then again: the second pass adds nothing."""
+    from convlytics.operators.embed import fill_cache
+    from convlytics.session import scratch_path
+    from convlytics.sources.stores import load_cache
+
+    emb = _embedder()
+    path = scratch_path(spark, "embed-cache-fill")
+    chunks = doc_chunks(spark, sf_dir)
+    fill_cache(spark, chunks, path, emb, emb.name)
+    fill_cache(spark, chunks, path, emb, emb.name)
+    return load_cache(spark, path, emb.name).select("model", "text_hash", F.size("embedding").alias("dim"))
+
+
+@query("mean_pool")
+def mean_pool_q(spark, sf_dir):
+    """Mean vector per label of the embeddings table."""
+    from convlytics.operators.embed import mean_pool
+
+    v = T.read_table(spark, sf_dir, "embeddings")
+    out = mean_pool(v.select("label", "embedding"), "label")
+    return out.select("label", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query("embed_documents")
+def embed_documents_q(spark, sf_dir):
+    """Documents -> chunk vectors (cached) -> one pooled vector per document."""
+    from convlytics.operators.embed import embed_documents
+    from convlytics.session import scratch_path
+
+    emb = _embedder()
+    out = embed_documents(spark, T.read_table(spark, sf_dir, "documents"), "doc_id", "text",
+                          scratch_path(spark, "embed-docs"), emb, emb.name)
+    return out.select("doc_id", F.size("embedding").alias("dim"))
+
+
+@query("extract_json")
+def extract_json(spark, sf_dir):
+    """JSON object cut out of chatty text wrapped around each event's props."""
+    from convlytics.functions.text import extract_json_block
+
+    e = T.read_table(spark, sf_dir, "events")
+    wrapped = F.concat(F.lit("answer:\n"), F.col("props"), F.lit(" end}"), F.col("event_type"))
+    return e.select("event_id", extract_json_block(wrapped).alias("json_text"))

@@ -232,3 +232,43 @@ FROM conversations WHERE role = 'user'"""
 
 SQL["normalize_columns"] = """
 SELECT c_custkey, c_name, c_nationkey, c_acctbal AS c_acct_bal, c_mktsegment AS c_mkt_segment FROM customer"""
+
+# ----------------------------------------------------------------- text and embeddings
+
+
+def _chunks(table: str, id_col: str, text_col: str) -> str:
+    return f"""
+  SELECT {id_col} AS id, CAST(s // 500 AS BIGINT) AS chunk_pos, array_to_string(ws[s + 1:s + 500], ' ') AS chunk,
+         sha256(array_to_string(ws[s + 1:s + 500], ' ')) AS text_hash
+  FROM (SELECT {id_col}, ws, unnest(range(0, len(ws), 500)) AS s
+        FROM (SELECT {id_col}, list_filter(regexp_split_to_array(coalesce({text_col}, ''), '{WS}+'), lambda x: x <> '') AS ws
+              FROM {table}))"""
+
+
+DOC_CHUNKS = f"doc_chunks AS ({_chunks('documents', 'doc_id', 'text')})"
+BENCH_CHUNKS = f"bench_chunks AS ({_chunks('benchmark', 'item_id', 'text')})"
+
+SQL["hash_text"] = "SELECT doc_id, sha256(text) AS text_hash FROM documents"
+
+SQL["prepare_text"] = WITH_MASTER + f"""
+SELECT thread_id, substr({ustrip("coalesce(full_conversation, '')")}, 1, 1000) AS text, {FLAG} AS target
+FROM master WHERE length(substr({ustrip("coalesce(full_conversation, '')")}, 1, 1000)) > 0"""
+
+SQL["chunk_text"] = "WITH " + DOC_CHUNKS + " SELECT id AS doc_id, chunk_pos, chunk FROM doc_chunks"
+
+SQL["chunk_hashes"] = "WITH " + DOC_CHUNKS + " SELECT id AS doc_id, chunk_pos, text_hash FROM doc_chunks"
+
+SQL["distinct_chunks"] = "WITH " + DOC_CHUNKS + " SELECT DISTINCT text_hash, chunk FROM doc_chunks"
+
+SQL["embed_cache_misses"] = "WITH " + DOC_CHUNKS + ", " + BENCH_CHUNKS + """
+SELECT DISTINCT text_hash, chunk FROM doc_chunks
+WHERE text_hash NOT IN (SELECT text_hash FROM bench_chunks)"""
+
+SQL["mean_pool"] = """
+WITH e AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings),
+p AS (SELECT label, pos, avg(v) AS m FROM e GROUP BY label, pos)
+SELECT label, list(round(m, 6) ORDER BY pos) AS embedding FROM p GROUP BY label"""
+
+SQL["extract_json"] = r"""
+SELECT event_id, regexp_extract('answer:' || chr(10) || props || ' end}' || event_type, '(?s)\{.*\}', 0) AS json_text
+FROM events"""
