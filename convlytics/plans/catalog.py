@@ -449,3 +449,215 @@ def extract_json(spark, sf_dir):
     e = T.read_table(spark, sf_dir, "events")
     wrapped = F.concat(F.lit("answer:\n"), F.col("props"), F.lit(" end}"), F.col("event_type"))
     return e.select("event_id", extract_json_block(wrapped).alias("json_text"))
+
+
+# --------------------------------------------------------------------------- semantic memory
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return T.read_table(spark, sf_dir, "embeddings")
+
+
+def qa_pairs(spark, sf_dir) -> DataFrame:
+    """Each user turn with the assistant turn that follows it in the same conversation."""
+    c = T.read_table(spark, sf_dir, "conversations")
+    q = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    return q.join(a, ["conv_id", "turn"], "left")
+
+
+@query("l2_normalize")
+def l2_normalize_q(spark, sf_dir):
+    from convlytics.functions.vectors import l2_normalize
+
+    v = vectors(spark, sf_dir)
+    return v.select("vec_id", F.transform(l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("embedding"))
+
+
+def _knn_all(spark, sf_dir, k=3):
+    from convlytics.operators.memory import knn_topk
+
+    v = vectors(spark, sf_dir)
+    return knn_topk(v.select(F.col("vec_id").alias("query_id"), "embedding"),
+                    v.select(F.col("vec_id").alias("item_id"), "embedding"), k=k)
+
+
+@query("knn_topk")
+def knn_topk_q(spark, sf_dir):
+    """Exact top-3 cosine neighbours of every vector among all vectors."""
+    return _knn_all(spark, sf_dir, 3).select("query_id", "rank", "item_id", r6("score").alias("score"))
+
+
+@query("semantic_context")
+def semantic_context_q(spark, sf_dir):
+    """Retrieved context per query vector; item i's text is document i."""
+    from convlytics.operators.memory import semantic_context
+
+    docs = T.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return semantic_context(_knn_all(spark, sf_dir, 3), docs)
+
+
+@query("memory_text")
+def memory_text_q(spark, sf_dir):
+    """Memory items from question/answer turn pairs; unanswered questions are skipped."""
+    from convlytics.operators.memory import memory_items
+
+    qa = qa_pairs(spark, sf_dir).withColumn("item", F.concat_ws(":", "conv_id", "turn"))
+    return memory_items(qa, "question", "answer", "item", "conv_id", "conv_id").select(
+        "item_id", "text", F.col("metadata")["thread_id"].alias("thread_id")
+    )
+
+
+@query("memory_append")
+def memory_append_q(spark, sf_dir):
+    """Embed memory items and append them to a store twice; reads are de-duplicated by item id."""
+    from convlytics.operators.embed import embed_rows
+    from convlytics.operators.memory import memory_items
+    from convlytics.session import scratch_path
+    from convlytics.sources.stores import append_memory, load_memory
+
+    emb = _embedder()
+    qa = qa_pairs(spark, sf_dir).withColumn("item", F.concat_ws(":", "conv_id", "turn"))
+    items = memory_items(qa, "question", "answer", "item", "conv_id", "conv_id")
+    vecs = embed_rows(items, emb, emb.name, text_col="text", key_col="item_id")
+    path = scratch_path(spark, "memory")
+    staged = scratch_path(spark, "memory-batch")
+    items.join(vecs.select("item_id", "embedding"), "item_id").write.parquet(staged)
+    batch = spark.read.parquet(staged)
+    append_memory(batch, path)
+    append_memory(batch, path)
+    return load_memory(spark, path).select("item_id", "text", F.size("embedding").alias("dim"))
+
+
+# --------------------------------------------------------------------------- evaluation
+
+
+def scored_vectors(spark, sf_dir) -> DataFrame:
+    """Fixed score column for evaluation: element 1 of each vector; target = label 3."""
+    v = vectors(spark, sf_dir)
+    return v.select(
+        "vec_id",
+        (F.col("label") == 3).cast("int").alias("target"),
+        F.col("embedding")[1].cast("double").alias("score"),
+    ).withColumn("prediction", (F.col("score") > 0).cast("int"))
+
+
+@query("confusion_matrix")
+def confusion_matrix_q(spark, sf_dir):
+    from convlytics.operators.evaluate import confusion_matrix
+
+    return confusion_matrix(scored_vectors(spark, sf_dir))
+
+
+@query("classification_report")
+def classification_report_q(spark, sf_dir):
+    from convlytics.operators.evaluate import classification_report
+
+    out = classification_report(scored_vectors(spark, sf_dir))
+    return out.select("class", *[r6(c).alias(c) for c in ("precision", "recall", "f1_score")], "support")
+
+
+@query("roc_auc")
+def roc_auc_q(spark, sf_dir):
+    from convlytics.operators.evaluate import roc_auc
+
+    return roc_auc(scored_vectors(spark, sf_dir)).select(r6("roc_auc").alias("roc_auc"))
+
+
+@query("average_precision")
+def average_precision_q(spark, sf_dir):
+    from convlytics.operators.evaluate import average_precision
+
+    return average_precision(scored_vectors(spark, sf_dir)).select(r6("pr_auc").alias("pr_auc"))
+
+
+@query("expected_cost")
+def expected_cost_q(spark, sf_dir):
+    from convlytics.operators.evaluate import expected_cost
+
+    return expected_cost(scored_vectors(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- model training
+
+
+@query("stratified_split")
+def stratified_split_q(spark, sf_dir):
+    from convlytics.operators.ml import stratified_split
+
+    v = scored_vectors(spark, sf_dir)
+    return stratified_split(v, "vec_id").select("vec_id", "target", "is_test")
+
+
+def _train_on_vectors(spark, sf_dir):
+    from convlytics.operators.ml import stratified_split, train_model
+
+    v = vectors(spark, sf_dir).select("vec_id", "embedding", (F.col("label") == 3).cast("int").alias("target"))
+    split = stratified_split(v, "vec_id")
+    model = train_model(split.filter(~F.col("is_test")))
+    return model, split
+
+
+@query("train_escalation_model")
+def train_escalation_model(spark, sf_dir):
+    """Balanced logistic regression on the training split; one row describing the fit."""
+    model, split = _train_on_vectors(spark, sf_dir)
+    coef = [float(x) for x in model.coefficients.toArray()]
+    return spark.range(1).select(
+        F.lit(float(model.intercept)).alias("intercept"),
+        F.lit(len(coef)).alias("n_coefficients"),
+        F.lit(model.summary.totalIterations).alias("iterations"),
+    )
+
+
+@query("score_model")
+def score_model(spark, sf_dir):
+    from convlytics.operators.ml import score
+
+    model, split = _train_on_vectors(spark, sf_dir)
+    return score(model, split.filter(F.col("is_test"))).select("vec_id", "target", "prediction", "score")
+
+
+@query("evaluate_model")
+def evaluate_model(spark, sf_dir):
+    from convlytics.operators.evaluate import evaluate
+    from convlytics.operators.ml import score
+
+    model, split = _train_on_vectors(spark, sf_dir)
+    return evaluate(score(model, split.filter(F.col("is_test"))))
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """Save the model under a version, load it back and score the test split."""
+    from convlytics.operators.ml import score
+    from convlytics.session import scratch_path
+    from convlytics.sources.stores import load_model, save_model
+
+    model, split = _train_on_vectors(spark, sf_dir)
+    base = scratch_path(spark, "models")
+    save_model(model, base, "v1")
+    loaded = load_model(spark, base, "v1")
+    return score(loaded, split.filter(F.col("is_test"))).select("vec_id", "target", "prediction", "score")
+
+
+@query("escalation_pipeline")
+def escalation_pipeline(spark, sf_dir):
+    """Master table -> training text -> cached embeddings -> split -> train -> evaluate."""
+    from convlytics.operators.embed import embed_documents
+    from convlytics.operators.evaluate import evaluate
+    from convlytics.operators.ml import prepare_dataset, score, stratified_split, train_model
+    from convlytics.session import scratch_path
+
+    emb = _embedder()
+    data = prepare_dataset(master_orders(spark, sf_dir)).select("thread_id", "text", "target")
+    staged = scratch_path(spark, "train-text")
+    data.write.parquet(staged)
+    data = spark.read.parquet(staged)
+    pooled = embed_documents(spark, data, "thread_id", "text", scratch_path(spark, "embed-cache"), emb, emb.name)
+    full = data.join(pooled, "thread_id", "inner")
+    split = stratified_split(full, "thread_id")
+    model = train_model(split.filter(~F.col("is_test")))
+    return evaluate(score(model, split.filter(F.col("is_test"))))

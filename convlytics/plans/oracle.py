@@ -272,3 +272,88 @@ SELECT label, list(round(m, 6) ORDER BY pos) AS embedding FROM p GROUP BY label"
 SQL["extract_json"] = r"""
 SELECT event_id, regexp_extract('answer:' || chr(10) || props || ' end}' || event_type, '(?s)\{.*\}', 0) AS json_text
 FROM events"""
+
+# ----------------------------------------------------------------- semantic memory
+_NVEC = """
+nv AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+         sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+  FROM embeddings)"""
+
+SQL["l2_normalize"] = "WITH " + _NVEC + """
+SELECT vec_id, CASE WHEN n > 0 THEN list_transform(v, lambda x: round(x / n, 6))
+                    ELSE list_transform(v, lambda x: round(x, 6)) END AS embedding FROM nv"""
+
+_KNN = "WITH " + _NVEC + """,
+pairs AS (
+  SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS item_id,
+         CASE WHEN a.n > 0 AND b.n > 0 THEN list_inner_product(a.v, b.v) / (a.n * b.n) ELSE 0.0 END AS score
+  FROM nv a, nv b),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id ASC) AS rank FROM pairs)"""
+
+SQL["knn_topk"] = _KNN + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM ranked WHERE rank <= 3"""
+
+SQL["semantic_context"] = _KNN + """
+SELECT r.query_id, string_agg('- ' || d.text, chr(10) ORDER BY r.rank) AS context
+FROM ranked r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.item_id
+WHERE r.rank <= 3 GROUP BY r.query_id"""
+
+SQL["memory_text"] = """
+WITH q AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS answer FROM conversations WHERE role = 'assistant')
+SELECT CAST(q.conv_id AS VARCHAR) || ':' || CAST(q.turn AS VARCHAR) AS item_id,
+       'Pregunta: ' || coalesce(q.question, '') || chr(10) || 'Respuesta: ' || a.answer AS text,
+       CAST(q.conv_id AS VARCHAR) AS thread_id
+FROM q JOIN a USING (conv_id, turn) WHERE a.answer IS NOT NULL AND a.answer <> ''"""
+
+# ----------------------------------------------------------------- evaluation
+_SCORED = """
+sc AS (
+  SELECT vec_id, CASE WHEN label = 3 THEN 1 ELSE 0 END AS y, CAST(embedding[2] AS DOUBLE) AS s,
+         CASE WHEN CAST(embedding[2] AS DOUBLE) > 0 THEN 1 ELSE 0 END AS p
+  FROM embeddings)"""
+_CM = "WITH " + _SCORED + """,
+cm AS (
+  SELECT count(*) FILTER (WHERE y = 0 AND p = 0) AS c00, count(*) FILTER (WHERE y = 0 AND p = 1) AS c01,
+         count(*) FILTER (WHERE y = 1 AND p = 0) AS c10, count(*) FILTER (WHERE y = 1 AND p = 1) AS c11 FROM sc)"""
+
+SQL["confusion_matrix"] = _CM + """
+SELECT 0 AS label, 0 AS prediction, c00 AS n FROM cm UNION ALL SELECT 0, 1, c01 FROM cm
+UNION ALL SELECT 1, 0, c10 FROM cm UNION ALL SELECT 1, 1, c11 FROM cm"""
+
+SQL["classification_report"] = _CM + """,
+m AS (
+  SELECT CASE WHEN c00 + c10 > 0 THEN c00 / (c00 + c10) ELSE 0 END AS p0,
+         CASE WHEN c00 + c01 > 0 THEN c00 / (c00 + c01) ELSE 0 END AS r0,
+         CASE WHEN c11 + c01 > 0 THEN c11 / (c11 + c01) ELSE 0 END AS p1,
+         CASE WHEN c11 + c10 > 0 THEN c11 / (c11 + c10) ELSE 0 END AS r1,
+         c00 + c01 AS s0, c10 + c11 AS s1, c00 + c01 + c10 + c11 AS n,
+         (c00 + c11) / (c00 + c01 + c10 + c11) AS acc FROM cm),
+f AS (SELECT *, CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0 END AS f0,
+              CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0 END AS f1 FROM m)
+SELECT '0' AS class, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1_score, s0 AS support FROM f
+UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1, 6), s1 FROM f
+UNION ALL SELECT 'accuracy', round(acc, 6), round(acc, 6), round(acc, 6), n FROM f
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), n FROM f
+UNION ALL SELECT 'weighted avg', round((p0 * s0 + p1 * s1) / n, 6), round((r0 * s0 + r1 * s1) / n, 6),
+                 round((f0 * s0 + f1 * s1) / n, 6), n FROM f"""
+
+SQL["roc_auc"] = "WITH " + _SCORED + """,
+r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mr FROM sc),
+t AS (SELECT sum(y) AS P, count(*) - sum(y) AS N, sum(CASE WHEN y = 1 THEN mr ELSE 0 END) AS rs FROM r)
+SELECT round((rs - P * (P + 1) / 2.0) / (P * N), 6) AS roc_auc FROM t"""
+
+SQL["average_precision"] = "WITH " + _SCORED + """,
+d AS (SELECT s, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc GROUP BY s),
+c AS (SELECT pos, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp FROM d)
+SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS pr_auc FROM c"""
+
+SQL["expected_cost"] = _CM + """
+SELECT 5 * c10 + 1 * c01 AS cost FROM cm"""
+
+SQL["stratified_split"] = """
+SELECT vec_id, CASE WHEN label = 3 THEN 1 ELSE 0 END AS target,
+       CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2 AS is_test
+FROM embeddings"""
