@@ -661,3 +661,146 @@ def escalation_pipeline(spark, sf_dir):
     split = stratified_split(full, "thread_id")
     model = train_model(split.filter(~F.col("is_test")))
     return evaluate(score(model, split.filter(F.col("is_test"))))
+
+
+# --------------------------------------------------------------------------- agent answers
+
+
+def event_answers(spark, sf_dir) -> DataFrame:
+    """Answer texts of several shapes derived from each event.
+
+    view -> full JSON answer, click -> JSON inside chatty text, error -> broken
+    object, signup -> JSON without the expected keys, purchase -> JSON array.
+    """
+    e = T.read_table(spark, sf_dir, "events")
+    et, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    answer = (
+        F.when(et == "view", F.concat(
+            F.lit('{"summary": "view '), k, F.lit('", "insights": ["k='), k,
+            F.lit('"], "risks": [], "actions": ["check"], "metrics_used": ["value"]}')))
+        .when(et == "click", F.lit('Claro: {"summary": "click", "insights": []} fin'))
+        .when(et == "error", F.concat(F.lit("error {k: "), k, F.lit("}")))
+        .when(et == "signup", F.col("props"))
+        .otherwise(F.concat(F.lit("["), k, F.lit(", 2]")))
+    )
+    return e.select("event_id", "event_type", answer.alias("answer"), F.round("value", 2).alias("tiempo_s"))
+
+
+@query("parse_json_lenient")
+def parse_json_lenient_q(spark, sf_dir):
+    from convlytics.functions.jsonudf import parse_json_lenient
+
+    a = event_answers(spark, sf_dir)
+    return a.select("event_id", parse_json_lenient(F.col("answer")).alias("analysis"))
+
+
+@query("answer_quality")
+def answer_quality(spark, sf_dir):
+    from convlytics.operators.answers import score_answers
+
+    out = score_answers(event_answers(spark, sf_dir), "answer")
+    return out.select("event_id", "json_valido", "claves_presentes", "claves_faltantes", "score_estructura",
+                      "insights_no_vacios", "actions_no_vacios")
+
+
+@query("answer_quality_summary")
+def answer_quality_summary_q(spark, sf_dir):
+    from convlytics.operators.answers import answer_quality_summary, score_answers
+
+    out = answer_quality_summary(score_answers(event_answers(spark, sf_dir), "answer"))
+    return out.select(r6("score_promedio").alias("score_promedio"), "respuestas_validas", "total",
+                      r6("tiempo_promedio").alias("tiempo_promedio"))
+
+
+@query("route_normalize")
+def route_normalize(spark, sf_dir):
+    from convlytics.operators.answers import normalize_route
+
+    e = T.read_table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    raw = (F.when(et == "error", F.lit("escalar")).when(et == "click", F.lit("tecnico"))
+           .when(et == "purchase", F.lit("resumen")).when(et == "view", F.lit("Escalar")))
+    return e.select("event_id", normalize_route(raw).alias("route"))
+
+
+def user_questions(spark, sf_dir) -> DataFrame:
+    c = T.read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"),
+                    F.col("conv_id").cast("string").alias("thread_id"), F.col("text").alias("question"))
+
+
+@query("prompt_table")
+def prompt_table(spark, sf_dir):
+    """System prompt for every user question: template + metrics summary of the master table."""
+    from convlytics.operators.answers import system_prompts
+
+    return system_prompts(user_questions(spark, sf_dir).select("question_id"), master_orders(spark, sf_dir))
+
+
+@query("session_transcript")
+def session_transcript_q(spark, sf_dir):
+    from convlytics.operators.answers import session_transcript
+
+    c = T.read_table(spark, sf_dir, "conversations")
+    msgs = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("message_id"),
+                    F.col("turn").alias("seq"), "role", "text")
+    return session_transcript(msgs)
+
+
+@query("batch_answer_eval")
+def batch_answer_eval(spark, sf_dir):
+    """Answer every user question with the offline answerer, time and score each answer."""
+    from convlytics.functions.models import template_answerer
+    from convlytics.operators.answers import evaluate_answers
+    from convlytics.session import scratch_path
+
+    return evaluate_answers(user_questions(spark, sf_dir), master_orders(spark, sf_dir), template_answerer,
+                            scratch_path(spark, "answers"))
+
+
+def _routed(spark, sf_dir):
+    from convlytics.functions.models import keyword_router
+    from convlytics.operators.answers import route_requests
+    from convlytics.session import scratch_path
+
+    return route_requests(user_questions(spark, sf_dir), master_orders(spark, sf_dir), keyword_router,
+                          scratch_path(spark, "routes"))
+
+
+@query("route_conversations")
+def route_conversations(spark, sf_dir):
+    return _routed(spark, sf_dir).select("question_id", "thread_id", "route", "analysis")
+
+
+@query("draft_by_route")
+def draft_by_route_q(spark, sf_dir):
+    from convlytics.functions.models import template_answerer
+    from convlytics.operators.answers import draft_by_route
+    from convlytics.session import scratch_path
+
+    out = draft_by_route(_routed(spark, sf_dir), template_answerer, scratch_path(spark, "drafts"))
+    return out.select("question_id", "route", "draft")
+
+
+@query("answer_memory")
+def answer_memory(spark, sf_dir):
+    """Answers that are strict JSON become memory items (embedded, appended)."""
+    from convlytics.functions.models import template_answerer
+    from convlytics.operators.answers import evaluate_answers, strict_json_answers, system_prompts, call_model
+    from convlytics.operators.embed import embed_rows
+    from convlytics.operators.memory import memory_items
+    from convlytics.session import scratch_path
+    from convlytics.sources.stores import append_memory, load_memory
+
+    emb = _embedder()
+    qs = user_questions(spark, sf_dir)
+    prompts = system_prompts(qs, master_orders(spark, sf_dir))
+    staged = scratch_path(spark, "answers")
+    call_model(prompts, template_answerer, "system_prompt", "question", "answer").drop("system_prompt") \
+        .write.parquet(staged)
+    answers = strict_json_answers(spark.read.parquet(staged))
+    items = memory_items(answers, "question", "answer", "question_id", "thread_id", "thread_id")
+    vecs = embed_rows(items, emb, emb.name, text_col="text", key_col="item_id")
+    path = scratch_path(spark, "memory")
+    append_memory(items.join(vecs.select("item_id", "embedding"), "item_id"), path)
+    return load_memory(spark, path).select("item_id", "text", F.col("metadata")["thread_id"].alias("thread_id"))

@@ -357,3 +357,87 @@ SQL["stratified_split"] = """
 SELECT vec_id, CASE WHEN label = 3 THEN 1 ELSE 0 END AS target,
        CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2 AS is_test
 FROM embeddings"""
+
+# ----------------------------------------------------------------- agent answers
+_ANSWERS = """
+ans AS (
+  SELECT event_id, event_type, round(value, 2) AS tiempo_s,
+         CASE event_type
+           WHEN 'view' THEN '{"summary": "view ' || json_extract_string(props, '$.k') || '", "insights": ["k='
+                            || json_extract_string(props, '$.k')
+                            || '"], "risks": [], "actions": ["check"], "metrics_used": ["value"]}'
+           WHEN 'click' THEN 'Claro: {"summary": "click", "insights": []} fin'
+           WHEN 'error' THEN 'error {k: ' || json_extract_string(props, '$.k') || '}'
+           WHEN 'signup' THEN props
+           ELSE '[' || json_extract_string(props, '$.k') || ', 2]' END AS answer
+  FROM events),
+cand AS (
+  SELECT *, CASE WHEN regexp_extract(answer, '(?s)\\{.*\\}', 0) <> '' THEN regexp_extract(answer, '(?s)\\{.*\\}', 0)
+                 ELSE answer END AS c
+  FROM ans)"""
+
+_KEYS = "['actions', 'insights', 'metrics_used', 'risks', 'summary']"
+
+SQL["answer_quality"] = "WITH " + _ANSWERS + f""",
+ok AS (SELECT event_id, c, CASE WHEN json_type(c) = 'OBJECT' THEN json_keys(c) ELSE CAST([] AS VARCHAR[]) END AS keys,
+              json_type(c) = 'OBJECT' AS is_obj
+       FROM cand WHERE json_valid(c)),
+scored AS (
+  SELECT event_id, true AS json_valido,
+         list_sort(list_filter({_KEYS}, lambda k: list_contains(keys, k))) AS claves_presentes,
+         list_sort(list_filter({_KEYS}, lambda k: NOT list_contains(keys, k))) AS claves_faltantes,
+         len(list_filter({_KEYS}, lambda k: list_contains(keys, k))) / 5.0 AS score_estructura,
+         coalesce(is_obj AND json_type(c, '$.insights') = 'ARRAY' AND json_array_length(c, '$.insights') > 0, false)
+           AS insights_no_vacios,
+         coalesce(is_obj AND json_type(c, '$.actions') = 'ARRAY' AND json_array_length(c, '$.actions') > 0, false)
+           AS actions_no_vacios
+  FROM ok
+  UNION ALL
+  SELECT event_id, false, CAST([] AS VARCHAR[]), {_KEYS}, 0.0, false, false FROM cand WHERE NOT json_valid(c))"""
+
+SQL["answer_quality"] += """
+SELECT * FROM scored"""
+
+SQL["answer_quality_summary"] = SQL["answer_quality"].rsplit("SELECT * FROM scored", 1)[0] + """
+SELECT round(avg(s.score_estructura), 6) AS score_promedio, sum(CAST(s.json_valido AS BIGINT)) AS respuestas_validas,
+       count(*) AS total, round(avg(a.tiempo_s), 6) AS tiempo_promedio
+FROM scored s JOIN ans a USING (event_id)"""
+
+SQL["parse_json_lenient"] = "WITH " + _ANSWERS + """
+SELECT event_id,
+       CASE WHEN json_valid(answer) THEN CAST(json(answer) AS VARCHAR)
+            WHEN regexp_extract(answer, '(?s)\\{.*\\}', 0) <> '' AND json_valid(regexp_extract(answer, '(?s)\\{.*\\}', 0))
+              THEN CAST(json(regexp_extract(answer, '(?s)\\{.*\\}', 0)) AS VARCHAR)
+            ELSE '{}' END AS analysis
+FROM ans"""
+
+SQL["route_normalize"] = """
+SELECT event_id, CASE event_type WHEN 'error' THEN 'escalar' WHEN 'click' THEN 'tecnico'
+                                 WHEN 'purchase' THEN 'resumen' ELSE 'assistant' END AS route
+FROM events"""
+
+
+def _sql_literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _prompt_parts():
+    from convlytics.operators.answers import SYSTEM_PROMPT_TEMPLATE
+
+    head, tail = SYSTEM_PROMPT_TEMPLATE.split("{contexto}")
+    return _sql_literal(head), _sql_literal(tail)
+
+
+SQL["prompt_table"] = WITH_MASTER + f""",
+summ AS (
+  SELECT printf('Tasa de escalamiento: %.3f', avg({FLAG})) || chr(10) ||
+         printf('Duracion promedio (min): %.2f', avg(duration_minutes)) || chr(10) ||
+         printf('Mensajes promedio: %.2f', avg(msg_count)) AS summary FROM master)
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id,
+       {_prompt_parts()[0]} || summ.summary || {_prompt_parts()[1]} AS system_prompt
+FROM conversations, summ WHERE role = 'user'"""
+
+SQL["session_transcript"] = """
+SELECT CAST(conv_id AS VARCHAR) AS session_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript,
+       count(*) AS n_messages
+FROM conversations GROUP BY conv_id"""
