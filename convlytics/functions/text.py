@@ -35,17 +35,27 @@ def words(col) -> Column:
     return F.filter(parts, lambda w: w != F.lit(""))
 
 
-def chunk_words(col, chunk_size: int = CHUNK_WORDS) -> Column:
-    """Array of chunks of at most ``chunk_size`` words joined by one space.
+def chunk_word_array(words_col, chunk_size: int = CHUNK_WORDS) -> Column:
+    """Chunks (at most ``chunk_size`` words joined by one space) of a word array column.
 
-    Empty / NULL text gives an empty array (zero chunks).
+    Pass a column reference, not an expression: the lambda reads it once per
+    chunk, and Spark does not share subexpressions inside lambdas.
     """
-    w = words(F.coalesce(_c(col), F.lit("")))
+    w = _c(words_col)
     starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(chunk_size))
     chunks = F.transform(starts, lambda i: F.array_join(F.slice(w, i, chunk_size), " "))
     return F.when(F.size(w) > 0, chunks).otherwise(F.array().cast("array<string>"))
 
 
+def chunk_words(col, chunk_size: int = CHUNK_WORDS) -> Column:
+    """Array of chunks of at most ``chunk_size`` words joined by one space.
+
+    Empty / NULL text gives an empty array (zero chunks).  For large texts
+    prefer projecting :func:`words` first and calling :func:`chunk_word_array`.
+    """
+    return chunk_word_array(words(F.coalesce(_c(col), F.lit(""))), chunk_size)
+
+
 def sha256_hex(col) -> Column:
     """SHA-256 hex digest of the UTF-8 bytes."""
     return F.sha2(_c(col), 256)

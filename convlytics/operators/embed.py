@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlytics.errors import EmbeddingError
-from convlytics.functions.text import CHUNK_WORDS, chunk_words, sha256_hex
+from convlytics.functions.text import CHUNK_WORDS, chunk_word_array, sha256_hex, words
 from convlytics.sources import stores
 
 # Fixed value: texts per call of the embedding function.
@@ -32,7 +32,9 @@ EMBED_BATCH = 64
 
 def chunk_texts(df: DataFrame, id_col: str, text_col: str, chunk_size: int = CHUNK_WORDS) -> DataFrame:
     """(id, chunk_pos, chunk, text_hash): one row per chunk, in order."""
-    exploded = df.select(F.col(id_col), F.posexplode(chunk_words(text_col, chunk_size)).alias("chunk_pos", "chunk"))
+    # the word array is projected once; the chunk lambda then slices the column
+    w = df.select(F.col(id_col), words(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
+    exploded = w.select(F.col(id_col), F.posexplode(chunk_word_array("_w", chunk_size)).alias("chunk_pos", "chunk"))
     return exploded.withColumn("text_hash", sha256_hex("chunk"))
 
 

@@ -8,8 +8,8 @@ only appended to.  Search is exact inner product over L2-normalised vectors
   ``query_block_rows`` rows, the corpus into ``Cb`` blocks of at most
   ``corpus_block_rows`` rows;
 * each query row is replicated to the ``Cb`` corpus blocks and each corpus
-  row to the ``Qb`` query blocks, and the two sides are co-grouped on
-  ``(query block, corpus block)``; every group is a bounded NumPy matmul
+  row to the ``Qb`` query blocks; both sides, tagged, are grouped on
+  ``(query block, corpus block)``, so every group is a bounded NumPy matmul
   that emits only its local top-k per query -- the all-pairs matrix never
   leaves the task;
 * a final ``row_number`` per query keeps the global top-k from the
@@ -62,6 +62,29 @@ def _block_count(df: DataFrame, rows_per_block: int) -> int:
     return max(1, math.ceil(n / rows_per_block))
 
 
+def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Top-k items per query within one (query block, corpus block) pair."""
+    if qpdf.empty or cpdf.empty:
+        return pd.DataFrame({"qid": [], "iid": [], "score": []})
+    qm = np.vstack(qpdf["qv"].to_numpy()).astype(np.float64)
+    cm = np.vstack(cpdf["iv"].to_numpy()).astype(np.float64)
+    iids = cpdf["iid"].to_numpy().astype(str)
+    scores = qm @ cm.T
+    kk = min(k, cm.shape[0])
+    # total order: score desc, item id asc
+    id_rank = np.argsort(np.argsort(iids, kind="stable"), kind="stable")
+    # k-th best score per query; every item at or above it is a candidate
+    thr = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+    out_q, out_i, out_s = [], [], []
+    for r in range(scores.shape[0]):
+        cand = np.flatnonzero(scores[r] >= thr[r])
+        order = cand[np.lexsort((id_rank[cand], -scores[r, cand]))][:kk]
+        out_q.extend([qpdf["qid"].iat[r]] * kk)
+        out_i.extend(iids[order].tolist())
+        out_s.extend(scores[r, order].tolist())
+    return pd.DataFrame({"qid": out_q, "iid": out_i, "score": out_s})
+
+
 def knn_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -85,39 +108,24 @@ def knn_topk(
     n_cb = _block_count(corpus, corpus_block_rows)
     vec = (lambda c: l2_normalize(c)) if normalize else (lambda c: F.transform(F.col(c), lambda x: x.cast("double")))
     q = queries.select(
-        F.col(query_id).cast("string").alias("qid"), vec(query_vec).alias("qv"),
+        F.lit(True).alias("is_query"), F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"),
         F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_qb)).alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1))).alias("cb"),
     )
     c = corpus.select(
-        F.col(item_id).cast("string").alias("iid"), vec(item_vec).alias("iv"),
-        F.pmod(F.xxhash64(F.col(item_id)), F.lit(n_cb)).alias("cb"),
+        F.lit(False).alias("is_query"), F.col(item_id).cast("string").alias("id"), vec(item_vec).alias("v"),
         F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"),
+        F.pmod(F.xxhash64(F.col(item_id)), F.lit(n_cb)).alias("cb"),
     )
 
-    def local_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"qid": [], "iid": [], "score": []})
-        qm = np.vstack(qpdf["qv"].to_numpy()).astype(np.float64)
-        cm = np.vstack(cpdf["iv"].to_numpy()).astype(np.float64)
-        iids = cpdf["iid"].to_numpy().astype(str)
-        scores = qm @ cm.T
-        kk = min(k, cm.shape[0])
-        # total order: score desc, item id asc
-        id_rank = np.argsort(np.argsort(iids, kind="stable"), kind="stable")
-        # k-th best score per query; every item at or above it is a candidate
-        thr = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-        out_q, out_i, out_s = [], [], []
-        for r in range(scores.shape[0]):
-            cand = np.flatnonzero(scores[r] >= thr[r])
-            order = cand[np.lexsort((id_rank[cand], -scores[r, cand]))][:kk]
-            out_q.extend([qpdf["qid"].iat[r]] * kk)
-            out_i.extend(iids[order].tolist())
-            out_s.extend(scores[r, order].tolist())
-        return pd.DataFrame({"qid": out_q, "iid": out_i, "score": out_s})
-
-    cand = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(
-        local_topk, schema="qid string, iid string, score double"
+    def pair_topk(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["is_query"].to_numpy(dtype=bool)
+        qpdf = pdf.loc[side, ["id", "v"]].rename(columns={"id": "qid", "v": "qv"})
+        cpdf = pdf.loc[~side, ["id", "v"]].rename(columns={"id": "iid", "v": "iv"})
+        return block_topk(qpdf, cpdf, k)
+
+    cand = q.unionByName(c).groupBy("qb", "cb").applyInPandas(
+        pair_topk, schema="qid string, iid string, score double"
     )
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid").asc())
     return (
