@@ -65,7 +65,9 @@ def _block_count(df: DataFrame, rows_per_block: int) -> int:
 def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int) -> pd.DataFrame:
     """Top-k items per query within one (query block, corpus block) pair."""
     if qpdf.empty or cpdf.empty:
-        return pd.DataFrame({"qid": [], "iid": [], "score": []})
+        # typed empty columns: an untyped empty frame does not convert to Arrow
+        return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
+                             "score": pd.Series([], dtype="float64")})
     qm = np.vstack(qpdf["qv"].to_numpy()).astype(np.float64)
     cm = np.vstack(cpdf["iv"].to_numpy()).astype(np.float64)
     iids = cpdf["iid"].to_numpy().astype(str)
