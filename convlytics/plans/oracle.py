@@ -220,7 +220,7 @@ SELECT "column", unique_values FROM uc ORDER BY unique_values DESC, "column" LIM
 
 SQL["duplicate_rows"] = """
 WITH g AS (SELECT text, lang, source, count(*) AS k FROM documents GROUP BY ALL)
-SELECT sum(k) AS n_rows, sum(k - 1) AS n_duplicates,
+SELECT CAST(sum(k) AS BIGINT) AS n_rows, CAST(sum(k - 1) AS BIGINT) AS n_duplicates,
        round(CASE WHEN sum(k) > 0 THEN sum(k - 1) * 100.0 / sum(k) ELSE 0 END, 6) AS pct_duplicates FROM g"""
 
 SQL["validate_questions"] = """
@@ -238,7 +238,7 @@ SELECT c_custkey, c_name, c_nationkey, c_acctbal AS c_acct_bal, c_mktsegment AS
 
 def _chunks(table: str, id_col: str, text_col: str) -> str:
     return f"""
-  SELECT {id_col} AS id, CAST(s // 500 AS BIGINT) AS chunk_pos, array_to_string(ws[s + 1:s + 500], ' ') AS chunk,
+  SELECT {id_col} AS id, CAST(s // 500 AS INTEGER) AS chunk_pos, array_to_string(ws[s + 1:s + 500], ' ') AS chunk,
          sha256(array_to_string(ws[s + 1:s + 500], ' ')) AS text_hash
   FROM (SELECT {id_col}, ws, unnest(range(0, len(ws), 500)) AS s
         FROM (SELECT {id_col}, list_filter(regexp_split_to_array(coalesce({text_col}, ''), '{WS}+'), lambda x: x <> '') AS ws
@@ -399,7 +399,7 @@ SQL["answer_quality"] += """
 SELECT * FROM scored"""
 
 SQL["answer_quality_summary"] = SQL["answer_quality"].rsplit("SELECT * FROM scored", 1)[0] + """
-SELECT round(avg(s.score_estructura), 6) AS score_promedio, sum(CAST(s.json_valido AS BIGINT)) AS respuestas_validas,
+SELECT round(avg(s.score_estructura), 6) AS score_promedio, CAST(sum(CAST(s.json_valido AS BIGINT)) AS BIGINT) AS respuestas_validas,
        count(*) AS total, round(avg(a.tiempo_s), 6) AS tiempo_promedio
 FROM scored s JOIN ans a USING (event_id)"""
 
