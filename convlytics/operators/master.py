@@ -5,8 +5,8 @@ Plan (Spark-first):
 * messages are cleaned with native expressions (no per-row Python);
 * the per-thread aggregate is a hash aggregate on ``thread_id`` whose text
   column is an ordered ``listagg``;
-* hot threads (more than ``hot_thread_rows`` messages) are found by a cheap
-  count pass and split by time slice, so no single task sorts and
+* hot threads (more than ``hot_thread_rows`` messages) are found from a
+  small sample (only sampled keys shuffle) and split by time slice, so no single task sorts and
   concatenates a third of all messages; their slice texts are stitched in
   slice order afterwards (ordered concatenation is associative);
 * the aggregate is joined to the threads on ``thread_id``; the aggregate side
@@ -16,6 +16,8 @@ Plan (Spark-first):
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ AGG_COLUMNS = ("full_conversation", "msg_count", "first_msg", "last_msg")
 # time slice.  The hot-key list is at most total_messages / threshold rows,
 # which bounds what is broadcast.
 HOT_THREAD_ROWS = 1_000_000
+# Expected sample hits of a thread exactly at the threshold.
+HOT_SAMPLE_HITS = 200
 
 
 def _dtype(df: DataFrame, name: str) -> str:
@@ -112,6 +116,25 @@ def _two_level(clean: DataFrame, has_seq: bool, slice_unit: str) -> DataFrame:
     )
 
 
+def hot_threads(clean: DataFrame, hot_thread_rows: int, sample_rows: int = HOT_SAMPLE_HITS) -> DataFrame:
+    """Thread ids that probably hold more than ``hot_thread_rows`` messages.
+
+    Found from a Bernoulli sample so that only sampled keys are shuffled: a
+    thread with ``hot_thread_rows`` messages is expected ``sample_rows`` times
+    in the sample and is flagged from half of that.  The result has at most
+    ``2 * #messages / hot_thread_rows`` rows (in expectation), a bound that
+    does not grow with the number of threads, so it is safe to broadcast.
+    Missing a hot thread only loses the split, never correctness.
+    """
+    fraction = min(1.0, sample_rows / float(hot_thread_rows))
+    min_hits = max(1, math.ceil(fraction * hot_thread_rows / 2))
+    return (
+        clean.select("thread_id").sample(withReplacement=False, fraction=fraction, seed=17)
+        .groupBy("thread_id").agg(F.count(F.lit(1)).alias("_hits"))
+        .filter(F.col("_hits") >= F.lit(min_hits)).select("thread_id")
+    )
+
+
 def conversation_aggregate(
     messages: DataFrame,
     seq_col: str | None = None,
@@ -128,11 +151,7 @@ def conversation_aggregate(
     has_seq = seq_col is not None
     if not hot_thread_rows:
         return _single_level(clean, has_seq)
-    # bounded hot-key list: at most (#messages / hot_thread_rows) rows
-    hot = (
-        clean.groupBy("thread_id").agg(F.count(F.lit(1)).alias("_cnt"))
-        .filter(F.col("_cnt") > F.lit(hot_thread_rows)).select("thread_id")
-    )
+    hot = hot_threads(clean, hot_thread_rows)
     tagged = clean.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "thread_id", "left")
     cold = _single_level(tagged.filter(F.col("_hot").isNull()).drop("_hot"), has_seq)
     heavy = _two_level(tagged.filter(F.col("_hot")).drop("_hot"), has_seq, slice_unit)

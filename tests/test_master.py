@@ -103,3 +103,11 @@ def test_threads_without_messages_are_dropped(spark):
     t = spark.createDataFrame([("a",), ("b",), ("a",)], "thread_id string")
     m = _msgs(spark, [("a", "2024-01-01", "x")])
     assert sorted(r.thread_id for r in build_master(t, m).collect()) == ["a", "a"]
+
+
+def test_hot_thread_detection_flags_only_big_threads(spark):
+    from convlytics.operators.master import clean_messages, hot_threads
+
+    rows = [("hot", "2024-01-01", f"m{i}") for i in range(40)] + [("cold", "2024-01-01", "c")]
+    hot = [r.thread_id for r in hot_threads(clean_messages(_msgs(spark, rows)), 5).collect()]
+    assert hot == ["hot"]
