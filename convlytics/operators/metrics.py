@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from convlytics.errors import DataValidationError
 from convlytics.functions.dates import month_key, parse_timestamp
 from convlytics.functions.labels import coerce_label, volume_bucket, volume_bucket_dim
-from convlytics.operators.ranking import combine_one_row, quantile_column
+from convlytics.operators.ranking import combine_one_row, quantiles
 
 FLAG = "escalate_conversation"
 
@@ -53,13 +53,16 @@ def top_values_json(df: DataFrame, col: str, n: int = 5, alias: str = "estado_to
     return top.agg(F.to_json(as_map).alias(alias))
 
 
-def impact_metrics(master: DataFrame, approx: bool = False) -> DataFrame:
+def impact_metrics(master: DataFrame, approx: bool = False, strict: bool = False) -> DataFrame:
     """One row of impact metrics; a metric is present only if its source column is.
 
     tasa_escalamiento, duracion_promedio_min, duracion_p90_min,
     mensajes_promedio, mensajes_p90, estado_top (JSON of the top-5 statuses).
+    ``strict`` raises :class:`DataValidationError` on an empty input; it runs
+    a job at call time, so it is off by default (empty input then yields
+    NULL metrics).
     """
-    if master.isEmpty():
+    if strict and master.isEmpty():
         raise DataValidationError("no rows to compute metrics on")
     cols = set(master.columns)
     aggs = []
@@ -70,10 +73,10 @@ def impact_metrics(master: DataFrame, approx: bool = False) -> DataFrame:
     if "msg_count" in cols:
         aggs.append(F.avg(F.col("msg_count").cast("double")).alias("mensajes_promedio"))
     frames = [master.agg(*aggs)] if aggs else []
-    if "duration_minutes" in cols:
-        frames.append(quantile_column(master, "duration_minutes", 0.9, "duracion_p90_min", approx))
-    if "msg_count" in cols:
-        frames.append(quantile_column(master, "msg_count", 0.9, "mensajes_p90", approx))
+    specs = [(c, 0.9, a) for c, a in (("duration_minutes", "duracion_p90_min"), ("msg_count", "mensajes_p90"))
+             if c in cols]
+    if specs:
+        frames.append(quantiles(master, specs, approx))
     if "status" in cols:
         frames.append(top_values_json(master, "status", 5, "estado_top"))
     if not frames:
@@ -136,8 +139,7 @@ def operating_times(master: DataFrame, approx: bool = False) -> DataFrame:
     )
     out = combine_one_row([
         means,
-        quantile_column(master, "duration_minutes", 0.9, "duracion_p90_min", approx),
-        quantile_column(master, "msg_count", 0.9, "mensajes_p90", approx),
+        quantiles(master, [("duration_minutes", 0.9, "duracion_p90_min"), ("msg_count", 0.9, "mensajes_p90")], approx),
     ])
     return out.select("duracion_promedio_min", "duracion_p90_min", "mensajes_promedio", "mensajes_p90")
 

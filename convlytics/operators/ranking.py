@@ -5,9 +5,10 @@ ROC-AUC and average precision.  ``Window.orderBy`` without a partition key
 would pull every row into one task, so instead:
 
 1. split points are taken with ``percentile_approx`` (one row, at most
-   ``n_buckets`` values -- a proven bound, safe to broadcast);
-2. each row gets a bucket id that is monotone in the order key, computed
-   JVM-side against the broadcast split array;
+   ``n_buckets`` values -- a proven bound, safe to broadcast); ``n_buckets``
+   defaults to the shuffle partition count, so buckets stay task-sized;
+2. each row gets a bucket id that is monotone in the order key: a binary
+   search (O(log n_buckets)) against the broadcast split array, JVM-side;
 3. the running sum inside a bucket is a window partitioned by bucket (many
    tasks in parallel);
 4. per-bucket totals (at most ``n_buckets`` rows) give exclusive offsets,
@@ -19,6 +20,8 @@ counts first), so a hot value is one row, not a third of the table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +35,42 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     ).drop("_one")
 
 
-def _bucket_ids(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:
+def bucket_of(x, splits, max_splits: int):
+    """Number of values in the ascending array ``splits`` that are < ``x``.
+
+    Binary search written as a higher-order ``aggregate`` over
+    ceil(log2(max_splits + 1)) steps, so it is O(log P) per row and JVM-side.
+    """
+    steps = max(1, math.ceil(math.log2(max_splits + 1)))
+
+    def step(acc, i):
+        width = F.pow(F.lit(2), F.lit(steps - 1) - i).cast("int")
+        probe = acc + width
+        return F.when((probe <= F.size(splits)) & (F.element_at(splits, probe) < x), probe).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0), step)
+
+
+def default_buckets(df: DataFrame) -> int:
+    """At least 64, else the session's shuffle partition count (cluster-sized)."""
+    try:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        parts = DEFAULT_BUCKETS
+    return max(DEFAULT_BUCKETS, parts)
+
+
+def _bucket_ids(df: DataFrame, order_col: str, n_buckets: int, by: list[str]) -> DataFrame:
     qs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = df.agg(
-        F.percentile_approx(F.col(order_col).cast("double"), F.lit(qs), F.lit(10000)).alias("_splits")
-    )
-    with_splits = attach_one_row(df, splits)
-    x = F.col(order_col).cast("double")
-    bucket = F.size(F.filter(F.array_distinct(F.col("_splits")), lambda s: s < x))
-    return with_splits.withColumn("_bucket", bucket).drop("_splits")
+    pa = F.percentile_approx(F.col(order_col).cast("double"), F.lit(qs), F.lit(max(10000, 4 * n_buckets)))
+    splits = F.array_sort(F.array_distinct(pa)).alias("_splits")
+    if by:
+        # one row per group (a handful of metrics): bounded, broadcast
+        with_splits = df.join(F.broadcast(df.groupBy(*by).agg(splits)), by, "inner")
+    else:
+        with_splits = attach_one_row(df, df.agg(splits))
+    bucket = bucket_of(F.col(order_col).cast("double"), F.col("_splits"), n_buckets - 1)
+    return with_splits.select(*[c for c in df.columns], bucket.alias("_bucket"))
 
 
 def running_sums(
@@ -48,57 +78,79 @@ def running_sums(
     order_col: str,
     sum_cols: list[str],
     descending: bool = False,
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows at or before this one in order.
 
-    ``order_col`` must be numeric and should be unique per row (pre-aggregated);
-    equal values would be summed in an arbitrary order inside the bucket.
+    ``by`` restarts the sums per group (for a few groups, e.g. metric names).
+    ``order_col`` must be numeric and should be unique per row and group
+    (pre-aggregated); equal values would be summed in an arbitrary order.
     """
-    b = _bucket_ids(df, order_col, n_buckets)
+    by = list(by or [])
+    n_buckets = n_buckets or default_buckets(df)
+    b = _bucket_ids(df, order_col, n_buckets, by)
     if descending:
         b = b.withColumn("_bucket", F.lit(n_buckets) - F.col("_bucket"))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in sum_cols])
-    totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    # at most n_buckets rows: a global window here is bounded
-    wo = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = b.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    # at most n_buckets rows per group: this window is bounded
+    wo = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_bucket", *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]
+        *by, "_bucket", *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]
     )
-    out = local.join(F.broadcast(offsets), "_bucket", "inner")
-    for c in sum_cols:
-        out = out.withColumn(f"cum_{c}", F.col(f"_loc_{c}") + F.col(f"_off_{c}"))
-    return out.drop("_bucket", *[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
+    out = local.join(F.broadcast(offsets), [*by, "_bucket"], "inner")
+    helper = {"_bucket", *[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols]}
+    return out.select(*[c for c in out.columns if c not in helper],
+                      *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, alias: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One-row frame with the linearly interpolated ``q`` quantile of ``col``.
+def exact_quantiles(df: DataFrame, specs: list[tuple[str, float, str]], n_buckets: int | None = None) -> DataFrame:
+    """One row with the linearly interpolated quantiles ``[(col, q, alias), ...]``.
 
     Same definition as pandas ``Series.quantile`` and SQL ``percentile_cont``:
-    position ``q * (n - 1)`` in sorted order, NULLs ignored.  Distributed:
-    counts per distinct value, then :func:`running_sums`.
+    position ``q * (n - 1)`` in sorted order, NULLs ignored.  All columns are
+    handled in one pass: values are unpivoted to (metric, value), counted per
+    distinct pair, and ranked with :func:`running_sums` per metric.
     """
-    counts = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = counts.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_sums(counts, "_v", ["_n"], n_buckets=n_buckets)
-    total = counts.agg(F.sum("_n").alias("_total"))
-    pos = (F.col("_total") - 1) * F.lit(q)
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, (c, _, _) in enumerate(specs)
+    ])).alias("_p")).select("_p._m", "_p._v").filter(F.col("_v").isNotNull())
+    counts = pairs.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sums(counts, "_v", ["_n"], n_buckets=n_buckets, by=["_m"])
+    totals = counts.groupBy("_m").agg(F.sum("_n").alias("_total"))
+    qmap = F.create_map(*[x for i, (_, q, _) in enumerate(specs) for x in (F.lit(i), F.lit(float(q)))])
+    pos = (F.col("_total") - 1) * qmap[F.col("_m")]
     lo = F.floor(pos)
     hi = F.least(lo + 1, F.col("_total") - 1)
     start = F.col("cum__n") - F.col("_n")
-    located = attach_one_row(cum, total).select(
-        "_v",
-        (pos - lo).alias("_frac"),
+    located = cum.join(F.broadcast(totals), "_m").select(
+        "_m", "_v", (pos - lo).alias("_frac"),
         ((start <= lo) & (lo < F.col("cum__n"))).alias("_is_lo"),
         ((start <= hi) & (hi < F.col("cum__n"))).alias("_is_hi"),
     ).filter(F.col("_is_lo") | F.col("_is_hi"))
-    v_lo = F.max(F.when(F.col("_is_lo"), F.col("_v")))
-    v_hi = F.max(F.when(F.col("_is_hi"), F.col("_v")))
-    res = located.agg(v_lo.alias("_lo"), v_hi.alias("_hi"), F.max("_frac").alias("_f"))
-    # empty input: one row with NULL (the global aggregate always yields a row)
-    return res.select((F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias(alias))
+    per_metric = located.groupBy("_m").agg(
+        F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("_is_hi"), F.col("_v"))).alias("_hi"),
+        F.max("_frac").alias("_f"),
+    ).select("_m", (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("_q"))
+    # at most len(specs) rows -> one row; a metric with no values stays NULL
+    return per_metric.agg(*[F.max(F.when(F.col("_m") == i, F.col("_q"))).alias(a) for i, (_, _, a) in enumerate(specs)])
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, alias: str, n_buckets: int | None = None) -> DataFrame:
+    """One-row frame with the exact ``q`` quantile of ``col`` (see :func:`exact_quantiles`)."""
+    return exact_quantiles(df, [(col, q, alias)], n_buckets)
+
+
+def quantiles(df: DataFrame, specs: list[tuple[str, float, str]], approx: bool = False) -> DataFrame:
+    """One-row quantile frame; exact by default, ``percentile_approx`` when ``approx``."""
+    if approx:
+        return df.agg(*[F.percentile_approx(F.col(c).cast("double"), F.lit(q), F.lit(10000)).cast("double").alias(a)
+                        for c, q, a in specs])
+    return exact_quantiles(df, specs)
 
 
 def quantile_column(df: DataFrame, col: str, q: float, alias: str, approx: bool = False) -> DataFrame:

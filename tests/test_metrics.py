@@ -114,3 +114,21 @@ def test_duplicates_and_profiles(spark):
     uniq_none = dict((r.column, r.unique_values) for r in profile_uniques(df, null_as_value=True).collect())
     assert uniq_none["y"] == 2
     assert F is not None
+
+
+def test_impact_metrics_strict_raises_on_empty(spark):
+    from convlytics.errors import DataValidationError
+
+    with pytest.raises(DataValidationError):
+        MT.impact_metrics(_master(spark).limit(0), strict=True)
+    assert MT.impact_metrics(_master(spark).limit(0)).first().tasa_escalamiento is None
+
+
+def test_bucket_binary_search(spark):
+    from convlytics.operators.ranking import bucket_of
+
+    splits = [0.5, 1.0, 2.0, 7.0, 9.5]
+    xs = [-1.0, 0.5, 0.6, 1.0, 3.0, 7.0, 9.4, 9.5, 100.0]
+    df = spark.createDataFrame([(x, splits) for x in xs], "x double, s array<double>")
+    got = [r.b for r in df.select(bucket_of(F.col("x"), F.col("s"), 7).alias("b")).collect()]
+    assert got == [sum(1 for s in splits if s < x) for x in xs]
