@@ -238,19 +238,21 @@ def strict_json_answers(df: DataFrame, answer_col: str = "answer") -> DataFrame:
 
 
 def session_transcript(messages: DataFrame, session_col: str = "session_id", msg_id_col: str = "message_id",
-                       seq_col: str = "seq", role_col: str = "role", text_col: str = "text") -> DataFrame:
+                       seq_col: str = "seq", role_col: str = "role", text_col: str = "text",
+                       hot_rows: int | None = None) -> DataFrame:
     """Per session: the ordered '<role>: <text>' log, one line per message id.
 
     A message id that appears more than once keeps its latest version
-    (highest ``seq``), as a message log that replaces equal ids does.
+    (highest ``seq``), as a message log that replaces equal ids does.  Hot
+    sessions are split by ``seq`` slice before concatenation.
     """
+    from convlytics.operators.master import HOT_THREAD_ROWS
+    from convlytics.operators.textagg import ordered_concat
+
     latest = messages.groupBy(session_col, msg_id_col).agg(
         F.max_by(F.struct(F.col(seq_col).alias("seq"), F.col(role_col).alias("role"), F.col(text_col).alias("text")),
                  F.col(seq_col)).alias("_m")
-    )
-    return latest.groupBy(session_col).agg(
-        F.expr("listagg(concat(_m.role, ': ', _m.text), '\\n') WITHIN GROUP (ORDER BY _m.seq)").alias("transcript"),
-        F.count(F.lit(1)).alias("n_messages"),
-    )
-
-
+    ).select(session_col, F.col("_m.seq").alias("_seq"), F.concat(F.col("_m.role"), F.lit(": "), F.col("_m.text"))
+             .alias("_line"))
+    return ordered_concat(latest, session_col, "_line", ["_seq"], "\n", "transcript",
+                          hot_rows if hot_rows is not None else HOT_THREAD_ROWS, count_col="n_messages")

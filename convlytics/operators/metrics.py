@@ -191,25 +191,28 @@ def conversation_lookup(master: DataFrame, thread_ids: DataFrame) -> DataFrame:
     return req.join(first, "thread_id", "inner")
 
 
-def conversation_text_raw(messages: DataFrame, thread_ids: DataFrame, seq_col: str | None = None) -> DataFrame:
+def conversation_text_raw(messages: DataFrame, thread_ids: DataFrame, seq_col: str | None = None,
+                          hot_rows: int | None = None) -> DataFrame:
     """Fallback lookup on raw messages: newline join of the first text column.
 
-    The text column is the first of content, message_text, text, body.
-    Order inside a thread: ``seq_col`` if given, else the text.
+    The text column is the first of content, message_text, text, body
+    (missing text reads 'None').  Order inside a thread: ``seq_col`` if given,
+    then the text.  Hot threads are split as in the master table.
     """
+    from convlytics.operators.master import HOT_THREAD_ROWS
+    from convlytics.operators.textagg import ordered_concat
+
     text_col = next((c for c in ("content", "message_text", "text", "body") if c in messages.columns), None)
     if text_col is None:
         raise DataValidationError("no text column among content, message_text, text, body")
-    order = f"{seq_col} ASC NULLS LAST, _txt ASC" if seq_col else "_txt ASC"
     req = thread_ids.select(F.col("thread_id").cast("string").alias("thread_id")).distinct()
     m = messages.select(
         F.col("thread_id").cast("string").alias("thread_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("None")).alias("_txt"),
         *([F.col(seq_col)] if seq_col else []),
     ).join(req, "thread_id", "left_semi")
-    return m.groupBy("thread_id").agg(
-        F.expr(f"listagg(_txt, '\\n') WITHIN GROUP (ORDER BY {order})").alias("conversation")
-    )
+    return ordered_concat(m, "thread_id", "_txt", [seq_col] if seq_col else [], "\n", "conversation",
+                          hot_rows if hot_rows is not None else HOT_THREAD_ROWS)
 
 
 def metrics_json(metrics: DataFrame) -> DataFrame:

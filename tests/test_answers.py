@@ -53,3 +53,23 @@ def test_session_transcript_replaces_equal_ids(spark):
                               "session_id string, message_id int, seq int, role string, text string")
     r = session_transcript(m).first()
     assert r.transcript == "user: hola\nassistant: v2" and r.n_messages == 2
+
+
+def test_session_transcript_hot_split_matches(spark):
+    rows = [("hot", i, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(3000)]
+    rows += [("cold", 1, 1, "user", "x")]
+    m = spark.createDataFrame(rows, "session_id string, message_id int, seq int, role string, text string")
+    single = {r.session_id: (r.transcript, r.n_messages) for r in session_transcript(m, hot_rows=0).collect()}
+    split = {r.session_id: (r.transcript, r.n_messages) for r in session_transcript(m, hot_rows=100).collect()}
+    assert single == split and single["hot"][1] == 3000
+
+
+def test_raw_lookup_hot_split_matches(spark):
+    from convlytics.operators.metrics import conversation_text_raw
+
+    rows = [("h", i, f"w{i % 7}") for i in range(2500)] + [("h", None, "tail"), ("h", None, None), ("c", 1, "x")]
+    m = spark.createDataFrame(rows, "thread_id string, seq int, content string")
+    ids = spark.createDataFrame([("h",), ("c",)], "thread_id string")
+    single = {r.thread_id: r.conversation for r in conversation_text_raw(m, ids, "seq", hot_rows=0).collect()}
+    split = {r.thread_id: r.conversation for r in conversation_text_raw(m, ids, "seq", hot_rows=50).collect()}
+    assert single == split and single["h"].endswith("\nNone\ntail")
