@@ -55,9 +55,11 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str = "target", test
 
 def class_weights(df: DataFrame, label_col: str = "target") -> DataFrame:
     """Adds ``weight`` = n / (2 * n_class) (balanced class weights)."""
+    from convlytics.operators.ranking import attach_one_row
+
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
     total = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.join(F.broadcast(total), how="inner")  # <= 2 x 1 rows
+    w = attach_one_row(counts, total)  # one row per class
     w = w.select(label_col, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
     return df.join(F.broadcast(w), label_col, "inner")
 

@@ -29,10 +29,13 @@ DEFAULT_BUCKETS = 64
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row frame to every row (broadcast, no shuffle of ``df``)."""
-    return df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one", "inner"
-    ).drop("_one")
+    """Append the columns of a one-row frame to every row of ``df``.
+
+    The row enters as one scalar subquery (evaluated once, value inlined), so
+    there is no join and ``df`` is not shuffled.
+    """
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("_row")).scalar()
+    return df.select("*", *[packed[c].alias(c) for c in one_row.columns])
 
 
 def bucket_of(x, splits, max_splits: int):
