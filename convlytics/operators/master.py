@@ -81,39 +81,21 @@ def _single_level(clean: DataFrame, has_seq: bool) -> DataFrame:
     )
 
 
-def _two_level(clean: DataFrame, has_seq: bool, slice_unit: str) -> DataFrame:
-    """Split each thread by a slice key that is monotone in the sort order.
+def _slices(has_seq: bool, slice_unit: str):
+    """Slice keys that are monotone in the sort order (timestamp, seq, text).
 
     Timestamped messages slice by ``date_trunc(slice_unit, ts)``; messages
     without a timestamp slice by ``seq div 1024`` (or by the first two
-    characters of their text when there is no seq).  Slices are aggregated in
-    parallel and then concatenated in slice order.
+    characters of their text when there is no seq).
     """
     ts = F.col("msg_timestamp")
-    sliced = clean.select(
-        "*",
+    return [
         F.date_trunc(slice_unit, ts).alias("_ts_slice"),
-        (F.when(ts.isNull(), F.floor(F.col("_seq") / 1024)) if has_seq else F.lit(None).cast("long")).alias("_seq_slice"),
+        (F.when(ts.isNull(), F.floor(F.col("_seq") / 1024)) if has_seq else F.lit(None).cast("long")).alias(
+            "_seq_slice"),
         (F.lit(None).cast("string") if has_seq else F.when(ts.isNull(), F.substring("clean_content", 1, 2))).alias(
-            "_text_slice"
-        ),
-    )
-    part = sliced.groupBy("thread_id", "_ts_slice", "_seq_slice", "_text_slice").agg(
-        _text_agg(has_seq).alias("_part_text"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("msg_timestamp").alias("_first"),
-        F.max("msg_timestamp").alias("_last"),
-    )
-    stitched = F.expr(
-        f"listagg(_part_text, '{JOIN_SEP}') WITHIN GROUP (ORDER BY _ts_slice ASC NULLS LAST, "
-        "_seq_slice ASC NULLS LAST, _text_slice ASC NULLS LAST)"
-    )
-    return part.groupBy("thread_id").agg(
-        F.coalesce(stitched, F.lit("")).alias("full_conversation"),
-        F.sum("_n").alias("msg_count"),
-        F.min("_first").alias("first_msg"),
-        F.max("_last").alias("last_msg"),
-    )
+            "_text_slice"),
+    ]
 
 
 def hot_threads(clean: DataFrame, hot_thread_rows: int, sample_rows: int = HOT_SAMPLE_HITS) -> DataFrame:
@@ -153,8 +135,34 @@ def conversation_aggregate(
         return _single_level(clean, has_seq)
     hot = hot_threads(clean, hot_thread_rows)
     tagged = clean.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "thread_id", "left")
-    cold = _single_level(tagged.filter(F.col("_hot").isNull()).drop("_hot"), has_seq)
-    heavy = _two_level(tagged.filter(F.col("_hot")).drop("_hot"), has_seq, slice_unit)
+    hot_flag = F.coalesce(F.col("_hot"), F.lit(False))
+    # one level-1 aggregate for all rows: cold threads have NULL slices, so
+    # their level-1 row is final; hot threads get one row per slice
+    sliced = tagged.select(
+        "thread_id", "msg_timestamp", "clean_content", *(["_seq"] if has_seq else []), hot_flag.alias("_hot"),
+        *[F.when(hot_flag, c) for c in _slices(has_seq, slice_unit)],
+    ).toDF("thread_id", "msg_timestamp", "clean_content", *(["_seq"] if has_seq else []), "_hot",
+           "_ts_slice", "_seq_slice", "_text_slice")
+    level1 = sliced.groupBy("thread_id", "_hot", "_ts_slice", "_seq_slice", "_text_slice").agg(
+        _text_agg(has_seq).alias("_part_text"),
+        F.count(F.lit(1)).alias("_n"),
+        F.min("msg_timestamp").alias("_first"),
+        F.max("msg_timestamp").alias("_last"),
+    )
+    cold = level1.filter(~F.col("_hot")).select(
+        "thread_id", F.coalesce(F.col("_part_text"), F.lit("")).alias("full_conversation"),
+        F.col("_n").alias("msg_count"), F.col("_first").alias("first_msg"), F.col("_last").alias("last_msg"),
+    )
+    stitched = F.expr(
+        f"listagg(_part_text, '{JOIN_SEP}') WITHIN GROUP (ORDER BY _ts_slice ASC NULLS LAST, "
+        "_seq_slice ASC NULLS LAST, _text_slice ASC NULLS LAST)"
+    )
+    heavy = level1.filter(F.col("_hot")).groupBy("thread_id").agg(
+        F.coalesce(stitched, F.lit("")).alias("full_conversation"),
+        F.sum("_n").alias("msg_count"),
+        F.min("_first").alias("first_msg"),
+        F.max("_last").alias("last_msg"),
+    )
     return cold.unionByName(heavy)
 
 
