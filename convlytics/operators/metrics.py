@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from convlytics.errors import DataValidationError
 from convlytics.functions.dates import month_key, parse_timestamp
 from convlytics.functions.labels import coerce_label, volume_bucket, volume_bucket_dim
-from convlytics.operators.ranking import combine_one_row, quantiles
+from convlytics.operators.ranking import combine_one_row, quantiles, quantiles_from_counts
 
 FLAG = "escalate_conversation"
 
@@ -38,9 +38,8 @@ def top_values(df: DataFrame, col: str, n: int = 5) -> DataFrame:
     )
 
 
-def top_values_json(df: DataFrame, col: str, n: int = 5, alias: str = "estado_top") -> DataFrame:
-    """One row: JSON object ``{value: count}`` of the top-n values, in rank order."""
-    top = top_values(df, col, n)
+def _top_json(top: DataFrame, alias: str) -> DataFrame:
+    """One row: JSON object ``{value: count}`` of ranked (value, count) rows, in rank order."""
     entries = F.array_sort(
         F.collect_list(F.struct(F.col("count"), F.col("value"))),
         lambda a, b: F.when(a["count"] > b["count"], -1)
@@ -53,11 +52,20 @@ def top_values_json(df: DataFrame, col: str, n: int = 5, alias: str = "estado_to
     return top.agg(F.to_json(as_map).alias(alias))
 
 
+def top_values_json(df: DataFrame, col: str, n: int = 5, alias: str = "estado_top") -> DataFrame:
+    """One row: JSON object ``{value: count}`` of the top-n values, in rank order."""
+    return _top_json(top_values(df, col, n), alias)
+
+
 def impact_metrics(master: DataFrame, approx: bool = False, strict: bool = False) -> DataFrame:
     """One row of impact metrics; a metric is present only if its source column is.
 
     tasa_escalamiento, duracion_promedio_min, duracion_p90_min,
     mensajes_promedio, mensajes_p90, estado_top (JSON of the top-5 statuses).
+
+    One pass: the master rows are unpivoted to (metric, value) pairs and
+    counted per distinct pair; means (sum of value x count / count), exact
+    p90s and the status ranking are all derived from that small table.
     ``strict`` raises :class:`DataValidationError` on an empty input; it runs
     a job at call time, so it is off by default (empty input then yields
     NULL metrics).
@@ -65,22 +73,42 @@ def impact_metrics(master: DataFrame, approx: bool = False, strict: bool = False
     if strict and master.isEmpty():
         raise DataValidationError("no rows to compute metrics on")
     cols = set(master.columns)
-    aggs = []
-    if FLAG in cols:
-        aggs.append(F.avg(coerce_label(FLAG).cast("double")).alias("tasa_escalamiento"))
-    if "duration_minutes" in cols:
-        aggs.append(F.avg(F.col("duration_minutes").cast("double")).alias("duracion_promedio_min"))
-    if "msg_count" in cols:
-        aggs.append(F.avg(F.col("msg_count").cast("double")).alias("mensajes_promedio"))
-    frames = [master.agg(*aggs)] if aggs else []
-    specs = [(c, 0.9, a) for c, a in (("duration_minutes", "duracion_p90_min"), ("msg_count", "mensajes_p90"))
-             if c in cols]
-    if specs:
-        frames.append(quantiles(master, specs, approx))
-    if "status" in cols:
-        frames.append(top_values_json(master, "status", 5, "estado_top"))
-    if not frames:
+    numeric = [(c, src) for c, src in (("tasa_escalamiento", coerce_label(FLAG) if FLAG in cols else None),
+                                      ("duration", F.col("duration_minutes") if "duration_minutes" in cols else None),
+                                      ("msgs", F.col("msg_count") if "msg_count" in cols else None)) if src is not None]
+    has_status = "status" in cols
+    if not numeric and not has_status:
         raise DataValidationError("none of the metric columns is present")
+    entries = [F.struct(F.lit(i).alias("_m"), src.cast("double").alias("_v"), F.lit(None).cast("string").alias("_s"))
+               for i, (_, src) in enumerate(numeric)]
+    status_id = len(numeric)
+    if has_status:
+        entries.append(F.struct(F.lit(status_id).alias("_m"), F.lit(None).cast("double").alias("_v"),
+                                F.col("status").cast("string").alias("_s")))
+    counts = (
+        master.select(F.explode(F.array(*entries)).alias("_p")).select("_p._m", "_p._v", "_p._s")
+        .filter(F.col("_v").isNotNull() | F.col("_s").isNotNull())
+        .groupBy("_m", "_v", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    ids = {name: i for i, (name, _) in enumerate(numeric)}
+    frames = []
+    if numeric:
+        means = counts.filter(F.col("_m") < status_id).groupBy("_m").agg(
+            (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"))
+        names = {"tasa_escalamiento": "tasa_escalamiento", "duration": "duracion_promedio_min",
+                 "msgs": "mensajes_promedio"}
+        frames.append(means.agg(*[F.max(F.when(F.col("_m") == i, F.col("_mean"))).alias(names[n])
+                                  for n, i in ids.items()]))
+    specs = [(ids[n], 0.9, a) for n, a in (("duration", "duracion_p90_min"), ("msgs", "mensajes_p90")) if n in ids]
+    if specs and approx:
+        frames.append(quantiles(master, [(c, 0.9, a) for c, a in (("duration_minutes", "duracion_p90_min"),
+                                                                   ("msg_count", "mensajes_p90")) if c in cols], True))
+    elif specs:
+        frames.append(quantiles_from_counts(counts.select("_m", "_v", "_n"), specs))
+    if has_status:
+        top = (counts.filter(F.col("_m") == status_id).select(F.col("_s").alias("value"), F.col("_n").alias("count"))
+               .orderBy(F.col("count").desc(), F.col("value").asc()).limit(5))
+        frames.append(_top_json(top, "estado_top"))
     order = ["tasa_escalamiento", "duracion_promedio_min", "duracion_p90_min", "mensajes_promedio", "mensajes_p90",
              "estado_top"]
     out = combine_one_row(frames)

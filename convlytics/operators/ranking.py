@@ -24,6 +24,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BUCKETS = 64
 
@@ -110,21 +111,25 @@ def running_sums(
                       *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
 
 
-def exact_quantiles(df: DataFrame, specs: list[tuple[str, float, str]], n_buckets: int | None = None) -> DataFrame:
-    """One row with the linearly interpolated quantiles ``[(col, q, alias), ...]``.
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(_m, _v, _n): count per distinct non-NULL value of each numeric column ``cols[_m]``.
 
-    Same definition as pandas ``Series.quantile`` and SQL ``percentile_cont``:
-    position ``q * (n - 1)`` in sorted order, NULLs ignored.  All columns are
-    handled in one pass: values are unpivoted to (metric, value), counted per
-    distinct pair, and ranked with :func:`running_sums` per metric.
+    One unpivot and one aggregation; a hot value is one row per metric.
     """
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, (c, _, _) in enumerate(specs)
+        F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)
     ])).alias("_p")).select("_p._m", "_p._v").filter(F.col("_v").isNotNull())
-    counts = pairs.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def quantiles_from_counts(counts: DataFrame, specs: list[tuple[int, float, str]],
+                          n_buckets: int | None = None) -> DataFrame:
+    """One row of exact quantiles from value counts; ``specs`` = [(metric id, q, alias)]."""
+    ids = [m for m, _, _ in specs]
+    counts = counts.filter(F.col("_m").isin(ids))
     cum = running_sums(counts, "_v", ["_n"], n_buckets=n_buckets, by=["_m"])
     totals = counts.groupBy("_m").agg(F.sum("_n").alias("_total"))
-    qmap = F.create_map(*[x for i, (_, q, _) in enumerate(specs) for x in (F.lit(i), F.lit(float(q)))])
+    qmap = F.create_map(*[x for m, q, _ in specs for x in (F.lit(m), F.lit(float(q)))])
     pos = (F.col("_total") - 1) * qmap[F.col("_m")]
     lo = F.floor(pos)
     hi = F.least(lo + 1, F.col("_total") - 1)
@@ -140,7 +145,19 @@ def exact_quantiles(df: DataFrame, specs: list[tuple[str, float, str]], n_bucket
         F.max("_frac").alias("_f"),
     ).select("_m", (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("_q"))
     # at most len(specs) rows -> one row; a metric with no values stays NULL
-    return per_metric.agg(*[F.max(F.when(F.col("_m") == i, F.col("_q"))).alias(a) for i, (_, _, a) in enumerate(specs)])
+    return per_metric.agg(*[F.max(F.when(F.col("_m") == m, F.col("_q"))).alias(a) for m, _, a in specs])
+
+
+def exact_quantiles(df: DataFrame, specs: list[tuple[str, float, str]], n_buckets: int | None = None) -> DataFrame:
+    """One row with the linearly interpolated quantiles ``[(col, q, alias), ...]``.
+
+    Same definition as pandas ``Series.quantile`` and SQL ``percentile_cont``:
+    position ``q * (n - 1)`` in sorted order, NULLs ignored.  All columns are
+    handled in one pass: values are unpivoted to (metric, value), counted per
+    distinct pair, and ranked with :func:`running_sums` per metric.
+    """
+    counts = value_counts(df, [c for c, _, _ in specs])
+    return quantiles_from_counts(counts, [(i, q, a) for i, (_, q, a) in enumerate(specs)], n_buckets)
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, alias: str, n_buckets: int | None = None) -> DataFrame:
@@ -164,11 +181,35 @@ def quantile_column(df: DataFrame, col: str, q: float, alias: str, approx: bool
 
 
 def combine_one_row(frames: list[DataFrame]) -> DataFrame:
-    """Zip several one-row frames into one row (broadcast joins of single rows)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = attach_one_row(out, f)
-    return out
+    """Zip several one-row frames (global aggregates) into one row.
+
+    Each frame becomes (name, number, text) rows; the frames are unioned and
+    pivoted back by one aggregate.  All branches live in one plan, so a
+    shuffle they share (e.g. the master aggregate) is computed once and
+    reused, and there is no join.
+    """
+    if len(frames) == 1:
+        return frames[0]
+    fields = [f for fr in frames for f in fr.schema.fields]
+    longs = []
+    for fr in frames:
+        entries = []
+        for f in fr.schema.fields:
+            numeric = isinstance(f.dataType, T.NumericType)
+            entries.append(F.struct(
+                F.lit(f.name).alias("_k"),
+                (F.col(f"`{f.name}`").cast("double") if numeric else F.lit(None).cast("double")).alias("_d"),
+                (F.lit(None).cast("string") if numeric else F.col(f"`{f.name}`").cast("string")).alias("_s"),
+            ))
+        longs.append(fr.select(F.explode(F.array(*entries)).alias("_e")).select("_e._k", "_e._d", "_e._s"))
+    u = longs[0]
+    for lf in longs[1:]:
+        u = u.unionByName(lf)
+    aggs = []
+    for f in fields:
+        src = "_d" if isinstance(f.dataType, T.NumericType) else "_s"
+        aggs.append(F.max(F.when(F.col("_k") == f.name, F.col(src))).cast(f.dataType).alias(f.name))
+    return u.agg(*aggs)
 
 
 def ordered_cols(*cols) -> list[Column]:
