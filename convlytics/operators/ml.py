@@ -42,15 +42,30 @@ def split_fraction_expr(id_col: str, seed: int = SPLIT_SEED):
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str = "target", test_fraction: float = TEST_FRACTION,
-                     seed: int = SPLIT_SEED) -> DataFrame:
+                     seed: int = SPLIT_SEED, exact: bool = False) -> DataFrame:
     """Adds ``is_test``: a per-row hash threshold, so each class keeps ~``test_fraction`` in test.
 
     No shuffle and no per-class window: the hash of (id, seed) is uniform and
-    independent of the label, which stratifies in expectation.
+    independent of the label, which stratifies in expectation.  ``exact``
+    instead takes, per class, the ``test_fraction`` quantile of the hash as the
+    threshold (distributed exact quantile, one row per class), so each class
+    gets its share up to one row and hash ties.
     """
-    return df.withColumn("_u", split_fraction_expr(id_col, seed)).withColumn(
-        "is_test", F.col("_u") < F.lit(test_fraction)
-    ).drop("_u")
+    u = split_fraction_expr(id_col, seed)
+    out = df.withColumn("_u", u)
+    if not exact:
+        return out.withColumn("is_test", F.col("_u") < F.lit(test_fraction)).drop("_u")
+    from convlytics.operators.ranking import running_sums
+
+    counts = out.groupBy(F.col(label_col).alias("_c"), F.col("_u")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sums(counts, "_u", ["_n"], by=["_c"])
+    totals = counts.groupBy("_c").agg(F.sum("_n").alias("_total"))
+    # first hash value whose running count reaches round(fraction * class size)
+    want = F.round(F.col("_total") * F.lit(test_fraction))
+    thr = (cum.join(F.broadcast(totals), "_c").filter(F.col("cum__n") > want)
+           .groupBy("_c").agg(F.min("_u").alias("_thr")))  # one row per class
+    out = out.join(F.broadcast(thr), out[label_col] == thr["_c"], "left")
+    return out.withColumn("is_test", F.coalesce(F.col("_u") < F.col("_thr"), F.lit(True))).drop("_u", "_c", "_thr")
 
 
 def class_weights(df: DataFrame, label_col: str = "target") -> DataFrame:

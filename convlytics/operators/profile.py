@@ -127,3 +127,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def shape(df: DataFrame) -> DataFrame:
     """One row: n_rows, n_columns."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
+def preview(df: DataFrame, n: int = 3) -> DataFrame:
+    """First ``n`` rows (the head of the structure report)."""
+    return df.limit(n)

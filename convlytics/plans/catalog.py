@@ -591,6 +591,15 @@ def stratified_split_q(spark, sf_dir):
     return stratified_split(v, "vec_id").select("vec_id", "target", "is_test")
 
 
+@query("stratified_split_exact")
+def stratified_split_exact_q(spark, sf_dir):
+    """Per-class exact 20% test share by hash rank."""
+    from convlytics.operators.ml import stratified_split
+
+    v = scored_vectors(spark, sf_dir)
+    return stratified_split(v, "vec_id", exact=True).select("vec_id", "target", "is_test")
+
+
 def _train_on_vectors(spark, sf_dir):
     from convlytics.operators.ml import stratified_split, train_model
 

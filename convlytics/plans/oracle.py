@@ -441,3 +441,12 @@ SQL["session_transcript"] = """
 SELECT CAST(conv_id AS VARCHAR) AS session_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript,
        count(*) AS n_messages
 FROM conversations GROUP BY conv_id"""
+
+SQL["stratified_split_exact"] = """
+WITH u AS (
+  SELECT vec_id, CASE WHEN label = 3 THEN 1 ELSE 0 END AS target,
+         CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+  FROM embeddings)
+SELECT vec_id, target,
+       row_number() OVER (PARTITION BY target ORDER BY u) <= round(count(*) OVER (PARTITION BY target) * 0.2) AS is_test
+FROM u"""

@@ -65,3 +65,10 @@ def test_balanced_objective_gradient_is_small(spark):
     grad_w = w + (sw * (p - y)) @ X
     grad_b = (sw * (p - y)).sum()
     assert np.abs(grad_w).max() < 1e-3 * n and abs(grad_b) < 1e-3 * n
+
+
+def test_exact_split_takes_class_share(spark):
+    df = spark.range(1000).withColumn("target", (F.col("id") % 10 == 0).cast("int"))
+    got = {r.target: (r.n, r.t) for r in stratified_split(df, "id", exact=True).groupBy("target").agg(
+        F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert got[1] == (100, 20) and got[0] == (900, 180)
