@@ -14,6 +14,10 @@ only appended to.  Search is exact inner product over L2-normalised vectors
   leaves the task;
 * a final ``row_number`` per query keeps the global top-k from the
   ``Cb * k`` candidates (exact: local top-k with the same total order).
+
+When the corpus is small enough (rows x dim under a checked bound, the usual
+case for a memory of saved answers), it is collected once, broadcast, and
+queries are scored map-side in ``mapInPandas``: no replication, no shuffle.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ ANSWER_PREFIX = "\nRespuesta: "
 
 QUERY_BLOCK_ROWS = 2_000
 CORPUS_BLOCK_ROWS = 20_000
+# A corpus up to this many float64 values (rows x dim) is broadcast instead of
+# blocked: 32M values = 256 MB, checked before anything is collected.
+BROADCAST_CORPUS_VALUES = 32_000_000
 
 
 def memory_text(question, answer):
@@ -87,6 +94,27 @@ def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"qid": out_q, "iid": out_i, "score": out_s})
 
 
+def _knn_broadcast(queries, corpus, k, query_id, item_id, query_vec, item_vec, vec) -> DataFrame:
+    """Corpus of checked size: one broadcast matrix, map-side scoring, no shuffle."""
+    spark = queries.sparkSession
+    rows = corpus.select(F.col(item_id).cast("string").alias("iid"), vec(item_vec).alias("iv")).collect()
+    ids = np.array([r.iid for r in rows], dtype=object)
+    mat = np.vstack([np.asarray(r.iv, dtype=np.float64) for r in rows])
+    bc = spark.sparkContext.broadcast((ids, mat))
+
+    def score(batches):
+        b_ids, b_mat = bc.value
+        corpus_pdf = pd.DataFrame({"iid": b_ids, "iv": list(b_mat)})
+        for pdf in batches:
+            out = block_topk(pdf.rename(columns={"id": "qid", "v": "qv"}), corpus_pdf, k)
+            ranks = out.groupby("qid", sort=False).cumcount() + 1
+            yield pd.DataFrame({"query_id": out["qid"], "rank": ranks.astype("int32"), "item_id": out["iid"],
+                                "score": out["score"]})
+
+    q = queries.select(F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"))
+    return q.mapInPandas(score, schema="query_id string, rank int, item_id string, score double")
+
+
 def knn_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -98,6 +126,7 @@ def knn_topk(
     normalize: bool = True,
     query_block_rows: int = QUERY_BLOCK_ROWS,
     corpus_block_rows: int = CORPUS_BLOCK_ROWS,
+    broadcast_corpus_values: int = BROADCAST_CORPUS_VALUES,
 ) -> DataFrame:
     """(query_id, rank, item_id, score): the ``k`` best items per query.
 
@@ -106,9 +135,15 @@ def knn_topk(
     """
     if k <= 0:
         return queries.sparkSession.createDataFrame([], "query_id string, rank int, item_id string, score double")
-    n_qb = _block_count(queries, query_block_rows)
-    n_cb = _block_count(corpus, corpus_block_rows)
     vec = (lambda c: l2_normalize(c)) if normalize else (lambda c: F.transform(F.col(c), lambda x: x.cast("double")))
+    n_items = corpus.count()
+    if n_items == 0:
+        return queries.sparkSession.createDataFrame([], "query_id string, rank int, item_id string, score double")
+    dim = corpus.select(F.max(F.size(F.col(item_vec))).alias("d")).first()["d"] or 0
+    if n_items * max(dim, 1) <= broadcast_corpus_values:
+        return _knn_broadcast(queries, corpus, k, query_id, item_id, query_vec, item_vec, vec)
+    n_qb = _block_count(queries, query_block_rows)
+    n_cb = max(1, math.ceil(n_items / corpus_block_rows))
     q = queries.select(
         F.lit(True).alias("is_query"), F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"),
         F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_qb)).alias("qb"),

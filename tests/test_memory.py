@@ -26,7 +26,7 @@ def test_knn_matches_brute_force_across_blocks(spark):
     qdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(q)], "query_id string, embedding array<double>")
     cdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(c)], "item_id string, embedding array<double>")
     got = {}
-    for r in knn_topk(qdf, cdf, k=4, query_block_rows=10, corpus_block_rows=7).collect():
+    for r in knn_topk(qdf, cdf, k=4, query_block_rows=10, corpus_block_rows=7, broadcast_corpus_values=0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.item_id, r.score))
     want = _brute(q, c, 4)
     for qid, hits in want.items():
@@ -50,3 +50,14 @@ def test_context_and_memory_text(spark):
     hits = spark.createDataFrame([("q", 2, "x"), ("q", 1, "y")], "query_id string, rank int, item_id string")
     corpus = spark.createDataFrame([("x", "tx"), ("y", "ty")], "item_id string, text string")
     assert semantic_context(hits, corpus).first().context == "- ty\n- tx"
+
+
+def test_broadcast_path_matches_blocked(spark):
+    rng = np.random.default_rng(6)
+    q = rng.integers(-2, 3, size=(40, 6)).astype(float)
+    c = rng.integers(-2, 3, size=(30, 6)).astype(float)
+    qdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(q)], "query_id string, embedding array<double>")
+    cdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(c)], "item_id string, embedding array<double>")
+    a = sorted(tuple(r) for r in knn_topk(qdf, cdf, k=3).collect())
+    b = sorted(tuple(r) for r in knn_topk(qdf, cdf, k=3, broadcast_corpus_values=0, corpus_block_rows=8).collect())
+    assert [x[:3] for x in a] == [x[:3] for x in b] and np.allclose([x[3] for x in a], [x[3] for x in b])
