@@ -317,7 +317,8 @@ def validate_questions(spark, sf_dir):
     q = T.messages_text(spark, sf_dir).filter(F.col("role") == "user").select(
         "thread_id", "seq", F.col("content").alias("question"), F.col("thread_id").alias("session_id")
     )
-    return vq(q).select("thread_id", "seq", "question_ok", "session_ok", "valid")
+    q = q.withColumn("question_key", F.concat_ws(":", "thread_id", "seq"))
+    return vq(q, id_col="question_key").select("thread_id", "seq", "question_ok", "session_ok", "valid")
 
 
 @query("normalize_columns")

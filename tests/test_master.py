@@ -111,3 +111,15 @@ def test_hot_thread_detection_flags_only_big_threads(spark):
     rows = [("hot", "2024-01-01", f"m{i}") for i in range(40)] + [("cold", "2024-01-01", "c")]
     hot = [r.thread_id for r in hot_threads(clean_messages(_msgs(spark, rows)), 5).collect()]
     assert hot == ["hot"]
+
+
+def test_question_validation_and_stable_session_ids(spark):
+    from convlytics.operators.schema import validate_questions
+
+    df = spark.createDataFrame([("1", "hola", None), ("2", "", "s"), ("3", "x" * 2001, "s" * 129)],
+                               "qid string, question string, session_id string")
+    a = {r.qid: r for r in validate_questions(df, id_col="qid").collect()}
+    b = {r.qid: r for r in validate_questions(df, id_col="qid").collect()}
+    assert a["1"].valid and not a["2"].question_ok and not a["3"].session_ok
+    assert a["1"].session_id_final == b["1"].session_id_final and len(a["1"].session_id_final) == 36
+    assert a["2"].session_id_final == "s"
