@@ -432,14 +432,18 @@ def mean_pool_q(spark, sf_dir):
 
 @query("embed_documents")
 def embed_documents_q(spark, sf_dir):
-    """Documents -> chunk vectors (cached) -> one pooled vector per document."""
+    """Documents -> chunk vectors (cached) -> one pooled vector per document, saved as Parquet."""
     from convlytics.operators.embed import embed_documents
     from convlytics.session import scratch_path
 
+    from convlytics.sources.stores import save_embeddings
+
     emb = _embedder()
     out = embed_documents(spark, T.read_table(spark, sf_dir, "documents"), "doc_id", "text",
                           scratch_path(spark, "embed-docs"), emb, emb.name)
-    return out.select("doc_id", F.size("embedding").alias("dim"))
+    path = scratch_path(spark, "doc-embeddings")
+    save_embeddings(out, path)
+    return spark.read.parquet(path).select("doc_id", F.size("embedding").alias("dim"))
 
 
 @query("extract_json")
