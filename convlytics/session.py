@@ -60,14 +60,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     shared, fault-tolerant folder there).  Only when it is unset -- local
     tests -- a fresh scratch folder is created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="convlytics-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core conf may be read-only at runtime
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -84,21 +86,28 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``convlytics`` importable in Python workers (``addPyFile`` of a zip).
 
     Python UDFs and ``mapInPandas`` functions defined in this package are
-    pickled by reference, so executors must be able to import it.  When the
-    package is installed on the cluster this is a no-op in effect; otherwise
-    Spark distributes the zip with the job.
+    pickled by reference, so executors must be able to import it.  On a
+    cluster, install the package on the executors or pass it with
+    ``--py-files``; set ``convlytics.shipPackage=false`` to skip this step.
     """
     import os
     import zipfile
 
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
+    if key in _SHIPPED or spark.conf.get("convlytics.shipPackage", "true").lower() == "false":
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    fd, zpath = tempfile.mkstemp(prefix="convlytics-", suffix=".zip")
-    os.close(fd)
+    # prefer the session's shared folder when it is a local path; otherwise the
+    # zip is written on the driver and served to executors by Spark itself
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    local_shared = shared.removeprefix("file:") if shared and "://" not in shared.removeprefix("file://") else ""
+    if local_shared and os.path.isdir(local_shared):
+        zpath = os.path.join(local_shared, f"convlytics-{uuid.uuid4().hex}.zip")
+    else:
+        fd, zpath = tempfile.mkstemp(prefix="convlytics-", suffix=".zip")
+        os.close(fd)
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
         for dirpath, _, files in os.walk(pkg_dir):
             if "__pycache__" in dirpath:
