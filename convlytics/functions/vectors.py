@@ -22,7 +22,3 @@ def l2_normalize(col) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(
         F.transform(v, lambda x: x.cast("double"))
     )
-
-
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
