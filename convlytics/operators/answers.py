@@ -21,7 +21,7 @@ from convlytics.operators.metrics import context_summary
 from convlytics.operators.ranking import attach_one_row
 
 # Keys a well-formed agent answer carries.
-EXPECTED_KEYS = ["actions", "insights", "metrics_used", "risks", "summary"]
+EXPECTED_KEYS = ["summary", "insights", "risks", "actions", "metrics_used"]
 
 # Routes with a specialised node; anything else is 'assistant'.
 ROUTES = ["escalar", "tecnico", "resumen"]
@@ -146,7 +146,7 @@ def score_answers(df: DataFrame, text_col: str = "answer") -> DataFrame:
     score_estructura (= present / 5), insights_no_vacios, actions_no_vacios.
     A JSON value that is not an object scores 0 with every key missing.
     """
-    expected = F.array(*[F.lit(k) for k in EXPECTED_KEYS])
+    expected = F.array(*[F.lit(k) for k in sorted(EXPECTED_KEYS)])
     info = inspect_answer(F.col(text_col))
     out = df.withColumn("_i", info)
     present = F.array_sort(F.array_intersect(expected, F.col("_i.keys")))

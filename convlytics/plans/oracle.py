@@ -376,7 +376,13 @@ cand AS (
                  ELSE answer END AS c
   FROM ans)"""
 
-_KEYS = "['actions', 'insights', 'metrics_used', 'risks', 'summary']"
+def _keys_literal() -> str:
+    from convlytics.operators.answers import EXPECTED_KEYS
+
+    return "[" + ", ".join(f"'{k}'" for k in sorted(EXPECTED_KEYS)) + "]"
+
+
+_KEYS = _keys_literal()
 
 SQL["answer_quality"] = "WITH " + _ANSWERS + f""",
 ok AS (SELECT event_id, c, CASE WHEN json_type(c) = 'OBJECT' THEN json_keys(c) ELSE CAST([] AS VARCHAR[]) END AS keys,
