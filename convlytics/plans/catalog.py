@@ -659,7 +659,7 @@ def model_roundtrip(spark, sf_dir):
 
 @query("escalation_pipeline")
 def escalation_pipeline(spark, sf_dir):
-    """Master table -> training text -> cached embeddings -> split -> train -> evaluate."""
+    """Master table -> training text -> cached embeddings -> split -> train -> save -> evaluate."""
     from convlytics.operators.embed import embed_documents
     from convlytics.operators.evaluate import evaluate
     from convlytics.operators.ml import prepare_dataset, score, stratified_split, train_model
@@ -674,6 +674,9 @@ def escalation_pipeline(spark, sf_dir):
     full = data.join(pooled, "thread_id", "inner")
     split = stratified_split(full, "thread_id")
     model = train_model(split.filter(~F.col("is_test")))
+    from convlytics.sources.stores import save_model
+
+    save_model(model, scratch_path(spark, "models"), "v1")
     return evaluate(score(model, split.filter(F.col("is_test"))))
 
 
