@@ -89,10 +89,15 @@ def save_embeddings(df: DataFrame, path_dir: str) -> None:
 
 
 def load_cache(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """Cache rows ``(model, text_hash, embedding)``, one per key."""
+    """Cache rows ``(model, text_hash, embedding)``, one per key.
+
+    With a model the rows are de-duplicated on ``text_hash`` alone, so the
+    shuffle lines up with the joins on ``text_hash`` that follow (no second
+    exchange of the cache).
+    """
     c = read_parquet_or_empty(spark, path, CACHE_SCHEMA)
     if model is not None:
-        c = c.filter(F.col("model") == model)
+        return c.filter(F.col("model") == model).dropDuplicates(["text_hash"])
     return c.dropDuplicates(["model", "text_hash"])
 
 
