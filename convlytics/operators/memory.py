@@ -4,9 +4,9 @@ The store is a Parquet table (item_id, text, metadata, embedding) that is
 only appended to.  Search is exact inner product over L2-normalised vectors
 (cosine similarity), computed block by block:
 
-* queries are hash-split into ``Qb`` blocks of at most
-  ``query_block_rows`` rows, the corpus into ``Cb`` blocks of at most
-  ``corpus_block_rows`` rows;
+* queries are hash-split into ``Qb`` blocks and the corpus into ``Cb``
+  blocks; each block side is capped in rows, each task in scored pairs, and
+  Qb / Cb follows |Q| / |C|, which minimises the rows replicated;
 * each query row is replicated to the ``Cb`` corpus blocks and each corpus
   row to the ``Qb`` query blocks; both sides, tagged, are grouped on
   ``(query block, corpus block)``, so every group is a bounded NumPy matmul
@@ -37,8 +37,11 @@ CONTEXT_K = 3
 QUESTION_PREFIX = "Pregunta: "
 ANSWER_PREFIX = "\nRespuesta: "
 
-QUERY_BLOCK_ROWS = 2_000
+# Row caps per block side (vectors held by one task) and the scored pairs
+# allowed per task (compute); scores are produced 512 queries at a time.
+QUERY_BLOCK_ROWS = 20_000
 CORPUS_BLOCK_ROWS = 20_000
+PAIRS_PER_TASK = 400_000_000
 # A corpus up to this many float64 values (rows x dim) is broadcast instead of
 # blocked: 32M values = 256 MB, checked before anything is collected.
 BROADCAST_CORPUS_VALUES = 32_000_000
@@ -64,33 +67,50 @@ def memory_items(df: DataFrame, question_col: str, answer_col: str, id_col: str,
     )
 
 
-def _block_count(df: DataFrame, rows_per_block: int) -> int:
-    n = df.count()
-    return max(1, math.ceil(n / rows_per_block))
+def _block_counts(n_q: int, n_c: int, max_q_rows: int, max_c_rows: int,
+                  pairs_per_task: int = PAIRS_PER_TASK) -> tuple[int, int]:
+    """(query blocks, corpus blocks) for the blocked search.
+
+    Every task may score at most ``pairs_per_task`` pairs.  The rows
+    shuffled are n_q * Cb + n_c * Qb; for a fixed task budget that is least
+    when Qb / Cb = n_q / n_c, so the counts follow that ratio, and neither
+    block may exceed its row cap (memory per task).
+    """
+    k = max(1.0, n_q * n_c / pairs_per_task)  # Qb * Cb needed
+    qb = max(1, math.ceil(math.sqrt(k * n_q / max(n_c, 1))), math.ceil(n_q / max_q_rows) if n_q > 0 else 1)
+    cb = max(1, math.ceil(k / qb), math.ceil(n_c / max_c_rows))
+    return qb, cb
 
 
-def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Top-k items per query within one (query block, corpus block) pair."""
+def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int, chunk_rows: int = 512) -> pd.DataFrame:
+    """Top-k items per query within one (query block, corpus block) pair.
+
+    Queries are scored ``chunk_rows`` at a time, so the score matrix in memory
+    is at most ``chunk_rows x len(cpdf)`` doubles whatever the block size.
+    """
     if qpdf.empty or cpdf.empty:
         # typed empty columns: an untyped empty frame does not convert to Arrow
         return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
                              "score": pd.Series([], dtype="float64")})
-    qm = np.vstack(qpdf["qv"].to_numpy()).astype(np.float64)
     cm = np.vstack(cpdf["iv"].to_numpy()).astype(np.float64)
     iids = cpdf["iid"].to_numpy().astype(str)
-    scores = qm @ cm.T
     kk = min(k, cm.shape[0])
     # total order: score desc, item id asc
     id_rank = np.argsort(np.argsort(iids, kind="stable"), kind="stable")
-    # k-th best score per query; every item at or above it is a candidate
-    thr = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+    qids = qpdf["qid"].to_numpy()
+    qvecs = qpdf["qv"].to_numpy()
     out_q, out_i, out_s = [], [], []
-    for r in range(scores.shape[0]):
-        cand = np.flatnonzero(scores[r] >= thr[r])
-        order = cand[np.lexsort((id_rank[cand], -scores[r, cand]))][:kk]
-        out_q.extend([qpdf["qid"].iat[r]] * kk)
-        out_i.extend(iids[order].tolist())
-        out_s.extend(scores[r, order].tolist())
+    for lo in range(0, len(qids), chunk_rows):
+        qm = np.vstack(qvecs[lo:lo + chunk_rows]).astype(np.float64)
+        scores = qm @ cm.T
+        # k-th best score per query; every item at or above it is a candidate
+        thr = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+        for r in range(scores.shape[0]):
+            cand = np.flatnonzero(scores[r] >= thr[r])
+            order = cand[np.lexsort((id_rank[cand], -scores[r, cand]))][:kk]
+            out_q.extend([qids[lo + r]] * kk)
+            out_i.extend(iids[order].tolist())
+            out_s.extend(scores[r, order].tolist())
     return pd.DataFrame({"qid": out_q, "iid": out_i, "score": out_s})
 
 
@@ -142,8 +162,8 @@ def knn_topk(
     dim = corpus.select(F.max(F.size(F.col(item_vec))).alias("d")).first()["d"] or 0
     if n_items * max(dim, 1) <= broadcast_corpus_values:
         return _knn_broadcast(queries, corpus, k, query_id, item_id, query_vec, item_vec, vec)
-    n_qb = _block_count(queries, query_block_rows)
-    n_cb = max(1, math.ceil(n_items / corpus_block_rows))
+    n_qb, n_cb = _block_counts(queries.count(), n_items, query_block_rows, corpus_block_rows,
+                               min(PAIRS_PER_TASK, query_block_rows * corpus_block_rows))
     q = queries.select(
         F.lit(True).alias("is_query"), F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"),
         F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_qb)).alias("qb"),
