@@ -2,7 +2,7 @@
 
 An embedding model is any callable ``list[str] -> list[list[float]]``.  The
 reference calls an external embedding server; offline we ship a
-deterministic feature-hashing embedder so every pipeline runs end to end.
+deterministic feature-hashing embedder so every operator runs end to end.
 """
 
 from __future__ import annotations

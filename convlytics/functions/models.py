@@ -1,7 +1,7 @@
 """Offline stand-ins for the chat model used by routing and answer batches.
 
 A chat model here is any callable ``(system_prompt, user_text) -> str``.
-These stubs are deterministic so pipelines run without a model server;
+These stubs are deterministic so the batch operators run without a model server;
 callers pass their own client function in production.
 """
 

@@ -657,8 +657,8 @@ def model_roundtrip(spark, sf_dir):
     return score(loaded, split.filter(F.col("is_test"))).select("vec_id", "target", "prediction", "score")
 
 
-@query("escalation_pipeline")
-def escalation_pipeline(spark, sf_dir):
+@query("escalation_training")
+def escalation_training(spark, sf_dir):
     """Master table -> training text -> cached embeddings -> split -> train -> save -> evaluate."""
     from convlytics.operators.embed import embed_documents
     from convlytics.operators.evaluate import evaluate

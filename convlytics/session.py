@@ -97,6 +97,7 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED or spark.conf.get("convlytics.shipPackage", "true").lower() == "false":
         return
+    is_local = (sc.master or "").startswith("local")
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
     # prefer the session's shared folder when it is a local path; otherwise the
@@ -105,9 +106,13 @@ def ship_package(spark: SparkSession) -> None:
     local_shared = shared.removeprefix("file:") if shared and "://" not in shared.removeprefix("file://") else ""
     if local_shared and os.path.isdir(local_shared):
         zpath = os.path.join(local_shared, f"convlytics-{uuid.uuid4().hex}.zip")
-    else:
+    elif is_local:
         fd, zpath = tempfile.mkstemp(prefix="convlytics-", suffix=".zip")
         os.close(fd)
+    else:
+        # cluster without a local shared folder: the package must be installed
+        # on the executors or passed with --py-files
+        return
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
         for dirpath, _, files in os.walk(pkg_dir):
             if "__pycache__" in dirpath:
