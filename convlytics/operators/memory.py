@@ -82,23 +82,15 @@ def _block_counts(n_q: int, n_c: int, max_q_rows: int, max_c_rows: int,
     return qb, cb
 
 
-def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int, chunk_rows: int = 512) -> pd.DataFrame:
-    """Top-k items per query within one (query block, corpus block) pair.
+def topk_scores(qids: np.ndarray, qvecs, cm: np.ndarray, iids: np.ndarray, id_rank: np.ndarray, k: int,
+                chunk_rows: int = 512) -> pd.DataFrame:
+    """Top-k items of matrix ``cm`` for each query vector, 512 queries at a time.
 
-    Queries are scored ``chunk_rows`` at a time, so the score matrix in memory
-    is at most ``chunk_rows x len(cpdf)`` doubles whatever the block size.
+    ``id_rank`` is the rank of each item id in ascending order; the total
+    order is score descending, then item id ascending.  The score matrix in
+    memory is at most ``chunk_rows x len(iids)`` doubles.
     """
-    if qpdf.empty or cpdf.empty:
-        # typed empty columns: an untyped empty frame does not convert to Arrow
-        return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
-                             "score": pd.Series([], dtype="float64")})
-    cm = np.vstack(cpdf["iv"].to_numpy()).astype(np.float64)
-    iids = cpdf["iid"].to_numpy().astype(str)
     kk = min(k, cm.shape[0])
-    # total order: score desc, item id asc
-    id_rank = np.argsort(np.argsort(iids, kind="stable"), kind="stable")
-    qids = qpdf["qid"].to_numpy()
-    qvecs = qpdf["qv"].to_numpy()
     out_q, out_i, out_s = [], [], []
     for lo in range(0, len(qids), chunk_rows):
         qm = np.vstack(qvecs[lo:lo + chunk_rows]).astype(np.float64)
@@ -114,19 +106,36 @@ def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int, chunk_rows: int =
     return pd.DataFrame({"qid": out_q, "iid": out_i, "score": out_s})
 
 
+def _id_rank(iids: np.ndarray) -> np.ndarray:
+    return np.argsort(np.argsort(iids, kind="stable"), kind="stable")
+
+
+def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Top-k items per query within one (query block, corpus block) pair."""
+    if qpdf.empty or cpdf.empty:
+        # typed empty columns: an untyped empty frame does not convert to Arrow
+        return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
+                             "score": pd.Series([], dtype="float64")})
+    cm = np.vstack(cpdf["iv"].to_numpy()).astype(np.float64)
+    iids = cpdf["iid"].to_numpy().astype(str)
+    return topk_scores(qpdf["qid"].to_numpy(), qpdf["qv"].to_numpy(), cm, iids, _id_rank(iids), k)
+
+
 def _knn_broadcast(queries, corpus, k, query_id, item_id, query_vec, item_vec, vec) -> DataFrame:
     """Corpus of checked size: one broadcast matrix, map-side scoring, no shuffle."""
     spark = queries.sparkSession
     rows = corpus.select(F.col(item_id).cast("string").alias("iid"), vec(item_vec).alias("iv")).collect()
     ids = np.array([r.iid for r in rows], dtype=object)
     mat = np.vstack([np.asarray(r.iv, dtype=np.float64) for r in rows])
-    bc = spark.sparkContext.broadcast((ids, mat))
+    ids = ids.astype(str)
+    bc = spark.sparkContext.broadcast((ids, mat, _id_rank(ids)))
 
     def score(batches):
-        b_ids, b_mat = bc.value
-        corpus_pdf = pd.DataFrame({"iid": b_ids, "iv": list(b_mat)})
+        b_ids, b_mat, b_rank = bc.value  # loaded once per Python worker
         for pdf in batches:
-            out = block_topk(pdf.rename(columns={"id": "qid", "v": "qv"}), corpus_pdf, k)
+            if pdf.empty:
+                continue
+            out = topk_scores(pdf["id"].to_numpy(), pdf["v"].to_numpy(), b_mat, b_ids, b_rank, k)
             ranks = out.groupby("qid", sort=False).cumcount() + 1
             yield pd.DataFrame({"query_id": out["qid"], "rank": ranks.astype("int32"), "item_id": out["iid"],
                                 "score": out["score"]})
