@@ -51,6 +51,14 @@ def conversation_agg_text(spark, sf_dir):
     return a.select("thread_id", "full_conversation", "msg_count")
 
 
+@query("conversation_agg_events")
+def conversation_agg_events(spark, sf_dir):
+    """Per-user event log as conversations: JSON bodies ordered by microsecond time."""
+    a = M.conversation_aggregate(T.messages_user(spark, sf_dir))
+    return a.select("thread_id", "full_conversation", "msg_count", "first_msg", "last_msg",
+                    r6(F.col("first_msg").cast("double")).alias("first_epoch_s"))
+
+
 @query("master_table")
 def master_table(spark, sf_dir):
     m = master_orders(spark, sf_dir)

@@ -456,3 +456,11 @@ WITH u AS (
 SELECT vec_id, target,
        row_number() OVER (PARTITION BY target ORDER BY u) <= round(count(*) OVER (PARTITION BY target) * 0.2) AS is_test
 FROM u"""
+
+SQL["conversation_agg_events"] = f"""
+WITH m AS (SELECT CAST(user_id AS VARCHAR) AS thread_id, CAST(ts AS TIMESTAMP) AS ts, {ustrip("props")} AS c FROM events),
+a AS (
+  SELECT thread_id, coalesce(string_agg(nullif(c, ''), ' | ' ORDER BY ts ASC NULLS LAST, c ASC), '') AS full_conversation,
+         count(*) AS msg_count, min(ts) AS first_msg, max(ts) AS last_msg
+  FROM m GROUP BY thread_id)
+SELECT *, round(epoch_us(first_msg) / 1e6, 6) AS first_epoch_s FROM a"""
