@@ -61,3 +61,14 @@ def test_broadcast_path_matches_blocked(spark):
     a = sorted(tuple(r) for r in knn_topk(qdf, cdf, k=3).collect())
     b = sorted(tuple(r) for r in knn_topk(qdf, cdf, k=3, broadcast_corpus_values=0, corpus_block_rows=8).collect())
     assert [x[:3] for x in a] == [x[:3] for x in b] and np.allclose([x[3] for x in a], [x[3] for x in b])
+
+
+def test_block_counts_respect_caps_and_balance():
+    from convlytics.operators.memory import _block_counts
+
+    for nq, nc in [(10**9, 10**6), (10**6, 10**6), (10**4, 10**7), (5, 5)]:
+        qb, cb = _block_counts(nq, nc, 20_000, 20_000, 400_000_000)
+        assert -(-nq // qb) <= 20_000 and -(-nc // cb) <= 20_000
+        assert (-(-nq // qb)) * (-(-nc // cb)) <= 400_000_000 * 1.01 + 20_000
+    qb, cb = _block_counts(10**6, 10**6, 20_000, 20_000, 400_000_000)
+    assert 10**6 * cb + 10**6 * qb <= 1.1 * 10**8

@@ -132,3 +132,16 @@ def test_bucket_binary_search(spark):
     df = spark.createDataFrame([(x, splits) for x in xs], "x double, s array<double>")
     got = [r.b for r in df.select(bucket_of(F.col("x"), F.col("s"), 7).alias("b")).collect()]
     assert got == [sum(1 for s in splits if s < x) for x in xs]
+
+
+def test_running_sums_per_group(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, float(v), int(w)) for g in range(3) for v, w in zip(rng.permutation(200), rng.integers(0, 4, 200))]
+    df = spark.createDataFrame(rows, "g int, s double, w long")
+    got = {(r.g, r.s): r.cum_w for r in running_sums(df, "s", ["w"], by=["g"], n_buckets=5).collect()}
+    for g in range(3):
+        sub = sorted((s, w) for gg, s, w in rows if gg == g)
+        total = 0
+        for s, w in sub:
+            total += w
+            assert got[(g, s)] == total
