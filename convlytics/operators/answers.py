@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convlytics.functions.jsonudf import inspect_answer, is_strict_json, parse_json_lenient
 from convlytics.operators.metrics import context_summary
@@ -117,8 +118,9 @@ def call_model(df: DataFrame, chat_fn: ChatFn, system_col: str, user_col: str, o
     Errors become the response text (as in the reference evaluation loop);
     with ``timed`` the elapsed seconds per call go to ``elapsed_s``.
     """
-    schema = df.schema.simpleString()[len("struct<"):-1]
-    extra = f"{out_col} string" + (", elapsed_s double" if timed else "")
+    fields = list(df.schema.fields) + [T.StructField(out_col, T.StringType())]
+    if timed:
+        fields.append(T.StructField("elapsed_s", T.DoubleType()))
 
     def run(batches):
         for pdf in batches:
@@ -136,7 +138,7 @@ def call_model(df: DataFrame, chat_fn: ChatFn, system_col: str, user_col: str, o
                 pdf["elapsed_s"] = times
             yield pdf
 
-    return df.mapInPandas(run, schema=f"{schema}, {extra}" if schema else extra)
+    return df.mapInPandas(run, schema=T.StructType(fields))
 
 
 def score_answers(df: DataFrame, text_col: str = "answer") -> DataFrame:

@@ -73,3 +73,11 @@ def test_raw_lookup_hot_split_matches(spark):
     single = {r.thread_id: r.conversation for r in conversation_text_raw(m, ids, "seq", hot_rows=0).collect()}
     split = {r.thread_id: r.conversation for r in conversation_text_raw(m, ids, "seq", hot_rows=50).collect()}
     assert single == split and single["h"].endswith("\nNone\ntail")
+
+
+def test_call_model_keeps_odd_column_names(spark):
+    from convlytics.operators.answers import call_model
+
+    df = spark.createDataFrame([("s", "u", 1)], "`sys prompt` string, `user-text` string, n int")
+    out = call_model(df, lambda s, u: s + u, "sys prompt", "user-text", "reply", timed=True).first()
+    assert out.reply == "su" and out.n == 1 and out.elapsed_s >= 0
