@@ -124,6 +124,8 @@ def call_model(df: DataFrame, chat_fn: ChatFn, system_col: str, user_col: str, o
 
     def run(batches):
         for pdf in batches:
+            if pdf.empty:
+                continue
             outs, times = [], []
             for s, u in zip(pdf[system_col], pdf[user_col]):
                 t0 = time.time()

@@ -61,6 +61,8 @@ def embed_rows(
 
     def run(batches):
         for pdf in batches:
+            if pdf.empty:
+                continue
             texts = pdf[text_col].fillna("").tolist()
             vecs: list = []
             for i in range(0, len(texts), batch_size):

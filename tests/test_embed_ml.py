@@ -72,3 +72,12 @@ def test_exact_split_takes_class_share(spark):
     got = {r.target: (r.n, r.t) for r in stratified_split(df, "id", exact=True).groupBy("target").agg(
         F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
     assert got[1] == (100, 20) and got[0] == (900, 180)
+
+
+def test_embed_rows_on_empty_and_filtered_input(spark):
+    from convlytics.operators.embed import embed_rows
+
+    df = spark.createDataFrame([("h1", "a b"), ("h2", "c")], "text_hash string, chunk string").repartition(4)
+    out = embed_rows(df.filter(F.col("chunk") == "c"), HashingEmbedder(4), "h4").collect()
+    assert [r.text_hash for r in out] == ["h2"] and len(out[0].embedding) == 4
+    assert embed_rows(df.limit(0), HashingEmbedder(4), "h4").count() == 0
