@@ -159,16 +159,9 @@ def monthly_trend(master: DataFrame, date_col: str = "created_at") -> DataFrame:
 
 
 def operating_times(master: DataFrame, approx: bool = False) -> DataFrame:
-    """Mean and p90 of duration (minutes) and of message count."""
+    """Mean and p90 of duration (minutes) and of message count (one value-count pass)."""
     _need(master, "duration_minutes", "msg_count")
-    means = master.agg(
-        F.avg(F.col("duration_minutes").cast("double")).alias("duracion_promedio_min"),
-        F.avg(F.col("msg_count").cast("double")).alias("mensajes_promedio"),
-    )
-    out = combine_one_row([
-        means,
-        quantiles(master, [("duration_minutes", 0.9, "duracion_p90_min"), ("msg_count", 0.9, "mensajes_p90")], approx),
-    ])
+    out = impact_metrics(master.select("duration_minutes", "msg_count"), approx=approx)
     return out.select("duracion_promedio_min", "duracion_p90_min", "mensajes_promedio", "mensajes_p90")
 
 
