@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from convlytics.llm.ngram_join import jaccard_components
+from convlytics.llm.suffix_dedup import repeated_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +33,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard(spark, sf_dir):
     """Components of documents whose 3-word shingle sets have a Jaccard of 0.9 or more."""
     return jaccard_components(documents(spark, sf_dir), k=3, num=90, den=100)
+
+
+@query("op7_suffix_array")
+def op7_suffix_array(spark, sf_dir):
+    """Documents with passages of 50 words or more that stand in other documents, too."""
+    return repeated_documents(documents(spark, sf_dir))
