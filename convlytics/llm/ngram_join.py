@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlytics.llm import counters
 from convlytics.llm import textkit as T
 from convlytics.llm.components import connected_components
 from convlytics.llm.scratch import Scratch
 
 #: counters of the shingle sketch; 4 MB whatever the input
 SKETCH_SLOTS = 1 << 20
-SLICE = 1 << 14
 #: hash ranges of the suffix filter
 RANGES = 32
 #: rounds in which buckets are compared by their smallest member only
@@ -63,7 +63,6 @@ def shingle_sketch(docs: DataFrame, k: int, slots: int = SKETCH_SLOTS) -> np.nda
     Tasks add up their documents and emit slices of the counters; the slices
     are added up again per slice while they stream by.
     """
-    schema = "slice int, counts binary"
 
     def count(batches):
         total = np.zeros(slots, np.int64)
@@ -71,28 +70,10 @@ def shingle_sketch(docs: DataFrame, k: int, slots: int = SKETCH_SLOTS) -> np.nda
             for c in T.chunks(b.column(0)):
                 for s in T.shingle_sets(c, k):
                     np.add.at(total, (s & np.uint64(slots - 1)).astype(np.int64), 1)
-        yield from emit(total.reshape(-1, min(SLICE, slots)), range(max(1, slots // SLICE)))
+        yield from counters.slices(total)
 
-    def emit(rows, ids):
-        full = [(i, r.tobytes()) for i, r in zip(ids, rows) if r.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()),
-                                          pa.array([r for _, r in full], pa.binary())], ["slice", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                r = np.frombuffer(r, np.int64)
-                total[i] = total[i] + r if i in total else r
-        yield from emit(total.values(), total.keys())
-
-    parts = docs.select("text").mapInArrow(count, schema)
-    n = max(1, slots // SLICE)
-    rows = parts.repartition(n, "slice").mapInArrow(add, schema).collect()
-    out = np.zeros((n, min(SLICE, slots)), np.int64)
-    for r in rows:
-        out[r["slice"]] += np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
+    parts = docs.select("text").mapInArrow(count, counters.SCHEMA)
+    return np.minimum(counters.total(parts, slots), 2**31 - 1).astype(np.int32)
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
