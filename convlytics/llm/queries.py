@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from convlytics.llm import language_id
 from convlytics.llm.ngram_join import jaccard_components
+from convlytics.llm.packing import pack
 from convlytics.llm.suffix_dedup import repeated_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,15 @@ def op4_language_id(spark, sf_dir):
     model = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
     return (language_id.identify(docs, model)
             .select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    """All documents in sequences of up to 2048 tokens."""
+    return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
