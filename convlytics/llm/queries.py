@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convlytics.llm import language_id
+from convlytics.llm import language_id, pii
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
 from convlytics.llm.suffix_dedup import repeated_documents
@@ -62,3 +63,13 @@ def vocabulary(name: str) -> str:
 def op3_packing(spark, sf_dir):
     """All documents in sequences of up to 2048 tokens."""
     return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query("op5_pii")
+def op5_pii(spark, sf_dir):
+    """Personal data of all documents: base spans and those the trees add."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
