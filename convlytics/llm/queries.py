@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.llm import language_id, pii
+from convlytics.llm import fingerprints, language_id, licenses, pii
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
 from convlytics.llm.suffix_dedup import repeated_documents
@@ -73,3 +73,15 @@ def op5_pii(spark, sf_dir):
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS],
                         F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+@query("op2_fingerprints")
+def op2_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.edited_likeness(documents(spark, sf_dir))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark, sf_dir):
+    """Licence phrases and notices in all documents."""
+    return licenses.scan(documents(spark, sf_dir))
