@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.llm import fingerprints, language_id, licenses, pii
+from convlytics.llm import fingerprints, language_id, licenses, pii, quality, toxicity
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
 from convlytics.llm.suffix_dedup import repeated_documents
@@ -85,3 +85,19 @@ def op2_fingerprints(spark, sf_dir):
 def op6_license_scan(spark, sf_dir):
     """Licence phrases and notices in all documents."""
     return licenses.scan(documents(spark, sf_dir))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    """Rule measures of all documents and the verdict of the estimated rules."""
+    return quality.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    """Toxicity of all documents; a fifth of the rows is held out."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
