@@ -8,9 +8,9 @@ and threat transducers accept their symbol under these marks.  Their
 composition is one machine whose output is a weighted match for each accepted
 symbol, so a clause is scored as a whole and no word alone.
 
-The lexicon of insults and threats is learned: words that labelled toxic texts
-hold significantly more often than others, weighted by their log odds; small
-lists of function words are given.  What each kind of match says about a text
+The lexicon of insults and threats is learned: words, and stems of words, that
+stand mostly in texts labelled toxic, with confidence, weighted by their log
+odds; small lists of function words are given.  What each kind of match says about a text
 is fitted by logistic regression.  Both use a bounded, hashed sample of the
 labelled rows.
 
@@ -30,8 +30,12 @@ from convlytics.llm import textkit as T
 
 #: labelled rows learned from, about
 SAMPLE = 12_000
-#: learned words at most, texts that hold one at least, and significance of its odds
-LEXICON, SUPPORT, Z = 400, 3, 4.0
+#: learned words at most, texts that hold one at least, and the share of toxic ones
+#: among them, as the lower bound of a confidence interval of Z deviations
+LEXICON, SUPPORT, SHARE, Z = 400, 3, 0.5, 2.33
+#: bytes of the stems that are learned next to whole words, longest first
+STEMS = (6, 5, 4)
+_STEM = np.uint64(0xA0761D6478BD642F)
 #: words that a negation reaches, and that a target reaches to either side
 NEGATION_REACH, TARGET_REACH = 3, 5
 
@@ -106,24 +110,48 @@ def _clause(symbols: list[int], weights: list[float]) -> list[tuple[int, float]]
     return out
 
 
+def _stems(word: bytes) -> list[bytes]:
+    """Leading bytes of a longer word, marked by a closing zero byte."""
+    return [word[:n] + b"\0" for n in STEMS if len(word) > n]
+
+
 class Lexicon:
-    """Symbols and weights by word hash."""
+    """Symbols and weights by hash of a word or of a stem."""
 
-    def __init__(self, learned: dict[str, float]):
-        entries = {w: (s, 0.5) for s, line in GRAMMAR.items() for w in line.split()}
-        threats = set(GRAMMAR[THREAT].split())
+    def __init__(self, learned: dict[bytes, float]):
+        entries = {w.encode("utf-8"): (s, 0.5) for s, line in GRAMMAR.items() for w in line.split()}
+        threats = {w.encode("utf-8") for w in GRAMMAR[THREAT].split()}
         for w, weight in learned.items():
             if w not in entries or w in threats:
                 entries[w] = (THREAT if w in threats else INSULT, weight)
-        names = [w.encode("utf-8") for w in entries]
+        names = list(entries)
+        stem = np.array([w.endswith(b"\0") for w in names])
+        names = [w.rstrip(b"\0") for w in names]
         flat = np.frombuffer(b"".join(names), np.uint8)
         ends = np.cumsum([len(x) for x in names])
         h = T.span_hashes(flat, np.concatenate([[0], ends[:-1]]), ends)
+        h[stem] ^= _STEM
         order = np.argsort(h)
         self.h = h[order]
         self.symbol = np.array([s for s, _ in entries.values()], np.int32)[order]
         self.weight = np.array([w for _, w in entries.values()])[order]
 
+    def look_up(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and weight of each word: its own, or else its longest stem's."""
+        symbol, weight = np.zeros(len(start), np.int32), np.zeros(len(start))
+        for n in (0, *STEMS):
+            rest = np.flatnonzero(symbol == OTHER) if not n else np.flatnonzero((symbol == OTHER) & (end - start > n))
+            if not len(rest):
+                continue
+            h = T.span_hashes(buf, start[rest], start[rest] + n if n else end[rest])
+            if n:
+                h ^= _STEM
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            known = self.h[at] == h
+            symbol[rest[known]] = self.symbol[at[known]]
+            weight[rest[known]] = self.weight[at[known]]
+        return symbol, weight
+
     def features(self, c: T.Chunk) -> np.ndarray:
         out = np.zeros((len(c), N_FEATURES))
         w = T.words(c, c.buf, T.ALNUM)
@@ -132,18 +160,14 @@ class Lexicon:
         out[:, -2] = np.log1p(n)
         if not len(w.start):
             return out
-        h = T.span_hashes(c.buf, w.start, w.end)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        known = self.h[at] == h
-        symbol = np.where(known, self.symbol[at], OTHER)
-        weight = np.where(known, self.weight[at], 0.0)
+        symbol, weight = self.look_up(c.buf, w.start, w.end)
         doc = w.doc
         # a clause ends with its document or with a closing sign after a word
         ends = np.concatenate([[0], np.cumsum(_END[c.buf])])
-        cut = np.ones(len(h), bool)
+        cut = np.ones(len(symbol), bool)
         cut[1:] = (ends[w.start[1:]] > ends[w.end[:-1]]) | (doc[1:] != doc[:-1])
         clause = np.cumsum(cut) - 1
-        first = np.append(np.flatnonzero(cut), len(h))
+        first = np.append(np.flatnonzero(cut), len(symbol))
         for k in np.unique(clause[(symbol == INSULT) | (symbol == THREAT)]).tolist():
             a, b = int(first[k]), int(first[k + 1])
             row = out[doc[a]]
@@ -194,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if n > sample:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     # about ``sample`` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").dropDuplicates(["text", "toxic"])
 
     def word_sets(batches):
         for b in batches:
@@ -205,10 +229,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 words, toxic = [], []
                 for i in range(len(c)):
                     a, e = int(w.first[i]), int(w.first[i + 1])
-                    own_words = {raw[s:t] for s, t in zip(w.start[a:e].tolist(), w.end[a:e].tolist())}
-                    words.extend(x.decode("utf-8", "ignore") for x in own_words)
-                    toxic.extend([int(y[c.lo + i])] * len(own_words))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())],
+                    own = {raw[s:t] for s, t in zip(w.start[a:e].tolist(), w.end[a:e].tolist())}
+                    own |= {x for word in own for x in _stems(word)}
+                    words.extend(own)
+                    toxic.extend([int(y[c.lo + i])] * len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int32())],
                                                  ["word", "toxic"])
 
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -217,13 +242,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         weights = np.zeros(N_FEATURES)
         weights[-1] = np.log((n1 + 0.5) / (n0 + 9.5))
         return Model(Lexicon({}), weights)
-    counts = (rows.select("text", "toxic").mapInArrow(word_sets, "word string, toxic int")
+    counts = (rows.select("text", "toxic").mapInArrow(word_sets, "word binary, toxic int")
               .groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")))
-    odds = F.log((F.col("a") + 0.5) / (F.lit(n1) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(n0) - F.col("b") + 0.5))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = (counts.where(F.col("a") >= SUPPORT).withColumn("odds", odds).withColumn("z", F.col("odds") / error)
-           .where(F.col("z") >= Z).orderBy(F.col("z").desc(), "word").limit(LEXICON).collect())
-    lexicon = Lexicon({r["word"]: float(r["odds"]) for r in top})
+    a, b = F.col("a"), F.col("b")
+    odds = F.log((a + 0.5) / (F.lit(n1) - a + 0.5)) - F.log((b + 0.5) / (F.lit(n0) - b + 0.5))
+    n, z2 = a + b, Z * Z
+    least = (a + z2 / 2 - Z * F.sqrt(a * b / n + z2 / 4)) / (n + z2)
+    top = (counts.where(a >= SUPPORT).select("word", odds.alias("odds"), least.alias("least"))
+           .where(F.col("least") >= SHARE).orderBy(F.col("least").desc(), "word").limit(LEXICON).collect())
+    lexicon = Lexicon({bytes(r["word"]): float(r["odds"]) for r in top})
 
     def describe(batches):
         for b in batches:
