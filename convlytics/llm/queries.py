@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.llm import fingerprints, language_id, licenses, pii, quality, toxicity
+from convlytics.llm import fingerprints, language_id, licenses, pii, quality, segmentation, toxicity
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
 from convlytics.llm.suffix_dedup import repeated_documents
@@ -101,3 +101,13 @@ def op10_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, sf_dir):
+    """Sampled segmentations of all documents, and whether decoding gives the text back."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = vocabulary("piece_bpe_32k.model")
+    rows = segmentation.decode(segmentation.encode(docs, model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
