@@ -139,7 +139,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dims:
 
     per = docs.groupBy("lang").count().withColumn("share", F.lit(sample) / F.col("count"))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = (docs.join(per.select("lang", "share"), "lang").where(rank < F.col("share"))
+    # one row per language; small, and broadcast so that no text moves before it is sampled
+    picked = (docs.join(F.broadcast(per.select("lang", "share")), "lang").where(rank < F.col("share"))
               .select("lang", "text"))
 
     def cluster(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,3 +195,21 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id's text modulo 4 is 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    letter = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            stay = np.zeros(b.num_rows, bool)
+            if m is not None:
+                for lo, h in histograms(b.column(at), len(m.idf)):
+                    stay[lo:lo + len(h)] = ~m.predict(h)[2]
+            yield b.filter(pa.array(stay))
+
+    return docs.where(letter).mapInArrow(run, docs.schema)
