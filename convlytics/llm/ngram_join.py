@@ -40,6 +40,8 @@ from convlytics.llm.scratch import Scratch
 SKETCH_SLOTS = 1 << 20
 #: hash ranges of the suffix filter
 RANGES = 32
+#: bits of the bitmap of documents to verify; 4 MB whatever the input
+BITMAP_BITS = 1 << 25
 #: rounds in which buckets are compared by their smallest member only
 STAR_ROUNDS = 2
 #: members of a verification group; larger ones are split, each part with the first member's set
@@ -57,23 +59,31 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(T.signed(pair).tolist())
 
 
-def shingle_sketch(docs: DataFrame, k: int, slots: int = SKETCH_SLOTS) -> np.ndarray:
-    """Counts of all documents' distinct shingles in ``slots`` hashed counters.
+def signatures(docs: DataFrame, k: int, slots: int = SKETCH_SLOTS) -> DataFrame:
+    """Per row of ``docs``: set size and digest; per task also its shingle counters.
 
-    Tasks add up their documents and emit slices of the counters; the slices
-    are added up again per slice while they stream by.
+    One pass gives both: rows with ``slice`` set carry counters.
     """
 
-    def count(batches):
+    def run(batches):
         total = np.zeros(slots, np.int64)
         for b in batches:
-            for c in T.chunks(b.column(0)):
+            for c in T.chunks(b.column(1)):
+                n, digests = [], []
                 for s in T.shingle_sets(c, k):
+                    n.append(len(s))
+                    digests.append(set_digest(s))
                     np.add.at(total, (s & np.uint64(slots - 1)).astype(np.int64), 1)
-        yield from counters.slices(total)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(c.lo, len(c)), pa.array(n, pa.int64()),
+                     pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()),
+                     pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.binary())],
+                    ["doc_id", "n", "d1", "d2", "slice", "counts"])
+        for r in counters.slices(total):
+            empty = pa.nulls(r.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([empty] * 4 + r.columns, ["doc_id", "n", "d1", "d2", "slice", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, counters.SCHEMA)
-    return np.minimum(counters.total(parts, slots), 2**31 - 1).astype(np.int32)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, " + counters.SCHEMA)
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
@@ -169,22 +179,29 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
                                 .select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
     if pairs.isEmpty():
         scratch.drop(path)
-        return pairs.select("a", "b", F.lit(0).cast("long").alias("inter"))
+        return docs.sparkSession.createDataFrame([], "a long, b long, inter long")
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     reps = classes.join(needed, "cid").select("cid", "rep", "d1", "d2")
+    # a bitmap of hashed ids spares tokenising and moving the other documents
+    wanted = docs.sparkSession.sparkContext.broadcast(counters.bitmap(reps.select("rep"), BITMAP_BITS))
 
     def sets(batches):
-        # a doc_id may stand on several rows with other texts: the set digest decides
+        bits = wanted.value
         for b in batches:
-            cid, d1, d2 = (b.column(i).to_pylist() for i in range(3))
-            for c in T.chunks(b.column(3)):
-                own = [(cid[c.lo + i], s.tobytes()) for i, s in enumerate(T.shingle_sets(c, k))
-                       if set_digest(s) == (d1[c.lo + i], d2[c.lo + i])]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()),
-                                                  pa.array([x for _, x in own], pa.binary())], ["cid", "grams"])
-
-    text = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "d1", "d2", "text")
-    one, gpath = scratch.write(text.mapInArrow(sets, "cid long, grams binary").dropDuplicates(["cid"]))
+            b = b.filter(pa.array(counters.marked(bits, b.column(0))))
+            for c in T.chunks(b.column(1)):
+                own = T.shingle_sets(c, k)
+                digests = [set_digest(s) for s in own]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(c.lo, len(c)), pa.array([x for x, _ in digests], pa.int64()),
+                     pa.array([x for _, x in digests], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())],
+                    ["rep", "d1", "d2", "grams"])
+
+    # a doc_id may stand on several rows with other texts: the set digest decides
+    found = docs.select("doc_id", "text").mapInArrow(sets, "rep long, d1 long, d2 long, grams binary")
+    one, gpath = scratch.write(
+        found.join(reps, found["rep"].eqNullSafe(reps["rep"]) & (found["d1"] == reps["d1"]) & (found["d2"] == reps["d2"]))
+        .select("cid", "grams").dropDuplicates(["cid"]))
     lead = (pairs.select("a", "part").distinct().join(one.withColumnRenamed("cid", "a"), "a")
             .select("a", "part", F.lit(None).cast("long").alias("b"), "grams"))
     rest = pairs.join(one.withColumnRenamed("cid", "b"), "b").select("a", "part", "b", "grams")
@@ -215,14 +232,19 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
 
 
 def _classes(docs, k, num, den, scratch):
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, k))
-    raw, _ = scratch.write(prefixes(docs, k, num, den, counts))
-    classes, _ = scratch.write(
-        raw.where("n > 0").groupBy("d1", "d2", "n")
+    """Membership of the rows, the classes, and the classes' prefixes (with their path)."""
+    spark = docs.sparkSession
+    both = scratch.save(signatures(docs, k))
+    counts = counters.total(both.where("slice is not null").select("slice", "counts"), SKETCH_SLOTS)
+    raw = both.where("slice is null").select("doc_id", "n", "d1", "d2")
+    order = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    full, path = scratch.write(
+        prefixes(docs, k, num, den, order).where("n > 0").groupBy("d1", "d2", "n")
         .agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"),
              F.count("*").alias("copies"))
         .withColumn("cid", F.monotonically_increasing_id()))
-    return raw, classes
+    classes = scratch.save(full.drop("prefix"))
+    return raw, classes, full.select("cid", "n", "prefix"), path
 
 
 def jaccard_pairs(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
@@ -233,8 +255,9 @@ def jaccard_pairs(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     members (doc_id, n_shingles, class_id), class_id null for empty sets.
     """
     scratch, docs = Scratch(docs.sparkSession, "ngram-pairs"), _project(docs, id_col, text_col)
-    raw, classes = _classes(docs, k, num, den, scratch)
-    rows = _bucket_rows(classes, num, den).withColumn("comp", F.col("cid"))
+    raw, classes, full, path = _classes(docs, k, num, den, scratch)
+    rows = scratch.save(_bucket_rows(full, num, den).withColumn("comp", F.col("cid")))
+    scratch.drop(path)
     pairs = _verify(_all_pairs(rows, num, den), classes, docs, k, num, den, scratch)
     members = (raw.join(classes.select("d1", "d2", "n", "cid"), ["d1", "d2", "n"], "left")
                .select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id")))
@@ -245,8 +268,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_size) per row of ``docs``."""
     scratch, docs = Scratch(docs.sparkSession, "ngram-join"), _project(docs, id_col, text_col)
-    raw, classes = _classes(docs, k, num, den, scratch)
-    rows, rpath = scratch.write(_bucket_rows(classes, num, den))
+    raw, classes, full, path = _classes(docs, k, num, den, scratch)
+    rows, rpath = scratch.write(_bucket_rows(full, num, den))
+    scratch.drop(path)
     tried = links = labels = None
     for step in range(STAR_ROUNDS + 1):
         if labels is None:
@@ -260,7 +284,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, _ = scratch.write(pairs)
         if pairs.isEmpty():
-            break
+            continue
         tried = pairs if tried is None else tried.union(pairs)
         found = _verify(pairs, classes, docs, k, num, den, scratch).select("a", "b")
         links = found if links is None else links.union(found)
