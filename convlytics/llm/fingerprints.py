@@ -26,11 +26,10 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlytics.llm import textkit as T
-from convlytics.llm.scratch import Scratch
 
 #: chunk sizes in bytes: smallest, usual, largest
 SIZES = (16, 64, 256)
@@ -156,63 +155,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id and FIELDS, the next document being that of the next smaller id."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "fingerprints")
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    schema = f"doc_id long, {FIELDS}, task int, first string, last string"
+    # a stated number of ranges: both readers below see the same ones
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = src.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    schema = f"doc_id long, {FIELDS}"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(),
-             pa.int32(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def batch(rows):
-        cols = list(zip(*rows)) if rows else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(cols, kinds)], names)
+    def batch(ids, done):
+        cols = list(zip(*done)) if done else [[] for _ in names[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip([ids, *cols], kinds)], names)
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        ids, texts, size, started = [], [], 0, False
-        prints: list = []
-
-        def work(final):
-            # the last one waits for its neighbour
-            nonlocal ids, texts, size, prints
-            prints = prints + fingerprint_texts(texts[len(prints):])
-            done = _compare(texts[:-1], texts[1:], prints[:-1], prints[1:])
-            rows = [(i, *r, None, None, None) for i, r in zip(ids, done)]
-            if final:
-                rows.append((ids[-1], *[None] * 6, task, None, texts[-1]))
-            ids, texts, prints, size = ids[-1:], texts[-1:], prints[-1:], len(texts[-1])
-            return batch(rows)
-
+        """Every row of a range but the last, which has no neighbour here."""
+        ids, texts, prints, size = [], [], [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not started:
-                    started = True
-                    yield batch([(None, *[None] * 6, task, t, None)])
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
                 if size >= BLOCK and len(texts) > 1:
-                    yield work(False)
-        if started:
-            yield work(True)
-
-    rows = scratch.save(src.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
-    # the ends of the ranges: two rows per task; a task's successor is found from numbers alone
-    ends = rows.where("task is not null")
-    tasks = sorted(r["task"] for r in ends.where("first is not null").select("task").collect())
-    after = spark.createDataFrame([(a, b) for a, b in zip(tasks, tasks[1:] + tasks[:1])], "task int, following int")
-    pairs = (ends.where("last is not null").select("task", "doc_id", F.col("last").alias("text")).join(after, "task")
-             .join(ends.where("first is not null").select(F.col("task").alias("following"), F.col("first").alias("next")),
-                   "following").select("doc_id", "text", "next"))
+                    prints = prints + fingerprint_texts(texts[len(prints):])
+                    yield batch(ids[:-1], _compare(texts[:-1], texts[1:], prints[:-1], prints[1:]))
+                    ids, texts, prints, size = ids[-1:], texts[-1:], prints[-1:], len(texts[-1])
+        if len(texts) > 1:
+            prints = prints + fingerprint_texts(texts[len(prints):])
+            yield batch(ids[:-1], _compare(texts[:-1], texts[1:], prints[:-1], prints[1:]))
+
+    def ends(batches):
+        """A range's first text and its last row."""
+        first = last = None
+        for b in batches:
+            if b.num_rows:
+                first = b.column(1)[0].as_py() if first is None else first
+                last = (b.column(0)[b.num_rows - 1].as_py(), b.column(1)[b.num_rows - 1].as_py())
+        if last is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.string()),
+                 pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.string())], ["task", "first", "doc_id", "text"])
 
     def finish(batches):
         for b in batches:
             ids, own, following = (b.column(i).to_pylist() for i in range(3))
-            done = _compare(own, following, fingerprint_texts(own), fingerprint_texts(following))
-            rows = [(i, *r, None, None, None) for i, r in zip(ids, done)]
-            yield batch(rows).select(names[:7])
+            yield batch(ids, _compare(own, following, fingerprint_texts(own), fingerprint_texts(following)))
 
-    wanted = names[:7]
-    return rows.where("task is null").select(*wanted).union(pairs.mapInArrow(finish, f"doc_id long, {FIELDS}"))
+    # one row per range, however many documents; after the last range comes the first
+    edge, by_task = rows.mapInArrow(ends, "task int, first string, doc_id long, text string"), Window.orderBy("task")
+    pairs = edge.select("doc_id", "text", F.coalesce(F.lead("first").over(by_task), F.first("first").over(by_task)).alias("next"))
+    return rows.mapInArrow(run, schema).union(pairs.mapInArrow(finish, schema))

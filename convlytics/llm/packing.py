@@ -42,51 +42,116 @@ POOL_TOKENS = 1 << 20
 #: tokens of a step group
 STEP_TOKENS = 1 << 16
 #: words that a task remembers with their ids
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 CHUNK = 1 << 22
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, tier int, step_group long")
 
 
+#: kinds of bytes: white space, letter, digit, sign, anything else
+SPACE, LETTER, DIGIT, SIGN, ELSE = range(5)
+_KIND = np.full(256, ELSE, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = SPACE
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_KIND[0x30:0x3A] = DIGIT
+# an apostrophe may start a token of its own, a less-than sign a special one
+_KIND[[x for x in range(0x21, 0x7F) if _KIND[x] == ELSE and x not in b"'<"]] = SIGN
+
+
+def units(c: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk's bytes with Latin letters in lower case, and its units' spans."""
+    buf = c.buf.copy()
+    if not len(buf):
+        return buf, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _KIND[buf]
+    # Latin-1 letters are C3 80 to C3 BF, but for two signs
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    tail = buf[lead + 1]
+    lead = lead[(tail >= 0x80) & (tail < 0xC0) & (tail != 0x97) & (tail != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    upper = lead[buf[lead + 1] < 0x9F] + 1
+    buf = T.lower(buf)
+    buf[upper] += 0x20
+    w = T.words(c, c.buf)
+    odd = np.concatenate([[0], np.cumsum(kind == ELSE)])
+    for a, b in zip(*(x[odd[w.end] > odd[w.start]] for x in (w.start, w.end))):
+        kind[a:b] = ELSE
+        buf[a:b] = c.buf[a:b]
+    opens = np.ones(len(buf), bool)
+    opens[1:] = kind[1:] != kind[:-1]
+    opens[c.off[:-1][c.off[:-1] < len(buf)]] = True
+    start = np.flatnonzero(opens)
+    end = np.append(start[1:], len(buf))
+    real = kind[start] != SPACE
+    return buf, start[real], end[real]
+
+
 class WordTokenizer:
     """Ids of whole texts from the ids of their words.
 
-    White space ends every token of this vocabulary, so a text's ids are its
-    words' ids one after another; words repeat, and each is encoded once as
-    long as it is remembered.
+    White space ends every token of this vocabulary, case does not count, and
+    letters, digits and signs are split from one another.  So a text's ids are
+    those of its units one after another: runs of Latin letters in lower case,
+    of digits, of ASCII signs, and any word that holds something else as a
+    whole.  Units repeat, and each is encoded once as long as it is remembered,
+    many at a time with a special token between them.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.cached, self.known = Tokenizer.from_file(path), cached, {}
+        self.tok, self.cached = Tokenizer.from_file(path), cached
+        self.between = next(t for t in self.tok.get_added_tokens_decoder().values() if t.special).content
+        self.between_id = self.tok.token_to_id(self.between)
+        self.marks = [t.content[:2].encode("utf-8") for t in self.tok.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # word -> its number
+        self.first = np.zeros(1, np.int64)  # by number, one more than words
+        self.flat = np.zeros(0, np.uint32)
+
+    def learn(self, new: list[bytes]) -> None:
+        flat, sizes = [self.flat], []
+        for lo in range(0, len(new), 4096):
+            part = new[lo:lo + 4096]
+            if any(m in w for m in self.marks for w in part if b"<" in w):
+                # the text itself may hold a special token: word by word
+                ids = [np.array(self.tok.encode(w.decode("utf-8"), add_special_tokens=False).ids, np.uint32) for w in part]
+                flat.extend(ids)
+                sizes.append(np.array([len(x) for x in ids], np.int64))
+                continue
+            text = b"".join(part) if len(part) == 1 else self.between.encode("utf-8").join(part)
+            ids = np.array(self.tok.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+            cut = np.concatenate([[-1], np.flatnonzero(ids == self.between_id), [len(ids)]])
+            flat.append(ids[ids != self.between_id])
+            sizes.append(np.diff(cut) - 1)
+        known = self.known
+        for i, w in enumerate(new, len(known)):
+            known[w] = i
+        self.flat = np.concatenate(flat)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
 
     def chunk(self, c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk and the n + 1 offsets of its documents."""
-        w = T.words(c, c.buf)
-        if not len(w.start):
+        buf, start, end = units(c)
+        if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(c) + 1, np.int64)
-        _, at, back = np.unique(T.span_hashes(c.buf, w.start, w.end), return_index=True, return_inverse=True)
-        raw = c.buf.tobytes()
-        names = [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
+        _, at, back = np.unique(T.span_hashes(buf, start, end), return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        names = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
         if len(self.known) > self.cached:
-            self.known.clear()
-        known = self.known
-        new = [x for x in names if x not in known]
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for x, e in zip(part, self.tok.encode_batch_fast([x.decode("utf-8") for x in part], add_special_tokens=False)):
-                known[x] = e.ids
-        ids = [known[x] for x in names]
-        size = np.array([len(x) for x in ids])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        n = size[back]
+            self.forget()
+        new = [x for x in names if x not in self.known]
+        if new:
+            self.learn(new)
+        number = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[back]
+        n = self.first[number + 1] - self.first[number]
         ends = np.cumsum(n)
-        take = np.arange(int(ends[-1])) + np.repeat(first[back] - (ends - n), n)
-        return flat[take], np.concatenate([[0], ends])[w.first]
+        take = np.arange(int(ends[-1])) + np.repeat(self.first[number] - (ends - n), n)
+        return self.flat[take], np.concatenate([[0], ends])[np.searchsorted(start, c.off)]
 
 
 class Packer:

@@ -117,53 +117,61 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(run, schema)
 
 
-def _vote(good, bad):
-    return F.when(bad, 0).when(good, 2).otherwise(1)
+def _vote(bad, good=None):
+    """0 bad, 2 good, else 1: the rule abstains."""
+    fired = F.when(bad, 0)
+    return (fired if good is None else fired.when(good, 2)).otherwise(1)
 
 
 def rules() -> dict:
-    """Votes by name: 0 bad, 1 abstains, 2 good."""
+    """Votes by name.  The absence of a defect is no sign of quality: rules that
+    look for one vote bad or abstain."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
     letters = F.greatest(F.col("n_letters"), F.lit(1)).cast("double")
     size = F.col("word_chars") / words
     return {
-        "length": _vote(F.col("n_words") >= 80, F.col("n_words") < MIN_WORDS),
-        "word_size": _vote(size.between(3.0, 9.0), ~size.between(2.0, 14.0)),
-        "symbols": _vote(F.col("n_symbols") <= 0.02 * words, F.col("n_symbols") > 0.1 * words),
-        "dup_lines": _vote((F.col("n_dup_lines") == 0) & (lines >= 3), F.col("n_dup_lines") > 0.3 * lines),
-        "repeats": _vote(F.col("n_repeat_words") <= 0.05 * words, F.col("n_repeat_words") > 0.2 * words),
-        "letters": _vote(F.col("n_letter_words") >= 0.95 * words, F.col("n_letter_words") < 0.8 * words),
-        "capitals": _vote(F.col("n_upper") <= 0.15 * letters, F.col("n_upper") > 0.4 * letters),
-        "shouting": _vote(F.col("n_bangs") <= 0.02 * words, F.col("n_bangs") > 0.1 * words),
-        "line_ends": _vote(F.col("n_stops") >= 0.5 * lines, F.col("n_stops") < 0.1 * lines),
+        "length": _vote(F.col("n_words") < MIN_WORDS // 2, F.col("n_words") >= 80),
+        "word_size": _vote(~size.between(2.0, 14.0)),
+        "symbols": _vote(F.col("n_symbols") > 0.1 * words),
+        "dense_symbols": _vote(F.col("n_symbols") > 0.4 * words),
+        "dup_lines": _vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * lines)),
+        "repeats": _vote(F.col("n_repeat_words") > 0.4 * words),
+        "letters": _vote(F.col("n_letter_words") < 0.7 * words, F.col("n_letter_words") >= 0.95 * words),
+        "capitals": _vote(F.col("n_upper") > 0.4 * letters),
+        "shouting": _vote(F.col("n_bangs") > 0.1 * words),
+        "line_ends": _vote(F.col("n_stops") < 0.1 * lines, F.col("n_stops") >= 0.5 * lines),
     }
 
 
+#: chances to start from, of a bad vote, of none and of a good one
+START_GOOD, START_BAD = (0.02, 0.38, 0.6), (0.25, 0.3, 0.45)
+
+
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Posterior of a good text for each vote pattern (rows by rules, 0 to 2).
 
-    Starts from rules that are right four times in five; counts are smoothed
-    by one vote, so that a rule never seen to err keeps a chance to.
+    Counts are smoothed by one vote, so that a rule never seen to err keeps a
+    chance to.
     """
     if not len(patterns):
         return np.zeros(0)
-    n_rules = patterns.shape[1]
-    good = np.full((n_rules, 3), [0.1, 0.3, 0.6])
-    bad = np.full((n_rules, 3), [0.6, 0.3, 0.1])
+    voted = np.stack([patterns == v for v in range(3)], axis=2).astype(float)  # pattern, rule, vote
+    says_good = voted[:, :, 2].any(axis=0)
+    good, bad = (np.where(says_good[:, None], s, (s[0], s[1] + s[2], 1e-6)) for s in (START_GOOD, START_BAD))
     prior = 0.8
-    onehot = np.stack([patterns == v for v in range(3)], axis=2).astype(float)  # pattern, rule, vote
     post = np.zeros(len(patterns))
     for _ in range(rounds):
-        up = np.log(prior) + (onehot * np.log(good)).sum(axis=(1, 2))
-        down = np.log(1 - prior) + (onehot * np.log(bad)).sum(axis=(1, 2))
-        new = 1 / (1 + np.exp(np.clip(down - up, -500, 500)))
+        odds = np.log(1 - prior) - np.log(prior) + (voted * (np.log(bad) - np.log(good))).sum(axis=(1, 2))
+        new = 1 / (1 + np.exp(np.clip(odds, -500, 500)))
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-        for table, weight in ((good, counts * post), (bad, counts * (1 - post))):
-            votes = (onehot * weight[:, None, None]).sum(axis=0) + 1
-            table[:] = votes / votes.sum(axis=1, keepdims=True)
+        tables = []
+        for weight in (counts * post, counts * (1 - post)):
+            votes = (voted * weight[:, None, None]).sum(axis=0) + 1
+            tables.append(votes / votes.sum(axis=1, keepdims=True))
+        good, bad = tables
         prior = float(np.clip((counts * post).sum() / counts.sum(), 0.02, 0.98))
     return post
 
