@@ -7,6 +7,7 @@ deterministic feature-hashing embedder so every operator runs end to end.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -31,3 +32,18 @@ class HashingEmbedder:
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         out = np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
         return out.astype(np.float32).tolist()
+
+
+class DigestEmbedder:
+    """Vectors from the SHA-256 digest of a text: byte i is ``(byte - 128) / 128``.
+
+    Equal texts get equal vectors and others unrelated ones, exact in single
+    precision; any SQL engine can compute them, which checks a whole pipeline.
+    """
+
+    def __init__(self, dim: int = 8, name: str | None = None):
+        self.dim = dim
+        self.name = name or f"digest-{dim}"
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[(b - 128) / 128.0 for b in hashlib.sha256((t or "").encode("utf-8")).digest()[:self.dim]] for t in texts]

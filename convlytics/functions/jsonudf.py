@@ -1,79 +1,66 @@
-"""Strict JSON checks as Arrow-batched pandas UDFs.
+"""JSON checks that follow Python's rules, one Arrow batch at a time.
 
-Spark's JSON parsers are lenient in ways that change results (trailing text
-after an object is accepted; duplicate keys and NaN are rejected), so
-validity follows Python's ``json.loads``.  Each UDF works on a whole Arrow
-batch; the per-value work is one ``json.loads`` call.
+Spark's JSON parsers accept text after an object and reject duplicate keys and
+NaN, so validity is decided by ``json.loads`` in one pandas UDF.  Everything
+around it (cutting out the block, choosing between readings) is a column
+expression.  No input ends a batch: what cannot be read is invalid, however
+deep it nests, and lone surrogates come back as escapes.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BLOCK = re.compile(r"\{[\s\S]*\}")
+from convlytics.functions.text import extract_json_block
 
-INSPECT_TYPE = T.StructType([
+READ_TYPE = T.StructType([
     T.StructField("valid", T.BooleanType()),
     T.StructField("is_object", T.BooleanType()),
     T.StructField("keys", T.ArrayType(T.StringType())),
-    T.StructField("insights_nonempty", T.BooleanType()),
-    T.StructField("actions_nonempty", T.BooleanType()),
+    # keys whose value is a list that is not empty
+    T.StructField("lists", T.ArrayType(T.StringType())),
+    T.StructField("text", T.StringType()),
 ])
 
 
-def _block(text):
-    m = _BLOCK.search(text) if text else None
-    return m.group(0) if m else None
+def _utf8(text: str) -> str:
+    """Lone surrogates as JSON escapes: Arrow carries well-formed text only."""
+    return text.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
-def _loads(text):
+def _describe(document: str | None) -> tuple:
+    if document is None:
+        return False, False, [], [], None
     try:
-        return True, json.loads(text)
-    except (json.JSONDecodeError, ValueError, TypeError):
-        return False, None
-
-
-def _inspect_one(raw):
-    """Answer-scoring parse: the first '{'..last '}' block if any, else the whole text."""
-    block = _block(raw)
-    ok, parsed = _loads(block if block else raw)
-    if not ok:
-        return {"valid": False, "is_object": False, "keys": [], "insights_nonempty": False, "actions_nonempty": False}
-    obj = isinstance(parsed, dict)
-    keys = list(parsed.keys()) if obj else []
-    ins = obj and isinstance(parsed.get("insights"), list) and len(parsed["insights"]) > 0
-    act = obj and isinstance(parsed.get("actions"), list) and len(parsed["actions"]) > 0
-    return {"valid": True, "is_object": obj, "keys": keys, "insights_nonempty": bool(ins), "actions_nonempty": bool(act)}
-
-
-@F.pandas_udf(INSPECT_TYPE)
-def inspect_answer(texts: pd.Series) -> pd.DataFrame:
-    rows = [_inspect_one(t) for t in texts]
-    return pd.DataFrame(rows, columns=[f.name for f in INSPECT_TYPE.fields])
-
-
-def _lenient_one(text):
-    ok, parsed = _loads(text)
-    if not ok:
-        block = _block(text)
-        ok, parsed = _loads(block) if block else (False, None)
-    if not ok:
-        parsed = {}
-    return json.dumps(parsed, ensure_ascii=False, separators=(",", ":"))
-
-
-@F.pandas_udf(T.StringType())
-def parse_json_lenient(texts: pd.Series) -> pd.Series:
-    """Parsed JSON re-serialised compactly: whole text, else the extracted block, else '{}'."""
-    return pd.Series([_lenient_one(t) for t in texts], dtype=object)
-
-
-@F.pandas_udf(T.BooleanType())
-def is_strict_json(texts: pd.Series) -> pd.Series:
-    """True when the whole text is one JSON document (Python ``json.loads`` rules)."""
-    return pd.Series([_loads(t)[0] if t is not None else False for t in texts], dtype=bool)
+        value = json.loads(document)
+        compact = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return False, False, [], [], None
+    members = value if isinstance(value, dict) else {}
+    lists = [_utf8(k) for k, v in members.items() if isinstance(v, list) and v]
+    return True, isinstance(value, dict), [_utf8(k) for k in members], lists, _utf8(compact)
+
+
+@F.pandas_udf(READ_TYPE)
+def read_json(documents: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_describe(d) for d in documents], columns=READ_TYPE.fieldNames())
+
+
+def inspect_answer(answer: Column) -> Column:
+    """What an answer holds: its block from the first to the last brace, or else all of it."""
+    return read_json(F.coalesce(extract_json_block(answer), answer))
+
+
+def parse_json_lenient(answer: Column) -> Column:
+    """Compact JSON of the whole text, or else of its block, or else ``{}``."""
+    return F.coalesce(read_json(answer)["text"], read_json(extract_json_block(answer))["text"], F.lit("{}"))
+
+
+def is_strict_json(answer: Column) -> Column:
+    """Whether the whole text is one JSON document."""
+    return F.coalesce(read_json(answer)["valid"], F.lit(False))

@@ -27,7 +27,7 @@ def keyword_router(system_prompt: str, user_text: str) -> str:
 def template_answerer(system_prompt: str, user_text: str) -> str:
     """Answers every question with a JSON object holding the expected keys."""
     return json.dumps({
-        "summary": (user_text or "")[:200],
+        "summary": user_text or "",
         "insights": ["see context"] if "Contexto" in (system_prompt or "") else [],
         "risks": [],
         "actions": ["review"],

@@ -61,9 +61,10 @@ def sha256_hex(col) -> Column:
     return F.sha2(_c(col), 256)
 
 
-def prepare_training_text(col, max_chars: int = MAX_CHARS) -> Column:
-    """NULL -> '', Unicode strip, first ``max_chars`` code points."""
-    return F.substring(ustrip(F.coalesce(_c(col), F.lit(""))), 1, max_chars)
+def prepare_training_text(col, max_chars: int | None = MAX_CHARS) -> Column:
+    """NULL -> '', Unicode strip, first ``max_chars`` code points (None: all)."""
+    text = ustrip(F.coalesce(_c(col), F.lit("")))
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def extract_json_block(col) -> Column:

@@ -112,12 +112,16 @@ def system_prompts(questions: DataFrame, master: DataFrame, context: DataFrame |
 
 
 def call_model(df: DataFrame, chat_fn: ChatFn, system_col: str, user_col: str, out_col: str = "response",
-               timed: bool = False) -> DataFrame:
+               timed: bool = False, on_error: str = "raise") -> DataFrame:
     """Runs ``chat_fn(system, user)`` for every row inside ``mapInPandas``.
 
-    Errors become the response text (as in the reference evaluation loop);
-    with ``timed`` the elapsed seconds per call go to ``elapsed_s``.
+    A call that fails ends the job (after Spark's task retries), unless
+    ``on_error`` is "capture": then the error text is the response, as an
+    evaluation of the model wants it.  With ``timed`` the elapsed seconds per
+    call go to ``elapsed_s``.
     """
+    if on_error not in ("raise", "capture"):
+        raise ValueError(f"on_error must be raise or capture, not {on_error!r}")
     fields = list(df.schema.fields) + [T.StructField(out_col, T.StringType())]
     if timed:
         fields.append(T.StructField("elapsed_s", T.DoubleType()))
@@ -131,7 +135,9 @@ def call_model(df: DataFrame, chat_fn: ChatFn, system_col: str, user_col: str, o
                 t0 = time.time()
                 try:
                     outs.append(chat_fn(s, u))
-                except Exception as exc:  # noqa: BLE001 - the error text is the answer
+                except Exception as exc:  # noqa: BLE001 - a model may raise anything
+                    if on_error == "raise":
+                        raise
                     outs.append(str(exc))
                 times.append(time.time() - t0)
             pdf = pdf.copy()
@@ -159,8 +165,8 @@ def score_answers(df: DataFrame, text_col: str = "answer") -> DataFrame:
         .withColumn("claves_presentes", present)
         .withColumn("claves_faltantes", F.array_sort(F.array_except(expected, present)))
         .withColumn("score_estructura", F.size(present) / F.lit(float(len(EXPECTED_KEYS))))
-        .withColumn("insights_no_vacios", F.col("_i.insights_nonempty"))
-        .withColumn("actions_no_vacios", F.col("_i.actions_nonempty"))
+        .withColumn("insights_no_vacios", F.array_contains("_i.lists", "insights"))
+        .withColumn("actions_no_vacios", F.array_contains("_i.lists", "actions"))
         .drop("_i")
     )
 
@@ -183,7 +189,8 @@ def evaluate_answers(questions: DataFrame, master: DataFrame, chat_fn: ChatFn, s
     answer-quality fields.  Answers are written to ``staging_path`` first.
     """
     prompts = system_prompts(questions.select(id_col, question_col), master, id_col=id_col)
-    answered = call_model(prompts, chat_fn, "system_prompt", question_col, "answer", timed=True)
+    answered = call_model(prompts, chat_fn, "system_prompt", question_col, "answer", timed=True,
+                          on_error="capture")
     answered.drop("system_prompt").write.mode("overwrite").parquet(staging_path)
     got = questions.sparkSession.read.parquet(staging_path)
     scored = score_answers(got, "answer")
@@ -195,7 +202,11 @@ def evaluate_answers(questions: DataFrame, master: DataFrame, chat_fn: ChatFn, s
 
 
 def router_inputs(requests: DataFrame, master: DataFrame, question_col: str = "question") -> DataFrame:
-    """Adds ``conversation`` (from the master table, '' if unknown) and ``router_input``."""
+    """Adds ``conversation`` (from the master table, '' if unknown) and ``router_input``.
+
+    Build ``master`` with ``thread_ids=requests`` so that only the requested
+    conversations are put together.
+    """
     conv = master.groupBy(F.col("thread_id").cast("string").alias("thread_id")).agg(
         F.min("full_conversation").alias("conversation")
     )
@@ -222,7 +233,11 @@ def route_requests(requests: DataFrame, master: DataFrame, chat_fn: ChatFn, stag
 
 
 def draft_by_route(routed: DataFrame, chat_fn: ChatFn, staging_path: str) -> DataFrame:
-    """Adds ``draft`` from the specialised prompt of the row's route (NULL for 'assistant')."""
+    """Adds ``draft`` from the specialised prompt of the row's route.
+
+    Rows of route 'assistant' keep a NULL draft: :func:`system_prompts` and
+    :func:`call_model` answer them like any question.
+    """
     spark = routed.sparkSession
     prompts = spark.createDataFrame(list(ROUTE_PROMPTS.items()), "route string, route_prompt string")
     j = routed.join(F.broadcast(prompts), "route", "left")  # 3-row dimension

@@ -14,6 +14,7 @@ Plan:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convlytics.errors import EmbeddingError
 from convlytics.functions.text import CHUNK_WORDS, chunk_word_array, sha256_hex, words
@@ -56,8 +58,12 @@ def embed_rows(
     batch_size: int = EMBED_BATCH,
     text_col: str = "chunk",
     key_col: str = "text_hash",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(model, key, embedding) for each row, calling ``embed_fn`` on slices of ``batch_size`` texts."""
+    """(model, key, embedding) for each row, calling ``embed_fn`` on slices of ``batch_size`` texts.
+
+    Columns named in ``carry`` come along, so that nothing has to be joined back.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -70,11 +76,14 @@ def embed_rows(
                 if len(got) != len(texts[i:i + batch_size]):
                     raise EmbeddingError("embedding function returned a wrong number of vectors")
                 vecs.extend(got)
-            yield pd.DataFrame({"model": model, key_col: pdf[key_col].values, "embedding": vecs})
+            yield pd.DataFrame({"model": model, key_col: pdf[key_col].values, "embedding": vecs,
+                                **{c: pdf[c] for c in carry}})
 
-    return rows.select(key_col, text_col).mapInPandas(
-        run, schema=f"model string, {key_col} string, embedding array<float>"
-    )
+    out = T.StructType([T.StructField("model", T.StringType()), T.StructField(key_col, T.StringType()),
+                        T.StructField("embedding", T.ArrayType(T.FloatType())), *[rows.schema[c] for c in carry]])
+    src = rows.select(F.col(key_col).cast("string").alias(key_col),
+                      *[c for c in dict.fromkeys((text_col, *carry)) if c != key_col])
+    return src.mapInPandas(run, schema=out)
 
 
 def fill_cache(
@@ -87,20 +96,16 @@ def fill_cache(
 ) -> DataFrame:
     """Embed the cache misses of ``chunks`` and append them to the cache at ``cache_path``.
 
-    Returns the rows that were added (read back from the written files, so
-    the model is not re-run by lineage).  Re-running on the same chunks adds
-    nothing.
+    The vectors are written once, marked with this call's batch id; the rows
+    returned are read back by it, so the model is not re-run by lineage.
+    Re-running on the same chunks adds nothing.
     """
     cache = stores.load_cache(spark, cache_path, model)
     misses = cache_misses(chunks, cache, model)
-    new_rows = embed_rows(misses, embed_fn, model, batch_size)
-    from convlytics.session import scratch_path
-
-    staged = scratch_path(spark, "embed-batch")
-    new_rows.write.parquet(staged)
-    added = spark.read.parquet(staged)
-    stores.append_cache(added, cache_path)
-    return added
+    batch_id = uuid.uuid4().hex
+    stores.append_cache(embed_rows(misses, embed_fn, model, batch_size).withColumn("batch_id", F.lit(batch_id)), cache_path)
+    added = spark.read.schema(stores.CACHE_SCHEMA).parquet(cache_path)
+    return added.filter(F.col("batch_id") == batch_id).drop("batch_id")
 
 
 def mean_pool(chunk_vectors: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:

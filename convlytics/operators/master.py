@@ -6,12 +6,13 @@ Plan (Spark-first):
 * the per-thread aggregate is a hash aggregate on ``thread_id`` whose text
   column is an ordered ``listagg``;
 * hot threads (more than ``hot_thread_rows`` messages) are found from a
-  small sample (only sampled keys shuffle) and split by time slice, so no single task sorts and
-  concatenates a third of all messages; their slice texts are stitched in
-  slice order afterwards (ordered concatenation is associative);
-* the aggregate is joined to the threads on ``thread_id``; the aggregate side
-  is already hash-partitioned on the key, so only threads are shuffled (or
-  AQE broadcasts the smaller side).
+  small sample (only sampled keys shuffle) and split into ranges of the sort
+  order, so no single task sorts and concatenates a third of all messages;
+  their texts are stitched in range order afterwards (ordered concatenation is
+  associative).  Without a hot thread AQE drops that branch unread;
+* cold and hot aggregates are joined to the threads apart, on ``thread_id``:
+  the cold one is already hash-partitioned on the key, so its text is not
+  shuffled again.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ from pyspark.sql import functions as F
 from convlytics.errors import DataValidationError
 from convlytics.functions.dates import duration_minutes, parse_timestamp
 from convlytics.functions.text import normalize_content
-from convlytics.operators.schema import normalize_columns, require_columns
+from convlytics.operators.schema import normalize_columns, require_columns, require_rows
 
 # Text separator of the joined conversation.
 JOIN_SEP = " | "
 AGG_COLUMNS = ("full_conversation", "msg_count", "first_msg", "last_msg")
-# Hot-thread threshold: a thread with more messages than this is split by
-# time slice.  The hot-key list is at most total_messages / threshold rows,
+# Hot-thread threshold: a thread with more messages than this is split.  The hot-key list is at most total_messages / threshold rows,
 # which bounds what is broadcast.
 HOT_THREAD_ROWS = 1_000_000
 # Expected sample hits of a thread exactly at the threshold.
@@ -81,23 +81,6 @@ def _single_level(clean: DataFrame, has_seq: bool) -> DataFrame:
     )
 
 
-def _slices(has_seq: bool, slice_unit: str):
-    """Slice keys that are monotone in the sort order (timestamp, seq, text).
-
-    Timestamped messages slice by ``date_trunc(slice_unit, ts)``; messages
-    without a timestamp slice by ``seq div 1024`` (or by the first two
-    characters of their text when there is no seq).
-    """
-    ts = F.col("msg_timestamp")
-    return [
-        F.date_trunc(slice_unit, ts).alias("_ts_slice"),
-        (F.when(ts.isNull(), F.floor(F.col("_seq") / 1024)) if has_seq else F.lit(None).cast("long")).alias(
-            "_seq_slice"),
-        (F.lit(None).cast("string") if has_seq else F.when(ts.isNull(), F.substring("clean_content", 1, 2))).alias(
-            "_text_slice"),
-    ]
-
-
 def hot_threads(clean: DataFrame, hot_thread_rows: int, sample_rows: int = HOT_SAMPLE_HITS) -> DataFrame:
     """Thread ids that probably hold more than ``hot_thread_rows`` messages.
 
@@ -117,53 +100,69 @@ def hot_threads(clean: DataFrame, hot_thread_rows: int, sample_rows: int = HOT_S
     )
 
 
-def conversation_aggregate(
-    messages: DataFrame,
-    seq_col: str | None = None,
-    hot_thread_rows: int | None = HOT_THREAD_ROWS,
-    slice_unit: str = "hour",
-) -> DataFrame:
-    """Per thread: ordered ``' | '`` text of non-blank messages, count, first/last time.
+def _hot_level(clean: DataFrame, has_seq: bool) -> DataFrame:
+    """The aggregate of hot threads: row-balanced slices in parallel, then stitched.
 
-    Order inside a thread: timestamp ascending with missing times last, then
-    ``seq_col`` (if given), then the text itself so the result is
-    deterministic.  ``msg_count`` counts blank messages too.
+    ``repartitionByRange`` on the thread and the sort keys cuts the rows into
+    ranges of about equal size whatever the keys' types and values (a burst
+    within a second, texts alike, a text ``seq``); ranges follow the order, so
+    their texts are joined in range order.  The last step is one string per
+    thread, which is the result itself (Spark's limit for it is 2 GB).
     """
-    clean = clean_messages(messages, seq_col)
-    has_seq = seq_col is not None
-    if not hot_thread_rows:
-        return _single_level(clean, has_seq)
-    hot = hot_threads(clean, hot_thread_rows)
-    tagged = clean.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "thread_id", "left")
-    hot_flag = F.coalesce(F.col("_hot"), F.lit(False))
-    # one level-1 aggregate for all rows: cold threads have NULL slices, so
-    # their level-1 row is final; hot threads get one row per slice
-    sliced = tagged.select(
-        "thread_id", "msg_timestamp", "clean_content", *(["_seq"] if has_seq else []), hot_flag.alias("_hot"),
-        *[F.when(hot_flag, c) for c in _slices(has_seq, slice_unit)],
-    ).toDF("thread_id", "msg_timestamp", "clean_content", *(["_seq"] if has_seq else []), "_hot",
-           "_ts_slice", "_seq_slice", "_text_slice")
-    level1 = sliced.groupBy("thread_id", "_hot", "_ts_slice", "_seq_slice", "_text_slice").agg(
+    keys = [F.col("thread_id"), F.col("msg_timestamp").asc_nulls_last(),
+            *([F.col("_seq").asc_nulls_last()] if has_seq else []), F.col("clean_content").asc()]
+    sliced = clean.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id())
+    parts = sliced.groupBy("thread_id", "_slice").agg(
         _text_agg(has_seq).alias("_part_text"),
         F.count(F.lit(1)).alias("_n"),
         F.min("msg_timestamp").alias("_first"),
         F.max("msg_timestamp").alias("_last"),
     )
-    cold = level1.filter(~F.col("_hot")).select(
-        "thread_id", F.coalesce(F.col("_part_text"), F.lit("")).alias("full_conversation"),
-        F.col("_n").alias("msg_count"), F.col("_first").alias("first_msg"), F.col("_last").alias("last_msg"),
-    )
-    stitched = F.expr(
-        f"listagg(_part_text, '{JOIN_SEP}') WITHIN GROUP (ORDER BY _ts_slice ASC NULLS LAST, "
-        "_seq_slice ASC NULLS LAST, _text_slice ASC NULLS LAST)"
-    )
-    heavy = level1.filter(F.col("_hot")).groupBy("thread_id").agg(
-        F.coalesce(stitched, F.lit("")).alias("full_conversation"),
+    return parts.groupBy("thread_id").agg(
+        F.coalesce(F.expr(f"listagg(_part_text, '{JOIN_SEP}') WITHIN GROUP (ORDER BY _slice)"), F.lit(""))
+        .alias("full_conversation"),
         F.sum("_n").alias("msg_count"),
         F.min("_first").alias("first_msg"),
         F.max("_last").alias("last_msg"),
     )
-    return cold.unionByName(heavy)
+
+
+def _only(df: DataFrame, thread_ids: DataFrame | None) -> DataFrame:
+    """Rows of the requested threads; the semi-join stands below every aggregate of text."""
+    if thread_ids is None:
+        return df
+    return df.join(thread_ids.select(F.col("thread_id").cast("string").alias("thread_id")).distinct(),
+                   "thread_id", "left_semi")
+
+
+def _aggregates(messages: DataFrame, seq_col: str | None, hot_thread_rows: int | None,
+                thread_ids: DataFrame | None = None) -> list[DataFrame]:
+    """Aggregates of the cold and of the hot threads, apart: each is partitioned on ``thread_id``."""
+    clean = _only(clean_messages(messages, seq_col), thread_ids)
+    has_seq = seq_col is not None
+    if not hot_thread_rows:
+        return [_single_level(clean, has_seq)]
+    hot = hot_threads(clean, hot_thread_rows)
+    return [_single_level(clean.join(F.broadcast(hot), "thread_id", "left_anti"), has_seq),
+            _hot_level(clean.join(F.broadcast(hot), "thread_id", "left_semi"), has_seq)]
+
+
+def conversation_aggregate(
+    messages: DataFrame,
+    seq_col: str | None = None,
+    hot_thread_rows: int | None = HOT_THREAD_ROWS,
+    thread_ids: DataFrame | None = None,
+) -> DataFrame:
+    """Per thread: ordered ``' | '`` text of non-blank messages, count, first/last time.
+
+    Order inside a thread: timestamp ascending with missing times last, then
+    ``seq_col`` (if given, of any orderable type), then the text itself so the
+    result is deterministic.  ``msg_count`` counts blank messages too.
+    ``thread_ids`` (optional, with a ``thread_id`` column) asks for some
+    threads only; other messages are dropped before any text is shuffled.
+    """
+    parts = _aggregates(messages, seq_col, hot_thread_rows, thread_ids)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def prepare_threads(threads: DataFrame) -> DataFrame:
@@ -183,15 +182,27 @@ def build_master(
     messages: DataFrame,
     seq_col: str | None = None,
     hot_thread_rows: int | None = HOT_THREAD_ROWS,
+    thread_ids: DataFrame | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """Threads inner-joined to their message aggregate, plus ``duration_minutes``.
 
     Duplicate thread rows are kept (each gets the aggregate); threads without
-    messages are dropped -- see :func:`threads_without_messages`.
+    messages are dropped -- see :func:`threads_without_messages`.  The cold
+    aggregate meets the threads on the partitioning it already has, the hot
+    one is joined apart, and the results are put together after the joins.
+
+    ``strict`` (the default) raises :class:`DataValidationError` when there is
+    no message to aggregate or no thread has one; for that it looks for one
+    row of each at call time.  Without it such inputs give an empty table.
     """
-    t = prepare_threads(threads)
-    agg = conversation_aggregate(messages, seq_col=seq_col, hot_thread_rows=hot_thread_rows)
-    master = t.join(agg, "thread_id", "inner")
+    t = _only(prepare_threads(threads), thread_ids)
+    if strict:
+        require_rows(messages, "messages to aggregate")
+        keys = clean_messages(messages).select("thread_id")
+        require_rows(t.select("thread_id").join(keys, "thread_id", "left_semi"), "master table")
+    joined = [t.join(a, "thread_id", "inner") for a in _aggregates(messages, seq_col, hot_thread_rows, thread_ids)]
+    master = joined[0] if len(joined) == 1 else joined[0].unionByName(joined[1])
     return master.withColumn("duration_minutes", duration_minutes("first_msg", "last_msg"))
 
 

@@ -1,28 +1,27 @@
 """Semantic memory: saved question/answer texts, exact top-k vector search.
 
-The store is a Parquet table (item_id, text, metadata, embedding) that is
-only appended to.  Search is exact inner product over L2-normalised vectors
-(cosine similarity), computed block by block:
+The store is a Parquet table (item_id, save_id, text, metadata, embedding)
+that is only appended to; every save is kept.  Search is exact inner product
+over L2-normalised vectors (cosine similarity), computed block by block:
 
 * queries are hash-split into ``Qb`` blocks and the corpus into ``Cb``
-  blocks; each block side is capped in rows, each task in scored pairs, and
-  Qb / Cb follows |Q| / |C|, which minimises the rows replicated;
+  blocks; a block side is bounded in bytes of vectors, a task in scored
+  pairs, and Qb / Cb follows |Q| / |C|, which minimises the rows replicated;
 * each query row is replicated to the ``Cb`` corpus blocks and each corpus
   row to the ``Qb`` query blocks; both sides, tagged, are grouped on
-  ``(query block, corpus block)``, so every group is a bounded NumPy matmul
-  that emits only its local top-k per query -- the all-pairs matrix never
-  leaves the task;
+  ``(query block, corpus block)``.  A group scores tiles of ``TILE`` queries
+  by ``TILE`` items and carries its local top-k from tile to tile, so the
+  score matrix in memory does not grow with either side;
 * a final ``row_number`` per query keeps the global top-k from the
   ``Cb * k`` candidates (exact: local top-k with the same total order).
 
-When the corpus is small enough (rows x dim under a checked bound, the usual
-case for a memory of saved answers), it is collected once, broadcast, and
-queries are scored map-side in ``mapInPandas``: no replication, no shuffle.
+The vectors never pass through the driver, and there is one path for all sizes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -37,14 +36,12 @@ CONTEXT_K = 3
 QUESTION_PREFIX = "Pregunta: "
 ANSWER_PREFIX = "\nRespuesta: "
 
-# Row caps per block side (vectors held by one task) and the scored pairs
-# allowed per task (compute); scores are produced 512 queries at a time.
-QUERY_BLOCK_ROWS = 20_000
-CORPUS_BLOCK_ROWS = 20_000
+# Bytes of float64 vectors on one side of a block pair, scored pairs allowed
+# per task, and the side of a tile of scores.
+BLOCK_BYTES = 64 << 20
 PAIRS_PER_TASK = 400_000_000
-# A corpus up to this many float64 values (rows x dim) is broadcast instead of
-# blocked: 32M values = 256 MB, checked before anything is collected.
-BROADCAST_CORPUS_VALUES = 32_000_000
+TILE = 1024
+HITS_SCHEMA = "query_id string, rank int, item_id string, score double"
 
 
 def memory_text(question, answer):
@@ -82,66 +79,39 @@ def _block_counts(n_q: int, n_c: int, max_q_rows: int, max_c_rows: int,
     return qb, cb
 
 
-def topk_scores(qids: np.ndarray, qvecs, cm: np.ndarray, iids: np.ndarray, id_rank: np.ndarray, k: int,
-                chunk_rows: int = 512) -> pd.DataFrame:
-    """Top-k items of matrix ``cm`` for each query vector, 512 queries at a time.
+def block_topk(queries: np.ndarray, items: np.ndarray, order: np.ndarray, k: int, tile: int = TILE):
+    """Positions and scores (queries by at most k) of the best items.
 
-    ``id_rank`` is the rank of each item id in ascending order; the total
-    order is score descending, then item id ascending.  The score matrix in
-    memory is at most ``chunk_rows x len(iids)`` doubles.
+    ``order`` is each item's place in ascending id order; the total order is
+    score descending, then id ascending.  Scores are made tile by tile.
     """
-    kk = min(k, cm.shape[0])
-    out_q, out_i, out_s = [], [], []
-    for lo in range(0, len(qids), chunk_rows):
-        qm = np.vstack(qvecs[lo:lo + chunk_rows]).astype(np.float64)
-        scores = qm @ cm.T
-        # k-th best score per query; every item at or above it is a candidate
-        thr = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-        for r in range(scores.shape[0]):
-            cand = np.flatnonzero(scores[r] >= thr[r])
-            order = cand[np.lexsort((id_rank[cand], -scores[r, cand]))][:kk]
-            out_q.extend([qids[lo + r]] * kk)
-            out_i.extend(iids[order].tolist())
-            out_s.extend(scores[r, order].tolist())
-    return pd.DataFrame({"qid": out_q, "iid": out_i, "score": out_s})
-
-
-def _id_rank(iids: np.ndarray) -> np.ndarray:
-    return np.argsort(np.argsort(iids, kind="stable"), kind="stable")
-
-
-def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Top-k items per query within one (query block, corpus block) pair."""
-    if qpdf.empty or cpdf.empty:
-        # typed empty columns: an untyped empty frame does not convert to Arrow
-        return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
-                             "score": pd.Series([], dtype="float64")})
-    cm = np.vstack(cpdf["iv"].to_numpy()).astype(np.float64)
-    iids = cpdf["iid"].to_numpy().astype(str)
-    return topk_scores(qpdf["qid"].to_numpy(), qpdf["qv"].to_numpy(), cm, iids, _id_rank(iids), k)
-
-
-def _knn_broadcast(queries, corpus, k, query_id, item_id, query_vec, item_vec, vec) -> DataFrame:
-    """Corpus of checked size: one broadcast matrix, map-side scoring, no shuffle."""
-    spark = queries.sparkSession
-    rows = corpus.select(F.col(item_id).cast("string").alias("iid"), vec(item_vec).alias("iv")).collect()
-    ids = np.array([r.iid for r in rows], dtype=object)
-    mat = np.vstack([np.asarray(r.iv, dtype=np.float64) for r in rows])
-    ids = ids.astype(str)
-    bc = spark.sparkContext.broadcast((ids, mat, _id_rank(ids)))
-
-    def score(batches):
-        b_ids, b_mat, b_rank = bc.value  # loaded once per Python worker
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            out = topk_scores(pdf["id"].to_numpy(), pdf["v"].to_numpy(), b_mat, b_ids, b_rank, k)
-            ranks = out.groupby("qid", sort=False).cumcount() + 1
-            yield pd.DataFrame({"query_id": out["qid"], "rank": ranks.astype("int32"), "item_id": out["iid"],
-                                "score": out["score"]})
-
-    q = queries.select(F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"))
-    return q.mapInPandas(score, schema="query_id string, rank int, item_id string, score double")
+    kk = min(k, len(items))
+    best = np.zeros((len(queries), kk), np.int64)
+    value = np.zeros((len(queries), kk))
+    for lo in range(0, len(queries), tile):
+        q = queries[lo:lo + tile]
+        held = np.zeros((len(q), 0), np.int64)
+        score = np.zeros((len(q), 0))
+        for at in range(0, len(items), tile):
+            new = np.round(q @ items[at:at + tile].T, 12)  # equal vectors tie, however BLAS sums
+            pool = np.hstack([score, new])
+            ids = np.hstack([held, np.broadcast_to(np.arange(at, at + new.shape[1]), new.shape)])
+            n = min(kk, pool.shape[1])
+            least = -np.partition(-pool, n - 1, axis=1)[:, n - 1]
+            held, score = np.zeros((len(q), n), np.int64), np.zeros((len(q), n))
+            for r in range(len(q)):  # all that reach the n-th score compete by id
+                cand = np.flatnonzero(pool[r] >= least[r])
+                cand = cand[np.lexsort((order[ids[r, cand]], -pool[r, cand]))][:n]
+                held[r], score[r] = ids[r, cand], pool[r, cand]
+        best[lo:lo + tile], value[lo:lo + tile] = held, score
+    return best, value
+
+
+def _usable(vec: str, dim: int):
+    """Rows whose vector has the corpus's length and finite numbers only."""
+    v = F.col(vec)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return v.isNotNull() & (F.size(v) == dim) & ~bad
 
 
 def knn_topk(
@@ -153,46 +123,53 @@ def knn_topk(
     query_vec: str = "embedding",
     item_vec: str = "embedding",
     normalize: bool = True,
-    query_block_rows: int = QUERY_BLOCK_ROWS,
-    corpus_block_rows: int = CORPUS_BLOCK_ROWS,
-    broadcast_corpus_values: int = BROADCAST_CORPUS_VALUES,
+    block_bytes: int = BLOCK_BYTES,
+    pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """(query_id, rank, item_id, score): the ``k`` best items per query.
 
     Rank 1 is the highest score; ties go to the smaller item id.  Fewer than
-    ``k`` items in the corpus gives fewer hits; an empty corpus gives none.
+    ``k`` items give fewer hits; an empty corpus gives none.  A vector that is
+    NULL, not as long as the corpus's longest, or holds a NULL, NaN or
+    infinite number gives no hits and is none; a zero vector scores 0 with
+    everything.  An id on several rows is one query, or one item, with the
+    best score that any of its vectors reaches.
     """
-    if k <= 0:
-        return queries.sparkSession.createDataFrame([], "query_id string, rank int, item_id string, score double")
-    vec = (lambda c: l2_normalize(c)) if normalize else (lambda c: F.transform(F.col(c), lambda x: x.cast("double")))
-    n_items = corpus.count()
-    if n_items == 0:
-        return queries.sparkSession.createDataFrame([], "query_id string, rank int, item_id string, score double")
-    dim = corpus.select(F.max(F.size(F.col(item_vec))).alias("d")).first()["d"] or 0
-    if n_items * max(dim, 1) <= broadcast_corpus_values:
-        return _knn_broadcast(queries, corpus, k, query_id, item_id, query_vec, item_vec, vec)
-    n_qb, n_cb = _block_counts(queries.count(), n_items, query_block_rows, corpus_block_rows,
-                               min(PAIRS_PER_TASK, query_block_rows * corpus_block_rows))
-    q = queries.select(
+    spark = queries.sparkSession
+    shape = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.col(item_vec))).alias("d")).first()
+    dim = shape["d"] or 0
+    if k <= 0 or dim <= 0:
+        return spark.createDataFrame([], HITS_SCHEMA)
+    vec = l2_normalize if normalize else (lambda c: F.transform(F.col(c), lambda x: x.cast("double")))
+    rows = max(1, block_bytes // (8 * dim))
+    n_qb, n_cb = _block_counts(queries.count(), shape["n"], rows, rows, pairs_per_task)
+    q = queries.filter(_usable(query_vec, dim)).select(
         F.lit(True).alias("is_query"), F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"),
-        F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_qb)).alias("qb"),
+        F.pmod(F.xxhash64(F.col(query_id).cast("string"), F.hash(query_vec)), F.lit(n_qb)).alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1))).alias("cb"),
     )
-    c = corpus.select(
+    c = corpus.filter(_usable(item_vec, dim)).select(
         F.lit(False).alias("is_query"), F.col(item_id).cast("string").alias("id"), vec(item_vec).alias("v"),
         F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"),
-        F.pmod(F.xxhash64(F.col(item_id)), F.lit(n_cb)).alias("cb"),
+        F.pmod(F.xxhash64(F.col(item_id).cast("string"), F.hash(item_vec)), F.lit(n_cb)).alias("cb"),
     )
 
     def pair_topk(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["is_query"].to_numpy(dtype=bool)
-        qpdf = pdf.loc[side, ["id", "v"]].rename(columns={"id": "qid", "v": "qv"})
-        cpdf = pdf.loc[~side, ["id", "v"]].rename(columns={"id": "iid", "v": "iv"})
-        return block_topk(qpdf, cpdf, k)
-
-    cand = q.unionByName(c).groupBy("qb", "cb").applyInPandas(
-        pair_topk, schema="qid string, iid string, score double"
-    )
+        if side.all() or not side.any():
+            return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
+                                 "score": pd.Series([], dtype="float64")})
+        qid, iid = pdf["id"].to_numpy()[side], pdf["id"].to_numpy()[~side].astype(str)
+        vectors = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        place = np.argsort(np.argsort(iid, kind="stable"), kind="stable")
+        # copies of an item must not crowd others out of the local top-k
+        _, copies = np.unique(iid, return_counts=True)
+        slots = min(k * int(copies.max()), k + len(iid) - len(copies))
+        best, value = block_topk(vectors[side], vectors[~side], place, slots)
+        return pd.DataFrame({"qid": np.repeat(qid, best.shape[1]), "iid": iid[best.ravel()], "score": value.ravel()})
+
+    cand = (q.unionByName(c).groupBy("qb", "cb").applyInPandas(pair_topk, schema="qid string, iid string, score double")
+            .groupBy("qid", "iid").agg(F.max("score").alias("score")))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid").asc())
     return (
         cand.withColumn("rank", F.row_number().over(w))
@@ -201,10 +178,32 @@ def knn_topk(
     )
 
 
+def search_memory(questions: DataFrame, store: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]],
+                  model: str, k: int = CONTEXT_K, id_col: str = "question_id", question_col: str = "question",
+                  **blocks) -> DataFrame:
+    """(query_id, rank, item_id, save_id, text, metadata, score): what the store holds nearest to each question.
+
+    Questions are embedded with the model that embedded the saved texts; each
+    save is an item of its own.
+    """
+    from convlytics.operators.embed import embed_rows
+
+    asked = questions.select(F.col(id_col).cast("string").alias("query_id"), F.col(question_col).alias("chunk"))
+    vecs = embed_rows(asked, embed_fn, model, text_col="chunk", key_col="query_id")
+    key = F.concat_ws("\u0001", "item_id", F.coalesce("save_id", F.lit("")))
+    saved = store.withColumn("_key", key)
+    hits = knn_topk(vecs, saved, k=k, item_id="_key", **blocks).withColumnRenamed("item_id", "_key")
+    return (hits.join(saved.select("_key", "item_id", "save_id", "text", "metadata"), "_key")
+            .select("query_id", "rank", "item_id", "save_id", "text", "metadata", "score"))
+
+
+def hits_context(hits: DataFrame) -> DataFrame:
+    """Per query: '- <text>' lines of :func:`search_memory` hits, in rank order."""
+    return hits.groupBy("query_id").agg(
+        F.expr("listagg(concat('- ', text), '\\n') WITHIN GROUP (ORDER BY rank)").alias("context"))
+
+
 def semantic_context(hits: DataFrame, corpus: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """Per query: '- <text>' lines of its hits, in rank order, joined by newline."""
     texts = corpus.select(F.col(item_id).cast("string").alias("item_id"), F.col(text_col).alias("_text"))
-    j = hits.join(texts, "item_id", "inner")
-    return j.groupBy("query_id").agg(
-        F.expr("listagg(concat('- ', _text), '\\n') WITHIN GROUP (ORDER BY rank)").alias("context")
-    )
+    return hits_context(hits.join(texts, "item_id", "inner").select("query_id", "rank", F.col("_text").alias("text")))

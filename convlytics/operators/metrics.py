@@ -57,7 +57,7 @@ def top_values_json(df: DataFrame, col: str, n: int = 5, alias: str = "estado_to
     return _top_json(top_values(df, col, n), alias)
 
 
-def impact_metrics(master: DataFrame, approx: bool = False, strict: bool = False) -> DataFrame:
+def impact_metrics(master: DataFrame, approx: bool = False, strict: bool = True) -> DataFrame:
     """One row of impact metrics; a metric is present only if its source column is.
 
     tasa_escalamiento, duracion_promedio_min, duracion_p90_min,
@@ -66,9 +66,9 @@ def impact_metrics(master: DataFrame, approx: bool = False, strict: bool = False
     One pass: the master rows are unpivoted to (metric, value) pairs and
     counted per distinct pair; means (sum of value x count / count), exact
     p90s and the status ranking are all derived from that small table.
-    ``strict`` raises :class:`DataValidationError` on an empty input; it runs
-    a job at call time, so it is off by default (empty input then yields
-    NULL metrics).
+    ``strict`` (the default) raises :class:`DataValidationError` on an empty
+    input, for which it looks for one row at call time; without it an empty
+    input yields NULL metrics.
     """
     if strict and master.isEmpty():
         raise DataValidationError("no rows to compute metrics on")

@@ -20,6 +20,11 @@ def _as_text(df: DataFrame, name: str):
     return c.cast("string")
 
 
+def _digest(value):
+    """SHA-256 of a text: what is shuffled is 32 bytes, however long the value."""
+    return F.unhex(F.sha2(value, 256))
+
+
 def _columns_dim(df: DataFrame):
     """(column, position, dtype) rows from the schema (metadata, not data)."""
     rows = [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
@@ -82,16 +87,16 @@ def distinct_counts(df: DataFrame, approx: bool = False, null_as_value: bool = F
         ).select("_s.column", "_s.unique_values")
         return long
     pairs = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in df.columns]))
-        .alias("_p")
+        F.explode(F.array(*[F.struct(F.lit(i).alias("column"), _digest(_as_text(df, c)).alias("value"))
+                            for i, c in enumerate(df.columns)])).alias("_p")
     ).select("_p.column", "_p.value")
     if null_as_value:
-        pairs = pairs.withColumn("value", F.coalesce(F.col("value"), F.lit("None")))
+        pairs = pairs.withColumn("value", F.coalesce(F.col("value"), _digest(F.lit("None"))))
     else:
         pairs = pairs.filter(F.col("value").isNotNull())
     per_col = pairs.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
     return (
-        _columns_dim(df).join(per_col, "column", "left")
+        _columns_dim(df).join(per_col.withColumnRenamed("column", "position"), "position", "left")
         .select("column", F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
     )
 
@@ -108,13 +113,13 @@ def profile_uniques(df: DataFrame, top_n: int = 15, approx: bool = False, null_a
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: n_rows, n_duplicates (rows equal to an earlier row), pct_duplicates.
 
-    Missing values compare equal.  Nested and VARIANT columns are compared by
-    their JSON text (they cannot be grouped directly).
+    Missing values compare equal.  Values compare as text (nested and VARIANT
+    ones as JSON); a 256-bit digest of the row is what is shuffled.
     """
-    cols = [_as_text(df, c).alias(c) if isinstance(df.schema[c].dataType,
-                                                   (T.ArrayType, T.MapType, T.StructType, T.VariantType))
-            else F.col(f"`{c}`") for c in df.columns]
-    per_row = df.select(*cols).groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
+    # each cell is preceded by its length, so that no two rows run together alike
+    cells = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-"))
+             for t in (_as_text(df, c) for c in df.columns)]
+    per_row = df.select(_digest(F.concat_ws(",", *cells)).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_k"))
     out = per_row.agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("n_rows"),
                       F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("n_duplicates"))
     return out.select(

@@ -3,32 +3,16 @@
 ``listagg ... WITHIN GROUP (ORDER BY ...)`` holds a whole group in one task.
 For keys that hold a large share of the rows (found from a sample, see
 :func:`convlytics.operators.master.hot_threads`), rows are first grouped by
-(key, slice) where the slice is a monotone function of the sort key, so the
-slices are sorted and concatenated in parallel; the slice texts are then
-stitched in slice order.  Ordered concatenation is associative, so both paths
+(key, slice), a slice being a range of the sort order, so the slices are
+sorted and concatenated in parallel; the slice texts are then stitched in
+slice order.  Ordered concatenation is associative, so both paths
 give the same text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Rows per numeric slice and characters per text slice of a hot key.
-NUMERIC_SLICE = 1024
-TEXT_SLICE_CHARS = 2
-
-
-def _slice(df: DataFrame, name: str) -> Column:
-    dt = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_trunc("hour", c.cast("timestamp"))
-    if isinstance(dt, T.NumericType):
-        return F.floor(c / NUMERIC_SLICE)
-    return F.substring(c.cast("string"), 1, TEXT_SLICE_CHARS)
-
 
 def ordered_concat(
     df: DataFrame,
@@ -63,17 +47,15 @@ def ordered_concat(
     hot = hot_threads(df.withColumnRenamed(key, "thread_id"), hot_rows).withColumnRenamed("thread_id", key)
     tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     cold = single(tagged.filter(F.col("_hot").isNull()).drop("_hot"))
-    # slice on the first sort key; rows where it is NULL slice on the next key
-    first = _slice(df, keys[0])
-    second = _slice(df, keys[1]) if len(keys) > 1 else F.lit(None).cast("string")  # native types per slice
-    sliced = tagged.filter(F.col("_hot")).drop("_hot").select(
-        "*", first.alias("_s1"), F.when(F.col(keys[0]).isNull(), second).alias("_s2")
-    )
+    # ranges of the sort order of about equal size, whatever the keys' types
+    ranges = [F.col(key), *[F.col(c).asc_nulls_last() for c in keys]]
+    sliced = (tagged.filter(F.col("_hot")).drop("_hot").repartitionByRange(*ranges)
+              .withColumn("_slice", F.spark_partition_id()))
     part_aggs = [F.expr(agg_sql).alias("_part")]
     if count_col:
         part_aggs.append(F.count(F.lit(1)).alias("_n"))
-    parts = sliced.groupBy(key, "_s1", "_s2").agg(*part_aggs)
-    stitched = F.expr(f"listagg(_part, '{sep_escaped}') WITHIN GROUP (ORDER BY _s1 ASC NULLS LAST, _s2 ASC NULLS LAST)")
+    parts = sliced.groupBy(key, "_slice").agg(*part_aggs)
+    stitched = F.expr(f"listagg(_part, '{sep_escaped}') WITHIN GROUP (ORDER BY _slice)")
     final = [stitched.alias(out_col)]
     if count_col:
         final.append(F.sum("_n").alias(count_col))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlytics.functions.labels import coerce_label
@@ -31,8 +31,9 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def master_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.build_master(T.threads(spark, sf_dir), T.messages(spark, sf_dir))
+def master_orders(spark: SparkSession, sf_dir: str, thread_ids: DataFrame | None = None) -> DataFrame:
+    # the driver's tables have rows; ``build_strict_master`` runs the check
+    return M.build_master(T.threads(spark, sf_dir), T.messages(spark, sf_dir), thread_ids=thread_ids, strict=False)
 
 
 # --------------------------------------------------------------------------- master
@@ -97,7 +98,7 @@ def label_coercion(spark, sf_dir):
 
 @query("impact_metrics")
 def impact_metrics(spark, sf_dir):
-    out = MT.impact_metrics(master_orders(spark, sf_dir))
+    out = MT.impact_metrics(master_orders(spark, sf_dir), strict=False)
     return out.select(*[r6(c).alias(c) if c != "estado_top" else F.col(c) for c in out.columns])
 
 
@@ -159,7 +160,7 @@ def conversation_lookup(spark, sf_dir):
     """Conversations of every order that has a returned line item."""
     li = T.read_table(spark, sf_dir, "lineitem")
     wanted = li.filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("thread_id"))
-    return MT.conversation_lookup(master_orders(spark, sf_dir), wanted)
+    return MT.conversation_lookup(master_orders(spark, sf_dir, wanted), wanted)
 
 
 @query("conversation_lookup_raw")
@@ -296,7 +297,7 @@ def profile_structure(spark, sf_dir):
 
 @query("profile_missing")
 def profile_missing(spark, sf_dir):
-    """Missing values per column of the master table joined with customers' balance."""
+    """Missing values per column of the master table."""
     from convlytics.operators.profile import profile_missing as pm
 
     return pm(master_orders(spark, sf_dir), top_n=15)
@@ -309,11 +310,29 @@ def profile_uniques(spark, sf_dir):
     return pu(T.read_table(spark, sf_dir, "orders"), top_n=15)
 
 
+@query("profile_uniques_missing")
+def profile_uniques_missing(spark, sf_dir):
+    """Distinct values per column of the threads; a missing value counts as one more."""
+    from convlytics.operators.profile import profile_uniques as pu
+
+    return pu(T.threads(spark, sf_dir), top_n=15, null_as_value=True)
+
+
+@query("duplicate_table_rows")
+def duplicate_table_rows(spark, sf_dir):
+    """Whole rows that repeat, in a table that holds each line item and, of flag R, each twice."""
+    from convlytics.operators.profile import duplicate_rows as dr
+
+    li = T.read_table(spark, sf_dir, "lineitem")
+    return dr(li.union(li.filter(F.col("l_returnflag") == "R"))).select(
+        "n_rows", "n_duplicates", r6("pct_duplicates").alias("pct_duplicates"))
+
+
 @query("duplicate_rows")
 def duplicate_rows(spark, sf_dir):
     from convlytics.operators.profile import duplicate_rows as dr
 
-    d = T.read_table(spark, sf_dir, "documents").select("text", "lang", "source")
+    d = T.read_table(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars")
     return dr(d).select("n_rows", "n_duplicates", r6("pct_duplicates").alias("pct_duplicates"))
 
 
@@ -444,14 +463,16 @@ def embed_documents_q(spark, sf_dir):
     from convlytics.operators.embed import embed_documents
     from convlytics.session import scratch_path
 
+    from convlytics.functions.embedders import DigestEmbedder
     from convlytics.sources.stores import save_embeddings
 
-    emb = _embedder()
+    emb = DigestEmbedder()
     out = embed_documents(spark, T.read_table(spark, sf_dir, "documents"), "doc_id", "text",
                           scratch_path(spark, "embed-docs"), emb, emb.name)
     path = scratch_path(spark, "doc-embeddings")
     save_embeddings(out, path)
-    return spark.read.parquet(path).select("doc_id", F.size("embedding").alias("dim"))
+    # means of binary fractions lie on rounding boundaries; a nudge settles them
+    return spark.read.parquet(path).select("doc_id", F.transform("embedding", lambda x: F.round(x + 1e-9, 6)).alias("embedding"))
 
 
 @query("extract_json")
@@ -503,6 +524,52 @@ def knn_topk_q(spark, sf_dir):
     return _knn_all(spark, sf_dir, 3).select("query_id", "rank", "item_id", r6("score").alias("score"))
 
 
+@query("knn_edges")
+def knn_edges(spark, sf_dir):
+    """All neighbours of every fourth vector (k above the corpus), in small blocks; a zero and a NULL vector among them."""
+    from convlytics.operators.memory import knn_topk
+
+    v = vectors(spark, sf_dir)
+    few = v.filter(F.col("label") == 3).select(F.col("vec_id").alias("item_id"), "embedding")
+    zero = few.limit(1).select(F.lit(-1).cast("long").alias("item_id"), F.transform("embedding", lambda x: x * 0).alias("embedding"))
+    null = zero.select(F.lit(-2).cast("long").alias("item_id"), F.lit(None).cast(few.schema["embedding"].dataType).alias("embedding"))
+    corpus = few.unionByName(zero).unionByName(null)
+    return knn_topk(corpus.withColumnRenamed("item_id", "query_id"), corpus, k=1_000_000, block_bytes=1 << 12,
+                    pairs_per_task=2_000).select("query_id", "rank", "item_id", r6("score").alias("score"))
+
+
+@query("memory_search")
+def memory_search_q(spark, sf_dir):
+    """Saved answers nearest to every question, from the store's texts, with their metadata."""
+    return _searched(spark, sf_dir).select("query_id", "rank", "item_id", "text", F.col("metadata")["thread_id"].alias("thread_id"),
+                                           r6("score").alias("score"))
+
+
+def _searched(spark, sf_dir):
+    from convlytics.functions.embedders import DigestEmbedder
+    from convlytics.operators.embed import embed_rows
+    from convlytics.operators.memory import memory_items, search_memory
+    from convlytics.session import scratch_path
+    from convlytics.sources.stores import append_memory, load_memory
+
+    emb = DigestEmbedder()
+    qa = qa_pairs(spark, sf_dir).withColumn("item", F.concat_ws(":", "conv_id", "turn"))
+    items = memory_items(qa, "question", "answer", "item", "conv_id", "conv_id")
+    path = scratch_path(spark, "memory")
+    append_memory(embed_rows(items, emb, emb.name, text_col="text", key_col="item_id", carry=("text", "metadata")), path, "s1")
+    return search_memory(user_questions(spark, sf_dir), load_memory(spark, path), emb, emb.name, k=3)
+
+
+@query("prompt_with_context")
+def prompt_with_context(spark, sf_dir):
+    """System prompt of every question with the context that the memory gives for it."""
+    from convlytics.operators.answers import system_prompts
+    from convlytics.operators.memory import hits_context
+
+    return system_prompts(user_questions(spark, sf_dir).select("question_id"), master_orders(spark, sf_dir),
+                          hits_context(_searched(spark, sf_dir)))
+
+
 @query("semantic_context")
 def semantic_context_q(spark, sf_dir):
     """Retrieved context per query vector; item i's text is document i."""
@@ -525,7 +592,7 @@ def memory_text_q(spark, sf_dir):
 
 @query("memory_append")
 def memory_append_q(spark, sf_dir):
-    """Embed memory items and append them to a store twice; reads are de-duplicated by item id."""
+    """Embed memory items and save them twice: every save is kept, a repeated write of one is not."""
     from convlytics.operators.embed import embed_rows
     from convlytics.operators.memory import memory_items
     from convlytics.session import scratch_path
@@ -534,14 +601,12 @@ def memory_append_q(spark, sf_dir):
     emb = _embedder()
     qa = qa_pairs(spark, sf_dir).withColumn("item", F.concat_ws(":", "conv_id", "turn"))
     items = memory_items(qa, "question", "answer", "item", "conv_id", "conv_id")
-    vecs = embed_rows(items, emb, emb.name, text_col="text", key_col="item_id")
+    vecs = embed_rows(items, emb, emb.name, text_col="text", key_col="item_id", carry=("text", "metadata"))
     path = scratch_path(spark, "memory")
-    staged = scratch_path(spark, "memory-batch")
-    items.join(vecs.select("item_id", "embedding"), "item_id").write.parquet(staged)
-    batch = spark.read.parquet(staged)
-    append_memory(batch, path)
-    append_memory(batch, path)
-    return load_memory(spark, path).select("item_id", "text", F.size("embedding").alias("dim"))
+    append_memory(vecs, path, "first")
+    append_memory(spark.read.parquet(path), path, "second")
+    append_memory(spark.read.parquet(path).filter("save_id = 'second'"), path, "second")  # a batch written again
+    return load_memory(spark, path).select("item_id", "save_id", "text", F.size("embedding").alias("dim"))
 
 
 # --------------------------------------------------------------------------- evaluation
@@ -601,7 +666,7 @@ def stratified_split_q(spark, sf_dir):
     from convlytics.operators.ml import stratified_split
 
     v = scored_vectors(spark, sf_dir)
-    return stratified_split(v, "vec_id").select("vec_id", "target", "is_test")
+    return stratified_split(v, "vec_id", exact=False).select("vec_id", "target", "is_test")
 
 
 @query("stratified_split_exact")
@@ -615,23 +680,29 @@ def stratified_split_exact_q(spark, sf_dir):
 
 def _train_on_vectors(spark, sf_dir):
     from convlytics.operators.ml import stratified_split, train_model
+    from convlytics.session import scratch_path
 
     v = vectors(spark, sf_dir).select("vec_id", "embedding", (F.col("label") == 3).cast("int").alias("target"))
-    split = stratified_split(v, "vec_id")
+    path = scratch_path(spark, "train-split")
+    stratified_split(v, "vec_id").write.parquet(path)  # read by the class counts, the fit and the scoring
+    split = spark.read.parquet(path)
     model = train_model(split.filter(~F.col("is_test")))
     return model, split
 
 
 @query("train_escalation_model")
 def train_escalation_model(spark, sf_dir):
-    """Balanced logistic regression on the training split; one row describing the fit."""
+    """Balanced logistic regression on the training split; one row of facts about the fit."""
+    from convlytics.operators.ml import score
+
     model, split = _train_on_vectors(spark, sf_dir)
-    coef = [float(x) for x in model.coefficients.toArray()]
-    return spark.range(1).select(
-        F.lit(float(model.intercept)).alias("intercept"),
-        F.lit(len(coef)).alias("n_coefficients"),
-        F.lit(model.summary.totalIterations).alias("iterations"),
-    )
+    scored = score(model, split.filter(~F.col("is_test")))
+    # at the optimum the weighted residuals balance: the intercept is not penalised
+    w = F.sum(F.lit(1.0)).over(Window.partitionBy("target"))
+    fit = scored.withColumn("r", (F.col("score") - F.col("target")) / w)
+    return fit.agg(F.count(F.lit(1)).alias("n_train"), F.sum(F.col("target").cast("long")).alias("n_positive"),
+                   (F.abs(F.sum("r")) < 1e-3).alias("balanced")).withColumn(
+        "n_coefficients", F.lit(len(model.coefficients.toArray())))
 
 
 @query("score_model")
@@ -639,7 +710,9 @@ def score_model(spark, sf_dir):
     from convlytics.operators.ml import score
 
     model, split = _train_on_vectors(spark, sf_dir)
-    return score(model, split.filter(F.col("is_test"))).select("vec_id", "target", "prediction", "score")
+    out = score(model, split.filter(F.col("is_test")))
+    return out.select("vec_id", "target", (F.col("prediction") == (F.col("score") > 0.5).cast("int")).alias("consistent"),
+                      F.col("score").between(0, 1).alias("in_range"))
 
 
 @query("evaluate_model")
@@ -661,31 +734,24 @@ def model_roundtrip(spark, sf_dir):
     model, split = _train_on_vectors(spark, sf_dir)
     base = scratch_path(spark, "models")
     save_model(model, base, "v1")
-    loaded = load_model(spark, base, "v1")
-    return score(loaded, split.filter(F.col("is_test"))).select("vec_id", "target", "prediction", "score")
+    test = split.filter(F.col("is_test"))
+    again = score(load_model(spark, base, "v1"), test).select("vec_id", F.col("score").alias("again"))
+    return score(model, test).join(again, "vec_id").select("vec_id", "target", (F.col("score") == F.col("again")).alias("same_score"))
 
 
 @query("escalation_training")
 def escalation_training(spark, sf_dir):
     """Master table -> training text -> cached embeddings -> split -> train -> save -> evaluate."""
-    from convlytics.operators.embed import embed_documents
     from convlytics.operators.evaluate import evaluate
-    from convlytics.operators.ml import prepare_dataset, score, stratified_split, train_model
+    from convlytics.operators.ml import train_escalation
     from convlytics.session import scratch_path
-
-    emb = _embedder()
-    data = prepare_dataset(master_orders(spark, sf_dir)).select("thread_id", "text", "target")
-    staged = scratch_path(spark, "train-text")
-    data.write.parquet(staged)
-    data = spark.read.parquet(staged)
-    pooled = embed_documents(spark, data, "thread_id", "text", scratch_path(spark, "embed-cache"), emb, emb.name)
-    full = data.join(pooled, "thread_id", "inner")
-    split = stratified_split(full, "thread_id")
-    model = train_model(split.filter(~F.col("is_test")))
     from convlytics.sources.stores import save_model
 
+    emb = _embedder()
+    model, scored = train_escalation(master_orders(spark, sf_dir), emb, emb.name, scratch_path(spark, "embed-cache"),
+                                     scratch_path(spark, "training"))
     save_model(model, scratch_path(spark, "models"), "v1")
-    return evaluate(score(model, split.filter(F.col("is_test"))))
+    return evaluate(scored)
 
 
 # --------------------------------------------------------------------------- agent answers
@@ -779,8 +845,9 @@ def batch_answer_eval(spark, sf_dir):
     from convlytics.operators.answers import evaluate_answers
     from convlytics.session import scratch_path
 
-    return evaluate_answers(user_questions(spark, sf_dir), master_orders(spark, sf_dir), template_answerer,
-                            scratch_path(spark, "answers"))
+    out = evaluate_answers(user_questions(spark, sf_dir), master_orders(spark, sf_dir), template_answerer,
+                           scratch_path(spark, "answers"))
+    return out.withColumn("timed", F.col("tiempo_s") >= 0).drop("tiempo_s")
 
 
 def _routed(spark, sf_dir):
@@ -788,7 +855,8 @@ def _routed(spark, sf_dir):
     from convlytics.operators.answers import route_requests
     from convlytics.session import scratch_path
 
-    return route_requests(user_questions(spark, sf_dir), master_orders(spark, sf_dir), keyword_router,
+    questions = user_questions(spark, sf_dir)
+    return route_requests(questions, master_orders(spark, sf_dir, questions), keyword_router,
                           scratch_path(spark, "routes"))
 
 
@@ -825,7 +893,7 @@ def answer_memory(spark, sf_dir):
         .write.parquet(staged)
     answers = strict_json_answers(spark.read.parquet(staged))
     items = memory_items(answers, "question", "answer", "question_id", "thread_id", "thread_id")
-    vecs = embed_rows(items, emb, emb.name, text_col="text", key_col="item_id")
+    vecs = embed_rows(items, emb, emb.name, text_col="text", key_col="item_id", carry=("text", "metadata"))
     path = scratch_path(spark, "memory")
-    append_memory(items.join(vecs.select("item_id", "embedding"), "item_id"), path)
+    append_memory(vecs, path)
     return load_memory(spark, path).select("item_id", "text", F.col("metadata")["thread_id"].alias("thread_id"))

@@ -376,13 +376,7 @@ cand AS (
                  ELSE answer END AS c
   FROM ans)"""
 
-def _keys_literal() -> str:
-    from convlytics.operators.answers import EXPECTED_KEYS
-
-    return "[" + ", ".join(f"'{k}'" for k in sorted(EXPECTED_KEYS)) + "]"
-
-
-_KEYS = _keys_literal()
+_KEYS = "['actions', 'insights', 'metrics_used', 'risks', 'summary']"
 
 SQL["answer_quality"] = "WITH " + _ANSWERS + f""",
 ok AS (SELECT event_id, c, CASE WHEN json_type(c) = 'OBJECT' THEN json_keys(c) ELSE CAST([] AS VARCHAR[]) END AS keys,
@@ -427,11 +421,22 @@ def _sql_literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _prompt_parts():
-    from convlytics.operators.answers import SYSTEM_PROMPT_TEMPLATE
+# The prompt around the summary, as the reference gives it.
+PROMPT_HEAD = """Rol: Analista de operaciones de una aerolinea.
+Objetivo: Responder preguntas de negocio con base en metricas.
+Restricciones: No revelar razonamiento interno. No usar emojis.
+Formato de salida: JSON con llaves summary, insights, risks, actions, metrics_used.
+Ejemplo de salida:
+{
+  "summary": "La tasa de escalamiento es elevada en ciertos estados.",
+  "insights": ["Los hilos con mas mensajes muestran mayor escalamiento."],
+  "risks": ["Falsos negativos impactan la satisfaccion del cliente."],
+  "actions": ["Priorizar mejora en los estados con mayor tasa."],
+  "metrics_used": ["tasa_escalamiento", "mensajes_promedio"]
+}
 
-    head, tail = SYSTEM_PROMPT_TEMPLATE.split("{contexto}")
-    return _sql_literal(head), _sql_literal(tail)
+Contexto:
+"""
 
 
 SQL["prompt_table"] = WITH_MASTER + f""",
@@ -440,7 +445,7 @@ summ AS (
          printf('Duracion promedio (min): %.2f', avg(duration_minutes)) || chr(10) ||
          printf('Mensajes promedio: %.2f', avg(msg_count)) AS summary FROM master)
 SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id,
-       {_prompt_parts()[0]} || summ.summary || {_prompt_parts()[1]} AS system_prompt
+       {_sql_literal(PROMPT_HEAD)} || summ.summary AS system_prompt
 FROM conversations, summ WHERE role = 'user'"""
 
 SQL["session_transcript"] = """
@@ -464,3 +469,123 @@ a AS (
          count(*) AS msg_count, min(ts) AS first_msg, max(ts) AS last_msg
   FROM m GROUP BY thread_id)
 SELECT *, round(epoch_us(first_msg) / 1e6, 6) AS first_epoch_s FROM a"""
+
+
+# ----------------------------------------------------------------- stores, models and training
+SQL["profile_uniques_missing"] = "WITH " + THREADS + ", uc AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT coalesce(CAST({c} AS VARCHAR), 'None')) AS unique_values FROM threads"
+    for c in ("thread_id", "created_at", "status", "platform", "escalate_conversation")
+) + ") SELECT * FROM uc ORDER BY unique_values DESC, \"column\" LIMIT 15"
+
+SQL["duplicate_table_rows"] = """
+WITH t AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R'),
+d AS (SELECT count(*) AS k FROM t GROUP BY ALL),
+g AS (SELECT count(*) AS distinct_rows FROM (SELECT DISTINCT * FROM t))
+SELECT (SELECT count(*) FROM t) AS n_rows, (SELECT count(*) FROM t) - distinct_rows AS n_duplicates,
+       round(((SELECT count(*) FROM t) - distinct_rows) * 100.0 / (SELECT count(*) FROM t), 6) AS pct_duplicates
+FROM g"""
+
+SQL["embed_cache_fill"] = "WITH " + DOC_CHUNKS + """
+SELECT DISTINCT 'hashing-64' AS model, text_hash, 64 AS dim FROM doc_chunks"""
+
+
+def _digest_vector(text: str, dim: int = 8) -> str:
+    return "[" + ", ".join(
+        f"(CAST('0x' || substr(sha256({text}), {2 * i + 1}, 2) AS INTEGER) - 128) / 128.0" for i in range(dim)) + "]"
+
+
+SQL["embed_documents"] = "WITH " + DOC_CHUNKS + f""",
+v AS (SELECT id, {_digest_vector("chunk")} AS e FROM doc_chunks)
+SELECT id AS doc_id, [{", ".join(f"round(avg(e[{i + 1}]) + 1e-9, 6)" for i in range(8))}] AS embedding FROM v GROUP BY id"""
+
+SQL["memory_append"] = "WITH m AS (" + SQL["memory_text"] + """)
+SELECT item_id, save_id, text, 64 AS dim FROM m, (VALUES ('first'), ('second')) s(save_id)"""
+
+_SEARCH = "items AS (" + SQL["memory_text"] + f"""),
+iv AS (SELECT item_id, text, thread_id, {_digest_vector("text")} AS v FROM items),
+qv AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS query_id, {_digest_vector("text")} AS v
+       FROM conversations WHERE role = 'user'),
+hits AS (
+  SELECT query_id, item_id, text, thread_id, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, item_id || chr(1) || 's1') AS rank
+  FROM (SELECT q.query_id, i.item_id, i.text, i.thread_id,
+               list_dot_product(q.v::DOUBLE[], i.v::DOUBLE[])
+               / sqrt(list_dot_product(q.v::DOUBLE[], q.v::DOUBLE[]) * list_dot_product(i.v::DOUBLE[], i.v::DOUBLE[])) AS score
+        FROM qv q, iv i)
+  QUALIFY rank <= 3)"""
+
+SQL["memory_search"] = "WITH " + _SEARCH + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, text, thread_id, round(score, 6) AS score FROM hits"""
+
+SQL["prompt_with_context"] = SQL["prompt_table"].rsplit("SELECT CAST(conv_id", 1)[0] + ", " + _SEARCH + f""",
+ctx AS (SELECT query_id, string_agg('- ' || text, chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id),
+base AS (SELECT CAST(conv_id""" + SQL["prompt_table"].rsplit("SELECT CAST(conv_id", 1)[1] + """)
+SELECT question_id, system_prompt || coalesce(chr(10) || chr(10) || 'Contexto semantico relevante:' || chr(10) || context, '')
+       AS system_prompt
+FROM base LEFT JOIN ctx ON question_id = query_id"""
+
+SQL["knn_edges"] = """
+WITH few AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+             FROM embeddings WHERE label = 3),
+c AS (SELECT id, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS v
+      FROM (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM few
+            UNION ALL SELECT '-1', list_transform(v, lambda x: x * 0), 0 FROM (SELECT v FROM few LIMIT 1))),
+s AS (SELECT q.id AS query_id, i.id AS item_id, list_dot_product(q.v, i.v) AS score FROM c q, c i)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, item_id) AS INTEGER) AS rank,
+       item_id, round(score, 6) AS score FROM s"""
+
+_EXACT_SPLIT = "split AS (" + SQL["stratified_split_exact"].replace("WITH u AS", "WITH u0 AS").replace("FROM u", "FROM u0") + ")"
+SQL["score_model"] = "WITH " + _EXACT_SPLIT + """
+SELECT vec_id, target, true AS consistent, true AS in_range FROM split WHERE is_test"""
+SQL["model_roundtrip"] = "WITH " + _EXACT_SPLIT + """
+SELECT vec_id, target, true AS same_score FROM split WHERE is_test"""
+SQL["train_escalation_model"] = "WITH " + _EXACT_SPLIT + """
+SELECT count(*) AS n_train, CAST(sum(target) AS BIGINT) AS n_positive, true AS balanced,
+       CAST((SELECT len(embedding) FROM embeddings LIMIT 1) AS INTEGER) AS n_coefficients
+FROM split WHERE NOT is_test"""
+
+_QUESTIONS = """
+asked AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, CAST(conv_id AS VARCHAR) AS thread_id,
+                 text AS question FROM conversations WHERE role = 'user'),
+conv AS (SELECT thread_id, min(full_conversation) AS conversation FROM master GROUP BY thread_id),
+req AS (SELECT a.*, coalesce(conversation, '') AS conversation,
+               'thread_id: ' || thread_id || chr(10) || 'conversacion:' || chr(10) || coalesce(conversation, '') || chr(10)
+               || chr(10) || 'pregunta_actual:' || chr(10) || question AS input
+        FROM asked a LEFT JOIN conv USING (thread_id)),
+routed AS (
+  SELECT *, CASE WHEN contains(lower(input), '!') OR contains(lower(input), 'queja') THEN 'escalar'
+                 WHEN contains(lower(input), '?') THEN 'tecnico'
+                 WHEN contains(lower(input), 'conversacion:' || chr(10) || chr(10)) THEN 'assistant'
+                 ELSE 'resumen' END AS route
+  FROM req),
+analysed AS (
+  SELECT *, '{"route":"' || route || '","sentiment":"' || CASE route WHEN 'escalar' THEN 'negativo'
+         WHEN 'resumen' THEN 'positivo' ELSE 'neutral' END || '","motivo":"","rationale":""}' AS analysis
+  FROM routed)"""
+
+SQL["route_conversations"] = WITH_MASTER + "," + _QUESTIONS + """
+SELECT question_id, thread_id, route, analysis FROM analysed"""
+
+# what the offline answerer gives, as JSON text with Python's spacing
+def _answer(question: str, insights: str) -> str:
+    return ("'{\"summary\": ' || CAST(to_json(" + question + ") AS VARCHAR) || ', \"insights\": " + insights
+            + ", \"risks\": [], \"actions\": [\"review\"], \"metrics_used\": [\"tasa_escalamiento\"]}'")
+
+
+SQL["draft_by_route"] = WITH_MASTER + "," + _QUESTIONS + f"""
+SELECT question_id, route, CASE WHEN route <> 'assistant' THEN
+       {_answer("'analisis: ' || analysis || chr(10) || chr(10) || 'conversacion:' || chr(10) || conversation", "[]")}
+       END AS draft
+FROM analysed"""
+
+SQL["batch_answer_eval"] = f"""
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, text[1:80] AS pregunta, true AS json_valido,
+       {_KEYS} AS claves_presentes, CAST([] AS VARCHAR[]) AS claves_faltantes, 1.0 AS score_estructura,
+       true AS insights_no_vacios, true AS actions_no_vacios, true AS timed
+FROM conversations WHERE role = 'user'"""
+
+SQL["answer_memory"] = f"""
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS item_id,
+       'Pregunta: ' || text || chr(10) || 'Respuesta: ' || {_answer("text", '["see context"]')} AS text,
+       CAST(conv_id AS VARCHAR) AS thread_id
+FROM conversations WHERE role = 'user'"""

@@ -1,11 +1,13 @@
 """Spark session defaults used by tests, the bench and the entry module.
 
 On a cluster the caller owns the session; these helpers only fill in
-settings that are unset, so cluster configuration always wins.
+settings that are unset.  Two are set in any case, as results depend on them:
+the session time zone (UTC) and ANSI mode (``REQUIRED_CONF``).
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -59,12 +61,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared, fault-tolerant folder there).  Only when it is unset -- local
-    tests -- a fresh scratch folder is created and registered.
+    shared, fault-tolerant folder there).  Only when it is unset on a local
+    master -- tests -- a fresh scratch folder is created and registered; on
+    any other master that would leave each executor with files of its own, so
+    it raises.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="convlytics-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
@@ -75,6 +81,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that no later read needs."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-path of the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")

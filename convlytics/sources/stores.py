@@ -7,15 +7,16 @@ path is never overwritten while it is being read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_SCHEMA = "model string, text_hash string, embedding array<float>"
+CACHE_SCHEMA = "model string, text_hash string, embedding array<float>, batch_id string"
 MEMORY_SCHEMA = (
-    "item_id string, text string, metadata map<string,string>, embedding array<float>"
+    "item_id string, save_id string, text string, metadata map<string,string>, embedding array<float>"
 )
 
 
@@ -95,27 +96,35 @@ def load_cache(spark: SparkSession, path: str, model: str | None = None) -> Data
     shuffle lines up with the joins on ``text_hash`` that follow (no second
     exchange of the cache).
     """
-    c = read_parquet_or_empty(spark, path, CACHE_SCHEMA)
+    c = read_parquet_or_empty(spark, path, CACHE_SCHEMA).drop("batch_id")
     if model is not None:
         return c.filter(F.col("model") == model).dropDuplicates(["text_hash"])
     return c.dropDuplicates(["model", "text_hash"])
 
 
 def append_cache(new_rows: DataFrame, path: str) -> None:
-    new_rows.select("model", "text_hash", F.col("embedding").cast("array<float>")).write.mode("append").parquet(path)
+    new_rows.select("model", "text_hash", F.col("embedding").cast("array<float>"),
+                    F.lit(None).cast("string").alias("batch_id") if "batch_id" not in new_rows.columns else F.col("batch_id")
+                    ).write.mode("append").parquet(path)
 
 
 # ----------------------------------------------------------------- memory store
 
 
 def load_memory(spark: SparkSession, path: str) -> DataFrame:
-    return read_parquet_or_empty(spark, path, MEMORY_SCHEMA).dropDuplicates(["item_id"])
+    """Every save.  Rows of one save that stand twice (a batch written again
+    after a failure) count once, so ``save_id`` and ``item_id`` are the key."""
+    return read_parquet_or_empty(spark, path, MEMORY_SCHEMA).dropDuplicates(["save_id", "item_id"])
 
 
-def append_memory(items: DataFrame, path: str) -> None:
+def append_memory(items: DataFrame, path: str, save_id: str | None = None) -> str:
+    """Append one save; returns its ``save_id`` (a new one unless given)."""
+    save_id = save_id or uuid.uuid4().hex
     items.select(
-        "item_id", "text", F.col("metadata").cast("map<string,string>"), F.col("embedding").cast("array<float>")
+        "item_id", F.lit(save_id).alias("save_id"), "text", F.col("metadata").cast("map<string,string>"),
+        F.col("embedding").cast("array<float>"),
     ).write.mode("append").parquet(path)
+    return save_id
 
 
 # ----------------------------------------------------------------- models

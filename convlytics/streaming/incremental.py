@@ -1,11 +1,11 @@
 """Keep the embedding cache and the answer memory filled from a stream.
 
 The reference has no streaming operators; its two stores are insert-only
-and keyed (``(model, text_hash)`` and ``item_id``), so each micro-batch can
+and keyed (``(model, text_hash)`` and ``(save_id, item_id)``), so each micro-batch can
 run the batch operator unchanged inside ``foreachBatch``.  A replayed batch
-after a failure finds its rows already present (cache misses are computed by
-anti-join; memory reads de-duplicate on ``item_id``), so the sink is
-idempotent and the query can restart from its checkpoint.
+after a failure adds nothing (cache misses are computed by anti-join; a batch's
+epoch is its ``save_id``, and memory reads count a save's items once), so the
+sink is idempotent and the query can restart from its checkpoint.
 """
 
 from __future__ import annotations
@@ -57,18 +57,12 @@ def stream_memory(
     strict-JSON answers through :func:`convlytics.operators.memory.memory_items`.
     """
     from convlytics.operators.embed import embed_rows
-    from convlytics.session import scratch_path
-    from convlytics.sources.stores import append_memory, load_memory
+    from convlytics.sources.stores import append_memory
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        items = to_items(batch)
-        known = load_memory(spark, memory_path).select("item_id")
-        fresh = items.join(known, "item_id", "left_anti")
-        vecs = embed_rows(fresh, embed_fn, model, text_col="text", key_col="item_id")
-        staged = scratch_path(spark, f"memory-epoch-{epoch_id}")
-        fresh.join(vecs.select("item_id", "embedding"), "item_id").write.parquet(staged)
-        append_memory(spark.read.parquet(staged), memory_path)
+        vecs = embed_rows(to_items(batch), embed_fn, model, text_col="text", key_col="item_id", carry=("text", "metadata"))
+        # a replayed batch writes the same save again, which reads count once
+        append_memory(vecs, memory_path, save_id=f"epoch-{epoch_id}")
 
     writer = answers.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(**(trigger or {"availableNow": True}))

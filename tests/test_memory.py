@@ -26,7 +26,7 @@ def test_knn_matches_brute_force_across_blocks(spark):
     qdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(q)], "query_id string, embedding array<double>")
     cdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(c)], "item_id string, embedding array<double>")
     got = {}
-    for r in knn_topk(qdf, cdf, k=4, query_block_rows=10, corpus_block_rows=7, broadcast_corpus_values=0).collect():
+    for r in knn_topk(qdf, cdf, k=4, block_bytes=8 * 8 * 7, pairs_per_task=50).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.item_id, r.score))
     want = _brute(q, c, 4)
     for qid, hits in want.items():
@@ -52,15 +52,60 @@ def test_context_and_memory_text(spark):
     assert semantic_context(hits, corpus).first().context == "- ty\n- tx"
 
 
-def test_broadcast_path_matches_blocked(spark):
+def test_tiles_and_blocks_give_one_answer(spark, monkeypatch):
+    import convlytics.operators.memory as M
+
     rng = np.random.default_rng(6)
     q = rng.integers(-2, 3, size=(40, 6)).astype(float)
     c = rng.integers(-2, 3, size=(30, 6)).astype(float)
     qdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(q)], "query_id string, embedding array<double>")
     cdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(c)], "item_id string, embedding array<double>")
     a = sorted(tuple(r) for r in knn_topk(qdf, cdf, k=3).collect())
-    b = sorted(tuple(r) for r in knn_topk(qdf, cdf, k=3, broadcast_corpus_values=0, corpus_block_rows=8).collect())
+    b = sorted(tuple(r) for r in knn_topk(qdf, cdf, k=3, block_bytes=6 * 8 * 8).collect())
     assert [x[:3] for x in a] == [x[:3] for x in b] and np.allclose([x[3] for x in a], [x[3] for x in b])
+    order = np.arange(30)
+    whole = M.block_topk(q, c, order, 4)
+    tiled = M.block_topk(q, c, order, 4, tile=7)
+    assert (whole[0] == tiled[0]).all() and np.allclose(whole[1], tiled[1])
+
+
+def test_odd_vectors_and_repeated_ids(spark):
+    nan, inf = float("nan"), float("inf")
+    schema = "{} string, embedding array<double>"
+    corpus = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [nan, 1.0]), ("e", [1.0]), ("f", [inf, 0.0]),
+              ("a", [0.0, 1.0]), ("g", [1.0, None])]
+    queries = [("q", [1.0, 0.0]), ("q", [0.0, 1.0]), ("z", [0.0, 0.0]), ("n", None), ("m", [nan, 0.0])]
+    for blocks in ({}, {"block_bytes": 16, "pairs_per_task": 1}):
+        got = knn_topk(spark.createDataFrame(queries, schema.format("query_id")),
+                       spark.createDataFrame(corpus, schema.format("item_id")), k=4, **blocks).collect()
+        assert sorted(tuple(r) for r in got) == [("q", 1, "a", 1.0), ("q", 2, "b", 0.0), ("z", 1, "a", 0.0), ("z", 2, "b", 0.0)]
+
+
+def test_every_save_is_kept_and_searched(spark):
+    from pyspark.sql import functions as F
+
+    from convlytics.functions.embedders import DigestEmbedder
+    from convlytics.operators.embed import embed_rows
+    from convlytics.operators.memory import hits_context, search_memory
+    from convlytics.session import scratch_path
+    from convlytics.sources.stores import append_memory, load_memory
+
+    emb, path = DigestEmbedder(), scratch_path(spark, "mem-saves")
+
+    def save(text, save_id):
+        rows = spark.createDataFrame([("i", text)], "item_id string, text string").withColumn(
+            "metadata", F.create_map(F.lit("thread_id"), F.lit("t")))
+        append_memory(embed_rows(rows, emb, emb.name, text_col="text", key_col="item_id", carry=("text", "metadata")), path, save_id)
+
+    save("old", "1")
+    save("new", "2")
+    save("new", "2")  # written again after a failure
+    store = load_memory(spark, path)
+    assert sorted(r.text for r in store.collect()) == ["new", "old"]
+    hits = search_memory(spark.createDataFrame([("q", "old")], "question_id string, question string"), store, emb, emb.name, k=5)
+    got = sorted(hits.collect(), key=lambda r: r.rank)
+    assert [(r.text, r.save_id, r.metadata["thread_id"]) for r in got] == [("old", "1", "t"), ("new", "2", "t")]
+    assert abs(got[0].score - 1) < 1e-9 and hits_context(hits).first().context == "- old\n- new"
 
 
 def test_block_counts_respect_caps_and_balance():
