@@ -36,7 +36,9 @@ SEED = 1
 BYTE_WEIGHT = 1e-3
 #: longest pieces of the vocabulary that are considered, in bytes
 LONGEST = 48
-CHUNK = 1 << 19
+CHUNK = 1 << 21
+#: pieces that are decoded at once, about
+STRETCH = 1 << 18
 #: bytes that lead a UTF-8 character
 _LEAD = np.zeros(256, bool)
 _LEAD[:0x80] = True
@@ -68,16 +70,49 @@ class Vocabulary:
             if 0 < len(raw) <= LONGEST and b" " not in raw[1:] and MARK not in p[1:]:
                 names.append(raw)
                 ids.append(i)
-        flat = np.frombuffer(b"".join(names), np.uint8)
-        ends = np.cumsum([len(x) for x in names])
-        h = T.span_hashes(flat, np.concatenate([[0], ends[:-1]]), ends)
-        order = np.argsort(h)
-        self.h, self.id = h[order], np.array(ids, np.int64)[order]
         # common pieces come first in the vocabulary
-        rank = np.argsort(np.argsort(self.id)) + 2.0
+        rank = np.argsort(np.argsort(np.array(ids))) + 2.0
+        self.id = np.array(ids, np.int64)
         self.log = -alpha * np.log(rank)
         self.byte_log = float(self.log.min() + np.log(BYTE_WEIGHT))
-        self.lengths = sorted({len(x) for x in names})
+        # every beginning of a piece, with the piece that ends there or -1
+        number = {x: i for i, x in enumerate(names)}
+        heads = sorted({x[:n] for x in names for n in range(1, len(x) + 1)})
+        flat = np.frombuffer(b"".join(heads), np.uint8)
+        ends = np.cumsum([len(x) for x in heads])
+        self.heads = Table(T.span_hashes(flat, np.concatenate([[0], ends[:-1]]), ends),
+                           np.array([number.get(x, -1) for x in heads], np.int64))
+
+
+class Table:
+    """A lookup table from 64-bit hashes to numbers, for whole arrays of hashes.
+
+    A slot holds one hash; hashes that find theirs taken go to a second, sorted
+    table, and only lookups that meet such a slot search there.
+    """
+
+    BITS = 18
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.key, self.value = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -2, np.int64)
+        self.key[slot[first]], self.value[slot[first]] = keys[first], values[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        self.more = np.zeros(1 << self.BITS, bool)
+        self.more[slot[rest]] = True
+        order = rest[np.argsort(keys[rest])]
+        self.rest_key, self.rest_value = keys[order], values[order]
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -2 where it is unknown."""
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = np.where(self.key[slot] == h, self.value[slot], -2)
+        again = np.flatnonzero(self.more[slot] & (out == -2))
+        if len(again):
+            at = np.minimum(np.searchsorted(self.rest_key, h[again]), len(self.rest_key) - 1)
+            out[again] = np.where(self.rest_key[at] == h[again], self.rest_value[at], -2)
+        return out
 
 
 def _uniform(key: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
@@ -102,48 +137,50 @@ class Lattice:
         node = self.first[word] + within
         left = np.repeat(size, size) - within  # bytes to the word's end
         lead = _LEAD[inside]
-        a_from, a_to, a_id, a_log = [], [], [], []
-        # pieces: hash of each span that starts at a character, length by length
+        a_at, a_size, a_id, a_log = [], [], [], []
+        # pieces: from each character on, byte by byte, as long as a piece goes on
         at = np.flatnonzero(lead)
-        h = np.zeros(total, np.uint64)
+        h = np.zeros(len(at), np.uint64)
         power = T.powers(LONGEST + 1)
         covered = np.zeros(total, bool)
-        wanted = set(v.lengths)
-        for k in range(1, max(v.lengths) + 1):
-            at = at[left[at] >= k]
+        for k in range(1, LONGEST + 1):
+            go = left[at] >= k
+            at, h = at[go], h[go]
             if not len(at):
                 break
-            h[at] += value[at + k - 1] * power[k - 1]
-            if k not in wanted:
-                continue
-            key = T.mix(h[at] + np.uint64(k))
-            i = np.minimum(np.searchsorted(v.h, key), len(v.h) - 1)
-            hit = v.h[i] == key
-            if hit.any():
+            h = h + value[at + k - 1] * power[k - 1]
+            found = v.heads.get(T.mix(h + np.uint64(k)))
+            hit = np.flatnonzero(found >= 0)
+            if len(hit):
                 own = at[hit]
-                a_from.append(node[own])
-                a_to.append(node[own] + k)
-                a_id.append(v.id[i[hit]])
-                a_log.append(v.log[i[hit]])
-                # does a piece cover this very character?
-                covered[own[_char_bytes(inside[own]) == k]] = True
+                a_at.append(own)
+                a_size.append(np.full(len(own), k))
+                a_id.append(v.id[found[hit]])
+                a_log.append(v.log[found[hit]])
+                if k <= 4:
+                    covered[own[_char_bytes(inside[own]) == k]] = True
+            known = found > -2
+            at, h = at[known], h[known]
         # characters without a piece of their own: their bytes, one arc each
         owner = np.maximum.accumulate(np.where(lead, np.arange(total), 0)) if total else np.zeros(0, np.int64)
         bare = np.flatnonzero(~covered[owner]) if total else np.zeros(0, np.int64)
-        a_from.append(node[bare])
-        a_to.append(node[bare] + 1)
+        a_at.append(bare)
+        a_size.append(np.ones(len(bare), np.int64))
         a_id.append(v.byte_id[inside[bare]])
         a_log.append(np.full(len(bare), v.byte_log))
-        src, dst = np.concatenate(a_from), np.concatenate(a_to)
-        ids, log = np.concatenate(a_id), np.concatenate(a_log)
-        order = np.lexsort((src, dst))
-        self.src, self.dst, self.ids, log = src[order], dst[order], ids[order], log[order]
+        at, reach = np.concatenate(a_at), np.concatenate(a_size)
+        dst = node[at] + reach
+        order = np.argsort(dst, kind="stable")
+        at, reach = at[order], reach[order]
+        self.dst, self.src = dst[order], node[at]
+        self.ids, log = np.concatenate(a_id)[order], np.concatenate(a_log)[order]
+        depth = (within[at] + reach).astype(np.int32)
         # forward filtering, one node of every word at a time
         self.alpha = np.full(nodes, -np.inf)
         self.alpha[self.first[:-1]] = 0.0
-        depth = self.dst - self.first[np.searchsorted(self.first, self.dst, "right") - 1]
-        by_depth = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[by_depth], np.arange(1, int(size.max()) + 2)) if n else []
+        most = int(size.max()) if n else 0
+        by_depth = np.argsort(depth.astype(np.int16) if most < 2**15 else depth, kind="stable")
+        cuts = np.searchsorted(depth[by_depth], np.arange(1, most + 2))
         for a, b in zip(cuts[:-1], cuts[1:]):
             e = by_depth[a:b]
             if not len(e):
@@ -156,12 +193,10 @@ class Lattice:
             part = np.add.reduceat(np.exp(score - np.repeat(base, np.diff(np.append(head, len(e))))), head)
             with np.errstate(divide="ignore"):
                 self.alpha[d[head]] = base + np.log(part)
-        # chances of the arcs into each node, summed up within the node
-        self.into = np.searchsorted(self.dst, np.arange(nodes + 1))
+        # chances of the arcs into each node
+        self.into = np.concatenate([[0], np.cumsum(np.bincount(self.dst, minlength=nodes))])
         chance = np.exp(self.alpha[self.src] + log - self.alpha[self.dst])
-        chance = np.where(np.isfinite(chance), chance, 0.0)
-        self.sum = np.cumsum(chance)
-        self.before = np.concatenate([[0.0], self.sum])
+        self.chance = np.where(np.isfinite(chance), chance, 0.0)
 
     def sample(self, word: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of sampled segmentations, one after another, and each one's number of pieces."""
@@ -173,8 +208,13 @@ class Lattice:
         while len(left):
             lo, hi = self.into[at[left]], self.into[at[left] + 1]
             u = _uniform(key[left], place[left], step)
-            goal = self.before[lo] + u * (self.before[hi] - self.before[lo])
-            arc = np.clip(np.searchsorted(self.sum, goal, "right"), lo, hi - 1)
+            # a node's arcs share the chance of 1; step to the one that holds the draw
+            arc, passed = lo.copy(), self.chance[lo]
+            on = np.flatnonzero((arc < hi - 1) & (passed <= u))
+            while len(on):
+                arc[on] += 1
+                passed[on] += self.chance[arc[on]]
+                on = on[(arc[on] < hi[on] - 1) & (passed[on] <= u[on])]
             # an arc that no way from the start reaches has no width; rounding must not choose it
             dead = ~np.isfinite(self.alpha[self.src[arc]])
             if dead.any():
@@ -200,23 +240,64 @@ def _char_bytes(lead: np.ndarray) -> np.ndarray:
     return np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
 
 
+class Encoder:
+    """Encodes chunks; lattices of words that repeat in the first one are kept."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.kept, self.hashes = v, None, np.zeros(0, np.uint64)
+
+    def _keep(self, buf, start, size, h) -> None:
+        """Lattices of the repeated words, in the order of their hashes."""
+        u, one, count = np.unique(h, return_index=True, return_counts=True)
+        one = one[count > 1]
+        self.hashes = u[count > 1]
+        self.kept = Lattice(self.v, buf, start[one], size[one]) if len(one) else None
+
+    def chunk(self, c: T.Chunk, keys: np.ndarray) -> list[np.ndarray]:
+        """Sampled ids of each document of a chunk."""
+        if not len(c.buf):
+            return [np.zeros(0, np.int64) for _ in range(len(c))]
+        # a word starts at a document's first byte and at each space
+        opens = c.buf == 0x20
+        opens[c.off[:-1][c.off[:-1] < len(c.buf)]] = True
+        start = np.flatnonzero(opens)
+        size = np.diff(np.append(start, len(c.buf)))
+        h = T.span_hashes(c.buf, start, start + size)
+        if not len(self.hashes):
+            self._keep(c.buf, start, size, h)
+        first = np.searchsorted(start, c.off)
+        doc = np.repeat(np.arange(len(c)), np.diff(first))
+        place = np.arange(len(start)) - first[doc]
+        if self.kept is not None:
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            old = self.hashes[at] == h
+        else:
+            at, old = None, np.zeros(len(h), bool)
+        n = np.zeros(len(h), np.int64)
+        drawn = []
+        for who in (np.flatnonzero(old), np.flatnonzero(~old)):
+            if not len(who):
+                continue
+            if len(drawn) == 0 and old[who[0]]:
+                lattice, word = self.kept, at[who]
+            else:
+                _, one, word = np.unique(h[who], return_index=True, return_inverse=True)
+                lattice = Lattice(self.v, c.buf, start[who[one]], size[who[one]])
+            ids, own = lattice.sample(word, keys[doc[who]], place[who])
+            n[who] = own
+            drawn.append((who, ids, own))
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = np.zeros(int(ends[-1]), np.int64)
+        for who, ids, own in drawn:
+            skip = np.cumsum(own) - own
+            out[np.arange(len(ids)) + np.repeat(ends[who] - skip, own)] = ids
+        cut = ends[first]
+        return [out[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
 def encode_chunk(v: Vocabulary, c: T.Chunk, keys: np.ndarray) -> list[np.ndarray]:
-    """Sampled ids of each document of a chunk."""
-    if not len(c.buf):
-        return [np.zeros(0, np.int64) for _ in range(len(c))]
-    # a word starts at a document's first byte and at each space
-    opens = c.buf == 0x20
-    opens[c.off[:-1][c.off[:-1] < len(c.buf)]] = True
-    start = np.flatnonzero(opens)
-    size = np.diff(np.append(start, len(c.buf)))
-    h = T.span_hashes(c.buf, start, start + size)
-    _, one, back = np.unique(h, return_index=True, return_inverse=True)
-    lattice = Lattice(v, c.buf, start[one], size[one])
-    first = np.searchsorted(start, c.off)
-    doc = np.repeat(np.arange(len(c)), np.diff(first))
-    ids, n = lattice.sample(back, keys[doc], np.arange(len(start)) - first[doc])
-    cut = np.concatenate([[0], np.cumsum(n)])[first]
-    return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    """Sampled ids of each document of a single chunk."""
+    return Encoder(v).chunk(c, keys)
 
 
 def encode(docs: DataFrame, model: str, alpha: float = ALPHA, seed: int = SEED,
@@ -227,12 +308,12 @@ def encode(docs: DataFrame, model: str, alpha: float = ALPHA, seed: int = SEED,
     out = "`doc_id` " + src.schema["doc_id"].dataType.simpleString() + ", ids array<int>"
 
     def run(batches):
-        v = Vocabulary(model, alpha)
+        encoder = Encoder(Vocabulary(model, alpha))
         for b in batches:
             null = ~np.asarray(b.column(1).is_valid())
             keys = np.asarray(b.column(2)).astype(np.int64).view(np.uint64)
             for c in T.chunks(b.column(1), CHUNK):
-                parts = encode_chunk(v, c, keys[c.lo:c.lo + len(c)])
+                parts = encoder.chunk(c, keys[c.lo:c.lo + len(c)])
                 off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 flat = pa.array(np.concatenate(parts).astype(np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(off), flat)
@@ -257,18 +338,22 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
         size = np.array([len(x) for x in v.bytes_of])
         flat = np.frombuffer(b"".join(v.bytes_of), np.uint8)
         begin = np.cumsum(size) - size
-        for b in batches:
-            col = b.column(at)
-            ids = np.asarray(col.flatten()).astype(np.int64)
-            n = np.asarray(col.value_lengths().fill_null(0))
-            take = size[ids]
-            ends = np.cumsum(take)
-            total = int(ends[-1]) if len(ends) else 0
-            src = np.arange(total) - np.repeat(ends - take, take) + np.repeat(begin[ids], take)
-            raw = flat[src].tobytes()
-            cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])].tolist()
-            text = [raw[a:z].decode("utf-8", "replace") if ok else None
-                    for a, z, ok in zip(cut[:-1], cut[1:], np.asarray(col.is_valid()).tolist())]
-            yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(text, pa.string())], [*names, "decoded"])
+        for whole in batches:
+            sizes = np.asarray(whole.column(at).value_lengths().fill_null(0))
+            part = np.concatenate([[0], np.cumsum(sizes)]) // STRETCH
+            cuts = [0, *(np.flatnonzero(np.diff(part[:-1])) + 1).tolist(), whole.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                b = whole.slice(lo, hi - lo)
+                col = b.column(at)
+                ids = np.asarray(col.flatten()).astype(np.int64)
+                take = size[ids]
+                ends = np.cumsum(take)
+                total = int(ends[-1]) if len(ends) else 0
+                src = np.arange(total) + np.repeat(begin[ids] - (ends - take), take)
+                raw = flat[src].tobytes()
+                cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes[lo:hi])])].tolist()
+                text = [raw[a:z].decode("utf-8", "replace") if ok else None
+                        for a, z, ok in zip(cut[:-1], cut[1:], np.asarray(col.is_valid()).tolist())]
+                yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(text, pa.string())], [*names, "decoded"])
 
     return rows.mapInArrow(run, schema)
