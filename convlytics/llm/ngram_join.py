@@ -10,8 +10,9 @@ A document's set holds its distinct k-word shingles.  Two documents link when
    only classes go on, however many copies they have.
 3. Classes that share a prefix shingle meet in a bucket (shingle, length
    band); bands bound the sizes to the length filter's ratio.  In star rounds
-   a bucket's smallest member meets the others, by positional filter, suffix
-   filter (overlap bound over hash ranges) and verification on whole sets.
+   a few members of a bucket, chosen by hash, meet the others, by positional
+   filter, suffix filter (overlap bound over hash ranges) and verification on
+   whole sets.
    Groups of near copies fall into one component that way without their pairs
    being listed.  What is left, members of one bucket in different components,
    is then compared in full, each pair once, so no link is lost.
@@ -38,12 +39,13 @@ from convlytics.llm.scratch import Scratch
 
 #: counters of the shingle sketch; 4 MB whatever the input
 SKETCH_SLOTS = 1 << 20
-#: hash ranges of the suffix filter
-RANGES = 32
+#: hash ranges of the suffix filter; a count stops at LEVEL, which keeps the bound
+RANGES = 128
+LEVEL = 127
 #: bits of the bitmap of documents to verify; 4 MB whatever the input
 BITMAP_BITS = 1 << 25
-#: rounds in which buckets are compared by their smallest member only
-STAR_ROUNDS = 2
+#: members by which buckets are compared in the star rounds
+STARS = (1, 3)
 #: members of a verification group; larger ones are split, each part with the first member's set
 GROUP = 256
 
@@ -88,7 +90,7 @@ def signatures(docs: DataFrame, k: int, slots: int = SKETCH_SLOTS) -> DataFrame:
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
     """Per row: set size, 128-bit set digest, rare-first prefix, counts by hash range."""
-    schema = "doc_id long, n long, d1 long, d2 long, prefix array<long>, profile array<int>"
+    schema = "doc_id long, n long, d1 long, d2 long, prefix array<long>, profile array<tinyint>"
     shift = np.uint64(64 - (RANGES - 1).bit_length())
 
     def run(batches):
@@ -106,57 +108,88 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
                     p = m - -(-num * m // den) + 1 if m else 0
                     rare = np.argsort(order[(s & mask).astype(np.int64)], kind="stable")[:p]
                     pre.append(T.signed(s[rare]))
-                    prof.append(np.bincount((s >> shift).astype(np.int64), minlength=RANGES))
+                    prof.append(np.minimum(np.bincount((s >> shift).astype(np.int64), minlength=RANGES), LEVEL))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(c.lo, len(c)), pa.array(n, pa.int64()),
                      pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                     T.list_column(pre), T.list_column(prof, pa.int32())],
+                     T.list_column(pre), T.list_column(prof, pa.int8())],
                     ["doc_id", "n", "d1", "d2", "prefix", "profile"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _bucket_rows(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(gram, band, cid, n, pos) of the prefix shingles that two classes share."""
+    """(gram, band, cid, n, pos, before) of the prefix shingles that two classes share.
+
+    ``before`` counts the class's shared shingles that come earlier.  Shingles
+    common to two classes and earlier than one they share lie in both prefixes,
+    so ``before`` bounds their number; a shingle of one class alone cannot be
+    one of them.
+    """
     rows = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = rows.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) - F.lit(1e-9)).cast("int")
-    return (rows.join(shared, "gram")
-            .withColumn("band", F.explode(F.array(band, band + 1)))
-            .select("gram", "band", "cid", "n", "pos"))
+    # a class has no more rows than its prefix has shingles
+    own = (rows.join(shared, "gram").groupBy("cid", "n")
+           .agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("held"))
+           .select("cid", "n", F.posexplode("held").alias("before", "held")))
+    return (own.withColumn("band", F.explode(F.array(_band("n", num, den), _band("n", num, den) + 1)))
+            .select("held.gram", "band", "cid", "n", "held.pos", "before"))
+
+
+def _band(n: str, num: int, den: int):
+    """Length band: sizes that may link lie in one band or in two that touch."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(den / num)) - F.lit(1e-9)).cast("int")
 
 
 def _possible(num: int, den: int):
     """Length and positional filter of a bucket's pair (a, b)."""
     lo, hi = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    most = (F.least("a_pos", "b_pos") + 1
+    most = (F.least("a_before", "b_before") + 1
             + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1))
     return (den * lo >= num * hi) & (most * (num + den) >= num * (lo + hi))
 
 
-def _star_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The smallest member of each bucket with the members of other components."""
-    first = (rows.groupBy("gram", "band")
-             .agg(F.min(F.struct("n", "cid", "pos", "comp")).alias("p"),
-                  F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo != hi")
-             .select("gram", "band", F.col("p.cid").alias("a"), F.col("p.n").alias("a_n"),
-                     F.col("p.pos").alias("a_pos"), F.col("p.comp").alias("a_comp")))
+def _overlap_enough(num: int, den: int):
+    """Suffix filter: what one profile has more than the other, range by range,
+    is not in the overlap."""
+    def less(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.greatest(p.cast("int") - q.cast("int"), F.lit(0))), F.lit(0),
+                           lambda s, d: s + d)
+
+    most = F.least(F.col("a_n") - less("a_profile", "b_profile"), F.col("b_n") - less("b_profile", "a_profile"))
+    return most * (num + den) >= num * (F.col("a_n") + F.col("b_n"))
+
+
+def _star_pairs(rows: DataFrame, num: int, den: int, seeds: range) -> DataFrame:
+    """A few members of each mixed bucket with the members of other components.
+
+    Members with few shingles of their own before the bucket's come first, as
+    they are near most others; beyond that a hash decides.
+    """
+    pick = [F.min(F.struct(F.floor(F.col("pos") / 4), F.xxhash64(F.lit(s), "cid"), "cid", "n", "pos", "before", "comp"))
+            for s in seeds]
+    first = (rows.groupBy("gram", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*pick).alias("p"))
+             .where("lo != hi").select("gram", "band", F.explode(F.array_distinct("p")).alias("p"))
+             .select("gram", "band", F.col("p.cid").alias("a"), F.col("p.n").alias("a_n"), F.col("p.pos").alias("a_pos"),
+                     F.col("p.before").alias("a_before"), F.col("p.comp").alias("a_comp")))
     return (rows.join(first, ["gram", "band"]).where("comp != a_comp")
-            .select("a", "a_n", "a_pos", F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"))
+            .select("a", "a_n", "a_pos", "a_before", F.col("cid").alias("b"), F.col("n").alias("b_n"),
+                    F.col("pos").alias("b_pos"), F.col("before").alias("b_before"))
             .where(_possible(num, den)).select("a", "b").distinct())
 
 
-def _all_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _all_pairs(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Every possible pair of members of different components, once."""
     mixed = (rows.groupBy("gram", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo != hi").select("gram", "band"))
-    left = rows.join(mixed, ["gram", "band"])
-    right = left.select("gram", "band", *[F.col(c).alias(f"b_{c}") for c in ("cid", "n", "pos", "comp")])
-    left = left.select("gram", "band", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "pos", "comp")])
+    left = rows.join(mixed, ["gram", "band"]).join(classes.select("cid", "profile"), "cid")
+    fields = ("cid", "n", "pos", "before", "comp", "profile")
+    right = left.select("gram", "band", *[F.col(c).alias(f"b_{c}") for c in fields])
+    left = left.select("gram", "band", *[F.col(c).alias(f"a_{c}") for c in fields])
     return (left.join(right, ["gram", "band"])
             .where((F.col("a_comp") != F.col("b_comp")) & (F.col("a_cid") < F.col("b_cid")))
-            .where(_possible(num, den))
+            .where(F.col("band") == F.greatest(_band("a_n", num, den), _band("b_n", num, den)))  # of two bands, one
+            .where(_possible(num, den)).where(_overlap_enough(num, den))
             .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct())
 
 
@@ -169,10 +202,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
     first in each group's stream, so a task holds one set at a time.
     """
     profile = classes.select(F.col("cid"), "n", "profile")
-    bound = F.aggregate(F.zip_with("a_profile", "b_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     pairs = (pairs.join(profile.select(F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("profile").alias("a_profile")), "a")
              .join(profile.select(F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("profile").alias("b_profile")), "b")
-             .where(bound * (num + den) >= num * (F.col("a_n") + F.col("b_n")))
+             .where(_overlap_enough(num, den))
              .select("a", "b"))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     pairs, path = scratch.write(pairs.join(many, "a")
@@ -258,7 +290,7 @@ def jaccard_pairs(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     raw, classes, full, path = _classes(docs, k, num, den, scratch)
     rows = scratch.save(_bucket_rows(full, num, den).withColumn("comp", F.col("cid")))
     scratch.drop(path)
-    pairs = _verify(_all_pairs(rows, num, den), classes, docs, k, num, den, scratch)
+    pairs = _verify(_all_pairs(rows, classes, num, den), classes, docs, k, num, den, scratch)
     members = (raw.join(classes.select("d1", "d2", "n", "cid"), ["d1", "d2", "n"], "left")
                .select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id")))
     return pairs, members
@@ -272,13 +304,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     rows, rpath = scratch.write(_bucket_rows(full, num, den))
     scratch.drop(path)
     tried = links = labels = None
-    for step in range(STAR_ROUNDS + 1):
+    for step, stars in enumerate((*STARS, 0)):
         if labels is None:
             marked = rows.withColumn("comp", F.col("cid"))
         else:
             marked = (rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
                       .withColumn("comp", F.coalesce("comp", "cid")))
-        pairs = (_star_pairs if step < STAR_ROUNDS else _all_pairs)(marked, num, den)
+        pairs = _star_pairs(marked, num, den, range(10 * step, 10 * step + stars)) if stars else _all_pairs(marked, classes, num, den)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
