@@ -242,8 +242,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
         key, base = None, None
         for batch in batches:
             a, b, inter = [], [], []
-            for x, y, z, g in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                g = np.frombuffer(g, np.uint64)
+            grams = batch.column(3)
+            for i, (x, y, z) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)))):
+                g = np.frombuffer(grams[i].as_buffer(), np.uint64)
                 if z is None:
                     key, base = x, g
                     continue

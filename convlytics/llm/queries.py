@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from convlytics.llm import fingerprints, language_id, licenses, pii, quality, segmentation, toxicity
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
+from convlytics.llm.scratch import settle
 from convlytics.llm.suffix_dedup import repeated_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +30,7 @@ def query(name: str):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 @query("op1_ngram_jaccard")

@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from convlytics.session import scratch_path
 
 
+#: rows of an Arrow batch: whole texts are large, and each task holds a batch on both sides
+BATCH_ROWS = 1000
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """Bound the batches that tasks exchange with Python, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 class Scratch:
     """Writes intermediate tables below ``spark.checkpoint.dir``.
 

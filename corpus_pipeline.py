@@ -14,7 +14,7 @@ from convlytics.llm import language_id, pii
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
 from convlytics.llm.queries import vocabulary
-from convlytics.llm.scratch import Scratch
+from convlytics.llm.scratch import Scratch, settle
 from convlytics.llm.suffix_dedup import remove_repeats
 
 
@@ -26,6 +26,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that no language's centroid is near to go."""
+    settle(spark)
     return language_id.accepted(docs, language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang")))
 
 
@@ -34,6 +35,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Repeated rows of that document become one.
     """
+    settle(spark)
     keep = (jaccard_components(docs, k=5, num=8, den=10)
             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")))
@@ -45,16 +47,19 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: passages of 50 words stay in the document with the smallest id."""
+    settle(spark)
     return _measured(remove_repeats(docs))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: personal data are replaced by their kind."""
+    settle(spark)
     return _measured(pii.redact(docs, pii.fit(docs.select("doc_id", "text"))))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: pieces of token sequences, with their ids."""
+    settle(spark)
     return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
