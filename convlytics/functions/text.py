@@ -73,22 +73,45 @@ def extract_json_block(col) -> Column:
     return F.when(m == F.lit(""), F.lit(None).cast("string")).otherwise(m)
 
 
+def python_float(col) -> Column:
+    """A double as Python spells it: '13.0', '12345678.9', '0.0001', '1e+20', 'nan', 'inf'.
+
+    Java turns to an exponent outside 1e-3 to 1e7, Python outside 1e-4 to 1e16;
+    only what Java writes with an exponent is spelled anew.
+    """
+    java = _c(col).cast("double").cast("string")
+    part = lambda i: F.regexp_extract(java, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", i)
+    sign, tail, e = part(1), F.regexp_replace(part(3), "^0$", ""), F.nullif(part(4), F.lit("")).cast("int")
+    digits = F.concat(part(2), tail)
+    whole = F.rpad(digits, F.greatest(e + 1, F.char_length(digits)), "0")
+    large = F.concat(sign, F.substr(whole, F.lit(1), e + 1), F.lit("."),
+                     F.coalesce(F.nullif(F.substr(whole, e + 2), F.lit("")), F.lit("0")))
+    power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.char_length(F.abs(e).cast("string"))), "0"))
+    spread = F.concat(sign, part(2), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"), power)
+    return (F.when(java == "NaN", "nan").when(java == "Infinity", "inf").when(java == "-Infinity", "-inf")
+            .when(e.isNull(), java).when(e.between(0, 15), large).when(e == -4, F.concat(sign, F.lit("0.000"), digits))
+            .otherwise(spread))
+
+
 def _variant_scalar_text(v: Column) -> Column:
-    """Text of a scalar VARIANT; fractional numbers print as floats ('13.0')."""
+    """Text of a scalar VARIANT; fractional numbers print as Python floats ('13.0')."""
     kind = F.schema_of_variant(v)
     is_fraction = kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
-    return F.when(is_fraction, F.try_variant_get(v, "$", "double").cast("string")).otherwise(
+    return F.when(is_fraction, python_float(F.try_variant_get(v, "$", "double"))).otherwise(
         F.try_variant_get(v, "$", "string")
     )
 
 
-def normalize_content(col, dtype: str) -> Column:
+def normalize_content(col, dtype: str, raw: str | None = None) -> Column:
     """Flatten one message ``content`` value to clean text.
 
     ``dtype`` is the column's simple type string.  VARIANT values: null -> '',
     arrays -> elements joined by '; ' (scalars by their JSON text, strings
-    unquoted), objects -> compact JSON, scalars -> stripped text.  Plain
-    strings are stripped; other scalar types are cast to string and stripped.
+    unquoted), objects -> compact JSON, scalars -> stripped text.  A VARIANT
+    holds its keys sorted; ``raw`` names a column with the value's own JSON
+    text, whose key order is then kept.  Plain strings are stripped; other
+    scalar types are cast to string and stripped, floating numbers as Python
+    spells them, NaN counting as missing.
     """
     c = _c(col)
     if dtype == "variant":
@@ -100,11 +123,15 @@ def normalize_content(col, dtype: str) -> Column:
         return (
             F.when(c.isNull() | (kind == F.lit("VOID")), F.lit(""))
             .when(kind.startswith("ARRAY"), F.array_join(elems, "; "))
-            .when(kind.startswith("OBJECT"), F.to_json(c))
+            .when(kind.startswith("OBJECT"), F.to_json(c) if raw is None else F.coalesce(F.col(raw), F.to_json(c)))
             .otherwise(ustrip(F.coalesce(_variant_scalar_text(c), F.lit(""))))
         )
+    if dtype in ("array<double>", "array<float>"):
+        return F.coalesce(F.array_join(F.transform(c, python_float), "; "), F.lit(""))
     if dtype.startswith("array"):
         return F.coalesce(F.array_join(F.transform(c, lambda e: e.cast("string")), "; "), F.lit(""))
+    if dtype in ("double", "float"):
+        return F.when(c.isNull() | F.isnan(c), "").otherwise(python_float(c))
     if dtype.startswith("struct") or dtype.startswith("map"):
         return F.coalesce(F.to_json(c), F.lit(""))
     return F.coalesce(ustrip(c.cast("string")), F.lit(""))

@@ -50,7 +50,8 @@ def clean_messages(messages: DataFrame, seq_col: str | None = None) -> DataFrame
     cols = [
         F.col("thread_id").cast("string").alias("thread_id"),
         ts.alias("msg_timestamp"),
-        normalize_content("content", _dtype(m, "content")).alias("clean_content"),
+        normalize_content("content", _dtype(m, "content"), "content_raw" if "content_raw" in m.columns else None)
+        .alias("clean_content"),
     ]
     if seq_col:
         cols.append(F.col(seq_col).alias("_seq"))

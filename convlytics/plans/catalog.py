@@ -232,17 +232,48 @@ def json_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from convlytics.sources.json_source import read_json
 
     schema = "event_id long, thread_id string, content variant, created_at variant"
-    return read_json(spark, events_json_path(spark, sf_dir), schema=schema)
+    return read_json(spark, events_json_path(spark, sf_dir), schema=schema, raw="content")
 
 
 @query("src_json_messages")
 def src_json_messages(spark, sf_dir):
     """JSON Lines messages read with VARIANT fields, then cleaned."""
     m = json_messages(spark, sf_dir)
-    clean = M.clean_messages(m.select("thread_id", "content", "created_at", "event_id"), seq_col="event_id")
+    clean = M.clean_messages(m.select("thread_id", "content", "content_raw", "created_at", "event_id"), seq_col="event_id")
     return clean.select("thread_id", F.col("_seq").alias("event_id"), "msg_timestamp", "clean_content")
 
 
+@query("src_json_collections")
+def src_json_collections(spark, sf_dir):
+    """Threads and messages from two JSON collections, checked and joined into the master table."""
+    from convlytics.session import scratch_path
+    from convlytics.sources.json_source import load_collections
+
+    base = scratch_path(spark, "collections")
+    t = T.threads(spark, sf_dir).select("thread_id", "status", F.struct(F.col("created_at").cast("string").alias("$date")).alias("created_at"))
+    t.write.json(f"{base}/threads")
+    m = T.messages(spark, sf_dir).select("thread_id", "content", F.col("created_at").cast("string").alias("created_at"))
+    m.write.json(f"{base}/messages")
+    threads, messages = load_collections(spark, f"{base}/threads", f"{base}/messages",
+                                         threads_schema="thread_id string, status string, created_at variant")
+    return M.build_master(threads, messages).select("thread_id", "status", "full_conversation", "msg_count")
+
+
+@query("number_text")
+def number_text(spark, sf_dir):
+    """Numbers of very different sizes as message content."""
+    from convlytics.functions.text import normalize_content
+
+    e = T.read_table(spark, sf_dir, "events")
+    scale = F.pow(F.lit(10.0), F.pmod(F.col("event_id"), F.lit(40)) - 15)
+    c = e.select("event_id", F.when(F.pmod("event_id", F.lit(41)) == 7, F.lit(float("nan"))).otherwise(
+        F.round("value", 2) * scale).alias("content"))
+    text = normalize_content("content", "double")
+    # SQL engines spell doubles in their own ways: compare the value and the form
+    form = F.when(text == "", "missing").when(text.contains("e"), "power").otherwise("plain")
+    return c.select("event_id", form.alias("form"), r6(F.log10(F.abs(F.nullif(text, F.lit("")).cast("double")) + 1e-30)).alias("magnitude"))
+
+
 @query("normalize_content")
 def normalize_content_q(spark, sf_dir):
     from convlytics.functions.text import normalize_content

@@ -589,3 +589,14 @@ SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS item_id,
        'Pregunta: ' || text || chr(10) || 'Respuesta: ' || {_answer("text", '["see context"]')} AS text,
        CAST(conv_id AS VARCHAR) AS thread_id
 FROM conversations WHERE role = 'user'"""
+
+SQL["src_json_collections"] = WITH_MASTER + """
+SELECT thread_id, status, full_conversation, msg_count FROM master"""
+
+SQL["number_text"] = """
+WITH c AS (SELECT event_id, CASE WHEN event_id % 41 = 7 THEN NULL
+                                 ELSE round(value, 2) * pow(10.0, event_id % 40 - 15) END AS x FROM events)
+SELECT event_id, CASE WHEN x IS NULL THEN 'missing'
+                      WHEN x <> 0 AND (abs(x) < 1e-4 OR abs(x) >= 1e16) THEN 'power' ELSE 'plain' END AS form,
+       round(log10(abs(x) + 1e-30), 6) AS magnitude
+FROM c"""

@@ -18,6 +18,8 @@ from pyspark.sql import SparkSession
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # JSON objects that repeat a key are read, the last one counting
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 DEFAULT_CONF = {

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from convlytics.errors import DataValidationError
 
@@ -20,18 +21,45 @@ from convlytics.errors import DataValidationError
 MESSAGES_SCHEMA = "thread_id string, content variant, created_at variant"
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False) -> DataFrame:
-    reader = spark.read.option("mode", "FAILFAST").option("multiLine", multiline)
-    if schema:
-        reader = reader.schema(schema)
+def _reading(path: str, read):
     try:
-        return reader.json(path)
+        return read()
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
             raise FileNotFoundError(path) from exc
         raise DataValidationError(f"malformed JSON at {path}: {exc}") from exc
 
 
+def read_json(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False,
+              raw: str | None = None) -> DataFrame:
+    """A JSON collection; malformed input fails the job that meets it.
+
+    ``raw`` names a field of a JSON Lines file whose own JSON text is kept in
+    ``<field>_raw`` (a VARIANT holds an object's keys sorted).
+    """
+    if raw and schema and not multiline:
+        lines = _reading(path, lambda: spark.read.text(path)).filter(F.trim("value") != "")
+        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_row"),
+                            F.get_json_object("value", f"$.{raw}").alias(f"{raw}_raw")).select("_row.*", f"{raw}_raw")
+    reader = spark.read.option("mode", "FAILFAST").option("multiLine", multiline)
+    return _reading(path, lambda: (reader.schema(schema) if schema else reader).json(path))
+
+
+def check_json(spark: SparkSession, path: str, schema: str | None, multiline: bool = False) -> None:
+    """Raise :class:`DataValidationError` unless every record of the file is JSON of this schema."""
+    reader = (spark.read.option("mode", "PERMISSIVE").option("multiLine", multiline)
+              .option("columnNameOfCorruptRecord", "_corrupt"))
+    if schema:
+        reader = reader.schema(f"{schema}, _corrupt string")
+    df = _reading(path, lambda: reader.json(path))
+    if "_corrupt" not in df.columns:
+        return
+    # the corrupt field may not be read alone, so the others come along
+    bad = df.filter(F.col("_corrupt").isNotNull()).limit(1).collect()
+    if bad:
+        raise DataValidationError(f"malformed JSON at {path}: {bad[0]['_corrupt'][:200]}")
+
+
 def load_collections(
     spark: SparkSession,
     threads_path: str,
@@ -40,14 +68,19 @@ def load_collections(
     threads_schema: str | None = None,
     messages_schema: str | None = MESSAGES_SCHEMA,
     check_empty: bool = True,
+    validate: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(threads, messages) DataFrames; missing file -> FileNotFoundError.
 
-    ``check_empty`` runs a LIMIT 1 job per input and raises
-    :class:`DataValidationError` when either is empty.
+    ``validate`` parses both files once at call time and raises
+    :class:`DataValidationError` on a malformed record; ``check_empty`` looks
+    for one row of each and raises the same when either is empty.
     """
+    if validate:
+        check_json(spark, threads_path, threads_schema, multiline)
+        check_json(spark, messages_path, messages_schema, multiline)
     t = read_json(spark, threads_path, threads_schema, multiline)
-    m = read_json(spark, messages_path, messages_schema, multiline)
+    m = read_json(spark, messages_path, messages_schema, multiline, raw="content")
     if check_empty and (t.isEmpty() or m.isEmpty()):
         raise DataValidationError("threads or messages are empty")
     return t, m

@@ -41,8 +41,29 @@ def test_load_collections_errors(spark):
         load_collections(spark, t, m)
     bad = scratch_path(spark, "bad")
     _write(bad, ['{"thread_id": "1", "content": '])
-    with pytest.raises(Exception):
-        load_collections(spark, t, bad)[1].collect()
+    with pytest.raises(DataValidationError):
+        load_collections(spark, t, bad)
+    _write(bad, ['{"thread_id": "1", "content": "fine"}'] * 50 + ["{oops"])
+    with pytest.raises(DataValidationError):
+        load_collections(spark, t, bad)
+    whole = scratch_path(spark, "whole")
+    _write(whole, ["[", '{"thread_id": "1", "content": ["x", 1.5e20],', '"created_at": null}', "]"])
+    assert load_collections(spark, t, whole, multiline=True)[1].count() == 1
+    _write(whole, ["[", '{"thread_id": "1", "content": '])
+    with pytest.raises(DataValidationError):
+        load_collections(spark, t, whole, multiline=True)
+
+
+def test_source_key_order_and_repeated_keys(spark):
+    from convlytics.operators.master import clean_messages
+
+    t, m = scratch_path(spark, "t"), scratch_path(spark, "m")
+    _write(t, [json.dumps({"thread_id": "1"})])
+    _write(m, ['{"thread_id": "1", "content": {"b": 1, "a": 12345678.9}}', '{"thread_id": "1", "content": {"k": 1, "k": 2}}',
+               '{"thread_id": "1", "content": 0.0001}', '{"thread_id": "1", "content": "{\\"z\\": 1}"}'])
+    got = [r.clean_content for r in clean_messages(load_collections(spark, t, m)[1]).collect()]
+    assert got[0].startswith('{"b":1,"a":1') and got[1] in ('{"k":2}', '{"k":1,"k":2}')
+    assert got[2:] == ["0.0001", '{"z": 1}']
 
 
 def test_master_read_through_uses_saved_copy(spark):

@@ -58,3 +58,16 @@ def test_normalize_variant_content(spark):
 def test_normalize_sql_null_and_plain_strings(spark):
     df = spark.createDataFrame([(None,), ("  x  ",)], "c string")
     assert [r.c for r in df.select(normalize_content("c", "string").alias("c")).collect()] == ["", "x"]
+
+
+def test_python_spelling_of_numbers(spark):
+    from convlytics.functions.text import python_float
+
+    vals = [0.0, 13.0, -2.5, 12345678.9, 0.0001, 0.00012, 1e20, 1.5e-7, -1e16, 9999999.0, 1e7, 123456789012345.0, 1e15, 1.25e16,
+            1e-3, 9.5e-5, 1e100, -3e-300, float("nan"), float("inf"), -float("inf"), 100.0, 1e22]
+    got = spark.createDataFrame([(v,) for v in vals], "v double").select(python_float("v").alias("t")).collect()
+    assert [r.t for r in got] == [repr(v) for v in vals]
+    rows = spark.createDataFrame([([1e20, 2.0],), (None,)], "c array<double>").select(normalize_content("c", "array<double>").alias("t"))
+    assert [r.t for r in rows.collect()] == ["1e+20; 2.0", ""]
+    nan = spark.createDataFrame([(float("nan"),), (None,), (1e-5,)], "c double").select(normalize_content("c", "double").alias("t"))
+    assert [r.t for r in nan.collect()] == ["", "", "1e-05"]
