@@ -81,3 +81,39 @@ def test_call_model_keeps_odd_column_names(spark):
     df = spark.createDataFrame([("s", "u", 1)], "`sys prompt` string, `user-text` string, n int")
     out = call_model(df, lambda s, u: s + u, "sys prompt", "user-text", "reply", timed=True).first()
     assert out.reply == "su" and out.n == 1 and out.elapsed_s >= 0
+
+
+def _dead_model(system, user):
+    raise RuntimeError("no model")
+
+
+def test_a_failing_model_raises_unless_captured(spark):
+    import pytest
+
+    from convlytics.operators.answers import call_model
+
+    df = spark.createDataFrame([("s", "u")], "s string, u string")
+    with pytest.raises(Exception, match="no model"):
+        call_model(df, _dead_model, "s", "u").collect()
+    assert call_model(df, _dead_model, "s", "u", on_error="capture").first().response == "no model"
+    with pytest.raises(ValueError):
+        call_model(df, _dead_model, "s", "u", on_error="ignore")
+
+
+def test_hostile_answers_do_not_end_a_batch(spark):
+    from pyspark.sql import functions as F
+
+    from convlytics.functions.jsonudf import is_strict_json, parse_json_lenient
+    from convlytics.operators.answers import score_answers
+
+    rows = ['"\\ud800"', '{"\\udfff": ["\\ud800"]}', "[" * 100_000, '{"a":' * 5_000, '{"a": 1, "a": 2}', "NaN", None,
+            'x {"insights": [1], "actions": []} y', "", "1" * 5_000]
+    df = spark.createDataFrame([(r,) for r in rows], "answer string")
+    lenient = [r.a for r in df.select(parse_json_lenient(F.col("answer")).alias("a")).collect()]
+    assert lenient == ['"\\ud800"', '{"\\udfff":["\\ud800"]}', "{}", "{}", '{"a":2}', "NaN", "{}", '{"insights":[1],"actions":[]}',
+                       "{}", "{}"]
+    strict = [r.s for r in df.select(is_strict_json(F.col("answer")).alias("s")).collect()]
+    assert strict == [True, True, False, False, True, True, False, False, False, False]
+    scored = score_answers(df).collect()
+    assert [r.json_valido for r in scored] == [True, True, False, False, True, True, False, True, False, False]
+    assert scored[7].insights_no_vacios and not scored[7].actions_no_vacios

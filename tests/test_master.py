@@ -123,3 +123,32 @@ def test_question_validation_and_stable_session_ids(spark):
     assert a["1"].valid and not a["2"].question_ok and not a["3"].session_ok
     assert a["1"].session_id_final == b["1"].session_id_final and len(a["1"].session_id_final) == 36
     assert a["2"].session_id_final == "s"
+
+
+def test_empty_inputs_raise_unless_told_otherwise(spark):
+    from convlytics.operators.metrics import impact_metrics
+
+    t = spark.createDataFrame([("a", 1)], "thread_id string, escalate_conversation int")
+    m = _msgs(spark, [("b", "2024-01-01", "x")])
+    with pytest.raises(DataValidationError):
+        build_master(t, m.limit(0))  # nothing to aggregate
+    with pytest.raises(DataValidationError):
+        build_master(t, m)  # no thread has a message
+    assert build_master(t, m, strict=False).count() == 0
+    with pytest.raises(DataValidationError):
+        impact_metrics(build_master(t, m, strict=False))
+    assert impact_metrics(build_master(t, m, strict=False), strict=False).first()["tasa_escalamiento"] is None
+
+
+def test_text_seq_and_bursts_on_hot_threads(spark):
+    rows = [("hot", None, f"s{i:03d}", f"m{i}") for i in range(50)] + [("hot", "2024-01-01", "x", "same")] * 30
+    m = spark.createDataFrame(rows, "thread_id string, created_at string, seq string, content string")
+    one = conversation_aggregate(m, seq_col="seq", hot_thread_rows=None).collect()
+    assert [tuple(r) for r in conversation_aggregate(m, seq_col="seq", hot_thread_rows=5).collect()] == [tuple(r) for r in one]
+
+
+def test_requested_threads_only(spark):
+    m = _msgs(spark, [("a", "2024-01-01", "x"), ("b", "2024-01-01", "y")])
+    t = spark.createDataFrame([("a",), ("b",)], "thread_id string")
+    got = build_master(t, m, thread_ids=spark.createDataFrame([("b",), ("b",), (None,)], "thread_id string")).collect()
+    assert [(r.thread_id, r.full_conversation) for r in got] == [("b", "y")]

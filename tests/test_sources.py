@@ -94,3 +94,41 @@ def test_small_helpers(spark):
     assert (r.n_rows, r.n_columns) == (4, 1)
     with pytest.raises(DataValidationError):
         require_rows(df.filter(F.lit(False)), "empty")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import convlytics.session as S
+
+    class Context:
+        master = "spark://head:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        S.checkpoint_dir(Session())
+
+
+def test_column_names_by_rule(spark):
+    from convlytics.operators.schema import snake_case
+
+    names = {" C Custkey": "c_custkey", "c-name": "c_name", "C__Mkt  Segment!": "c_mkt_segment", "a - b": "a_b", "_x_": "_x_",
+             "a!-!b": "a_b", "ÁbC9": "bc9", "": "", "\tA\u00a0B\n": "a_b"}
+    assert {n: snake_case(n) for n in names} == names
+
+
+def test_duplicates_and_uniques_on_digests(spark):
+    from convlytics.operators.profile import distinct_counts, duplicate_rows
+
+    df = spark.createDataFrame([("a", 1, None), ("a", 1, None), ("a,", 1, "1"), ("a", 11, None), (None, None, None)],
+                               "x string, y int, z string")
+    r = duplicate_rows(df).first()
+    assert (r.n_rows, r.n_duplicates) == (5, 1)
+    assert {c.column: c.unique_values for c in distinct_counts(df).collect()} == {"x": 2, "y": 2, "z": 1}
+    assert {c.column: c.unique_values for c in distinct_counts(df, null_as_value=True).collect()} == {"x": 3, "y": 3, "z": 2}
