@@ -143,7 +143,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dims:
     picked = (docs.join(F.broadcast(per.select("lang", "share")), "lang").where(rank < F.col("share"))
               .select("lang", "text"))
 
-    def cluster(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.vstack([h for _, h in histograms(pa.array(pdf["text"], pa.string()), dims)])
         x = vectors(h, idf)
         c = _kmeans(x, centroids)
