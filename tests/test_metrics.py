@@ -121,7 +121,9 @@ def test_impact_metrics_strict_raises_on_empty(spark):
 
     with pytest.raises(DataValidationError):
         MT.impact_metrics(_master(spark).limit(0), strict=True)
-    assert MT.impact_metrics(_master(spark).limit(0)).first().tasa_escalamiento is None
+    with pytest.raises(DataValidationError):
+        MT.impact_metrics(_master(spark).limit(0))
+    assert MT.impact_metrics(_master(spark).limit(0), strict=False).first().tasa_escalamiento is None
 
 
 def test_bucket_binary_search(spark):
