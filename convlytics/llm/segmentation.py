@@ -36,7 +36,7 @@ SEED = 1
 BYTE_WEIGHT = 1e-3
 #: longest pieces of the vocabulary that are considered, in bytes
 LONGEST = 48
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: pieces that are decoded at once, about
 STRETCH = 1 << 18
 #: bytes that lead a UTF-8 character
@@ -48,7 +48,8 @@ _LEAD[0xC0:] = True
 class Vocabulary:
     """Pieces of a SentencePiece model: hashes, ids and weights."""
 
-    def __init__(self, path: str, alpha: float = ALPHA):
+    def __init__(self, path: str, alpha: float = ALPHA, lattices: bool = True):
+        """Without ``lattices`` it holds what decoding needs."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,6 +71,8 @@ class Vocabulary:
             if 0 < len(raw) <= LONGEST and b" " not in raw[1:] and MARK not in p[1:]:
                 names.append(raw)
                 ids.append(i)
+        if not lattices:
+            return
         # common pieces come first in the vocabulary
         rank = np.argsort(np.argsort(np.array(ids))) + 2.0
         self.id = np.array(ids, np.int64)
@@ -334,7 +337,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     at = names.index(ids_col)
 
     def run(batches):
-        v = Vocabulary(model)
+        v = Vocabulary(model, lattices=False)
         size = np.array([len(x) for x in v.bytes_of])
         flat = np.frombuffer(b"".join(v.bytes_of), np.uint8)
         begin = np.cumsum(size) - size
