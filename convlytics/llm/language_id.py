@@ -38,7 +38,7 @@ SLACK = 0.5
 TEMPERATURE = 0.05
 #: learned texts of a length and language from which its smallest cosine is taken
 SEEN = 20
-BLOCK_DOCS = 256
+BLOCK_DOCS = 64
 
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
