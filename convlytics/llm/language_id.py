@@ -32,6 +32,8 @@ GRAMS = (2, 3, 4)
 #: learned documents per language that the centroids are fitted on, about
 SAMPLE = 600
 CENTROIDS = 3
+#: languages that are learned at most, the most frequent ones
+LANGUAGES = 500
 #: share of the smallest cosine of the learned texts of a length below which a text is rejected
 SLACK = 0.5
 #: softness of the score over languages
@@ -137,9 +139,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dims:
         return None
     idf = (np.log((1 + df[dims]) / (1 + df[:dims])) + 1).astype(np.float32)
 
-    per = docs.groupBy("lang").count().withColumn("share", F.lit(sample) / F.col("count"))
+    per = (docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
+           .withColumn("share", F.lit(sample) / F.col("count")))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # one row per language; small, and broadcast so that no text moves before it is sampled
+    # at most LANGUAGES rows, broadcast so that no text moves before it is sampled
     picked = (docs.join(F.broadcast(per.select("lang", "share")), "lang").where(rank < F.col("share"))
               .select("lang", "text"))
 
