@@ -31,11 +31,13 @@ doc_id are not compared; repeated rows of one doc_id and text are one document.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from convlytics.llm import textkit as T
 from convlytics.llm.scratch import Scratch
@@ -313,27 +315,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .agg(F.collect_set(F.struct("d1", "start", "stop")).alias("cuts"))
             .select(F.col("doc_id").alias("__cut_id"), F.col("cuts").alias("__cuts")))
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(text, cuts):
-            if t is None or spans is None or not len(spans):
-                out.append(t)
+    names, at = docs.columns, docs.columns.index(text_col)
+    schema = StructType([StructField(text_col, StringType()) if c == text_col else docs.schema[c] for c in names])
+    cols = [F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names]
+    joined = docs.join(cuts, docs[id_col].cast("long") == F.col("__cut_id"), "left").select(*cols, "__cuts")
+
+    def run(batches):
+        for b in batches:
+            spans = b.column(len(names))
+            hit = np.flatnonzero(np.asarray(spans.is_valid()) & np.asarray(b.column(at).is_valid())).tolist()
+            if not hit:
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], names)
                 continue
-            c = next(T.chunks(pa.array([t], pa.string())))
-            w = T.words(c, c.buf)
-            d1 = _digest(T.span_hashes(c.buf, w.start, w.end))[0]
-            keep = np.ones(len(c.buf), bool)
-            hit = False
-            for s in spans:
-                if s["d1"] == d1:
-                    hit = True
-                    stop = w.start[s["stop"]] if s["stop"] < len(w.start) else len(c.buf)
-                    keep[w.start[s["start"]]:stop] = False
-            out.append(c.buf[keep].tobytes().decode("utf-8") if hit else t)
-        return pd.Series(out, dtype=object)
-
-    joined = docs.join(cuts, docs[id_col].cast("long") == F.col("__cut_id"), "left")
-    new = joined.withColumn("__text", F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__cuts"))))
-    new = new.where(F.col("__cuts").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    return new.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+            text, stay = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
+            for i in hit:
+                new = _without(text[i], spans[i].as_py())
+                stay[i] = new is text[i] or re.search(r"[^\x20\x09-\x0D]", new) is not None
+                text[i] = new
+            columns = b.columns[:-1]
+            columns[at] = pa.array(text, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay))
+
+    return joined.mapInArrow(run, schema)
+
+
+def _without(text: str, spans: list[dict]) -> str:
+    """The text without the words of the spans that were found in this very text."""
+    c = next(T.chunks(pa.array([text], pa.string())))
+    w = T.words(c, c.buf)
+    d1 = _digest(T.span_hashes(c.buf, w.start, w.end))[0]
+    keep = np.ones(len(c.buf), bool)
+    for s in spans:
+        if s["d1"] == d1:
+            stop = w.start[s["stop"]] if s["stop"] < len(w.start) else len(c.buf)
+            keep[w.start[s["start"]]:stop] = False
+    return text if keep.all() else c.buf[keep].tobytes().decode("utf-8")
