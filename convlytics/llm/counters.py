@@ -67,10 +67,10 @@ def bitmap(ids: DataFrame, bits: int) -> np.ndarray:
                                            pa.array([r for _, r in full], pa.binary())], ["slice", "counts"])
 
     def own(batches):
-        out = np.zeros(bits, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            out[_slots(b.column(0), bits)] = True
-        packed = np.packbits(out)
+            at = _slots(b.column(0), bits)
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         yield batch(enumerate(np.array_split(packed, max(1, len(packed) // width))))
 
     def join(batches):

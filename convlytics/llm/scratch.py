@@ -8,7 +8,7 @@ from convlytics.session import scratch_path
 
 
 #: rows of an Arrow batch: whole texts are large, and each task holds a batch on both sides
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def settle(spark: SparkSession) -> SparkSession:
