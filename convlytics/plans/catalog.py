@@ -565,7 +565,7 @@ def knn_edges(spark, sf_dir):
     zero = few.limit(1).select(F.lit(-1).cast("long").alias("item_id"), F.transform("embedding", lambda x: x * 0).alias("embedding"))
     null = zero.select(F.lit(-2).cast("long").alias("item_id"), F.lit(None).cast(few.schema["embedding"].dataType).alias("embedding"))
     corpus = few.unionByName(zero).unionByName(null)
-    return knn_topk(corpus.withColumnRenamed("item_id", "query_id"), corpus, k=1_000_000, block_bytes=1 << 12,
+    return knn_topk(corpus.withColumnRenamed("item_id", "query_id"), corpus, k=1_000_000, block_bytes=1 << 13,
                     pairs_per_task=2_000).select("query_id", "rank", "item_id", r6("score").alias("score"))
 
 
