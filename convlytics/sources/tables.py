@@ -68,10 +68,3 @@ def messages_user(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type"),
         F.col("props").alias("content"),
     )
-
-
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with labels: doc_id, text, toxic, quality."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    lab = read_table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
-    return d.join(lab, "doc_id", "inner")
