@@ -3,27 +3,28 @@
 A passage is a run of at least ``min_words`` white-space separated words that
 stands, word for word, in two documents.
 
-1. Suffixes are kept only at minimiser positions: of every ``window``
-   consecutive 8-word hashes the smallest is selected by content alone, so a
-   repeated passage selects the same positions wherever it stands.  The first
-   selected position of a passage lies within its first ``window`` words;
-   the ``min_words - window + 1`` words from there are the suffix's head.
-   Heads that occur once cannot start a passage and go no further.
-2. The remaining suffixes are sorted by head and by the words that follow, and
-   neighbours are compared: each with the one before it, the last one of
-   another document, and the smallest document of its run.  Matches are extended to the right and to the
-   left; at ``min_words`` they count.  Those that no earlier copy has claimed
-   are sorted once more by the words to their left.
-3. Heads shared by very many documents are first scanned in hashed parts, so
-   no task gets more than its share; what no part's copy has claimed meets in
-   the second scan.  A scan streams, holding three suffixes.
-4. Texts that are equal as a whole count once; their other copies are repeated
-   from end to end.
+1. Every run of ``min_words`` words is assigned to the minimiser among the
+   ``window`` 8-word hashes it begins with, selected by content alone: equal runs
+   have equal minimisers, at equal distance from their beginning.  The
+   ``min_words - window + 1`` words from a minimiser on, its head, belong to
+   all runs of it; heads that only one document has go no further.
+2. Suffixes with equal runs (the words before and after the head, as far as a
+   run of it reaches) form a class; its smallest and its largest document speak
+   for all.  Those two give the class's runs, one row each.
+3. The smallest and the largest document of every run come from one aggregate.
+   Where they differ, the run is repeated, and all suffixes of the classes that
+   have it get the span.
+
+Nothing depends on an order of neighbours or on the size of a group, so every
+passage is found.  Sets of heads and classes are passed to tasks as bitmaps of
+a bounded size: a hash taken twice lets a needless row through and drops none.
+Groups meet in aggregates that combine before they shuffle and in joins of
+written tables, whose hot keys are split by Spark's skew handling.
 
 Of two copies the one with the larger doc_id is the later.  Removing what is
 later leaves each passage in its first document: every removed word has an
-equal one in an equal passage of a smaller doc_id.  Extensions compare 32-bit
-word hashes next to 64-bit heads.
+equal one in an equal passage of a smaller doc_id.  Runs are compared by 64-bit
+hashes next to the distance of their minimiser.
 
 Defined results: null, empty and short texts have no passage; rows with a null
 doc_id are not compared; repeated rows of one doc_id and text are one document.
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from convlytics.llm import counters
 from convlytics.llm import textkit as T
 from convlytics.llm.scratch import Scratch
 
@@ -47,8 +49,10 @@ MIN_WORDS = 50
 GRAM = 8
 #: consecutive hashes of which one is selected
 WINDOW = 26
-#: suffixes of one head in a scanned part; heads with more are split first
+#: without effect: groups of any size are compared as a whole
 PART_ROWS = 512
+#: bits of a bitmap for each value in it, and at least and at most in all
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 
 
 def _digest(h: np.ndarray) -> tuple[int, int]:
@@ -64,218 +68,159 @@ def _word_hashes(c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return T.span_hashes(c.buf, w.start, w.end), w.first
 
 
-def _selected(h: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """Word positions of the minimisers of all documents of a chunk."""
-    g = T.window_hashes(h, GRAM)
-    if len(g) < window:
-        return np.zeros(0, np.int64)
+def _runs(c: T.Chunk, min_words: int, window: int):
+    """Runs of a chunk in text order: (word hashes, first word of each document,
+    run hashes, distance of each run's minimiser, first run of each suffix,
+    word position of each suffix, its class)."""
+    h, first = _word_hashes(c)
+    none = np.zeros(0, np.int64)
+    if len(h) < min_words:
+        return h, first, none.view(np.uint64), none, none, none, none.view(np.uint64)
     end = np.repeat(first[1:], np.diff(first))  # each word's document end
-    least = np.lib.stride_tricks.sliding_window_view(g, window).argmin(axis=1)
-    at = np.arange(len(least))
-    whole = at + window + GRAM - 1 <= end[:len(least)]
-    return np.unique((at + least)[whole])
+    key = T.window_hashes(h, min_words)
+    at = np.flatnonzero(np.arange(len(key)) + min_words <= end[:len(key)])
+    g = np.lib.stride_tricks.sliding_window_view(T.window_hashes(h, GRAM), window)[:len(key)]
+    back = g.argmin(axis=1)[at]
+    key, pos = key[at], at + back
+    start = np.flatnonzero(np.diff(pos, prepend=-1))
+    each = T.mix(key + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    group = T.mix(np.add.reduceat(each, start)) if len(start) else none.view(np.uint64)
+    return h, first, key, back, start, pos[start], group
+
+
+def _heads(h: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each position on."""
+    keys = np.zeros(len(pos), np.uint64)
+    for j in range(n):
+        keys += h[pos + j] * T._MULT[j]
+    return T.signed(T.mix(keys))
 
 
 def suffixes(docs: DataFrame, min_words: int, window: int) -> DataFrame:
-    """Per document: words, text digest, kept suffix positions and their heads."""
-    head = min_words - window + 1
-    schema = "doc_id long, n_words int, d1 long, d2 long, pos array<int>, head array<long>"
+    """Per document: words, text digest, kept suffix positions, their heads and classes."""
+    schema = "doc_id long, n_words int, d1 long, pos array<int>, head array<long>, class array<long>"
 
     def run(batches):
         for b in batches:
             for c in T.chunks(b.column(1)):
-                h, first = _word_hashes(c)
-                sel = _selected(h, first, window)
-                end = np.repeat(first[1:], np.diff(first))
-                sel = sel[sel + head <= end[sel]] if len(sel) else sel
-                keys = np.zeros(len(sel), np.uint64)
-                for j in range(head):
-                    keys += h[sel + j] * T._MULT[j]
-                keys = T.signed(T.mix(keys))
-                cut = np.searchsorted(sel, first)
+                h, first, _, _, _, pos, group = _runs(c, min_words, window)
+                keys, group = _heads(h, pos, min_words - window + 1), T.signed(group)
+                cut = np.searchsorted(pos, first)
                 rows = range(len(c))
-                dig = [_digest(h[first[i]:first[i + 1]]) for i in rows]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(c.lo, len(c)), pa.array(np.diff(first).astype(np.int32)),
-                     pa.array([d[0] for d in dig], pa.int64()), pa.array([d[1] for d in dig], pa.int64()),
-                     T.list_column([sel[cut[i]:cut[i + 1]] - first[i] for i in rows], pa.int32()),
-                     T.list_column([keys[cut[i]:cut[i + 1]] for i in rows])],
-                    ["doc_id", "n_words", "d1", "d2", "pos", "head"])
+                     pa.array([_digest(h[first[i]:first[i + 1]])[0] for i in rows], pa.int64()),
+                     T.list_column([pos[cut[i]:cut[i + 1]] - first[i] for i in rows], pa.int32()),
+                     T.list_column([keys[cut[i]:cut[i + 1]] for i in rows]),
+                     T.list_column([group[cut[i]:cut[i + 1]] for i in rows])],
+                    ["doc_id", "n_words", "d1", "pos", "head", "class"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _contexts(text: DataFrame, min_words: int, window: int) -> DataFrame:
-    """Each shared suffix with the 32-bit hashes of the words after its head and before it."""
-    head, side = min_words - window + 1, window - 1
-    schema = "head long, part int, right binary, left binary, doc_id long, cid long, pos int"
+def _bitmap(ids: DataFrame):
+    """Broadcast bitmap of a long column; its size follows the number of rows."""
+    n = max(1, BITS_EACH * ids.count())
+    bits = counters.bitmap(ids, min(max(1 << (n - 1).bit_length(), LEAST_BITS), MOST_BITS))
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _shared(raw: DataFrame, heads) -> DataFrame:
+    """The suffixes of ``raw`` whose heads are in the bitmap."""
 
     def run(batches):
         for b in batches:
-            doc, cid, d1, d2 = (b.column(i).to_pylist() for i in range(4))
-            at = b.column(5)
-            for c in T.chunks(b.column(4)):
-                h, first = _word_hashes(c)
-                w32 = (h >> np.uint64(32)).astype(">u4")
-                out = [[] for _ in range(7)]
-                for i in range(len(c)):
-                    r = c.lo + i
-                    own = w32[first[i]:first[i + 1]]
-                    if _digest(h[first[i]:first[i + 1]]) != (d1[r], d2[r]):
-                        continue
-                    raw, back, n = own.tobytes(), own[::-1].tobytes(), len(own)
-                    for s in at[r].as_py():
-                        p = s["pos"]
-                        for v, x in zip(out, (s["head"], s["part"],
-                                              raw[4 * (p + head):4 * (p + head + side)],
-                                              back[4 * (n - p):4 * (n - p + side)], doc[r], cid[r], p)):
-                            v.append(x)
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)],
-                                                 ["head", "part", "right", "left", "doc_id", "cid", "pos"])
-
-    return text.mapInArrow(run, schema)
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Equal leading 32-bit words of two byte strings."""
-    if a == b:
-        return len(a) // 4
-    n = min(len(a), len(b))
-    diff = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return (8 * n - diff.bit_length()) // 32
-
-
-SCAN_SCHEMA = ("cid long, start int, stop int, later boolean, other long, "
-               "head long, part int, right binary, left binary, doc_id long, pos int")
-
-
-def _scan(rows: DataFrame, order: list[str], min_words: int, window: int, again: bool) -> DataFrame:
-    """Compare sorted neighbours.  Rows with ``other`` set are matches; with
-    ``again`` the rows without are suffixes that no earlier copy has claimed,
-    where a head has several of them or was split."""
-    head = min_words - window + 1
-    names = [f.split()[0] for f in SCAN_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(),
-             pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
-
-    class Suffix:
-        __slots__ = ("head", "part", "right", "left", "doc", "cid", "pos", "later", "shown")
-
-        def __init__(self, head, part, right, left, doc, cid, pos):
-            self.head, self.part, self.right, self.left = head, part, right, left
-            self.doc, self.cid, self.pos, self.later, self.shown = doc, cid, pos, False, (0, 0)
+            pos, head, group = (b.column(i) for i in (3, 4, 5))
+            n = np.diff(pos.offsets.to_numpy())
+            own = np.flatnonzero(counters.marked(heads.value, head.flatten()))
+            row = pa.array(np.repeat(np.arange(b.num_rows), n)[own])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(i).take(row) for i in range(3)] + [pos.flatten().take(own), group.flatten().take(own)],
+                ["doc_id", "n_words", "d1", "pos", "class"])
+
+    return raw.mapInArrow(run, "doc_id long, n_words int, d1 long, pos int, class long")
+
+
+def _speaks(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One long for a class and a document."""
+    mixed = T.mix(doc.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return T.signed(T.mix(group.astype(np.uint64, copy=False) ^ mixed))
+
+
+def _speakers(classes: DataFrame) -> DataFrame:
+    """Numbers of the smallest and the largest document of each class."""
 
     def run(batches):
-        state: list[Suffix] = []  # before, other, least
-        waiting: list[Suffix] = []  # the first unclaimed suffix of the head, until there is a second
-        unclaimed = [0]
-        key = None
-        out: list[tuple] = []
-
-        def release(s: Suffix):
-            if s.later or not again:
-                return
-            unclaimed[0] += 1
-            waiting.append(s)
-            if unclaimed[0] > 1 or s.part >= 0:
-                for x in waiting:
-                    out.append((x.cid, None, None, None, None, x.head, -1, x.right, x.left, x.doc, x.pos))
-                waiting.clear()
-
-        def compare(a: Suffix, b: Suffix) -> bool:
-            if a.doc == b.doc:
-                return False
-            left, right = _common(a.left, b.left), _common(a.right, b.right)
-            if left + head + right < min_words:
-                return False
-            first, last = (a, b) if a.doc < b.doc else (b, a)
-            last.later = True
-            out.append((last.cid, last.pos - left, last.pos + head + right, True, first.doc, *[None] * 6))
-            lo, hi = first.shown
-            if left > lo or right + 1 > hi:
-                first.shown = (max(left, lo), max(right + 1, hi))
-                out.append((first.cid, first.pos - left, first.pos + head + right, False, last.doc, *[None] * 6))
-            return True
-
-        def close():
-            for s in {id(x): x for x in state}.values():
-                release(s)
-            state.clear()
-            waiting.clear()
-            unclaimed[0] = 0
-
-        def flush():
-            cols = list(zip(*out)) if out else [[] for _ in names]
-            batch = pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(cols, kinds)], names)
-            out.clear()
-            return batch
+        for b in batches:
+            group, lo, hi = (np.asarray(b.column(i)) for i in range(3))
+            own = lo < hi
+            ids = np.concatenate([_speaks(group.view(np.uint64), lo), _speaks(group[own].view(np.uint64), hi[own])])
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])
 
+    return classes.mapInArrow(run, "id long")
+
+
+def _class_runs(docs: DataFrame, speakers, min_words: int, window: int) -> DataFrame:
+    """The runs of the classes that a document speaks for."""
+
+    def run(batches):
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(7))):
-                s = Suffix(*r)
-                if (s.head, s.part) != key:
-                    close()
-                    key = (s.head, s.part)
-                    state[:] = [s, s, s]
-                    continue
-                before, other, least = state
-                seen = {id(x): x for x in (before, other, least)}
-                met = {i: compare(x, s) for i, x in seen.items()}
-                new_other = before if before.doc != s.doc else other
-                new_least = s if not met[id(least)] or s.doc < least.doc else least
-                state[:] = [s, new_other, new_least]
-                held = {id(x) for x in state}
-                for i, x in seen.items():
-                    if i not in held:
-                        release(x)
-                if len(out) >= 20_000:
-                    yield flush()
-        close()
-        yield flush()
-
-    cols = ["head", "part", "right", "left", "doc_id", "cid", "pos"]
-    return (rows.select(*cols).repartition("head", "part")
-            .sortWithinPartitions("head", "part", *order, "doc_id", "pos").mapInArrow(run, SCAN_SCHEMA))
+            ids = np.asarray(b.column(0))
+            for c in T.chunks(b.column(1)):
+                _, first, key, back, start, pos, group = _runs(c, min_words, window)
+                doc = ids[c.lo + np.searchsorted(first, pos, side="right") - 1]
+                said = counters.marked(speakers.value, pa.array(_speaks(group, doc)))
+                n = np.diff(np.append(start, len(key)))
+                own = np.repeat(said, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(T.signed(key[own])), pa.array(back[own].astype(np.int8)),
+                     pa.array(np.repeat(T.signed(group), n)[own]), pa.array(np.repeat(doc, n)[own])],
+                    ["key", "back", "class", "doc_id"])
+
+    return docs.mapInArrow(run, "key long, back tinyint, class long, doc_id long")
+
+
+def _stretches(runs: str):
+    """An array of (back, lo, hi) as stretches (near, far, lo, hi) of neighbouring runs."""
+    last = lambda done: F.element_at(done, -1)
+    joins = lambda done, x: ((last(done)["far"] + 1 == x["back"]) & (last(done)["lo"] == x["lo"])
+                             & (last(done)["hi"] == x["hi"]))
+    part = lambda near, x: F.array(F.struct(
+        near.alias("near"), x["back"].cast("int").alias("far"), x["lo"].alias("lo"), x["hi"].alias("hi")))
+    return F.aggregate(
+        F.array_sort(F.col(runs)), F.array().cast("array<struct<near:int,far:int,lo:bigint,hi:bigint>>"),
+        lambda done, x: F.when((F.size(done) > 0) & joins(done, x),
+                               F.concat(F.slice(done, 1, F.size(done) - 1), part(last(done)["near"], x)))
+        .otherwise(F.concat(done, part(x["back"].cast("int"), x))))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matches (doc_id, d1, n_words, start, stop, later, other): words [start, stop)
     of document doc_id also stand in document ``other``; ``later`` where the
-    other copy has the smaller doc_id.  Spans of one document may overlap."""
+    other copy has the smaller doc_id.  ``other`` is the smallest document that
+    has the words, and for that one the largest.  Spans of one document may overlap."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.where("doc_id is not null")
-    raw, _ = scratch.write(suffixes(docs, min_words, window).where(f"n_words >= {min_words}"))
-    classes, _ = scratch.write(
-        raw.groupBy("d1", "d2", "n_words")
-        .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("pos").alias("pos"),
-             F.first("head").alias("head"))
-        .withColumn("cid", F.monotonically_increasing_id()))
-    rows = (classes.select("cid", F.explode(F.arrays_zip("pos", "head")).alias("s"))
-            .select("cid", F.col("s.pos").alias("pos"), F.col("s.head").alias("head")))
-    shared = rows.groupBy("head").agg(F.count("*").alias("m")).where("m > 1")
-    part = F.when(F.col("m") > PART_ROWS,
-                  F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / PART_ROWS)).cast("int")).otherwise(F.lit(-1))
-    cand = (rows.join(shared, "head").groupBy("cid")
-            .agg(F.collect_list(F.struct("pos", "head", part.alias("part"))).alias("at")))
-    cand = cand.join(classes.select("cid", "rep", "d1", "d2"), "cid")
-    text = (docs.join(cand, F.col("doc_id") == F.col("rep")).select("doc_id", "cid", "d1", "d2", "text", "at"))
-    context = _contexts(text, min_words, window)
-    one = scratch.save(_scan(context, ["right", "left"], min_words, window, True))
-    two = scratch.save(_scan(one.where("other is null"), ["left", "right"], min_words, window, False))
-    found = (one.where("other is not null").select("cid", "start", "stop", "later", "other")
-             .union(two.select("cid", "start", "stop", "later", "other")))
-    own = (found.join(classes.select("cid", F.col("rep").alias("doc_id"), "d1", "n_words"), "cid")
-           .select("doc_id", "d1", "n_words", "start", "stop", "later", "other"))
-    whole = classes.where("rep < last")
-    copies = (raw.select("doc_id", "d1", "d2", "n_words").distinct()
-              .join(whole.select("d1", "d2", "n_words", "rep", "last"), ["d1", "d2", "n_words"])
-              .select("doc_id", "d1", "n_words", F.lit(0).alias("start"), F.col("n_words").alias("stop"),
-                      (F.col("doc_id") > F.col("rep")).alias("later"),
-                      F.when(F.col("doc_id") > F.col("rep"), F.col("rep")).otherwise(F.col("last")).alias("other")))
-    return own.union(copies)
+    ends = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")]
+    raw = scratch.save(suffixes(docs, min_words, window).where(f"n_words >= {min_words}"))
+    heads = scratch.save(raw.select("doc_id", F.explode("head").alias("head")).groupBy("head").agg(*ends)
+                         .where("lo < hi").select("head"))
+    rows = _shared(raw, _bitmap(heads))
+    speakers = scratch.save(_speakers(rows.groupBy("class").agg(*ends)))
+    runs = scratch.save(_class_runs(docs, _bitmap(speakers), min_words, window))
+    # what is joined is written before: only then a hot key of the other side is split
+    several = scratch.save(runs.groupBy("key", "back").agg(*ends).where("lo < hi"))
+    found = scratch.save(
+        runs.select("key", "back", "class").join(several, ["key", "back"])
+        .groupBy("class").agg(F.collect_set(F.struct("back", "lo", "hi")).alias("runs"))
+        .select("class", _stretches("runs").alias("at")))
+    later = F.col("s.lo") < F.col("doc_id")
+    return (rows.join(found, "class").select("doc_id", "d1", "n_words", "pos", F.explode("at").alias("s"))
+            .select("doc_id", "d1", "n_words", (F.col("pos") - F.col("s.far")).alias("start"),
+                    (F.col("pos") - F.col("s.near") + min_words).alias("stop"), later.alias("later"),
+                    F.when(later, F.col("s.lo")).otherwise(F.col("s.hi")).alias("other")))
 
 
 def _merge(spans: str):
@@ -293,7 +238,7 @@ def _merge(spans: str):
 
 def repeated_documents(docs: DataFrame, **kw) -> DataFrame:
     """One row per document with a repeated passage: doc_id, n_repeated_words,
-    partner_id (smallest other document found), repeated and removable spans
+    partner_id (smallest of the ``other`` documents), repeated and removable spans
     (word numbers, stop exclusive) and n_removable_words."""
     span = F.struct("start", "stop")
     per = (repeated_spans(docs, **kw).groupBy("doc_id")

@@ -144,3 +144,14 @@ def test_a_hot_passage_is_split_and_found(spark, monkeypatch):
     assert {r.doc_id for r in repeated_spans(docs).where("later").select("doc_id").distinct().collect()} == set(range(1, 200))
     out = {r.doc_id: r.text for r in remove_repeats(docs).collect()}
     assert out[0] == rows[0][1] and all(len(out[i].split()) == 40 for i in range(1, 200))
+
+
+def test_continuations_of_a_hot_boilerplate_are_found(spark):
+    rng = random.Random(21)
+    core = fx.prose(rng, 45)
+    after = [fx.prose(rng, 10) for _ in range(30)]
+    rows = [(i, f"{fx.prose(rng, 30)} {core} {after[i % 700] if i % 700 < 30 else fx.prose(rng, 10)} {fx.prose(rng, 20)}")
+            for i in range(1400)]
+    got = {r.doc_id: {x for s in r.repeated for x in range(s.start, s.stop)}
+           for r in repeated_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == fx.repeated_words(rows) and len(got) >= 60
