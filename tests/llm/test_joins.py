@@ -155,3 +155,35 @@ def test_continuations_of_a_hot_boilerplate_are_found(spark):
     got = {r.doc_id: {x for s in r.repeated for x in range(s.start, s.stop)}
            for r in repeated_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == fx.repeated_words(rows) and len(got) >= 60
+
+
+def test_a_passage_on_each_side_of_a_shared_core_is_found(spark):
+    rng = random.Random(22)
+    core, rows = fx.prose(rng, 40), []
+    for _ in range(12):  # one shares what precedes with the third, another what follows
+        left, right = fx.prose(rng, 15), fx.prose(rng, 15)
+        for a, b in ((fx.prose(rng, 15), right), (left, fx.prose(rng, 15)), (left, right)):
+            rows.append((len(rows), f"{fx.prose(rng, 20)} {a} {core} {b} {fx.prose(rng, 20)}"))
+    rows += [(len(rows) + i, f"{fx.prose(rng, 35)} {core} {fx.prose(rng, 35)}") for i in range(200)]
+    got = {r.doc_id: r for r in repeated_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = lambda spans: {x for s in spans for x in range(s.start, s.stop)}
+    assert {d: words(r.repeated) for d, r in got.items()} == fx.repeated_words(rows)
+    assert all(words(got[d].removable) >= set(range(20, 90)) for d in range(2, 36, 3))
+
+
+def test_no_head_is_scanned_in_one_task(spark, monkeypatch):
+    plans, write = [], Scratch.write
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    rng = random.Random(23)
+    core = fx.prose(rng, 30)
+    rows = [(i, f"{fx.prose(rng, 30)} {core} {fx.prose(rng, 30)}") for i in range(40)]
+    spans = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(spans._jdf.queryExecution().executedPlan().toString())
+    lines = [p.splitlines() for p in plans]
+    assert any("MapInArrow" in x for p in lines for x in p)
+    assert not any("MapInArrow" in x and "Sort " in y for p in lines for x, y in zip(p, p[1:]))
