@@ -5,12 +5,14 @@
 2. High-recall generators propose further spans, which may overlap: addresses
    with written-out signs, and numbers in groups.
 3. Boosted trees judge each candidate by its format and its context.  They are
-   fitted on the candidates of a bounded sample of documents: one that overlaps
-   a base span of its kind is a positive example, any other a negative one.
+   fitted on a bounded sample of the candidates of all documents, chosen by hash
+   for each kind and label and weighted by the share of them it stands for: one
+   that overlaps a base span of its kind is a positive example, any other a
+   negative one.
    Features say nothing of the signs that the base rules ask for, so what the
    trees learn carries over to spans that miss them.
-4. Per kind, the threshold is the smallest score at which held-back examples
-   keep a precision of 0.95 (unmarked
+4. Per kind, the threshold is the smallest score at which the held-back examples
+   of all documents, a quarter, keep a precision of 0.95 (unmarked
    examples hold some that only lack the base rules' signs).  Candidates above it that touch no base span are
    added; base spans always stay.
 
@@ -32,8 +34,7 @@ from pyspark.sql import functions as F
 from convlytics.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
-#: documents whose candidates the trees are fitted on, about, and candidates at most
-SAMPLE_DOCS = 20_000
+#: candidates that the trees are fitted on, about
 SAMPLE_CANDIDATES = 20_000
 TREES, DEPTH = 12, 3
 PRECISION = 0.95
@@ -205,25 +206,39 @@ class Model:
         self.sql, self.thresholds = sql, thresholds
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Model | None:
-    """Fit trees and thresholds on the candidates of about ``sample_docs`` documents."""
+def _shares(counts: dict[tuple, int], most: int) -> dict[tuple, float]:
+    """Share of each group to take, for groups as equal as they can be and ``most`` rows in all."""
+    shares = {}
+    for i, (group, n) in enumerate(sorted(counts.items(), key=lambda g: (g[1], g[0]))):
+        take = min(n, max(1, most // (len(counts) - i)))
+        shares[group], most = take / n, most - take
+    return shares
+
+
+def fit(docs: DataFrame, sample_candidates: int = SAMPLE_CANDIDATES) -> Model | None:
+    """Fit trees on about ``sample_candidates`` candidates, and thresholds on all held-back ones."""
     scratch = Scratch(docs.sparkSession, "pii")
-    n = docs.count()
-    if not n:
-        return None
-    share = int(min(1.0, sample_docs / n) * (1 << 30))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share) if n > sample_docs else docs
-    rows = (candidates(base_spans(picked)).select("doc_id", F.explode("cand").alias("c")).select("doc_id", "c.*")
-            .limit(sample_candidates).coalesce(1)
-            .withColumn("held", F.pmod(F.xxhash64("doc_id", "start"), F.lit(4)) == 0))
-    rows = scratch.save(rows)
-    classes = {r["label"]: r["n"] for r in rows.where("not held").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(classes) < 2:
+    rows = scratch.save(
+        candidates(base_spans(docs)).select("doc_id", F.explode("cand").alias("c")).select("doc_id", "c.*")
+        .withColumn("held", F.pmod(F.xxhash64("doc_id", "start"), F.lit(4)) == 0))
+    counts = {(r["kind"], r["label"]): r["n"] for r in
+              rows.where("not held").groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}
+    if len({label for _, label in counts}) < 2:
         return None
+    share = F.expr("CASE " + " ".join(f"WHEN kind = '{k}' AND label = {y!r}D THEN {x!r}D"
+                                      for (k, y), x in _shares(counts, sample_candidates).items()) + " END")
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "start", "stop"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     names = list(FEATURES)
+    picked = (rows.where("not held").withColumn("share", share).where(draw < F.col("share"))
+              .select("doc_id", "start", "stop", "label", (1 / F.col("share")).alias("weight"), *names))
+    # in one order, so that every run fits the same trees
+    picked = scratch.save(picked.coalesce(1).sortWithinPartitions("doc_id", "start", "stop", "label", *names))
+    if picked.select("label").distinct().count() < 2:
+        return None
     vec = VectorAssembler(inputCols=names, outputCol="x")
-    gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7)
-    model = gbt.fit(vec.transform(rows.where("not held").coalesce(1)))
+    gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
+                        stepSize=0.3, seed=7)
+    model = gbt.fit(vec.transform(picked.coalesce(1)))
     trees = list(zip(model._java_obj.trees(), model.treeWeights))
     margin = " + ".join(f"{float(w)!r} * ({_tree_sql(t.rootNode(), names)})" for t, w in trees)
     sql = f"1.0D / (1.0D + exp(-2.0D * ({margin})))"

@@ -279,6 +279,18 @@ def test_trees_add_spans_and_redaction_covers_them(spark):
     assert all(out[i] == t for i, t in rows[-20:])
 
 
+def test_the_first_candidates_do_not_decide_what_is_learned(spark):
+    rng = random.Random(19)
+    code = lambda: f"token 2024 {rng.randrange(100)} {rng.randrange(10**6)}.{rng.randrange(100)}"
+    number = lambda: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    texts = [" x ".join(code() for _ in range(400))] + [f"w call +1 {number()} w" for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = pii.fit(docs, sample_candidates=200)
+    assert model is not None and model.thresholds.get("phone", 0) >= 0.5
+    again = pii.fit(docs.repartition(3), sample_candidates=200)
+    assert (again.sql, again.thresholds) == (model.sql, model.thresholds)
+
+
 def test_personal_data_of_odd_rows(spark):
     odd = fx.odd_frame(spark)
     out = pii.redact(odd, pii.fit(odd))
