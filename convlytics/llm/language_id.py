@@ -3,12 +3,13 @@
 A text is the L2-normalised TF-IDF vector of its hashed byte n-grams (lengths
 2 to 4, over lower-cased letters, everything else being one space).  Each
 language has several centroids, found by spherical k-means; a text takes the
-language of the centroid with the largest cosine.  A text that is farther from
-all centroids than the learned texts of its length ever were is rejected.
+language of the centroid with the largest cosine.  A text that is much farther
+from all centroids than the learned texts of that language and length are is
+rejected.
 
-The inverse document frequencies count every learned document.  The centroids
-are fitted on a sample of about ``sample`` documents per language, chosen by
-hash.  Prediction reads nothing but the text.
+The inverse document frequencies and the bounds of rejection count every learned
+document.  The centroids are fitted on a sample of about ``sample`` documents
+per language, chosen by hash.  Prediction reads nothing but the text.
 
 Defined results: null text and text without a letter get ``und`` with score 0
 and are rejected.  Documents with a null id or null language are not learned
@@ -34,11 +35,14 @@ SAMPLE = 600
 CENTROIDS = 3
 #: languages that are learned at most, the most frequent ones
 LANGUAGES = 500
-#: share of the smallest cosine of the learned texts of a length below which a text is rejected
-SLACK = 0.5
+#: quantile of the cosines of the learned texts of a language and length, and
+#: the share of it below which a text is rejected
+LOW, SLACK = 0.01, 0.5
+#: length classes and steps of the cosine that learned texts are counted in
+LENGTHS, STEPS = 32, 128
 #: softness of the score over languages
 TEMPERATURE = 0.05
-#: learned texts of a length and language from which its smallest cosine is taken
+#: learned texts of a length and language from which its bound is taken
 SEEN = 20
 BLOCK_DOCS = 64
 
@@ -104,8 +108,31 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def _floors(seen: np.ndarray) -> np.ndarray:
+    """Low cosine by language and length from counts by language, length and step.
+
+    Lengths with few texts take the nearest length's: that of a shorter one as it
+    is, that of a longer one times the square root of the lengths' ratio, as the
+    cosine of a text with few n-grams grows with the square root of their number.
+    A language without enough texts of any length takes those of all languages.
+    """
+    def bounds(own):
+        total = own.sum(axis=1)
+        known = np.flatnonzero(total >= SEEN)
+        if not len(known):
+            return None
+        low = (np.cumsum(own, axis=1) > LOW * total[:, None]).argmax(axis=1) / STEPS
+        near = known[np.abs(np.arange(LENGTHS)[:, None] - known).argmin(axis=1)]
+        return low[near] * np.sqrt(2.0 ** np.minimum(np.arange(LENGTHS) - near, 0))
+
+    every = bounds(seen.sum(axis=0))
+    each = [bounds(own) for own in seen]
+    rest = np.zeros(LENGTHS) if every is None else every
+    return np.stack([rest if x is None else x for x in each])
+
+
 class Model:
-    """Learned languages, their centroids and the smallest cosine by text length."""
+    """Learned languages, their centroids and the low cosine by language and text length."""
 
     def __init__(self, idf, langs, centroids, floor):
         self.idf, self.langs, self.centroids, self.floor = idf, langs, centroids, floor
@@ -118,7 +145,7 @@ class Model:
         top = best.argmax(axis=1)
         soft = np.exp((best - best.max(axis=1, keepdims=True)) / TEMPERATURE)
         score = soft[np.arange(len(top)), top] / soft.sum(axis=1)
-        floor = self.floor[np.minimum(_length(counts), len(self.floor) - 1)]
+        floor = self.floor[top, np.minimum(_length(counts), LENGTHS - 1)]
         return [names[i] for i in top], score.astype(float), best.max(axis=1) < SLACK * floor
 
 
@@ -148,26 +175,35 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dims:
 
     def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.vstack([h for _, h in histograms(pa.array(pdf["text"], pa.string()), dims)])
-        x = vectors(h, idf)
-        c = _kmeans(x, centroids)
-        near, size = (x @ c.T).max(axis=1), _length(h)
-        floor = [float(near[size == s].min()) if (size == s).sum() >= SEEN else None for s in range(32)]
-        return pd.DataFrame([{"lang": key[0], "centroid": r.tobytes(), "floor": floor} for r in c])
-
-    rows = (picked.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor array<double>")
-            .collect())
+        return pd.DataFrame([{"lang": key[0], "centroid": r.tobytes()} for r in _kmeans(vectors(h, idf), centroids)])
+
+    rows = picked.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
     c = np.vstack([np.frombuffer(r["centroid"], np.float32) for r in rows])
-    least = np.array([min([r["floor"][s] for r in rows if r["floor"][s] is not None], default=np.nan) for s in range(32)])
-    # lengths that were hardly seen take the bound of the next shorter one; shorter
-    # than all of them, a text is never rejected for its distance
-    bound, floor = 0.0, np.zeros(32)
-    for s in range(32):
-        bound = bound if np.isnan(least[s]) else float(least[s])
-        floor[s] = bound
-    return Model(idf, [r["lang"] for r in rows], c, floor)
+    langs = [r["lang"] for r in rows]
+    names = sorted(set(langs))
+    shared = docs.sparkSession.sparkContext.broadcast((idf, c, np.array([names.index(l) for l in langs])))
+
+    def cosines(batches):
+        idf, c, owner = shared.value
+        number = {l: i for i, l in enumerate(names)}
+        total = np.zeros(len(names) * LENGTHS * STEPS, np.int64)
+        for b in batches:
+            lang = np.array([number.get(l, -1) for l in b.column(1).to_pylist()], np.int64)
+            for at, h in histograms(b.column(0), dims):
+                own = lang[at:at + len(h)]
+                cos = np.where(owner == own[:, None], vectors(h, idf) @ c.T, -1.0).max(axis=1)
+                ok = (own >= 0) & (h.sum(axis=1) > 0)
+                step = np.clip(cos * STEPS, 0, STEPS - 1).astype(np.int64)
+                place = (own * LENGTHS + np.minimum(_length(h), LENGTHS - 1)) * STEPS + step
+                np.add.at(total, place[ok], 1)
+        yield from counters.slices(total)
+
+    size = len(names) * LENGTHS * STEPS
+    seen = counters.total(docs.select("text", "lang").mapInArrow(cosines, counters.SCHEMA), size)
+    return Model(idf, langs, c, _floors(seen.reshape(len(names), LENGTHS, STEPS)))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

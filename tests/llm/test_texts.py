@@ -210,6 +210,20 @@ def test_language_of_held_out_texts_and_odd_ones(spark):
     assert none is None and {r.lang_pred for r in language_id.identify(fx.odd_frame(spark), none).collect()} == {"und"}
 
 
+def test_short_texts_of_an_unknown_language_are_rejected(spark):
+    rng = random.Random(17)
+    rows = [r for r in languages(rng, 900) if len(r[1]) > 150]
+    model = language_id.fit(spark.createDataFrame(rows + [(10**6, "zzq xxw kkj " * 30, "aa")],
+                                                  "doc_id long, text string, lang string"))
+    strange = [(i, " ".join("".join(rng.choice("qxzwkjvy") for _ in range(5)) for _ in range(8))) for i in range(50)]
+    short = [(100 + i, t[:60]) for i, t, _ in rows[:200]]
+    got = {r.doc_id: r.rejected for r in
+           language_id.identify(spark.createDataFrame(strange, "doc_id long, text string"), model).collect()}
+    assert sum(got.values()) >= 48
+    kept = language_id.identify(spark.createDataFrame(short, "doc_id long, text string"), model).where("not rejected")
+    assert kept.count() == len(short)
+
+
 # ------------------------------------------------------------------ personal data
 
 PATTERNS = {
