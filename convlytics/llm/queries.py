@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.llm import fingerprints, language_id, licenses, pii, quality, segmentation, toxicity
+from convlytics.llm import decontaminate, fingerprints, language_id, licenses, pii, quality, segmentation, toxicity
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
 from convlytics.llm.scratch import settle
@@ -112,3 +112,13 @@ def op9_sentencepiece(spark, sf_dir):
     rows = segmentation.decode(segmentation.encode(docs, model), model)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_decontaminate")
+def op13_decontaminate(spark, sf_dir):
+    """Words of all documents inside windows of ten benchmark words, and the items they are from."""
+    found = decontaminate.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = decontaminate.n_hit()
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
+                        (F.size("hits") > 0).alias("contaminated"))
