@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from convlytics.llm import decontaminate, fingerprints, language_id, licenses, pii, quality, segmentation, toxicity
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
+from convlytics.llm.prefix_trie import prefix_nodes, rebuilt, sequences
 from convlytics.llm.scratch import settle
 from convlytics.llm.suffix_dedup import repeated_documents
 
@@ -122,3 +123,9 @@ def op13_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
                         (F.size("hits") > 0).alias("contaminated"))
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark, sf_dir):
+    """All nodes of the trie of rebuilt conversations, and what sharing their turns saves."""
+    return prefix_nodes(rebuilt(sequences(settle(spark).read.parquet(f"{sf_dir}/conversations.parquet"))))
