@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlytics.llm import decontaminate, fingerprints, language_id, licenses, pii, quality, segmentation, toxicity
+from convlytics.llm.hard_negatives import hard_negatives, relabelled
 from convlytics.llm.ngram_join import jaccard_components
 from convlytics.llm.packing import pack
 from convlytics.llm.prefix_trie import prefix_nodes, rebuilt, sequences
@@ -129,3 +130,9 @@ def op13_decontaminate(spark, sf_dir):
 def op11_prefix_trie(spark, sf_dir):
     """All nodes of the trie of rebuilt conversations, and what sharing their turns saves."""
     return prefix_nodes(rebuilt(sequences(settle(spark).read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+@query("op12_hard_negatives")
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of all anchors, for each of their five best positives."""
+    return hard_negatives(relabelled(settle(spark).read.parquet(f"{sf_dir}/embeddings.parquet")))
