@@ -136,3 +136,90 @@ def op11_prefix_trie(spark, sf_dir):
 def op12_hard_negatives(spark, sf_dir):
     """Hard negatives of all anchors, for each of their five best positives."""
     return hard_negatives(relabelled(settle(spark).read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+SQL["op13_decontaminate"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS k
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+places AS (
+  SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS k
+  FROM docs, (SELECT DISTINCT size FROM windows) AS s, unnest(range(1, len(w) - size + 2)) AS t(i)),
+found AS (
+  SELECT r, i, p.size, item_id FROM places p JOIN windows v ON p.size = v.size AND p.k = v.k),
+hit AS (
+  SELECT r, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT r, i, size FROM found), unnest(range(size)) AS t(j) GROUP BY r),
+who AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN who USING (r)
+"""
+
+SQL["op11_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+                 lambda x, n: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+whole AS (
+  SELECT c.conv_id, 0 AS part, t.i, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i >= c.h),
+steps AS (
+  SELECT conv_id, text, row_number() OVER w AS depth, sha256(to_json(list([role, text]) OVER w)::VARCHAR) AS node
+  FROM whole WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ways AS (
+  SELECT conv_id, 0 AS depth, 'root' AS node, '' AS text FROM convs UNION ALL SELECT conv_id, depth, node, text FROM steps),
+ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM ways GROUP BY conv_id) GROUP BY node),
+nodes AS (
+  SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS words
+  FROM ways GROUP BY node),
+up AS (
+  SELECT n.node, p.node AS parent FROM nodes n JOIN ways p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent),
+below AS (
+  SELECT a.node, sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM nodes n JOIN ways a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN kids k ON k.node = n.node GROUP BY a.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node)
+LEFT JOIN up ON up.node = n.node LEFT JOIN nodes p ON p.node = up.parent
+"""
+
+SQL["op12_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
