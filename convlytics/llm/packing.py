@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ END_ID = 1
 POOL_TOKENS = 1 << 20
 #: tokens of a step group
 STEP_TOKENS = 1 << 16
-#: words that a task remembers with their ids
-CACHED_WORDS = 500_000
+#: words that a worker remembers with their ids
+CACHED_WORDS = 1_000_000
 CHUNK = 1 << 22
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -94,8 +95,7 @@ class WordTokenizer:
     letters, digits and signs are split from one another.  So a text's ids are
     those of its units one after another: runs of Latin letters in lower case,
     of digits, of ASCII signs, and any word that holds something else as a
-    whole.  Units repeat, and each is encoded once as long as it is remembered,
-    many at a time with a special token between them.
+    whole.  Units repeat, and each is encoded once as long as it is remembered.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -103,9 +103,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok, self.cached = Tokenizer.from_file(path), cached
-        self.between = next(t for t in self.tok.get_added_tokens_decoder().values() if t.special).content
-        self.between_id = self.tok.token_to_id(self.between)
-        self.marks = [t.content[:2].encode("utf-8") for t in self.tok.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -116,18 +113,10 @@ class WordTokenizer:
     def learn(self, new: list[bytes]) -> None:
         flat, sizes = [self.flat], []
         for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            if any(m in w for m in self.marks for w in part if b"<" in w):
-                # the text itself may hold a special token: word by word
-                ids = [np.array(self.tok.encode(w.decode("utf-8"), add_special_tokens=False).ids, np.uint32) for w in part]
-                flat.extend(ids)
-                sizes.append(np.array([len(x) for x in ids], np.int64))
-                continue
-            text = b"".join(part) if len(part) == 1 else self.between.encode("utf-8").join(part)
-            ids = np.array(self.tok.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
-            cut = np.concatenate([[-1], np.flatnonzero(ids == self.between_id), [len(ids)]])
-            flat.append(ids[ids != self.between_id])
-            sizes.append(np.diff(cut) - 1)
+            part = [w.decode("utf-8") for w in new[lo:lo + 4096]]
+            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
         known = self.known
         for i, w in enumerate(new, len(known)):
             known[w] = i
@@ -154,6 +143,16 @@ class WordTokenizer:
         return self.flat[take], np.concatenate([[0], ends])[np.searchsorted(start, c.off)]
 
 
+_WORKER: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer that this Python process keeps, with the words it has met in earlier tasks."""
+    if path not in _WORKER:
+        _WORKER[path] = WordTokenizer(path)
+    return _WORKER[path]
+
+
 class Packer:
     """Packs one task's documents; rows of SCHEMA come out of ``rows``."""
 
@@ -262,7 +261,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
 
     def run(batches):
-        tok = WordTokenizer(vocabulary)
+        tok = worker_tokenizer(vocabulary)
         packer = Packer(TaskContext.get().partitionId(), tiers, pool_tokens)
 
         def flush():

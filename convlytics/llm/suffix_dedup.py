@@ -49,8 +49,6 @@ MIN_WORDS = 50
 GRAM = 8
 #: consecutive hashes of which one is selected
 WINDOW = 26
-#: without effect: groups of any size are compared as a whole
-PART_ROWS = 512
 #: bits of a bitmap for each value in it, and at least and at most in all
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 

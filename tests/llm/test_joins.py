@@ -133,17 +133,21 @@ def test_repeats_of_odd_rows(spark):
     assert out.count() == len(rows) - 1  # the later long text goes
 
 
-def test_a_hot_passage_is_split_and_found(spark, monkeypatch):
-    import convlytics.llm.suffix_dedup as S
-
-    monkeypatch.setattr(S, "PART_ROWS", 8)
+def test_a_hot_passage_is_found_in_all_its_documents(spark):
     rng = random.Random(8)
     shared = fx.prose(rng, 70)
     rows = [(i, f"{fx.prose(rng, 20)} {shared} {fx.prose(rng, 20)}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in repeated_spans(docs).where("later").select("doc_id").distinct().collect()} == set(range(1, 200))
     out = {r.doc_id: r.text for r in remove_repeats(docs).collect()}
-    assert out[0] == rows[0][1] and all(len(out[i].split()) == 40 for i in range(1, 200))
+    first: dict = {}  # of each run of 50 words the smallest document; neighbours of the passage are shared by chance, too
+    words = [t.split() for _, t in rows]
+    for i, w in enumerate(words):
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j:j + 50]), i)
+    gone = [{x for j in range(len(w) - 49) if first[tuple(w[j:j + 50])] < i for x in range(j, j + 50)} for i, w in enumerate(words)]
+    assert all(out[i].split() == [x for j, x in enumerate(w) if j not in gone[i]] for i, w in enumerate(words))
+    assert out[0] == rows[0][1] and all(38 <= len(out[i].split()) <= 40 for i in range(1, 200))
 
 
 def test_continuations_of_a_hot_boilerplate_are_found(spark):
