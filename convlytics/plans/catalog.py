@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -243,6 +244,40 @@ def src_json_messages(spark, sf_dir):
     return clean.select("thread_id", F.col("_seq").alias("event_id"), "msg_timestamp", "clean_content")
 
 
+@query("src_json_array")
+def src_json_array(spark, sf_dir):
+    """Messages from one JSON array file, which many tasks read, then cleaned.
+
+    The file is the events as an array on one line, with nested objects and
+    with braces, quotes and characters of several bytes inside strings.
+    """
+    from convlytics.session import scratch_path
+    from convlytics.sources.json_source import read_json
+
+    lines = spark.read.text(events_json_path(spark, sf_dir))
+    odd = r',"meta":{"note":"}],{\\\" é日","parts":[{"x":[1,{}]},"]"]},"thread_id"'
+    value = F.replace("value", F.lit(',"thread_id"'), F.lit(odd))
+
+    def joined(batches):
+        sign = "["
+        for b in batches:
+            texts = []
+            for v in b.column(0).to_pylist():
+                texts.append(sign + v)
+                sign = ","
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if sign == "[" else "]"])], ["value"])
+
+    path = scratch_path(spark, "events-array")
+    # an array is one file, which one task writes as a stream
+    lines.select(value.alias("value")).coalesce(1).mapInArrow(joined, "value string").write.option("lineSep", " ").text(path)
+    schema = "event_id long, thread_id string, content variant, created_at variant, meta struct<note string, parts string>"
+    m = read_json(spark, path, schema=schema, raw="content", multiline=True)
+    kept = F.col("meta.note").startswith("}],{")
+    clean = M.clean_messages(m.where(kept).select("thread_id", "content", "content_raw", "created_at", "event_id"), seq_col="event_id")
+    return clean.select("thread_id", F.col("_seq").alias("event_id"), "msg_timestamp", "clean_content")
+
+
 @query("src_json_collections")
 def src_json_collections(spark, sf_dir):
     """Threads and messages from two JSON collections, checked and joined into the master table."""

@@ -187,6 +187,8 @@ jm AS (
 SQL["src_json_messages"] = "WITH " + JSON_MSGS + """
 SELECT thread_id, event_id, msg_timestamp, clean_content FROM jm"""
 
+SQL["src_json_array"] = SQL["src_json_messages"]
+
 SQL["normalize_content"] = "WITH " + JSON_MSGS + """
 SELECT event_id, clean_content FROM jm"""
 

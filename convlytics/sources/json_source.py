@@ -3,17 +3,23 @@
 Messages are read with an explicit schema whose ``content`` and date fields
 are VARIANT, so lists, objects, numbers and ``{"$date": ...}`` wrappers all
 survive the read without a schema-inference pass.  JSON Lines files
-(``multiline=False``) split across tasks; a single JSON array file
-(``multiline=True``) is one task per file.
+(``multiline=False``) and JSON array files (``multiline=True``, see
+``json_array``) both split across tasks, and both are parsed once.
 """
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
+from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlytics.errors import DataValidationError
+from convlytics.session import scratch_path
+from convlytics.sources.json_array import array_records
 
 # Default message schema.  Files that spell the date field ``createdAt`` need
 # a schema naming it that way; it normalises to ``createdat``, the fallback
@@ -30,34 +36,51 @@ def _reading(path: str, read):
         raise DataValidationError(f"malformed JSON at {path}: {exc}") from exc
 
 
+def json_records(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """``value``: the JSON text of each record, from lines or from arrays."""
+    if multiline:
+        return _reading(path, lambda: array_records(spark, path))
+    return _reading(path, lambda: spark.read.text(path)).filter(F.trim("value") != "")
+
+
+def infer_schema(records: DataFrame) -> str:
+    """Schema of the records' objects: one aggregate over all of them."""
+    try:
+        kind = records.agg(F.schema_of_variant_agg(F.parse_json("value")).alias("s")).first()["s"]
+    except (PySparkException, Py4JJavaError) as exc:
+        raise DataValidationError(f"malformed JSON: {str(exc)[:500]}") from exc
+    if not kind.startswith("OBJECT<"):
+        raise DataValidationError("there are no records, or they are not objects")
+    kind = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", kind)
+    return re.sub(r"\bVOID\b", "STRING", kind).replace("OBJECT<", "STRUCT<")
+
+
 def read_json(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False,
               raw: str | None = None) -> DataFrame:
     """A JSON collection; malformed input fails the job that meets it.
 
-    ``raw`` names a field of a JSON Lines file whose own JSON text is kept in
-    ``<field>_raw`` (a VARIANT holds an object's keys sorted).
+    ``raw`` names a field whose own JSON text is kept in ``<field>_raw`` (a
+    VARIANT holds an object's keys sorted).  Without a schema one more pass
+    infers it; JSON Lines are then left to Spark's reader.
     """
-    if raw and schema and not multiline:
-        lines = _reading(path, lambda: spark.read.text(path)).filter(F.trim("value") != "")
-        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_row"),
-                            F.get_json_object("value", f"$.{raw}").alias(f"{raw}_raw")).select("_row.*", f"{raw}_raw")
-    reader = spark.read.option("mode", "FAILFAST").option("multiLine", multiline)
-    return _reading(path, lambda: (reader.schema(schema) if schema else reader).json(path))
-
-
-def check_json(spark: SparkSession, path: str, schema: str | None, multiline: bool = False) -> None:
-    """Raise :class:`DataValidationError` unless every record of the file is JSON of this schema."""
-    reader = (spark.read.option("mode", "PERMISSIVE").option("multiLine", multiline)
-              .option("columnNameOfCorruptRecord", "_corrupt"))
-    if schema:
-        reader = reader.schema(f"{schema}, _corrupt string")
-    df = _reading(path, lambda: reader.json(path))
-    if "_corrupt" not in df.columns:
-        return
-    # the corrupt field may not be read alone, so the others come along
-    bad = df.filter(F.col("_corrupt").isNotNull()).limit(1).collect()
-    if bad:
-        raise DataValidationError(f"malformed JSON at {path}: {bad[0]['_corrupt'][:200]}")
+    if not multiline and not (raw and schema):
+        reader = spark.read.option("mode", "FAILFAST")
+        return _reading(path, lambda: (reader.schema(schema) if schema else reader).json(path))
+    records = json_records(spark, path, multiline)
+    row = F.from_json("value", schema or infer_schema(records), {"mode": "FAILFAST"}).alias("_row")
+    if not raw:
+        return records.select(row).select("_row.*")
+    return records.select(row, F.get_json_object("value", f"$.{raw}").alias(f"{raw}_raw")).select("_row.*", f"{raw}_raw")
+
+
+def _checked(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """The collection, parsed once into a table of the shared folder; what cannot be parsed raises here."""
+    staged = scratch_path(spark, "collection")
+    try:
+        df.write.parquet(staged)
+    except (PySparkException, Py4JJavaError) as exc:
+        raise DataValidationError(f"malformed JSON at {path}: {str(exc)[:500]}") from exc
+    return spark.read.schema(df.schema).parquet(staged)
 
 
 def load_collections(
@@ -72,15 +95,15 @@ def load_collections(
 ) -> tuple[DataFrame, DataFrame]:
     """(threads, messages) DataFrames; missing file -> FileNotFoundError.
 
-    ``validate`` parses both files once at call time and raises
-    :class:`DataValidationError` on a malformed record; ``check_empty`` looks
-    for one row of each and raises the same when either is empty.
+    ``validate`` parses both files at call time, into tables that later reads
+    use instead, and raises :class:`DataValidationError` on a malformed record;
+    without it the job that meets one fails.  ``check_empty`` looks for one row
+    of each and raises the same when either is empty.
     """
-    if validate:
-        check_json(spark, threads_path, threads_schema, multiline)
-        check_json(spark, messages_path, messages_schema, multiline)
     t = read_json(spark, threads_path, threads_schema, multiline)
     m = read_json(spark, messages_path, messages_schema, multiline, raw="content")
+    if validate:
+        t, m = _checked(spark, t, threads_path), _checked(spark, m, messages_path)
     if check_empty and (t.isEmpty() or m.isEmpty()):
         raise DataValidationError("threads or messages are empty")
     return t, m
