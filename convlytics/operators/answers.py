@@ -4,19 +4,25 @@ Prompt assembly, routing, per-route drafts and answer scoring run over a
 whole table of questions at once: conversation text comes from an
 equi-join with the master table (not one lookup per request), the context
 summary is a one-row aggregate broadcast to every question, and model calls
-run in ``mapInPandas`` with the caller's function.  Model outputs are
-written out before they are reused, so lineage never calls the model twice.
+run in ``mapInPandas`` with the caller's function, a window of them at a time
+(see ``functions/calls.py``).  Model outputs are written out before they are
+reused, so lineage never calls the model twice, and finished calls are kept in
+a journal until then.
 """
 
 from __future__ import annotations
 
+import shutil
 import time
+from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convlytics.functions.calls import Caller, CallPolicy, Journal, in_order, local_path
 from convlytics.functions.jsonudf import inspect_answer, is_strict_json, parse_json_lenient
 from convlytics.operators.metrics import context_summary
 from convlytics.operators.ranking import attach_one_row
@@ -112,13 +118,16 @@ def system_prompts(questions: DataFrame, master: DataFrame, context: DataFrame |
 
 
 def call_model(df: DataFrame, chat_fn: ChatFn, system_col: str, user_col: str, out_col: str = "response",
-               timed: bool = False, on_error: str = "raise") -> DataFrame:
-    """Runs ``chat_fn(system, user)`` for every row inside ``mapInPandas``.
-
-    A call that fails ends the job (after Spark's task retries), unless
-    ``on_error`` is "capture": then the error text is the response, as an
-    evaluation of the model wants it.  With ``timed`` the elapsed seconds per
-    call go to ``elapsed_s``.
+               timed: bool = False, on_error: str = "raise", policy: CallPolicy = CallPolicy(),
+               journal: str | None = None) -> DataFrame:
+    """Runs ``chat_fn(system, user)`` for every row, several calls at a time in each task.
+
+    Passing errors are retried as ``policy`` says.  A call that fails for good
+    ends the job (after Spark's task retries), unless ``on_error`` is
+    "capture": then the error text is the response, as an evaluation of the
+    model wants it.  With ``timed`` the elapsed seconds per row, waits
+    included, go to ``elapsed_s``.  ``journal`` is a folder that all executors
+    see as files: finished calls are kept there and not made again.
     """
     if on_error not in ("raise", "capture"):
         raise ValueError(f"on_error must be raise or capture, not {on_error!r}")
@@ -127,28 +136,66 @@ def call_model(df: DataFrame, chat_fn: ChatFn, system_col: str, user_col: str, o
         fields.append(T.StructField("elapsed_s", T.DoubleType()))
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            outs, times = [], []
-            for s, u in zip(pdf[system_col], pdf[user_col]):
-                t0 = time.time()
-                try:
-                    outs.append(chat_fn(s, u))
-                except Exception as exc:  # noqa: BLE001 - a model may raise anything
-                    if on_error == "raise":
-                        raise
-                    outs.append(str(exc))
-                times.append(time.time() - t0)
-            pdf = pdf.copy()
-            pdf[out_col] = outs
-            if timed:
-                pdf["elapsed_s"] = times
-            yield pdf
+        book = Journal(journal, TaskContext.get().partitionId()) if journal else None
+        call = Caller(chat_fn, policy)
+        held: deque = deque()
+
+        def rows():
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                held.append(pdf)
+                for system, user in zip(pdf[system_col], pdf[user_col]):
+                    yield system, user, book.key(system, user) if book else None
+
+        def answer(system, user, key):
+            if book and key in book.known:
+                return book.known[key]["answer"], book.known[key]["elapsed"]
+            t0 = time.time()
+            try:
+                out = call(system, user)
+            except Exception as exc:  # noqa: BLE001 - a model may raise anything
+                if on_error == "raise":
+                    raise
+                out = str(exc)
+            elapsed = time.time() - t0
+            if book:
+                book.add(key, out, elapsed)
+            return out, elapsed
+
+        done: list = []
+        try:
+            for got in in_order(answer, rows(), policy.window):
+                done.append(got)
+                if len(done) == len(held[0]):
+                    pdf = held.popleft().copy()
+                    pdf[out_col] = [r for r, _ in done]
+                    if timed:
+                        pdf["elapsed_s"] = [t for _, t in done]
+                    done = []
+                    yield pdf
+        finally:
+            if book:
+                book.close()
 
     return df.mapInPandas(run, schema=T.StructType(fields))
 
 
+def staged_calls(calls: Callable[[str | None], DataFrame], spark: SparkSession, staging_path: str) -> DataFrame:
+    """Writes the rows of ``calls(journal)`` to ``staging_path`` and reads them back.
+
+    The journal lies beside the table while the job runs; a run after a failed
+    one finds it, and it goes when the table is complete.  In stores that only
+    Spark can read there is no journal, and a task that is lost calls again.
+    """
+    folder = local_path(staging_path)
+    journal = f"{folder.rstrip('/')}.calls" if folder else None
+    calls(journal).write.mode("overwrite").parquet(staging_path)
+    if journal:
+        shutil.rmtree(journal, ignore_errors=True)
+    return spark.read.parquet(staging_path)
+
+
 def score_answers(df: DataFrame, text_col: str = "answer") -> DataFrame:
     """Adds the answer-quality fields of each answer text.
 
@@ -182,17 +229,16 @@ def answer_quality_summary(scored: DataFrame, time_col: str = "tiempo_s") -> Dat
 
 
 def evaluate_answers(questions: DataFrame, master: DataFrame, chat_fn: ChatFn, staging_path: str,
-                     question_col: str = "question", id_col: str = "question_id") -> DataFrame:
+                     question_col: str = "question", id_col: str = "question_id", policy: CallPolicy = CallPolicy()) -> DataFrame:
     """Answer every question in isolation, time it and score it.
 
     Output: id, pregunta (first 80 chars), tiempo_s (2 decimals) and the
     answer-quality fields.  Answers are written to ``staging_path`` first.
     """
     prompts = system_prompts(questions.select(id_col, question_col), master, id_col=id_col)
-    answered = call_model(prompts, chat_fn, "system_prompt", question_col, "answer", timed=True,
-                          on_error="capture")
-    answered.drop("system_prompt").write.mode("overwrite").parquet(staging_path)
-    got = questions.sparkSession.read.parquet(staging_path)
+    got = staged_calls(lambda journal: call_model(prompts, chat_fn, "system_prompt", question_col, "answer", timed=True, on_error="capture",
+                                                  policy=policy, journal=journal).drop("system_prompt"),
+                       questions.sparkSession, staging_path)
     scored = score_answers(got, "answer")
     return scored.select(
         id_col, F.substring(question_col, 1, 80).alias("pregunta"), F.round("elapsed_s", 2).alias("tiempo_s"),
@@ -221,18 +267,18 @@ def router_inputs(requests: DataFrame, master: DataFrame, question_col: str = "q
 
 
 def route_requests(requests: DataFrame, master: DataFrame, chat_fn: ChatFn, staging_path: str,
-                   question_col: str = "question") -> DataFrame:
+                   question_col: str = "question", policy: CallPolicy = CallPolicy()) -> DataFrame:
     """Adds ``analysis`` (lenient JSON of the router reply) and ``route``."""
     inp = router_inputs(requests, master, question_col).withColumn("router_prompt", F.lit(ROUTER_PROMPT))
-    replied = call_model(inp, chat_fn, "router_prompt", "router_input", "router_reply")
-    replied.drop("router_prompt").write.mode("overwrite").parquet(staging_path)
-    got = requests.sparkSession.read.parquet(staging_path)
+    got = staged_calls(lambda journal: call_model(inp, chat_fn, "router_prompt", "router_input", "router_reply",
+                                                  policy=policy, journal=journal).drop("router_prompt"),
+                       requests.sparkSession, staging_path)
     analysed = got.withColumn("analysis", parse_json_lenient(F.col("router_reply")))
     raw_route = F.get_json_object(F.col("analysis"), "$.route")
     return analysed.withColumn("route", normalize_route(raw_route))
 
 
-def draft_by_route(routed: DataFrame, chat_fn: ChatFn, staging_path: str) -> DataFrame:
+def draft_by_route(routed: DataFrame, chat_fn: ChatFn, staging_path: str, policy: CallPolicy = CallPolicy()) -> DataFrame:
     """Adds ``draft`` from the specialised prompt of the row's route.
 
     Rows of route 'assistant' keep a NULL draft: :func:`system_prompts` and
@@ -244,11 +290,13 @@ def draft_by_route(routed: DataFrame, chat_fn: ChatFn, staging_path: str) -> Dat
     todo = j.filter(F.col("route_prompt").isNotNull()).withColumn(
         "_user", F.concat(F.lit("analisis: "), F.col("analysis"), F.lit("\n\nconversacion:\n"), F.col("conversation"))
     )
-    drafted = call_model(todo, chat_fn, "route_prompt", "_user", "draft").drop("_user", "route_prompt")
     rest = j.filter(F.col("route_prompt").isNull()).drop("route_prompt").withColumn("draft", F.lit(None).cast("string"))
-    out = drafted.unionByName(rest)
-    out.write.mode("overwrite").parquet(staging_path)
-    return spark.read.parquet(staging_path)
+
+
+    def drafted(journal):
+        return call_model(todo, chat_fn, "route_prompt", "_user", "draft", policy=policy, journal=journal).drop("_user", "route_prompt")
+
+    return staged_calls(lambda journal: drafted(journal).unionByName(rest), spark, staging_path)
 
 
 def strict_json_answers(df: DataFrame, answer_col: str = "answer") -> DataFrame:
