@@ -15,7 +15,20 @@ over L2-normalised vectors (cosine similarity), computed block by block:
 * a final ``row_number`` per query keeps the global top-k from the
   ``Cb * k`` candidates (exact: local top-k with the same total order).
 
-The vectors never pass through the driver, and there is one path for all sizes.
+More pairs than one task may score are pruned first, and the result stays exact:
+
+* ``MAX_CELLS`` vectors of the corpus at most, chosen by hash, are centres; a
+  vector belongs to the cell of its nearest centre, and a cell's angular radius
+  is the largest angle that one of its vectors has.  By the triangle inequality
+  no vector of a cell scores more with a query than the cosine of the query's
+  angle to the centre less the radius, times the norms;
+* every query first visits the cells with the best bounds, which gives it a
+  k-th score; then it visits all cells whose bound that score does not beat.
+  Corpus rows go to one block of cells each, and queries only to the blocks
+  that they visit.
+
+Centres, radii and sizes are what the driver holds (16 MB at most); the other
+vectors never pass through it.
 """
 
 from __future__ import annotations
@@ -29,6 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlytics.functions.vectors import l2_normalize
+from convlytics.session import scratch_path
 
 # Default number of hits, and the answer template.
 DEFAULT_K = 4
@@ -41,6 +55,9 @@ ANSWER_PREFIX = "\nRespuesta: "
 BLOCK_BYTES = 64 << 20
 PAIRS_PER_TASK = 400_000_000
 TILE = 1024
+# Cells of the pruned search, bytes of their centres, and the slack of a bound
+# for the rounding of angles.
+MAX_CELLS, CENTRE_BYTES, SLACK = 2048, 16 << 20, 1e-7
 HITS_SCHEMA = "query_id string, rank int, item_id string, score double"
 
 
@@ -114,6 +131,155 @@ def _usable(vec: str, dim: int):
     return v.isNotNull() & (F.size(v) == dim) & ~bad
 
 
+def _pair_topk(k: int):
+    """Scores one group of queries and items; a group is bounded by its keys."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["is_query"].to_numpy(dtype=bool)
+        if side.all() or not side.any():
+            return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
+                                 "score": pd.Series([], dtype="float64")})
+        qid, iid = pdf["id"].to_numpy()[side], pdf["id"].to_numpy()[~side].astype(str)
+        vectors = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        place = np.argsort(np.argsort(iid, kind="stable"), kind="stable")
+        # copies of an item must not crowd others out of the local top-k
+        _, copies = np.unique(iid, return_counts=True)
+        slots = min(k * int(copies.max()), k + len(iid) - len(copies))
+        best, value = block_topk(vectors[side], vectors[~side], place, slots)
+        return pd.DataFrame({"qid": np.repeat(qid, best.shape[1]), "iid": iid[best.ravel()], "score": value.ravel()})
+
+    return run
+
+
+def _ranked(sides: DataFrame, keys: tuple[str, str], k: int) -> DataFrame:
+    """(query_id, rank, item_id, score) from queries and items that meet by ``keys``."""
+    cand = (sides.groupBy(*keys).applyInPandas(_pair_topk(k), schema="qid string, iid string, score double")
+            .groupBy("qid", "iid").agg(F.max("score").alias("score")))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid").asc())
+    return (
+        cand.withColumn("rank", F.row_number().over(w))
+        .filter(F.col("rank") <= k)
+        .select(F.col("qid").alias("query_id"), "rank", F.col("iid").alias("item_id"), "score")
+    )
+
+
+class Cells:
+    """Centres, angular radii, norms and sizes of a corpus's cells, and the blocks they lie in."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+
+    def angles(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(norms, angles to all centres); a zero vector has the angle 0."""
+        norm = np.linalg.norm(vectors, axis=1)
+        unit = np.divide(vectors, norm[:, None], out=np.zeros_like(vectors), where=norm[:, None] > 0)
+        angle = np.arccos(np.clip(unit @ self.centres.T, -1, 1))
+        angle[norm == 0] = 0
+        return norm, angle
+
+    def measure(self, rows: list, block_rows: int) -> None:
+        """Sets radii and sizes from (cell, n, angle, low, high) and lays the cells out in blocks."""
+        m = len(self.centres)
+        self.size, self.radius = np.zeros(m, np.int64), np.zeros(m)
+        self.low, self.high = np.zeros(m), np.zeros(m)
+        for r in rows:
+            c = r["cell"]
+            self.size[c], self.radius[c], self.low[c], self.high[c] = r["n"], r["angle"], r["low"], r["high"]
+        self.first, self.parts = np.zeros(m, np.int64), np.ones(m, np.int64)
+        block, held = 0, 0
+        for c in range(m):  # small cells share a block, large ones are split by hash
+            if held and held + self.size[c] > block_rows:
+                block, held = block + 1, 0
+            self.parts[c] = max(1, -(-int(self.size[c]) // block_rows))
+            self.first[c] = block
+            held += int(self.size[c])
+            if self.parts[c] > 1:
+                block, held = block + int(self.parts[c]), 0
+        self.blocks = block + 1
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """What no vector of a cell scores more than, for each query and cell."""
+        norm, angle = self.angles(queries)
+        cos = np.cos(np.maximum(0, angle - self.radius))
+        bound = norm[:, None] * np.where(cos >= 0, self.high, self.low) * cos
+        bound[norm == 0] = 0
+        return np.where(self.size > 0, bound + SLACK * np.maximum(1, norm[:, None] * self.high), -np.inf)
+
+
+def corpus_cells(items: DataFrame, n: int, dim: int, cells: int, block_rows: int) -> tuple[Cells, DataFrame]:
+    """The cells of ``items`` (id, v), and the items with their ``block`` in a written table."""
+    spark = items.sparkSession
+    m = max(1, min(cells, CENTRE_BYTES // (8 * dim)))
+    some = np.array([r["v"] for r in items.orderBy(F.xxhash64("id"), "id").limit(m).collect()], np.float64).reshape(-1, dim)
+    norm = np.linalg.norm(some, axis=1)
+    centres = np.unique(some[norm > 0] / norm[norm > 0, None], axis=0)
+    plan = Cells(centres if len(centres) else np.eye(1, dim))
+
+    def assign(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            norm, angle = plan.angles(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+            cell = angle.argmin(axis=1)
+            yield pdf.assign(cell=cell.astype(np.int32), angle=angle[np.arange(len(cell)), cell], norm=norm)
+
+    path = scratch_path(spark, "cells")
+    items.mapInPandas(assign, "id string, v array<double>, cell int, angle double, norm double").write.parquet(path)
+    placed = spark.read.parquet(path)
+    plan.measure(placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle"), F.min("norm").alias("low"),
+                                            F.max("norm").alias("high")).collect(), block_rows)
+    first, parts = (F.array(*[F.lit(int(x)) for x in a]) for a in (plan.first, plan.parts))
+    block = F.get(first, F.col("cell")) + F.pmod(F.xxhash64("id", "v"), F.get(parts, F.col("cell")))
+    return plan, placed.select("id", "v", block.cast("long").alias("block"))
+
+
+def visits(queries: DataFrame, plan: Cells, k: int, n_qb: int) -> DataFrame:
+    """(id, v, qb, block, pairs): the blocks that each query (id, v, reached) visits.
+
+    Without a score that it has ``reached`` a query visits the cells with the
+    best bounds, until they hold twice ``k`` vectors; with one all cells whose
+    bound is no less.  ``pairs`` counts the vectors that are scored there.
+    """
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            bound = plan.bounds(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+            at, block, pairs = [], [], []
+            for i, (b, reached) in enumerate(zip(bound, pdf["reached"].to_numpy(dtype=float))):
+                if np.isnan(reached):
+                    best = np.argsort(-b, kind="stable")
+                    use = best[:int(np.searchsorted(np.cumsum(plan.size[best]), 2 * k)) + 1]
+                else:
+                    use = np.flatnonzero(b >= reached)
+                use = use[plan.size[use] > 0]
+                of = np.unique(np.concatenate([np.arange(f, f + p) for f, p in zip(plan.first[use], plan.parts[use])] or [[]]))
+                at += [i] * len(of)
+                block += of.tolist()
+                pairs += [int(plan.size[use].sum())] * len(of)
+            out = pdf[["id", "v"]].iloc[at].reset_index(drop=True)
+            yield out.assign(block=np.array(block, np.int64), pairs=np.array(pairs, np.int64))
+
+    went = queries.mapInPandas(run, "id string, v array<double>, block long, pairs long")
+    return went.withColumn("qb", F.pmod(F.xxhash64("id", F.hash("v")), F.lit(n_qb)))
+
+
+def _visited(went: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The best k items of every query in the blocks it visits."""
+    q = went.select(F.lit(True).alias("is_query"), "id", "v", "qb", "block")
+    c = items.join(went.select("qb", "block").distinct(), "block").select(F.lit(False).alias("is_query"), "id", "v", "qb", "block")
+    return _ranked(q.unionByName(c), ("qb", "block"), k)
+
+
+def _pruned_topk(queries: DataFrame, items: DataFrame, k: int, n: int, dim: int, cells: int, n_qb: int, block_rows: int) -> DataFrame:
+    """Two rounds of visits; see the module."""
+    plan, placed = corpus_cells(items, n, dim, cells, block_rows)
+    start = visits(queries.withColumn("reached", F.lit(None).cast("double")), plan, k, n_qb)
+    kth = (_visited(start, placed, k).where(F.col("rank") == k)
+           .select(F.col("query_id").alias("id"), F.col("score").alias("reached")))
+    known = queries.join(kth, "id", "left").select("id", "v", F.coalesce("reached", F.lit(float("-inf"))).alias("reached"))
+    return _visited(visits(known, plan, k, n_qb), placed, k)
+
+
 def knn_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -125,6 +291,7 @@ def knn_topk(
     normalize: bool = True,
     block_bytes: int = BLOCK_BYTES,
     pairs_per_task: int = PAIRS_PER_TASK,
+    cells: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, item_id, score): the ``k`` best items per query.
 
@@ -133,49 +300,30 @@ def knn_topk(
     NULL, not as long as the corpus's longest, or holds a NULL, NaN or
     infinite number gives no hits and is none; a zero vector scores 0 with
     everything.  An id on several rows is one query, or one item, with the
-    best score that any of its vectors reaches.
+    best score that any of its vectors reaches.  ``cells`` sets the number of
+    cells of the pruned search, 0 for none; without it searches of more pairs
+    than one task's use about the square root of the corpus.
     """
     spark = queries.sparkSession
     shape = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.col(item_vec))).alias("d")).first()
-    dim = shape["d"] or 0
+    n, dim = shape["n"], shape["d"] or 0
     if k <= 0 or dim <= 0:
         return spark.createDataFrame([], HITS_SCHEMA)
     vec = l2_normalize if normalize else (lambda c: F.transform(F.col(c), lambda x: x.cast("double")))
     rows = max(1, block_bytes // (8 * dim))
-    n_qb, n_cb = _block_counts(queries.count(), shape["n"], rows, rows, pairs_per_task)
-    q = queries.filter(_usable(query_vec, dim)).select(
-        F.lit(True).alias("is_query"), F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"),
-        F.pmod(F.xxhash64(F.col(query_id).cast("string"), F.hash(query_vec)), F.lit(n_qb)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1))).alias("cb"),
-    )
-    c = corpus.filter(_usable(item_vec, dim)).select(
-        F.lit(False).alias("is_query"), F.col(item_id).cast("string").alias("id"), vec(item_vec).alias("v"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"),
-        F.pmod(F.xxhash64(F.col(item_id).cast("string"), F.hash(item_vec)), F.lit(n_cb)).alias("cb"),
-    )
-
-    def pair_topk(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["is_query"].to_numpy(dtype=bool)
-        if side.all() or not side.any():
-            return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype="float64")})
-        qid, iid = pdf["id"].to_numpy()[side], pdf["id"].to_numpy()[~side].astype(str)
-        vectors = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        place = np.argsort(np.argsort(iid, kind="stable"), kind="stable")
-        # copies of an item must not crowd others out of the local top-k
-        _, copies = np.unique(iid, return_counts=True)
-        slots = min(k * int(copies.max()), k + len(iid) - len(copies))
-        best, value = block_topk(vectors[side], vectors[~side], place, slots)
-        return pd.DataFrame({"qid": np.repeat(qid, best.shape[1]), "iid": iid[best.ravel()], "score": value.ravel()})
-
-    cand = (q.unionByName(c).groupBy("qb", "cb").applyInPandas(pair_topk, schema="qid string, iid string, score double")
-            .groupBy("qid", "iid").agg(F.max("score").alias("score")))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid").asc())
-    return (
-        cand.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select(F.col("qid").alias("query_id"), "rank", F.col("iid").alias("item_id"), "score")
-    )
+    n_q = queries.count()
+    n_qb, n_cb = _block_counts(n_q, n, rows, rows, pairs_per_task)
+    q = queries.filter(_usable(query_vec, dim)).select(F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"))
+    c = corpus.filter(_usable(item_vec, dim)).select(F.col(item_id).cast("string").alias("id"), vec(item_vec).alias("v"))
+    if cells is None:
+        cells = min(MAX_CELLS, math.isqrt(n)) if n_q * n > pairs_per_task else 0
+    if cells:
+        return _pruned_topk(q, c, k, n, dim, cells, n_qb, max(1, math.ceil(n / n_cb)))
+    q = q.select(F.lit(True).alias("is_query"), "id", "v", F.pmod(F.xxhash64("id", F.hash("v")), F.lit(n_qb)).alias("qb"),
+                 F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1))).alias("cb"))
+    c = c.select(F.lit(False).alias("is_query"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"),
+                 F.pmod(F.xxhash64("id", F.hash("v")), F.lit(n_cb)).alias("cb"))
+    return _ranked(q.unionByName(c), ("qb", "cb"), k)
 
 
 def search_memory(questions: DataFrame, store: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]],

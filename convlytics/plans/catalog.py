@@ -590,18 +590,27 @@ def knn_topk_q(spark, sf_dir):
     return _knn_all(spark, sf_dir, 3).select("query_id", "rank", "item_id", r6("score").alias("score"))
 
 
+@query("knn_pruned")
+def knn_pruned(spark, sf_dir):
+    """The neighbours of knn_topk, by visits to the cells that may hold them."""
+    from convlytics.operators.memory import knn_topk
+
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("item_id"), "embedding")
+    hits = knn_topk(v.withColumnRenamed("item_id", "query_id"), v, k=3, cells=32, pairs_per_task=200_000)
+    return hits.select("query_id", "rank", "item_id", r6("score").alias("score"))
+
+
 @query("knn_edges")
 def knn_edges(spark, sf_dir):
-    """All neighbours of every fourth vector (k above the corpus), in small blocks; a zero and a NULL vector among them."""
+    """Neighbours of every vector in small blocks; a zero and a NULL vector among them."""
     from convlytics.operators.memory import knn_topk
 
-    v = vectors(spark, sf_dir)
-    few = v.filter(F.col("label") == 3).select(F.col("vec_id").alias("item_id"), "embedding")
-    zero = few.limit(1).select(F.lit(-1).cast("long").alias("item_id"), F.transform("embedding", lambda x: x * 0).alias("embedding"))
-    null = zero.select(F.lit(-2).cast("long").alias("item_id"), F.lit(None).cast(few.schema["embedding"].dataType).alias("embedding"))
-    corpus = few.unionByName(zero).unionByName(null)
-    return knn_topk(corpus.withColumnRenamed("item_id", "query_id"), corpus, k=1_000_000, block_bytes=1 << 13,
-                    pairs_per_task=2_000).select("query_id", "rank", "item_id", r6("score").alias("score"))
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("item_id"), "embedding")
+    zero = v.limit(1).select(F.lit(-1).cast("long").alias("item_id"), F.transform("embedding", lambda x: x * 0).alias("embedding"))
+    null = zero.select(F.lit(-2).cast("long").alias("item_id"), F.lit(None).cast(v.schema["embedding"].dataType).alias("embedding"))
+    corpus = v.unionByName(zero).unionByName(null)
+    hits = knn_topk(corpus.withColumnRenamed("item_id", "query_id"), corpus, k=7, block_bytes=1 << 16, pairs_per_task=50_000, cells=0)
+    return hits.select("query_id", "rank", "item_id", r6("score").alias("score"))
 
 
 @query("memory_search")

@@ -297,6 +297,8 @@ ranked AS (
 SQL["knn_topk"] = _KNN + """
 SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM ranked WHERE rank <= 3"""
 
+SQL["knn_pruned"] = SQL["knn_topk"]
+
 SQL["semantic_context"] = _KNN + """
 SELECT r.query_id, string_agg('- ' || d.text, chr(10) ORDER BY r.rank) AS context
 FROM ranked r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.item_id
@@ -528,13 +530,14 @@ FROM base LEFT JOIN ctx ON question_id = query_id"""
 
 SQL["knn_edges"] = """
 WITH few AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
-             FROM embeddings WHERE label = 3),
+             FROM embeddings),
 c AS (SELECT id, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS v
       FROM (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM few
             UNION ALL SELECT '-1', list_transform(v, lambda x: x * 0), 0 FROM (SELECT v FROM few LIMIT 1))),
 s AS (SELECT q.id AS query_id, i.id AS item_id, list_dot_product(q.v, i.v) AS score FROM c q, c i)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, item_id) AS INTEGER) AS rank,
-       item_id, round(score, 6) AS score FROM s"""
+       item_id, round(score, 6) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, item_id) <= 7"""
 
 _EXACT_SPLIT = "split AS (" + SQL["stratified_split_exact"].replace("WITH u AS", "WITH u0 AS").replace("FROM u", "FROM u0") + ")"
 SQL["score_model"] = "WITH " + _EXACT_SPLIT + """

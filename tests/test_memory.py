@@ -5,12 +5,14 @@ import numpy as np
 from convlytics.operators.memory import knn_topk, memory_items, semantic_context
 
 
-def _brute(q, c, k):
+def _brute(q, c, k, digits=None):
     def unit(m):
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
     s = unit(q) @ unit(c).T
+    if digits:  # equal directions tie, however sums are rounded
+        s = np.round(s, digits)
     out = {}
     for i in range(len(q)):
         order = sorted(range(len(c)), key=lambda j: (-s[i, j], str(j)))[:k]
@@ -35,6 +37,54 @@ def test_knn_matches_brute_force_across_blocks(spark):
         assert np.allclose([h[2] for h in hits_got], [h[1] for h in hits])
 
 
+def _frame(spark, name, m):
+    return spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(m)], f"{name} string, embedding array<double>")
+
+
+def test_pruned_search_equals_brute_force_with_ties(spark):
+    rng = np.random.default_rng(14)
+    q = np.vstack([rng.normal(size=(20, 5)), rng.integers(-1, 2, size=(20, 5))])
+    c = np.vstack([rng.integers(-2, 3, size=(150, 5)), rng.normal(size=(100, 5)) * 3, np.tile([1.0, 2, 0, 0, 1], (120, 1))]).astype(float)
+    want = _brute(q, c, 6, digits=12)
+    for cells, opts in ((1, {}), (9, {"pairs_per_task": 400}), (200, {"block_bytes": 5 * 8 * 11, "pairs_per_task": 200})):
+        got = {}
+        for r in knn_topk(_frame(spark, "query_id", q), _frame(spark, "item_id", c), k=6, cells=cells, **opts).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.item_id, r.score))
+        assert {i: [h[1] for h in sorted(hits)] for i, hits in got.items()} == {i: [h[0] for h in hits] for i, hits in want.items()}
+
+
+def test_pruned_inner_products_of_any_length(spark):
+    rng = np.random.default_rng(15)
+    q, c = rng.normal(size=(30, 4)), rng.normal(size=(200, 4)) * rng.choice([0.0, 0.1, 5.0], size=(200, 1))
+    whole = knn_topk(_frame(spark, "query_id", q), _frame(spark, "item_id", c), k=5, normalize=False, cells=0)
+    pruned = knn_topk(_frame(spark, "query_id", q), _frame(spark, "item_id", c), k=5, normalize=False, cells=25, pairs_per_task=500)
+    assert sorted(tuple(r)[:3] for r in pruned.collect()) == sorted(tuple(r)[:3] for r in whole.collect())
+
+
+def test_clustered_vectors_score_few_pairs(spark):
+    """Share of the pairs that are scored: 64 clusters, 4000 items, 300 queries."""
+    from pyspark.sql import functions as F
+
+    import convlytics.operators.memory as M
+
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(64, 16))
+    make = lambda n: centres[np.arange(n) % 64] + rng.normal(size=(n, 16)) * 0.05
+    c, q = make(4000), make(300)
+    items = _frame(spark, "id", c / np.linalg.norm(c, axis=1, keepdims=True)).withColumnRenamed("embedding", "v")
+    asked = _frame(spark, "id", q / np.linalg.norm(q, axis=1, keepdims=True)).withColumnRenamed("embedding", "v")
+    plan, placed = M.corpus_cells(items, 4000, 16, 256, 100)
+    kth = (M._visited(M.visits(asked.withColumn("reached", F.lit(None).cast("double")), plan, 4, 1), placed, 4)
+           .where("rank = 4").selectExpr("query_id id", "score reached"))
+    went = M.visits(asked.join(kth, "id"), plan, 4, 1)
+    share = went.select("id", "pairs").distinct().agg(F.sum("pairs")).first()[0] / (4000 * 300)
+    assert 0 < share < 0.1, share
+    # every vector lies in one block, and none outside its cell's bound
+    assert placed.count() == 4000 and placed.select("block").distinct().count() <= plan.blocks
+    score = q / np.linalg.norm(q, axis=1, keepdims=True) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    assert (plan.bounds(q / np.linalg.norm(q, axis=1, keepdims=True)).max(1) >= score.max(1) - 1e-9).all()
+
+
 def test_k_capped_by_corpus_and_empty_corpus(spark):
     qdf = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
     cdf = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "item_id string, embedding array<double>")
@@ -75,7 +125,7 @@ def test_odd_vectors_and_repeated_ids(spark):
     corpus = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [nan, 1.0]), ("e", [1.0]), ("f", [inf, 0.0]),
               ("a", [0.0, 1.0]), ("g", [1.0, None])]
     queries = [("q", [1.0, 0.0]), ("q", [0.0, 1.0]), ("z", [0.0, 0.0]), ("n", None), ("m", [nan, 0.0])]
-    for blocks in ({}, {"block_bytes": 16, "pairs_per_task": 1}):
+    for blocks in ({}, {"block_bytes": 16, "pairs_per_task": 1}, {"cells": 2}, {"block_bytes": 16, "cells": 0}):
         got = knn_topk(spark.createDataFrame(queries, schema.format("query_id")),
                        spark.createDataFrame(corpus, schema.format("item_id")), k=4, **blocks).collect()
         assert sorted(tuple(r) for r in got) == [("q", 1, "a", 1.0), ("q", 2, "b", 0.0), ("z", 1, "a", 0.0), ("z", 2, "b", 0.0)]
