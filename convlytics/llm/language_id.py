@@ -161,7 +161,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dims:
                 total[dims] += len(h)
         yield from counters.slices(total)
 
-    df = counters.total(docs.select("text").mapInArrow(df_count, counters.SCHEMA), dims + 1)
+    df = counters.total(docs.select("text").mapInArrow(T.task(df_count), counters.SCHEMA), dims + 1)
     if not df[dims]:
         return None
     idf = (np.log((1 + df[dims]) / (1 + df[:dims])) + 1).astype(np.float32)

@@ -143,14 +143,12 @@ class WordTokenizer:
         return self.flat[take], np.concatenate([[0], ends])[np.searchsorted(start, c.off)]
 
 
-_WORKER: dict[str, WordTokenizer] = {}
-
-
 def worker_tokenizer(path: str) -> WordTokenizer:
     """The tokenizer that this Python process keeps, with the words it has met in earlier tasks."""
-    if path not in _WORKER:
-        _WORKER[path] = WordTokenizer(path)
-    return _WORKER[path]
+    held = T.kept("tokenizer")
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 class Packer:
@@ -284,4 +282,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         packer.close()
         yield flush()
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(T.task(run, keep="tokenizer"), schema)

@@ -8,7 +8,8 @@ its own; texts are never cut.  A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,43 @@ _MULT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _powers = np.ones(1, np.uint64)
 
 
+#: what a Python worker keeps from task to task, by the operator that keeps it
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What tasks of one operator leave in their Python worker for the next ones."""
+    return _KEPT.setdefault(name, {})
+
+
+def forget_others(name: str | None) -> None:
+    """Drop what tasks of other operators left; a worker serves one after the other."""
+    for other in list(_KEPT):
+        if other != name:
+            del _KEPT[other]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, as the worker lives on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
+def task(run: Callable, keep: str | None = None) -> Callable:
+    """A function for ``mapInArrow`` that leaves nothing in its worker but what ``keep`` names."""
+    def wrapped(batches):
+        forget_others(keep)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def powers(n: int) -> np.ndarray:
     """Powers of the hash base (modulo 2**64), grown on demand."""
     global _powers
