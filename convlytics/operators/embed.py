@@ -4,7 +4,9 @@ Plan:
 
 * chunks are produced by native array expressions + ``posexplode``;
 * cache misses are ``dropDuplicates(text_hash)`` followed by a left-anti join
-  with the cache on ``(model, text_hash)`` -- one shuffle on the hash;
+  with the cache on ``(model, text_hash)`` -- one shuffle on the hash, and none
+  of the cache, which lies in buckets of it; a small batch of chunks reads only
+  the buckets of its hashes;
 * the embedding function runs in ``mapInPandas`` over Arrow batches, sliced
   into ``batch_size`` calls; the result is appended to the cache (the write
   is the action, so the model runs exactly once per missing chunk);
@@ -26,10 +28,12 @@ from pyspark.sql import types as T
 
 from convlytics.errors import EmbeddingError
 from convlytics.functions.text import CHUNK_WORDS, chunk_word_array, sha256_hex, words
-from convlytics.sources import stores
+from convlytics.sources import cache as stores
 
 # Fixed value: texts per call of the embedding function.
 EMBED_BATCH = 64
+#: chunks up to which a fill looks its hashes up instead of joining the whole cache
+FEW_CHUNKS = 2000
 
 
 def chunk_texts(df: DataFrame, id_col: str, text_col: str, chunk_size: int = CHUNK_WORDS) -> DataFrame:
@@ -100,12 +104,13 @@ def fill_cache(
     returned are read back by it, so the model is not re-run by lineage.
     Re-running on the same chunks adds nothing.
     """
-    cache = stores.load_cache(spark, cache_path, model)
+    few = chunks.select("text_hash").limit(FEW_CHUNKS + 1).collect()
+    hashes = sorted({r["text_hash"] for r in few}) if len(few) <= FEW_CHUNKS else None
+    cache = stores.load_cache(spark, cache_path, model, hashes)
     misses = cache_misses(chunks, cache, model)
     batch_id = uuid.uuid4().hex
     stores.append_cache(embed_rows(misses, embed_fn, model, batch_size).withColumn("batch_id", F.lit(batch_id)), cache_path)
-    added = spark.read.schema(stores.CACHE_SCHEMA).parquet(cache_path)
-    return added.filter(F.col("batch_id") == batch_id).drop("batch_id")
+    return stores.cache_rows(spark, cache_path).filter(F.col("batch_id") == batch_id).drop("batch_id")
 
 
 def mean_pool(chunk_vectors: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_SCHEMA = "model string, text_hash string, embedding array<float>, batch_id string"
+from convlytics.sources.cache import append_cache, load_cache  # noqa: F401 - the cache is one of the stores
+
 MEMORY_SCHEMA = (
     "item_id string, save_id string, text string, metadata map<string,string>, embedding array<float>"
 )
@@ -86,28 +87,6 @@ def save_embeddings(df: DataFrame, path_dir: str) -> None:
     df.write.mode("overwrite").parquet(path_dir)
 
 
-# ----------------------------------------------------------------- embedding cache
-
-
-def load_cache(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """Cache rows ``(model, text_hash, embedding)``, one per key.
-
-    With a model the rows are de-duplicated on ``text_hash`` alone, so the
-    shuffle lines up with the joins on ``text_hash`` that follow (no second
-    exchange of the cache).
-    """
-    c = read_parquet_or_empty(spark, path, CACHE_SCHEMA).drop("batch_id")
-    if model is not None:
-        return c.filter(F.col("model") == model).dropDuplicates(["text_hash"])
-    return c.dropDuplicates(["model", "text_hash"])
-
-
-def append_cache(new_rows: DataFrame, path: str) -> None:
-    new_rows.select("model", "text_hash", F.col("embedding").cast("array<float>"),
-                    F.lit(None).cast("string").alias("batch_id") if "batch_id" not in new_rows.columns else F.col("batch_id")
-                    ).write.mode("append").parquet(path)
-
-
 # ----------------------------------------------------------------- memory store
 
 
