@@ -679,8 +679,8 @@ def memory_append_q(spark, sf_dir):
     vecs = embed_rows(items, emb, emb.name, text_col="text", key_col="item_id", carry=("text", "metadata"))
     path = scratch_path(spark, "memory")
     append_memory(vecs, path, "first")
-    append_memory(spark.read.parquet(path), path, "second")
-    append_memory(spark.read.parquet(path).filter("save_id = 'second'"), path, "second")  # a batch written again
+    append_memory(load_memory(spark, path), path, "second")
+    append_memory(load_memory(spark, path, ["second"]), path, "second")  # a batch written again
     return load_memory(spark, path).select("item_id", "save_id", "text", F.size("embedding").alias("dim"))
 
 

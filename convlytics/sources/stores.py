@@ -1,24 +1,22 @@
 """Persistent stores: master table, metrics, embedding cache, memory, models.
 
-Stores are Parquet datasets that are only ever appended to; readers
-de-duplicate on the key, so a retried or repeated batch is harmless and a
-path is never overwritten while it is being read.
+Stores are Parquet datasets that are only ever appended to, so a path is
+never overwritten while it is being read; a retried or repeated batch is
+harmless.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.sources.cache import append_cache, load_cache  # noqa: F401 - the cache is one of the stores
+# the cache and the memory are stores with modules of their own
+from convlytics.sources.cache import append_cache, load_cache  # noqa: F401
+from convlytics.sources.memory_store import append_memory, load_memory  # noqa: F401
 
-MEMORY_SCHEMA = (
-    "item_id string, save_id string, text string, metadata map<string,string>, embedding array<float>"
-)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -87,25 +85,6 @@ def save_embeddings(df: DataFrame, path_dir: str) -> None:
     df.write.mode("overwrite").parquet(path_dir)
 
 
-# ----------------------------------------------------------------- memory store
-
-
-def load_memory(spark: SparkSession, path: str) -> DataFrame:
-    """Every save.  Rows of one save that stand twice (a batch written again
-    after a failure) count once, so ``save_id`` and ``item_id`` are the key."""
-    return read_parquet_or_empty(spark, path, MEMORY_SCHEMA).dropDuplicates(["save_id", "item_id"])
-
-
-def append_memory(items: DataFrame, path: str, save_id: str | None = None) -> str:
-    """Append one save; returns its ``save_id`` (a new one unless given)."""
-    save_id = save_id or uuid.uuid4().hex
-    items.select(
-        "item_id", F.lit(save_id).alias("save_id"), "text", F.col("metadata").cast("map<string,string>"),
-        F.col("embedding").cast("array<float>"),
-    ).write.mode("append").parquet(path)
-    return save_id
-
-
 # ----------------------------------------------------------------- models
 
 

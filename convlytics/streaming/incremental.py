@@ -4,7 +4,7 @@ The reference has no streaming operators; its two stores are insert-only
 and keyed (``(model, text_hash)`` and ``(save_id, item_id)``), so each micro-batch can
 run the batch operator unchanged inside ``foreachBatch``.  A replayed batch
 after a failure adds nothing (cache misses are computed by anti-join; a batch's
-epoch is its ``save_id``, and memory reads count a save's items once), so the
+epoch is its ``save_id``, and a save that is committed is not written again), so the
 sink is idempotent and the query can restart from its checkpoint.
 """
 
@@ -61,7 +61,7 @@ def stream_memory(
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         vecs = embed_rows(to_items(batch), embed_fn, model, text_col="text", key_col="item_id", carry=("text", "metadata"))
-        # a replayed batch writes the same save again, which reads count once
+        # a replayed batch whose save was committed writes nothing
         append_memory(vecs, memory_path, save_id=f"epoch-{epoch_id}")
 
     writer = answers.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
