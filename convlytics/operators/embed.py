@@ -7,8 +7,8 @@ Plan:
   with the cache on ``(model, text_hash)`` -- one shuffle on the hash, and none
   of the cache, which lies in buckets of it; a small batch of chunks reads only
   the buckets of its hashes;
-* the embedding function runs in ``mapInPandas`` over Arrow batches, sliced
-  into ``batch_size`` calls; the result is appended to the cache (the write
+* the embedding model runs in ``mapInPandas`` over Arrow batches, opened once a
+  worker, in calls of texts of like length; the result is appended to the cache (the write
   is the action, so the model runs exactly once per missing chunk);
 * pooling joins chunks to cached vectors and averages them per document
   with ``Summarizer.mean`` (map-side partial aggregation, fixed-size buffer).
@@ -17,8 +17,8 @@ Plan:
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convlytics.errors import EmbeddingError
+from convlytics.functions.embedders import EmbedFn, ModelFactory, call_slices, opened
 from convlytics.functions.text import CHUNK_WORDS, chunk_word_array, sha256_hex, words
 from convlytics.sources import cache as stores
 
@@ -57,29 +58,36 @@ def cache_misses(chunks: DataFrame, cache: DataFrame, model: str) -> DataFrame:
 
 def embed_rows(
     rows: DataFrame,
-    embed_fn: Callable[[list[str]], list[list[float]]],
+    embed_fn: EmbedFn | ModelFactory,
     model: str,
     batch_size: int = EMBED_BATCH,
     text_col: str = "chunk",
     key_col: str = "text_hash",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(model, key, embedding) for each row, calling ``embed_fn`` on slices of ``batch_size`` texts.
+    """(model, key, embedding) for each row, in calls of ``batch_size`` texts at most.
 
+    ``embed_fn`` is a function, or a :class:`ModelFactory` that each Python
+    worker opens once.  Texts of like length are called together, within the
+    factory's budget of tokens, and results come in the order of the rows.
     Columns named in ``carry`` come along, so that nothing has to be joined back.
     """
 
     def run(batches):
+        embed = opened(embed_fn)
+        budget = getattr(embed_fn, "max_tokens", None)
         for pdf in batches:
             if pdf.empty:
                 continue
             texts = pdf[text_col].fillna("").tolist()
-            vecs: list = []
-            for i in range(0, len(texts), batch_size):
-                got = embed_fn(texts[i:i + batch_size])
-                if len(got) != len(texts[i:i + batch_size]):
+            sizes = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
+            vecs: list = [None] * len(texts)
+            for at in call_slices(sizes, batch_size, budget):
+                got = embed([texts[i] for i in at])
+                if len(got) != len(at):
                     raise EmbeddingError("embedding function returned a wrong number of vectors")
-                vecs.extend(got)
+                for i, v in zip(at.tolist(), got):
+                    vecs[i] = v
             yield pd.DataFrame({"model": model, key_col: pdf[key_col].values, "embedding": vecs,
                                 **{c: pdf[c] for c in carry}})
 
@@ -94,7 +102,7 @@ def fill_cache(
     spark: SparkSession,
     chunks: DataFrame,
     cache_path: str,
-    embed_fn: Callable[[list[str]], list[list[float]]],
+    embed_fn: EmbedFn | ModelFactory,
     model: str,
     batch_size: int = EMBED_BATCH,
 ) -> DataFrame:
@@ -136,7 +144,7 @@ def embed_documents(
     id_col: str,
     text_col: str,
     cache_path: str,
-    embed_fn: Callable[[list[str]], list[list[float]]],
+    embed_fn: EmbedFn | ModelFactory,
     model: str,
     batch_size: int = EMBED_BATCH,
     chunk_size: int = CHUNK_WORDS,

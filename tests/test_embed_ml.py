@@ -81,3 +81,59 @@ def test_embed_rows_on_empty_and_filtered_input(spark):
     out = embed_rows(df.filter(F.col("chunk") == "c"), HashingEmbedder(4), "h4").collect()
     assert [r.text_hash for r in out] == ["h2"] and len(out[0].embedding) == 4
     assert embed_rows(df.limit(0), HashingEmbedder(4), "h4").count() == 0
+
+
+def test_calls_hold_texts_of_like_length_within_the_budget():
+    from convlytics.functions.embedders import call_slices
+
+    sizes = np.array([3, 100, 5, 4, 50, 2, 7, 1])
+    got = [c.tolist() for c in call_slices(sizes, 3, 60)]
+    assert got == [[1], [4], [6, 2, 3], [0, 5, 7]]
+    assert [len(c) for c in call_slices(np.ones(10, int), 4, None)] == [4, 4, 2] and list(call_slices(np.ones(0, int), 4, 9)) == []
+    for c in call_slices(np.random.default_rng(1).integers(1, 80, 500), 64, 200):
+        assert len(c) == 1 or len(c) <= 64
+
+
+def test_a_factory_is_opened_once_a_worker(spark, tmp_path):
+    from convlytics.functions.embedders import ModelFactory
+    from convlytics.operators.embed import embed_rows
+
+    marks = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(os.path.join(marks, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        inner = HashingEmbedder(8)
+
+        def embed(texts):
+            words = [t.count(" ") + 1 for t in texts]
+            assert len(texts) == 1 or max(words) * len(texts) <= 50
+            return inner(texts)
+
+        return embed
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(1, 70))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "text_hash string, chunk string").repartition(12)
+    model = ModelFactory("counted-" + marks, load, max_tokens=50)
+    for _ in range(2):
+        got = {int(r.text_hash): r.embedding for r in embed_rows(df, model, "m").collect()}
+        want = HashingEmbedder(8)(texts)
+        assert all(np.allclose(got[i], want[i]) for i in range(400))
+    workers = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(workers) == len(set(workers)) < 24  # 24 tasks, one opening in each process
+
+
+def test_hashing_equals_token_by_token():
+    import zlib
+
+    texts = ["a b a", "", "c", None, "é ü 日本"]
+    out = np.zeros((5, 16))
+    for i, t in enumerate(texts):
+        for tok in (t or "").split():
+            h = zlib.crc32(tok.encode("utf-8"))
+            out[i, h % 16] += 1.0 if (h >> 31) & 1 else -1.0
+    n = np.linalg.norm(out, axis=1, keepdims=True)
+    assert np.allclose(HashingEmbedder(16)(texts), np.divide(out, n, out=np.zeros_like(out), where=n > 0))
