@@ -158,10 +158,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    # a stated number of ranges: both readers below see the same ones
+    # rows of one id are in the order of their texts' digests, so no text is among the keys that are sampled
+    order = [F.col("doc_id").desc_nulls_last(), F.col("digest")]
+    # a stated number of ranges: all readers below see the same ones
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = src.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    rows = (src.withColumn("digest", F.xxhash64("text")).repartitionByRange(ranges, *order)
+            .sortWithinPartitions(*order, "text").select("doc_id", "text"))
     schema = f"doc_id long, {FIELDS}"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -203,7 +205,10 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids, own, following = (b.column(i).to_pylist() for i in range(3))
             yield batch(ids, _compare(own, following, fingerprint_texts(own), fingerprint_texts(following)))
 
-    # one row per range, however many documents; after the last range comes the first
+    # one row per range, however many documents; after the last range comes the first.  Which range follows
+    # which is found from their numbers alone, then each end meets the beginning that follows
     edge, by_task = rows.mapInArrow(ends, "task int, first string, doc_id long, text string"), Window.orderBy("task")
-    pairs = edge.select("doc_id", "text", F.coalesce(F.lead("first").over(by_task), F.first("first").over(by_task)).alias("next"))
+    follows = edge.select("task", F.coalesce(F.lead("task").over(by_task), F.first("task").over(by_task)).alias("follower"))
+    begins = edge.select(F.col("task").alias("follower"), F.col("first").alias("next"))
+    pairs = edge.select("task", "doc_id", "text").join(follows, "task").join(begins, "follower").select("doc_id", "text", "next")
     return rows.mapInArrow(run, schema).union(pairs.mapInArrow(finish, schema))
