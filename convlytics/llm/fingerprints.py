@@ -15,7 +15,7 @@ task; only the first and last document of each range meet in a small join.
 Defined results: a null text counts as empty; empty texts have the empty
 fingerprint, which is wholly contained in any empty one and in no other
 (likeness 1 and 0).  Null ids come last in the order; equal ids follow one
-another in the order of their texts.
+another in the order of their texts' digests.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,7 +162,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a stated number of ranges: all readers below see the same ones
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (src.withColumn("digest", F.xxhash64("text")).repartitionByRange(ranges, *order)
-            .sortWithinPartitions(*order, "text").select("doc_id", "text"))
+            .sortWithinPartitions(*order, "text"))
     schema = f"doc_id long, {FIELDS}"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -194,21 +193,23 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             if b.num_rows:
                 first = b.column(1)[0].as_py() if first is None else first
-                last = (b.column(0)[b.num_rows - 1].as_py(), b.column(1)[b.num_rows - 1].as_py())
+                last = tuple(b.column(i)[b.num_rows - 1].as_py() for i in range(3))
         if last is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.string()),
-                 pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.string())], ["task", "first", "doc_id", "text"])
+                [pa.array([first], pa.string()), pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.string()),
+                 pa.array([last[2]], pa.int64())], ["first", "doc_id", "text", "digest"])
 
     def finish(batches):
         for b in batches:
             ids, own, following = (b.column(i).to_pylist() for i in range(3))
             yield batch(ids, _compare(own, following, fingerprint_texts(own), fingerprint_texts(following)))
 
-    # one row per range, however many documents; after the last range comes the first.  Which range follows
-    # which is found from their numbers alone, then each end meets the beginning that follows
-    edge, by_task = rows.mapInArrow(ends, "task int, first string, doc_id long, text string"), Window.orderBy("task")
-    follows = edge.select("task", F.coalesce(F.lead("task").over(by_task), F.first("task").over(by_task)).alias("follower"))
-    begins = edge.select(F.col("task").alias("follower"), F.col("first").alias("next"))
-    pairs = edge.select("task", "doc_id", "text").join(follows, "task").join(begins, "follower").select("doc_id", "text", "next")
+    # one row per range, however many documents; after the last range comes the first.  A range is known by the
+    # key of its last row, which no other has.  Which follows which is found from the keys alone, then each end
+    # meets the beginning that follows
+    edge, key = rows.mapInArrow(ends, "first string, doc_id long, text string, digest long"), F.struct("doc_id", "digest")
+    by_key = Window.orderBy(*order)
+    follows = edge.select(key.alias("me"), F.coalesce(F.lead(key).over(by_key), F.first(key).over(by_key)).alias("follower"))
+    begins = edge.select(key.alias("follower"), F.col("first").alias("next"))
+    pairs = edge.select(key.alias("me"), "doc_id", "text").join(follows, "me").join(begins, "follower").select("doc_id", "text", "next")
     return rows.mapInArrow(run, schema).union(pairs.mapInArrow(finish, schema))
