@@ -1,4 +1,7 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages: suffixes at minimiser positions, compared by aggregates over their runs.
+
+The suffixes kept are those of a sparse suffix array, but they are not sorted
+and compared with neighbours: that order misses passages (see README).
 
 A passage is a run of at least ``min_words`` white-space separated words that
 stands, word for word, in two documents.
@@ -26,7 +29,8 @@ later leaves each passage in its first document: every removed word has an
 equal one in an equal passage of a smaller doc_id.  Runs are compared by 64-bit
 hashes next to the distance of their minimiser.
 
-Defined results: null, empty and short texts have no passage; rows with a null
+Defined results: a passage that repeats within one document only is none;
+null, empty and short texts have no passage; rows with a null
 doc_id are not compared; repeated rows of one doc_id and text are one document.
 """
 
