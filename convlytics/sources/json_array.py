@@ -267,14 +267,16 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
             raise DataValidationError(r["error"])
         states[r["file"], r["block"]] = {k: r[k] for k in ("inside", "depth", "owner", "started", "single", "only", "cut")}
     parts = _cut(pieces, states)
-    whole = parts.where("owner is null").select("file", "closes", "only", "value")
+    # the check below may run before a filter does, so it leaves alone what the filter drops
+    whole = parts.where("owner is null").select("file", "closes", "only", "value", F.col("owner").isNotNull().alias("part"))
     split = (parts.where("owner is not null").groupBy("file", "owner")
              .agg(F.sum("closes").alias("closes"), F.first("only").alias("only"),
                   F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "value"))), lambda x: x["value"]), "").alias("value"))
-             .select("file", "closes", "only", "value"))
+             .select("file", "closes", "only", "value", F.lit(False).alias("part")))
     record = F.regexp_replace("value", r"^[ \t\n\r]+|[ \t\n\r]+$", "")
-    rows = whole.union(split).select("file", "closes", "only", record.alias("value"))
+    rows = whole.union(split).select("file", "closes", "only", "part", record.alias("value"))
+    none = F.col("part") | (F.col("only") & (F.col("value") == ""))
     one = (F.col("closes") == 1) & F.col("value").startswith("{") & F.col("value").endswith("}")
     what = F.concat(F.lit("malformed JSON at "), F.col("file"), F.lit(": a record is not one object: "), F.substring("value", 1, 200))
-    return (rows.where(~(F.col("only") & (F.col("value") == "")))
-            .select(F.when(one, F.col("value")).otherwise(F.raise_error(what)).alias("value")))
+    return (rows.where(~none)
+            .select(F.when(none, F.lit(None).cast("string")).when(one, F.col("value")).otherwise(F.raise_error(what)).alias("value")))

@@ -62,6 +62,13 @@ def test_records_come_back_as_they_are(spark, small_blocks, seed):
         assert A._pieces(spark, path).rdd.getNumPartitions() > 4
 
 
+def test_filters_above_the_records_do_not_meet_their_parts(spark, small_blocks):
+    rows = [{"a": i, "n": {"t": "x" * (i % 60)}} for i in range(200)]
+    path = write(spark, "[" + " , ".join(map(json.dumps, rows)) + " ]")
+    df = read_json(spark, path, "a int, n struct<t string>", multiline=True)
+    assert df.where("n.t is not null and n.t like 'x%' and a >= 0").count() == sum(1 for r in rows if r["n"]["t"])
+
+
 def test_one_record_over_many_blocks(spark, small_blocks):
     record = json.dumps({"a": [{"x": i, "t": "}{" * 5} for i in range(100)], "b": "é" * 300})
     path = write(spark, f"[{record},\n{record}]")
