@@ -2,9 +2,11 @@
 
 The automaton holds every word sequence of the templates.  A text's words
 stream through it, which gives at each word the length of the longest template
-sequence that ends there (matching statistics).  Sequences of at least
-``MATCH`` words that cannot be extended are mapped to their template and place;
-those in the same order in text and template, with small gaps, are chained.
+sequence that ends there (matching statistics).  The state and its suffix links
+name every place of the templates that the text's last words stand at, and how
+many of them.  Sequences of at least ``MATCH`` words that cannot be extended at
+their place are kept, in every template that holds them; those in the same
+order in text and template, with small gaps, are chained.
 The share of the template that a chain covers is its score; a template's label
 is given where half of it is covered.
 
@@ -80,37 +82,46 @@ def _words(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All sub-sequences of several token sequences, each state with one place."""
+    """All sub-sequences of several token sequences, each state with the places
+    (sequence, index of the last token) where its sub-sequences end."""
 
-    def __init__(self):
+    def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.place = [-1], [0], [(-1, -1)]
+        self.link, self.length = [-1], [0]
+        self.sequences = sequences
+        for tokens in sequences:
+            last = 0
+            for t in tokens:
+                last = self._extend(last, t)
+        self.places: list[set[tuple[int, int]]] = [set() for _ in self.next]
+        for n, tokens in enumerate(sequences):
+            state = 0
+            for i, t in enumerate(tokens):
+                state = self.next[state][t]
+                above = state
+                while above > 0:
+                    self.places[above].add((n, i))
+                    above = self.link[above]
 
-    def _state(self, length, place, link=-1, moves=None) -> int:
+    def _state(self, length, link=-1, moves=None) -> int:
         self.next.append(dict(moves or {}))
         self.link.append(link)
         self.length.append(length)
-        self.place.append(place)
         return len(self.next) - 1
 
-    def add(self, tokens: list[int], template: int) -> None:
-        last = 0
-        for i, t in enumerate(tokens):
-            last = self._extend(last, t, (template, i))
-
     def _split(self, p: int, t: int, q: int) -> int:
-        twin = self._state(self.length[p] + 1, self.place[q], self.link[q], self.next[q])
+        twin = self._state(self.length[p] + 1, self.link[q], self.next[q])
         self.link[q] = twin
         while p != -1 and self.next[p].get(t) == q:
             self.next[p][t] = twin
             p = self.link[p]
         return twin
 
-    def _extend(self, last: int, t: int, place) -> int:
+    def _extend(self, last: int, t: int) -> int:
         q = self.next[last].get(t)
         if q is not None:  # the sequence is known from an earlier template
             return q if self.length[q] == self.length[last] + 1 else self._split(last, t, q)
-        new = self._state(self.length[last] + 1, place)
+        new = self._state(self.length[last] + 1)
         p = last
         while p != -1 and t not in self.next[p]:
             self.next[p][t] = new
@@ -122,26 +133,34 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, t, q)
         return new
 
-    def matches(self, tokens: list[int], least: int) -> list[tuple[int, int, int, int]]:
-        """(text start, template, template start, length) of the matches that
-        the next token cannot extend."""
-        out, state, size = [], 0, 0
-        for i, t in enumerate(tokens):
-            before, had = state, size
+    def statistics(self, tokens: list[int]):
+        """(state, length) of the longest known sequence that ends at each token."""
+        state, size = 0, 0
+        for t in tokens:
             while state and t not in self.next[state]:
                 state = self.link[state]
                 size = self.length[state]
             if t in self.next[state]:
                 state, size = self.next[state][t], size + 1
-            if size <= had and had >= least:
-                out.append((i - had, *self._at(before, had), had))
-        if size >= least:
-            out.append((len(tokens) - size, *self._at(state, size), size))
-        return out
+            yield state, size
 
-    def _at(self, state: int, size: int) -> tuple[int, int]:
-        template, end = self.place[state]
-        return template, end - size + 1
+    def matches(self, tokens: list[int], least: int) -> list[tuple[int, int, int, int]]:
+        """(text start, sequence, its start, length) of every match, at every
+        place of every sequence, that no token before or after extends."""
+        out = []
+        for i, (state, size) in enumerate(self.statistics(tokens)):
+            after = tokens[i + 1] if i + 1 < len(tokens) else None
+            deeper: set[tuple[int, int]] = set()
+            while size >= least:
+                # what the deeper state does not hold shares no more than these words
+                for n, end in self.places[state] - deeper:
+                    own = self.sequences[n]
+                    if end + 1 == len(own) or own[end + 1] != after:
+                        out.append((i - size + 1, n, end - size + 1, size))
+                deeper = self.places[state]
+                state = self.link[state]
+                size = self.length[state]
+        return out
 
 
 class Scanner:
@@ -157,16 +176,7 @@ class Scanner:
         self.hashes = hashes[self.by_hash]
         self.labels = [label for label, _ in templates]
         self.sizes = [len(t) for t in texts]
-        self.automaton = SuffixAutomaton()
-        for i, t in enumerate(texts):
-            self.automaton.add([self.token[w] for w in t], i)
-        # equal notices in several templates: each template knows its own places
-        self.where = {}
-        for i, t in enumerate(texts):
-            ids = [self.token[w] for w in t]
-            for j in range(len(ids) - MATCH + 1):
-                self.where.setdefault(tuple(ids[j:j + MATCH]), []).append((i, j))
-        self.templates = [[self.token[w] for w in t] for t in texts]
+        self.automaton = SuffixAutomaton([[self.token[w] for w in t] for t in texts])
         self.phrases = [([self.token[w] for w in p], label) for p, label in zip(phrase_words, phrases.values())]
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
@@ -177,14 +187,8 @@ class Scanner:
     def chains(self, tok: list[int]) -> dict[int, float]:
         """Covered share of each template, by its best chain."""
         spans: dict[int, list[tuple[int, int, int]]] = {}
-        for start, _, _, size in self.automaton.matches(tok, MATCH):
-            for template, at in self.where.get(tuple(tok[start:start + MATCH]), ()):
-                n = 0
-                own = self.templates[template]
-                while n < size and at + n < len(own) and own[at + n] == tok[start + n]:
-                    n += 1
-                if n >= MATCH:
-                    spans.setdefault(template, []).append((start, at, n))
+        for start, template, at, n in self.automaton.matches(tok, MATCH):
+            spans.setdefault(template, []).append((start, at, n))
         out = {}
         for template, found in spans.items():
             best: list[tuple[int, int, int]] = []  # of the open chains: text end, template end, covered

@@ -320,18 +320,30 @@ def test_personal_data_of_odd_rows(spark):
 def test_automaton_holds_exactly_the_sub_sequences():
     rng = random.Random(10)
     seqs = [[rng.randrange(4) for _ in range(rng.randrange(1, 14))] for _ in range(12)]
-    a = licenses.SuffixAutomaton()
-    for i, s in enumerate(seqs):
-        a.add(s, i)
+    a = licenses.SuffixAutomaton(seqs)
     subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
     for _ in range(300):
         text = [rng.randrange(5) for _ in range(12)]
         best = [max([n for n in range(i + 2) if n == 0 or tuple(text[i + 1 - n:i + 1]) in subs]) for i in range(12)]
-        want = [(i + 1 - n, n) for i, n in enumerate(best) if n >= 2 and (i == 11 or best[i + 1] <= n)]
-        got = a.matches(text, 2)
-        assert [(s, n) for s, _, _, n in got] == want
-        for s, t, p, n in got:
-            assert seqs[t][p:p + n] == text[s:s + n]
+        assert [n for _, n in a.statistics(text)] == best
+        want = []
+        for i in range(12):
+            for t, s in enumerate(seqs):
+                for p in range(len(s)):
+                    n = 0
+                    while i + n < 12 and p + n < len(s) and text[i + n] == s[p + n]:
+                        n += 1
+                    if n >= 2 and not (i and p and text[i - 1] == s[p - 1]):
+                        want.append((i, t, p, n))
+        assert sorted(a.matches(text, 2)) == want
+
+
+def test_a_template_within_another_is_covered():
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    scanner = licenses.Scanner([("a", words), ("b", words[19:]), ("c", "zero " + words[4:33])], {})
+    tok = [scanner.token[w.encode()] for w in words.split()]
+    got = scanner.chains([-1] + tok + [-1])
+    assert got[0] == got[1] == 1.0 and 0.5 < got[2] < 1
 
 
 def test_licence_scan(spark):
