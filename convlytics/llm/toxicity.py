@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult, threat, target, negation, report, or other.
-Five transducers read a clause's symbols.  The negation transducer marks what
-follows a negation closely, the report transducer what follows a verb of
-reported speech, the target transducer what stands in reach of a person; insult
-and threat transducers accept their symbol under these marks.  Their
-composition is one machine whose output is a weighted match for each accepted
-symbol, so a clause is scored as a whole and no word alone.
-
-The lexicon of insults and threats is learned: words, and stems of words, that
-stand mostly in texts labelled toxic, with confidence, weighted by their log
-odds; small lists of function words are given.  What each kind of match says about a text
-is fitted by logistic regression.  Both use a bounded, hashed sample of the
-labelled rows.
+Five weighted transducers read a clause's symbols, each the output of the one
+before: the insult and the threat transducer write a match for their symbol,
+the target transducer raises a match's weight where a person stands in reach on
+either side, the report transducer turns a match after a verb of reported
+speech into a reported one, the negation transducer one that closely follows a
+negation into a negated one.  A transducer's state is what it has read to the
+left and, for the target, to the right (a bimachine).  Their composition is one
+table of kinds and weights by joint state and symbol; weights multiply along
+it.  A clause is scored as a whole and no word alone.
+
+The lexicon of insults and threats is learned: all words, and stems of words,
+that stand mostly in texts labelled toxic, with confidence, weighted by their
+log odds; small lists of function words are given.  What each kind of match
+says about a text is fitted by logistic regression.  Both use a bounded, hashed
+sample of the labelled rows, which bounds the lexicon too.
 
 Defined results: null and empty texts get the score of a text without any
 match; without labels of both classes every score is the same prior.
@@ -30,14 +33,16 @@ from convlytics.llm import textkit as T
 
 #: labelled rows learned from, about
 SAMPLE = 12_000
-#: learned words at most, texts that hold one at least, and the share of toxic ones
-#: among them, as the lower bound of a confidence interval of Z deviations
-LEXICON, SUPPORT, SHARE, Z = 400, 3, 0.5, 2.33
+#: toxic texts that hold a learned word at least, and the share of toxic ones among
+#: all that hold it, as the lower bound of a confidence interval of Z deviations
+SUPPORT, SHARE, Z = 3, 0.5, 2.33
 #: bytes of the stems that are learned next to whole words, longest first
 STEMS = (6, 5, 4)
 _STEM = np.uint64(0xA0761D6478BD642F)
 #: words that a negation reaches, and that a target reaches to either side
 NEGATION_REACH, TARGET_REACH = 3, 5
+#: weight of a match with a target in reach
+AIMED = 1.5
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -56,58 +61,93 @@ _END = np.zeros(256, bool)
 _END[list(b".!?;:\n")] = True
 
 
-class Transducer:
-    """A deterministic transducer: step(state, symbol) -> (state, mark)."""
-
-    def __init__(self, states: int, step):
-        self.states, self.step = states, step
-
-
-def _reach(symbol: int, reach: int) -> Transducer:
-    """Marks symbols within ``reach`` after ``symbol``; the state counts down."""
-    return Transducer(reach + 1, lambda s, x: (reach if x == symbol else max(0, s - 1), int(s > 0)))
-
-
-def _onward(symbol: int) -> Transducer:
-    """Marks all that follows ``symbol`` in the clause."""
-    return Transducer(2, lambda s, x: (1 if s or x == symbol else 0, s))
-
-
-def compose(parts: list[Transducer], symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """The product machine: next state and marks (a bit per part) by state and symbol."""
-    sizes = [p.states for p in parts]
-    n = int(np.prod(sizes))
-    move, mark = np.zeros((n, symbols), np.int32), np.zeros((n, symbols), np.int32)
-    for state in range(n):
-        own = np.unravel_index(state, sizes)
-        for x in range(symbols):
-            steps = [p.step(int(s), x) for p, s in zip(parts, own)]
-            move[state, x] = np.ravel_multi_index([s for s, _ in steps], sizes)
-            mark[state, x] = sum(m << i for i, (_, m) in enumerate(steps))
-    return move, mark
-
-
-MOVE, MARK = compose([_reach(NEGATION, NEGATION_REACH), _onward(REPORT), _reach(TARGET, TARGET_REACH)], 6)
-#: numbers of the fitted regression: per kind of match its summed and largest weight, then the text's
+#: kinds of match; numbers of the fitted regression: per kind its summed and largest weight, then the text's
 KINDS = ("insult", "negated", "reported", "threat")
+PLAIN, NEGATED, REPORTED, MENACE = range(len(KINDS))
 N_FEATURES = 2 * len(KINDS) + 3
 
 
-def _clause(symbols: list[int], weights: list[float]) -> list[tuple[int, float]]:
-    """The clause's matches: kind and weight."""
-    state, out = 0, []
-    ahead = [False] * len(symbols)  # a target in reach after the word
-    left = 0
-    for i in range(len(symbols) - 1, -1, -1):
-        ahead[i] = left > 0
-        left = TARGET_REACH if symbols[i] == TARGET else left - 1
-    for i, x in enumerate(symbols):
-        if x in (INSULT, THREAT):
-            mark = int(MARK[state, x])
-            w = weights[i] * (1.5 if mark & 4 or ahead[i] else 1.0)
-            out.append((1 if mark & 1 else 2 if mark & 2 else 3 if x == THREAT else 0, w))
-        state = int(MOVE[state, x])
-    return out
+class Transducer:
+    """A deterministic weighted transducer over a clause.
+
+    ``step(state, symbol)`` is the state after a symbol, ``back`` the same read
+    from the right, both from state 0.  ``write(left, right, symbol, match)``
+    gives the match (kind, weight) or None that the transducer writes for a
+    symbol, from the match it reads and its states on both sides of the symbol.
+    """
+
+    def __init__(self, write, states: int = 1, step=lambda s, x: 0, back_states: int = 1, back=lambda s, x: 0):
+        self.write, self.states, self.step, self.back_states, self.back = write, states, step, back_states, back
+
+
+def _counting(symbol: int, reach: int):
+    """Counts down from the last ``symbol``; 0 is out of reach."""
+    return lambda s, x: reach if x == symbol else max(0, s - 1)
+
+
+def accepting(symbol: int, kind: int) -> Transducer:
+    return Transducer(lambda left, right, x, match: (kind, 1.0) if x == symbol else match)
+
+
+def aimed(symbol: int = TARGET, reach: int = TARGET_REACH, weight: float = AIMED) -> Transducer:
+    count = _counting(symbol, reach)
+    return Transducer(lambda left, right, x, match: match and (match[0], match[1] * (weight if left or right else 1.0)),
+                      reach + 1, count, reach + 1, count)
+
+
+def reported(symbol: int = REPORT) -> Transducer:
+    """All that follows the symbol in the clause is reported."""
+    return Transducer(lambda left, right, x, match: match and (REPORTED if left else match[0], match[1]),
+                      2, lambda s, x: int(s or x == symbol))
+
+
+def negated(symbol: int = NEGATION, reach: int = NEGATION_REACH) -> Transducer:
+    return Transducer(lambda left, right, x, match: match and (NEGATED if left else match[0], match[1]),
+                      reach + 1, _counting(symbol, reach))
+
+
+class Machine:
+    """The composition of transducers: one table of moves for each direction, and
+    of the kind (-1: no match) and weight written, by both states and symbol."""
+
+    def __init__(self, parts: list[Transducer], symbols: int):
+        self.left = self._product([p.states for p in parts], [p.step for p in parts], symbols)
+        self.right = self._product([p.back_states for p in parts], [p.back for p in parts], symbols)
+        size = (len(self.left), len(self.right), symbols)
+        self.kind, self.weight = np.full(size, -1), np.zeros(size)
+        for at in np.ndindex(size):
+            left = np.unravel_index(at[0], [p.states for p in parts])
+            right = np.unravel_index(at[1], [p.back_states for p in parts])
+            match = None
+            for p, l, r in zip(parts, left, right):
+                match = p.write(int(l), int(r), at[2], match)
+            if match:
+                self.kind[at], self.weight[at] = match
+
+    @staticmethod
+    def _product(sizes, steps, symbols: int) -> np.ndarray:
+        move = np.zeros((int(np.prod(sizes)), symbols), np.int32)
+        for state, x in np.ndindex(move.shape):
+            own = np.unravel_index(state, sizes)
+            move[state, x] = np.ravel_multi_index([step(int(s), x) for step, s in zip(steps, own)], sizes)
+        return move
+
+    def read(self, symbols: list[int], weights: list[float]) -> list[tuple[int, float]]:
+        """The clause's matches: kind and weight, which is the word's times the machine's."""
+        right, state = [0] * len(symbols), 0
+        for i in range(len(symbols) - 1, -1, -1):
+            right[i] = state
+            state = int(self.right[state, symbols[i]])
+        out, state = [], 0
+        for x, after, w in zip(symbols, right, weights):
+            kind = int(self.kind[state, after, x])
+            if kind >= 0:
+                out.append((kind, w * float(self.weight[state, after, x])))
+            state = int(self.left[state, x])
+        return out
+
+
+GRAMMAR_MACHINE = Machine([accepting(INSULT, PLAIN), accepting(THREAT, MENACE), aimed(), reported(), negated()], 6)
 
 
 def _stems(word: bytes) -> list[bytes]:
@@ -171,7 +211,7 @@ class Lexicon:
         for k in np.unique(clause[(symbol == INSULT) | (symbol == THREAT)]).tolist():
             a, b = int(first[k]), int(first[k + 1])
             row = out[doc[a]]
-            for kind, x in _clause(symbol[a:b].tolist(), weight[a:b].tolist()):
+            for kind, x in GRAMMAR_MACHINE.read(symbol[a:b].tolist(), weight[a:b].tolist()):
                 row[2 * kind] += x
                 row[2 * kind + 1] = max(row[2 * kind + 1], x)
                 row[-3] += 1
@@ -248,15 +288,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = F.log((a + 0.5) / (F.lit(n1) - a + 0.5)) - F.log((b + 0.5) / (F.lit(n0) - b + 0.5))
     n, z2 = a + b, Z * Z
     least = (a + z2 / 2 - Z * F.sqrt(a * b / n + z2 / 4)) / (n + z2)
+    # words of the sampled toxic texts only, each in SUPPORT of them or more
     top = (counts.where(a >= SUPPORT).select("word", odds.alias("odds"), least.alias("least"))
-           .where(F.col("least") >= SHARE).orderBy(F.col("least").desc(), "word").limit(LEXICON).collect())
-    lexicon = Lexicon({bytes(r["word"]): float(r["odds"]) for r in top})
+           .where(F.col("least") >= SHARE).select("word", "odds").collect())
+    lexicon = Lexicon({bytes(r["word"]): float(r["odds"]) for r in sorted(top, key=lambda r: bytes(r["word"]))})
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def describe(batches):
         for b in batches:
             y = b.column(1)
             for c in T.chunks(_lower(b.column(0))):
-                x = lexicon.features(c)
+                x = shared.value.features(c)
                 yield pa.RecordBatch.from_arrays([T.list_column(list(x), pa.float64()), y.slice(c.lo, len(c))],
                                                  ["x", "toxic"])
 

@@ -508,14 +508,60 @@ def test_clauses_are_scored_by_their_marks():
     assert kinds("to kill a process") == {"threat": 3.0}
 
 
-@pytest.mark.parametrize("state", range(3))
-def test_composition_steps_like_its_parts(state):
-    rng = random.Random(state)
-    parts = [toxicity._reach(4, 3), toxicity._onward(5), toxicity._reach(3, 2)]
-    move, mark = toxicity.compose(parts, 6)
-    for _ in range(200):
-        s, own = 0, [0, 0, 0]
-        for x in (rng.randrange(6) for _ in range(12)):
-            steps = [p.step(o, x) for p, o in zip(parts, own)]
-            assert mark[s, x] == sum(m << i for i, (_, m) in enumerate(steps))
-            s, own = int(move[s, x]), [o for o, _ in steps]
+def brute_clause(symbols, weights):
+    """Kinds and weights of a clause's matches, from the positions alone."""
+    X, out = toxicity, []
+    for i, x in enumerate(symbols):
+        if x not in (X.INSULT, X.THREAT):
+            continue
+        near = symbols[max(0, i - X.TARGET_REACH):i] + symbols[i + 1:i + 1 + X.TARGET_REACH]
+        kind = ("negated" if X.NEGATION in symbols[max(0, i - X.NEGATION_REACH):i] else
+                "reported" if X.REPORT in symbols[:i] else "threat" if x == X.THREAT else "insult")
+        out.append((X.KINDS.index(kind), weights[i] * (X.AIMED if X.TARGET in near else 1.0)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_machine_scores_clauses_like_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(1500):
+        n = rng.randrange(0, 25)
+        symbols = [rng.choice([0, 0, 0, 0, 1, 2, 3, 4, 5]) for _ in range(n)]
+        weights = [rng.choice([0.5, 1.25, 4.0]) for _ in range(n)]
+        assert toxicity.GRAMMAR_MACHINE.read(symbols, weights) == brute_clause(symbols, weights)
+
+
+def test_composition_writes_what_its_parts_write():
+    rng = random.Random(3)
+    parts = [toxicity.accepting(1, 0), toxicity.accepting(2, 3), toxicity.aimed(3, 2, 2.0), toxicity.reported(5),
+             toxicity.negated(4, 3)]
+    machine = toxicity.Machine(parts, 6)
+    for _ in range(300):
+        symbols = [rng.randrange(6) for _ in range(12)]
+        passed = [None] * 12
+        for p in parts:  # each reads the whole output of the one before
+            right, s = [], 0
+            for x in reversed(symbols):
+                right.insert(0, s)
+                s = p.back(s, x)
+            s, written = 0, []
+            for x, r, m in zip(symbols, right, passed):
+                written.append(p.write(s, r, x, m))
+                s = p.step(s, x)
+            passed = written
+        assert machine.read(symbols, [1.0] * 12) == [m for m in passed if m]
+
+
+def test_the_lexicon_has_no_size_limit(spark):
+    words = [f"grob{i:04d}x" for i in range(900)]
+    rows = []
+    for i in range(900):  # each word in 15 toxic texts
+        rows.append((i, " ".join(words[(i + 60 * j) % 900] for j in range(15)) + f" t{i}", 1))
+        rows.append((1000 + i, f"good morning to all of them t{i} x{i}", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    x = np.vstack([model.lexicon.features(c) for c in T.chunks(pa.array([f"hello {w} there" for w in words]))])
+    assert (x[:, 0] > 0).all()  # an insult's weight for each
+    assert not model.lexicon.features(next(T.chunks(pa.array(["hello to them"]))))[0, :8].any()
+    got = {r.doc_id: r.predicted for r in toxicity.score(df.drop("toxic"), model).collect()}
+    assert all(got[i] == 1 and got[1000 + i] == 0 for i in range(900))
