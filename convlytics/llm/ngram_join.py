@@ -182,7 +182,7 @@ def _all_pairs(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     """Every possible pair of members of different components, once."""
     mixed = (rows.groupBy("gram", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo != hi").select("gram", "band"))
-    left = rows.join(mixed, ["gram", "band"]).join(classes.select("cid", "profile"), "cid")
+    left = rows.join(mixed, ["gram", "band"]).join(classes.select("cid", "profile").hint("merge"), "cid")
     fields = ("cid", "n", "pos", "before", "comp", "profile")
     right = left.select("gram", "band", *[F.col(c).alias(f"b_{c}") for c in fields])
     left = left.select("gram", "band", *[F.col(c).alias(f"a_{c}") for c in fields])
@@ -201,7 +201,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
     the classes in question only.  Pairs meet grouped by a: a's set comes
     first in each group's stream, so a task holds one set at a time.
     """
-    profile = classes.select(F.col("cid"), "n", "profile")
+    # profiles are sorted to the pairs, never held whole by an executor
+    profile = classes.select(F.col("cid"), "n", "profile").hint("merge")
     pairs = (pairs.join(profile.select(F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("profile").alias("a_profile")), "a")
              .join(profile.select(F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("profile").alias("b_profile")), "b")
              .where(_overlap_enough(num, den))
@@ -234,6 +235,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
     one, gpath = scratch.write(
         found.join(reps, found["rep"].eqNullSafe(reps["rep"]) & (found["d1"] == reps["d1"]) & (found["d2"] == reps["d2"]))
         .select("cid", "grams").dropDuplicates(["cid"]))
+    wanted.destroy()  # its only reader is written
     lead = (pairs.select("a", "part").distinct().join(one.withColumnRenamed("cid", "a"), "a")
             .select("a", "part", F.lit(None).cast("long").alias("b"), "grams"))
     rest = pairs.join(one.withColumnRenamed("cid", "b"), "b").select("a", "part", "b", "grams")
@@ -276,6 +278,7 @@ def _classes(docs, k, num, den, scratch):
         .agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"),
              F.count("*").alias("copies"))
         .withColumn("cid", F.monotonically_increasing_id()))
+    order.destroy()  # its only reader is written
     classes = scratch.save(full.drop("prefix"))
     return raw, classes, full.select("cid", "n", "prefix"), path
 

@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from convlytics.session import scratch_path
 
 
-#: rows of an Arrow batch: whole texts are large, and each task holds a batch on both sides
-BATCH_ROWS = 250
+#: rows and bytes of an Arrow batch: whole texts are large, some very large, and each task
+#: holds a batch on both sides (a longer text is a batch of its own)
+BATCH_ROWS, BATCH_BYTES = 250, 16 << 20
 
 
 def settle(spark: SparkSession) -> SparkSession:
     """Bound the batches that tasks exchange with Python, unless they are smaller already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, str(1 << 30)).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
     return spark
 
 
