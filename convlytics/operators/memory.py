@@ -7,11 +7,15 @@ over L2-normalised vectors (cosine similarity), computed block by block:
 * queries are hash-split into ``Qb`` blocks and the corpus into ``Cb``
   blocks; a block side is bounded in bytes of vectors, a task in scored
   pairs, and Qb / Cb follows |Q| / |C|, which minimises the rows replicated;
-* each query row is replicated to the ``Cb`` corpus blocks and each corpus
-  row to the ``Qb`` query blocks; both sides, tagged, are grouped on
-  ``(query block, corpus block)``.  A group scores tiles of ``TILE`` queries
-  by ``TILE`` items and carries its local top-k from tile to tile, so the
-  score matrix in memory does not grow with either side;
+* there are no more blocks a side than keep all cores busy (``most_blocks``),
+  as each query row is replicated to the ``Cb`` corpus blocks and each corpus
+  row to the ``Qb`` query blocks: what is shuffled grows as the input does.
+  Beyond that blocks are larger instead.  A task holds its queries only, the
+  items come in order of their ids, batch by batch; queries of more than
+  ``BLOCK_BYTES`` a block are searched in rounds;
+* a task scores tiles of ``TILE`` queries by ``TILE`` items and carries its
+  local top-k from tile to tile, so the score matrix in memory does not grow
+  with either side;
 * a final ``row_number`` per query keeps the global top-k from the
   ``Cb * k`` candidates (exact: local top-k with the same total order).
 
@@ -33,12 +37,13 @@ vectors never pass through it.
 
 from __future__ import annotations
 
+import gc
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlytics.functions.vectors import l2_normalize
@@ -50,11 +55,13 @@ CONTEXT_K = 3
 QUESTION_PREFIX = "Pregunta: "
 ANSWER_PREFIX = "\nRespuesta: "
 
-# Bytes of float64 vectors on one side of a block pair, scored pairs allowed
-# per task, and the side of a tile of scores.
+# Bytes of float64 vectors on one side of a block pair, and of the queries that a
+# task may hold; scored pairs allowed per task while blocks are few; the side of a
+# tile of scores, and the queries whose bounds are held at a time.
 BLOCK_BYTES = 64 << 20
 PAIRS_PER_TASK = 400_000_000
 TILE = 1024
+BOUND_ROWS = 256
 # Cells of the pruned search, bytes of their centres, and the slack of a bound
 # for the rounding of angles.
 MAX_CELLS, CENTRE_BYTES, SLACK = 2048, 16 << 20, 1e-7
@@ -96,32 +103,70 @@ def _block_counts(n_q: int, n_c: int, max_q_rows: int, max_c_rows: int,
     return qb, cb
 
 
+def most_blocks(spark: SparkSession) -> int:
+    """Blocks a side at most: two block pairs for each core."""
+    return max(4, math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
+
+
+class TopK:
+    """The ``k`` best items of each query, from items that come in ascending order of their ids.
+
+    The total order is score descending, then id ascending; of rows with the
+    same id the best counts.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.score = np.full((len(queries), k), -np.inf)
+        self.id = np.empty((len(queries), k), object)
+
+    def add(self, ids: np.ndarray, items: np.ndarray, tile: int = TILE) -> None:
+        """Scores are made tile by tile, and only those that reach a query's k-th are looked at."""
+        for at in range(0, len(items), tile):
+            some, names = items[at:at + tile].T, ids[at:at + tile]
+            start = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            # copies of an item must not crowd others out
+            slots = min(self.k * int(np.diff(np.append(start, len(names))).max()), self.k + len(names) - len(start))
+            for lo in range(0, len(self.queries), tile):
+                new = self.queries[lo:lo + tile] @ some
+                least = self.score[lo:lo + tile, -1]
+                with np.errstate(invalid="ignore"):
+                    # later ids lose a tie; what rounding might lift above is kept
+                    floor = least + 2.5e-13 - 1e-15 * np.abs(least)
+                few = np.flatnonzero(np.isneginf(least))
+                floor[few] = -np.inf
+                if len(few) and slots < len(names):
+                    nth = np.partition(new[few], -slots, axis=1)[:, -slots]
+                    floor[few] = nth - 1e-12 - 1e-15 * np.abs(nth)
+                row, col = np.nonzero(new > floor[:, None])
+                if len(row):
+                    value = np.round(new[row, col], 12)  # equal vectors tie, however BLAS sums
+                    cut = np.flatnonzero(np.diff(row)) + 1
+                    for r, c, v in zip(row[np.append(0, cut)].tolist(), np.split(col, cut), np.split(value, cut)):
+                        self._merge(lo + r, names[c], v)
+
+    def _merge(self, row: int, names: np.ndarray, value: np.ndarray) -> None:
+        value = np.append(self.score[row], value)
+        names = np.append(self.id[row], names)
+        seen: dict = {}
+        for i in np.argsort(-value, kind="stable").tolist():  # what was held has the smaller ids
+            if value[i] == -np.inf or len(seen) == self.k:
+                break
+            seen.setdefault(names[i], value[i])
+        self.id[row, :len(seen)] = list(seen)
+        self.score[row, :len(seen)] = list(seen.values())
+
+
 def block_topk(queries: np.ndarray, items: np.ndarray, order: np.ndarray, k: int, tile: int = TILE):
     """Positions and scores (queries by at most k) of the best items.
 
     ``order`` is each item's place in ascending id order; the total order is
     score descending, then id ascending.  Scores are made tile by tile.
     """
-    kk = min(k, len(items))
-    best = np.zeros((len(queries), kk), np.int64)
-    value = np.zeros((len(queries), kk))
-    for lo in range(0, len(queries), tile):
-        q = queries[lo:lo + tile]
-        held = np.zeros((len(q), 0), np.int64)
-        score = np.zeros((len(q), 0))
-        for at in range(0, len(items), tile):
-            new = np.round(q @ items[at:at + tile].T, 12)  # equal vectors tie, however BLAS sums
-            pool = np.hstack([score, new])
-            ids = np.hstack([held, np.broadcast_to(np.arange(at, at + new.shape[1]), new.shape)])
-            n = min(kk, pool.shape[1])
-            least = -np.partition(-pool, n - 1, axis=1)[:, n - 1]
-            held, score = np.zeros((len(q), n), np.int64), np.zeros((len(q), n))
-            for r in range(len(q)):  # all that reach the n-th score compete by id
-                cand = np.flatnonzero(pool[r] >= least[r])
-                cand = cand[np.lexsort((order[ids[r, cand]], -pool[r, cand]))][:n]
-                held[r], score[r] = ids[r, cand], pool[r, cand]
-        best[lo:lo + tile], value[lo:lo + tile] = held, score
-    return best, value
+    at = np.argsort(order, kind="stable")
+    best = TopK(queries, min(k, len(items)))
+    best.add(np.arange(len(items)), items[at], tile)
+    return at[best.id.astype(np.int64)], best.score
 
 
 def _usable(vec: str, dim: int):
@@ -131,28 +176,61 @@ def _usable(vec: str, dim: int):
     return v.isNotNull() & (F.size(v) == dim) & ~bad
 
 
+def _vectors(batch: pa.RecordBatch, column: str = "v") -> np.ndarray:
+    """The vectors of a batch, rows by components."""
+    v = batch.column(column).flatten().to_numpy(zero_copy_only=False)
+    return v.reshape(batch.num_rows, -1).astype(np.float64, copy=False)
+
+
+def _slices(batches, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _pair_topk(k: int):
-    """Scores one group of queries and items; a group is bounded by its keys."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["is_query"].to_numpy(dtype=bool)
-        if side.all() or not side.any():
-            return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype="float64")})
-        qid, iid = pdf["id"].to_numpy()[side], pdf["id"].to_numpy()[~side].astype(str)
-        vectors = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        place = np.argsort(np.argsort(iid, kind="stable"), kind="stable")
-        # copies of an item must not crowd others out of the local top-k
-        _, copies = np.unique(iid, return_counts=True)
-        slots = min(k * int(copies.max()), k + len(iid) - len(copies))
-        best, value = block_topk(vectors[side], vectors[~side], place, slots)
-        return pd.DataFrame({"qid": np.repeat(qid, best.shape[1]), "iid": iid[best.ravel()], "score": value.ravel()})
+    """Scores the block pairs of a partition, each pair's queries first and then its items by id."""
+    def run(batches):
+        held, queries, best = None, [], None
+
+        def out():
+            if best is not None:
+                row, col = np.nonzero(best.score > -np.inf)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row)), pa.array(best.id[row, col], pa.string()), pa.array(best.score[row, col])],
+                    ["qid", "iid", "score"])
+
+        for b in _slices(batches, 1 << 14):
+            pair = b.column("pair").to_numpy()
+            cut = np.append(np.flatnonzero(np.diff(pair)) + 1, b.num_rows)
+            for lo, hi in zip(np.append(0, cut).tolist(), cut.tolist()):
+                if held != pair[lo]:
+                    yield from out()
+                    held, queries, best = pair[lo], [], None
+                part = b.slice(lo, hi - lo)
+                asked = part.column("is_query").to_numpy(zero_copy_only=False)
+                n = int(asked.sum())
+                if n:
+                    queries.append((part.column("id").take(pa.array(np.arange(n))), _vectors(part.slice(0, n)).copy()))  # else the batch is kept
+                if n < len(asked) and (queries or best):
+                    if best is None:
+                        ids = pa.concat_arrays([q[0] for q in queries])
+                        best, queries = TopK(np.concatenate([q[1] for q in queries]), k), []
+                    part = part.slice(n)
+                    best.add(part.column("id").to_numpy(zero_copy_only=False), _vectors(part))
+        yield from out()
 
     return run
 
 
 def _ranked(sides: DataFrame, keys: tuple[str, str], k: int) -> DataFrame:
-    """(query_id, rank, item_id, score) from queries and items that meet by ``keys``."""
-    cand = (sides.groupBy(*keys).applyInPandas(_pair_topk(k), schema="qid string, iid string, score double")
+    """(query_id, rank, item_id, score) from queries and items that meet by ``keys``, numbers of blocks."""
+    most = most_blocks(sides.sparkSession)  # of query blocks; pruned searches may have more of the corpus
+    pair = (F.col(keys[1]) * most + F.col(keys[0])).cast("int")
+    cand = (sides.withColumn("pair", pair).repartitionById(2 * most * most, "pair")
+            .sortWithinPartitions("pair", F.col("is_query").desc(), "id").select("pair", "is_query", "id", "v")
+            .mapInArrow(_pair_topk(k), "qid string, iid string, score double")
             .groupBy("qid", "iid").agg(F.max("score").alias("score")))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid").asc())
     return (
@@ -215,15 +293,15 @@ def corpus_cells(items: DataFrame, n: int, dim: int, cells: int, block_rows: int
     plan = Cells(centres if len(centres) else np.eye(1, dim))
 
     def assign(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            norm, angle = plan.angles(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+        for b in _slices(batches, BOUND_ROWS):
+            norm, angle = plan.angles(_vectors(b))
             cell = angle.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype(np.int32), angle=angle[np.arange(len(cell)), cell], norm=norm)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("v"), pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(cell)), cell]), pa.array(norm)],
+                ["id", "v", "cell", "angle", "norm"])
 
     path = scratch_path(spark, "cells")
-    items.mapInPandas(assign, "id string, v array<double>, cell int, angle double, norm double").write.parquet(path)
+    items.mapInArrow(assign, "id string, v array<double>, cell int, angle double, norm double").write.parquet(path)
     placed = spark.read.parquet(path)
     plan.measure(placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle"), F.min("norm").alias("low"),
                                             F.max("norm").alias("high")).collect(), block_rows)
@@ -240,39 +318,37 @@ def visits(queries: DataFrame, plan: Cells, k: int, n_qb: int) -> DataFrame:
     bound is no less.  ``pairs`` counts the vectors that are scored there.
     """
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            bound = plan.bounds(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+        for b in _slices(batches, BOUND_ROWS):
+            bound = plan.bounds(_vectors(b))
             at, block, pairs = [], [], []
-            for i, (b, reached) in enumerate(zip(bound, pdf["reached"].to_numpy(dtype=float))):
+            for i, (near, reached) in enumerate(zip(bound, b.column("reached").to_numpy(zero_copy_only=False))):
                 if np.isnan(reached):
-                    best = np.argsort(-b, kind="stable")
+                    best = np.argsort(-near, kind="stable")
                     use = best[:int(np.searchsorted(np.cumsum(plan.size[best]), 2 * k)) + 1]
                 else:
-                    use = np.flatnonzero(b >= reached)
+                    use = np.flatnonzero(near >= reached)
                 use = use[plan.size[use] > 0]
                 of = np.unique(np.concatenate([np.arange(f, f + p) for f, p in zip(plan.first[use], plan.parts[use])] or [[]]))
                 at += [i] * len(of)
                 block += of.tolist()
                 pairs += [int(plan.size[use].sum())] * len(of)
-            out = pdf[["id", "v"]].iloc[at].reset_index(drop=True)
-            yield out.assign(block=np.array(block, np.int64), pairs=np.array(pairs, np.int64))
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("v").take(at), pa.array(block, pa.int64()),
+                                              pa.array(pairs, pa.int64())], ["id", "v", "block", "pairs"])
 
-    went = queries.mapInPandas(run, "id string, v array<double>, block long, pairs long")
+    went = queries.select("id", "v", "reached").mapInArrow(run, "id string, v array<double>, block long, pairs long")
     return went.withColumn("qb", F.pmod(F.xxhash64("id", F.hash("v")), F.lit(n_qb)))
 
 
 def _visited(went: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """The best k items of every query in the blocks it visits."""
     q = went.select(F.lit(True).alias("is_query"), "id", "v", "qb", "block")
-    c = items.join(went.select("qb", "block").distinct(), "block").select(F.lit(False).alias("is_query"), "id", "v", "qb", "block")
+    c = items.join(F.broadcast(went.select("qb", "block").distinct()), "block").select(F.lit(False).alias("is_query"), "id", "v", "qb", "block")
     return _ranked(q.unionByName(c), ("qb", "block"), k)
 
 
-def _pruned_topk(queries: DataFrame, items: DataFrame, k: int, n: int, dim: int, cells: int, n_qb: int, block_rows: int) -> DataFrame:
+def _pruned_topk(queries: DataFrame, placed: DataFrame, plan: Cells, k: int, n_qb: int) -> DataFrame:
     """Two rounds of visits; see the module."""
-    plan, placed = corpus_cells(items, n, dim, cells, block_rows)
     start = visits(queries.withColumn("reached", F.lit(None).cast("double")), plan, k, n_qb)
     kth = (_visited(start, placed, k).where(F.col("rank") == k)
            .select(F.col("query_id").alias("id"), F.col("score").alias("reached")))
@@ -280,6 +356,29 @@ def _pruned_topk(queries: DataFrame, items: DataFrame, k: int, n: int, dim: int,
     return _visited(visits(known, plan, k, n_qb), placed, k)
 
 
+def _whole_topk(q: DataFrame, c: DataFrame, k: int, n_qb: int, n_cb: int) -> DataFrame:
+    """All pairs of blocks."""
+    q = q.select(F.lit(True).alias("is_query"), "id", "v", F.pmod(F.xxhash64("id", F.hash("v")), F.lit(n_qb)).alias("qb"),
+                 F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1))).alias("cb"))
+    c = c.select(F.lit(False).alias("is_query"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"),
+                 F.pmod(F.xxhash64("id", F.hash("v")), F.lit(n_cb)).alias("cb"))
+    return _ranked(q.unionByName(c), ("qb", "cb"), k)
+
+
+def _in_rounds(q: DataFrame, rounds: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The hits of one share of the queries after the other; all vectors of an id are in one share."""
+    if rounds == 1:
+        return search(q)
+    spark = q.sparkSession
+    path = scratch_path(spark, "hits")
+    for i in range(rounds):
+        search(q.where(F.pmod(F.xxhash64(F.lit("round"), "id"), F.lit(rounds)) == i)).write.mode("append").parquet(path)
+        # the files of a shuffle go when the driver collects its garbage
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(HITS_SCHEMA).parquet(path)
+
+
 def knn_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -300,9 +399,11 @@ def knn_topk(
     NULL, not as long as the corpus's longest, or holds a NULL, NaN or
     infinite number gives no hits and is none; a zero vector scores 0 with
     everything.  An id on several rows is one query, or one item, with the
-    best score that any of its vectors reaches.  ``cells`` sets the number of
-    cells of the pruned search, 0 for none; without it searches of more pairs
-    than one task's use about the square root of the corpus.
+    best score that any of its vectors reaches.  ``block_bytes`` and
+    ``pairs_per_task`` set the blocks while there are no more than
+    :func:`most_blocks` a side.  ``cells`` sets the number of cells of the
+    pruned search, 0 for none; without it searches of more pairs than one
+    task's use about the square root of the corpus.
     """
     spark = queries.sparkSession
     shape = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.col(item_vec))).alias("d")).first()
@@ -313,17 +414,19 @@ def knn_topk(
     rows = max(1, block_bytes // (8 * dim))
     n_q = queries.count()
     n_qb, n_cb = _block_counts(n_q, n, rows, rows, pairs_per_task)
+    most = most_blocks(spark)
+    rounds = 1
+    if n_qb > most:  # a task holds its queries whole: up to BLOCK_BYTES of them a round
+        rounds = max(1, math.ceil(n_q / (most * max(rows, BLOCK_BYTES // (8 * dim)))))
+    n_qb, n_cb = min(n_qb, most), min(n_cb, most)
     q = queries.filter(_usable(query_vec, dim)).select(F.col(query_id).cast("string").alias("id"), vec(query_vec).alias("v"))
-    c = corpus.filter(_usable(item_vec, dim)).select(F.col(item_id).cast("string").alias("id"), vec(item_vec).alias("v"))
+    c = corpus.filter(_usable(item_vec, dim)).select(F.coalesce(F.col(item_id).cast("string"), F.lit("None")).alias("id"), vec(item_vec).alias("v"))
     if cells is None:
         cells = min(MAX_CELLS, math.isqrt(n)) if n_q * n > pairs_per_task else 0
     if cells:
-        return _pruned_topk(q, c, k, n, dim, cells, n_qb, max(1, math.ceil(n / n_cb)))
-    q = q.select(F.lit(True).alias("is_query"), "id", "v", F.pmod(F.xxhash64("id", F.hash("v")), F.lit(n_qb)).alias("qb"),
-                 F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1))).alias("cb"))
-    c = c.select(F.lit(False).alias("is_query"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"),
-                 F.pmod(F.xxhash64("id", F.hash("v")), F.lit(n_cb)).alias("cb"))
-    return _ranked(q.unionByName(c), ("qb", "cb"), k)
+        plan, placed = corpus_cells(c, n, dim, cells, max(1, math.ceil(n / n_cb)))
+        return _in_rounds(q, rounds, lambda some: _pruned_topk(some, placed, plan, k, n_qb))
+    return _in_rounds(q, rounds, lambda some: _whole_topk(some, c, k, n_qb, n_cb))
 
 
 def search_memory(questions: DataFrame, store: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]],

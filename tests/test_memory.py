@@ -167,3 +167,79 @@ def test_block_counts_respect_caps_and_balance():
         assert (-(-nq // qb)) * (-(-nc // cb)) <= 400_000_000 * 1.01 + 20_000
     qb, cb = _block_counts(10**6, 10**6, 20_000, 20_000, 400_000_000)
     assert 10**6 * cb + 10**6 * qb <= 1.1 * 10**8
+
+
+def test_rows_are_copied_to_few_blocks(spark, monkeypatch):
+    """However small the blocks that are asked for, what is shuffled is a fixed multiple of the input; in rounds, too."""
+    import convlytics.operators.memory as M
+
+    rng = np.random.default_rng(17)
+    q, c = rng.normal(size=(300, 8)), rng.normal(size=(300, 8))
+    moved, ranked = [], M._ranked
+    monkeypatch.setattr(M, "_ranked", lambda sides, *a: moved.append(sides.count()) or ranked(sides, *a))
+    want = {i: [h[0] for h in hits] for i, hits in _brute(q, c, 3).items()}
+    for held, rounds in ((64 << 20, 1), (8 * 8 * 30, 3)):
+        monkeypatch.setattr(M, "BLOCK_BYTES", held)
+        for cells in (0, 9):
+            moved.clear()
+            got = {}
+            for r in knn_topk(_frame(spark, "query_id", q), _frame(spark, "item_id", c), k=3, block_bytes=8 * 8 * 4,
+                              pairs_per_task=20, cells=cells).collect():
+                got.setdefault(r.query_id, []).append((r.rank, r.item_id))
+            assert {i: [h[1] for h in sorted(hits)] for i, hits in got.items()} == want
+            assert max(moved) <= 600 * 12 and len(moved) == rounds * (1 + (cells > 0))
+
+
+class _Function:
+    """In place of a table: keeps the function that tasks would run."""
+
+    schema: list = []
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+    def withColumn(self, *_):  # noqa: N802
+        return self
+
+
+def _peak_mb(batches) -> float:
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in batches)
+        assert n
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_visit_holds_the_bounds_of_few_queries(spark):
+    import pyarrow as pa
+
+    import convlytics.operators.memory as M
+
+    rng = np.random.default_rng(18)
+    plan = M.Cells(np.linalg.norm(rng.normal(size=(2000, 4, 1)), axis=2))
+    plan.measure([{"cell": i, "n": 10, "angle": 0.1, "low": 1.0, "high": 1.0} for i in range(2000)], 5000)
+    v = rng.normal(size=(4000, 4))
+    batch = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(4000)], "v": pa.array(v.tolist(), pa.list_(pa.float64())),
+                                        "reached": pa.array([None] * 4000, pa.float64())})
+    table = _Function()
+    M.visits(table, plan, 3, 4)
+    assert _peak_mb(table.run(iter([batch]))) < 60  # one matrix of all bounds has 64
+
+
+def test_embedding_holds_few_texts(spark):
+    import pyarrow as pa
+
+    from convlytics.functions.embedders import HashingEmbedder
+    from convlytics.operators.embed import embed_rows
+
+    batch = pa.RecordBatch.from_pydict({"text_hash": [str(i) for i in range(10_000)], "chunk": ["a b c"] * 10_000})
+    table = embed_rows(_Function(), HashingEmbedder(64), "m")
+    assert _peak_mb(table.run(iter([batch]))) < 10
