@@ -12,7 +12,8 @@ Plan (Spark-first):
   associative).  Without a hot thread AQE drops that branch unread;
 * cold and hot aggregates are joined to the threads apart, on ``thread_id``:
   the cold one is already hash-partitioned on the key, so its text is not
-  shuffled again.
+  shuffled again.  Messages and what comes of them are never broadcast: of a
+  table with VARIANT columns Spark expects a small share of its true size.
 """
 
 from __future__ import annotations
@@ -201,8 +202,8 @@ def build_master(
     if strict:
         require_rows(messages, "messages to aggregate")
         keys = clean_messages(messages).select("thread_id")
-        require_rows(t.select("thread_id").join(keys, "thread_id", "left_semi"), "master table")
-    joined = [t.join(a, "thread_id", "inner") for a in _aggregates(messages, seq_col, hot_thread_rows, thread_ids)]
+        require_rows(t.select("thread_id").join(keys.hint("merge"), "thread_id", "left_semi"), "master table")
+    joined = [t.join(a.hint("merge"), "thread_id", "inner") for a in _aggregates(messages, seq_col, hot_thread_rows, thread_ids)]
     master = joined[0] if len(joined) == 1 else joined[0].unionByName(joined[1])
     return master.withColumn("duration_minutes", duration_minutes("first_msg", "last_msg"))
 
@@ -211,14 +212,14 @@ def threads_without_messages(threads: DataFrame, messages: DataFrame) -> DataFra
     """Thread rows the master join drops (anti join on the message keys)."""
     t = prepare_threads(threads)
     keys = clean_messages(messages).select("thread_id")
-    return t.join(keys, "thread_id", "left_anti")
+    return t.join(keys.hint("merge"), "thread_id", "left_anti")
 
 
 def dropped_thread_count(threads: DataFrame, messages: DataFrame) -> DataFrame:
     """One row: threads before, threads with messages, threads dropped."""
     t = prepare_threads(threads)
     keys = clean_messages(messages).select("thread_id").distinct().withColumn("_has", F.lit(1))
-    j = t.select("thread_id").join(keys, "thread_id", "left")
+    j = t.select("thread_id").join(keys.hint("merge"), "thread_id", "left")
     return j.agg(
         F.count(F.lit(1)).alias("threads_before"),
         F.count("_has").alias("threads_kept"),

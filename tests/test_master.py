@@ -152,3 +152,20 @@ def test_requested_threads_only(spark):
     t = spark.createDataFrame([("a",), ("b",)], "thread_id string")
     got = build_master(t, m, thread_ids=spark.createDataFrame([("b",), ("b",), (None,)], "thread_id string")).collect()
     assert [(r.thread_id, r.full_conversation) for r in got] == [("b", "y")]
+
+
+def test_messages_of_variants_are_not_broadcast(spark, tmp_path):
+    """Spark expects 2 kB of a VARIANT, and so nearly nothing of a table without its VARIANT columns."""
+    from pyspark.sql import functions as F
+
+    from convlytics.operators.master import build_master, dropped_thread_count, threads_without_messages
+
+    path = str(tmp_path / "messages")
+    m = spark.range(4000).select((F.col("id") % 500).cast("string").alias("thread_id"), F.parse_json(F.lit('"text"')).alias("content"))
+    m.write.parquet(path)
+    m, t = spark.read.parquet(path), spark.range(500).select(F.col("id").cast("string").alias("thread_id"))
+    for df in (build_master(t, m), threads_without_messages(t, m), dropped_thread_count(t, m)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and ("Inner" in x or "LeftOuter" in x)]
+    assert build_master(t, m).count() == 500
