@@ -7,8 +7,8 @@ Plan:
   with the cache on ``(model, text_hash)`` -- one shuffle on the hash, and none
   of the cache, which lies in buckets of it; a small batch of chunks reads only
   the buckets of its hashes;
-* the embedding model runs in ``mapInPandas`` over Arrow batches, opened once a
-  worker, in calls of texts of like length; the result is appended to the cache (the write
+* the embedding model runs in ``mapInArrow`` over slices of Arrow batches, opened
+  once a worker, in calls of texts of like length; the result is appended to the cache (the write
   is the action, so the model runs exactly once per missing chunk);
 * pooling joins chunks to cached vectors and averages them per document
   with ``Summarizer.mean`` (map-side partial aggregation, fixed-size buffer).
@@ -19,7 +19,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,8 @@ from convlytics.sources import cache as stores
 
 # Fixed value: texts per call of the embedding function.
 EMBED_BATCH = 64
+#: texts that a worker holds as Python strings, with their vectors
+SLICE_ROWS = 512
 #: chunks up to which a fill looks its hashes up instead of joining the whole cache
 FEW_CHUNKS = 2000
 
@@ -76,10 +78,8 @@ def embed_rows(
     def run(batches):
         embed = opened(embed_fn)
         budget = getattr(embed_fn, "max_tokens", None)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            texts = pdf[text_col].fillna("").tolist()
+        for b in (b.slice(lo, SLICE_ROWS) for b in batches for lo in range(0, b.num_rows, SLICE_ROWS)):
+            texts = ["" if t is None else t for t in b.column(text_col).to_pylist()]
             sizes = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
             vecs: list = [None] * len(texts)
             for at in call_slices(sizes, batch_size, budget):
@@ -88,14 +88,15 @@ def embed_rows(
                     raise EmbeddingError("embedding function returned a wrong number of vectors")
                 for i, v in zip(at.tolist(), got):
                     vecs[i] = v
-            yield pd.DataFrame({"model": model, key_col: pdf[key_col].values, "embedding": vecs,
-                                **{c: pdf[c] for c in carry}})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model] * len(texts), pa.string()), b.column(key_col), pa.array(vecs, pa.list_(pa.float32())),
+                 *[b.column(c) for c in carry]], ["model", key_col, "embedding", *carry])
 
     out = T.StructType([T.StructField("model", T.StringType()), T.StructField(key_col, T.StringType()),
                         T.StructField("embedding", T.ArrayType(T.FloatType())), *[rows.schema[c] for c in carry]])
     src = rows.select(F.col(key_col).cast("string").alias(key_col),
                       *[c for c in dict.fromkeys((text_col, *carry)) if c != key_col])
-    return src.mapInPandas(run, schema=out)
+    return src.mapInArrow(run, schema=out)
 
 
 def fill_cache(
