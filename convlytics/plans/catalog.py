@@ -244,12 +244,16 @@ def src_json_messages(spark, sf_dir):
     return clean.select("thread_id", F.col("_seq").alias("event_id"), "msg_timestamp", "clean_content")
 
 
+#: text of one JSON array file: several splits of the reader
+ARRAY_BYTES = 256 << 20
+
+
 @query("src_json_array")
 def src_json_array(spark, sf_dir):
-    """Messages from one JSON array file, which many tasks read, then cleaned.
+    """Messages from JSON array files, each of which many tasks read, then cleaned.
 
-    The file is the events as an array on one line, with nested objects and
-    with braces, quotes and characters of several bytes inside strings.
+    A file is an array of events on one line, with nested objects and with
+    braces, quotes and characters of several bytes inside strings.
     """
     from convlytics.session import scratch_path
     from convlytics.sources.json_source import read_json
@@ -269,8 +273,9 @@ def src_json_array(spark, sf_dir):
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if sign == "[" else "]"])], ["value"])
 
     path = scratch_path(spark, "events-array")
-    # an array is one file, which one task writes as a stream
-    lines.select(value.alias("value")).coalesce(1).mapInArrow(joined, "value string").write.option("lineSep", " ").text(path)
+    # an array is one file, which one task writes as a stream: as many files as keep each near ARRAY_BYTES
+    size = lines.agg(F.sum(F.octet_length(value))).first()[0] or 0
+    lines.select(value.alias("value")).coalesce(1 + size // ARRAY_BYTES).mapInArrow(joined, "value string").write.option("lineSep", " ").text(path)
     schema = "event_id long, thread_id string, content variant, created_at variant, meta struct<note string, parts string>"
     m = read_json(spark, path, schema=schema, raw="content", multiline=True)
     kept = F.col("meta.note").startswith("}],{")

@@ -122,3 +122,20 @@ def test_records_are_parsed_once(spark):
     _, messages = load_collections(spark, t, m, multiline=True)
     plan = messages._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "text" not in plan.lower().replace("context", "")
+
+
+def test_a_large_array_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from convlytics.plans import catalog
+
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    e = spark.range(3000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"),
+                                 when.alias("ts"), F.lit(1.5).alias("value"), F.lit('{"k": 1}').alias("props"))
+    e.repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "ARRAY_BYTES", 100_000, raising=False)
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    assert catalog.src_json_array(spark, str(tmp_path)).count() == 3000
+    made = [x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x.startswith("events-array") and x not in before]
+    files = [x for x in os.listdir(os.path.join(spark.conf.get("spark.checkpoint.dir"), made[0])) if x.startswith("part-")]
+    assert len(files) >= 4
